@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import exact_dedup, token_files
 
 QUERIES = {
+    "op2_token_files": token_files.op2_token_files,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
 }
 
