@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, token_files
+from . import exact_dedup, language_id, token_files, url_rules
 
 QUERIES = {
     "op2_token_files": token_files.op2_token_files,
+    "op3_url_filter": url_rules.op3_url_filter,
+    "op4_language_id": language_id.op4_language_id,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
 }
 
 ORACLE_SQL = {
+    "op3_url_filter": url_rules.ORACLE,
     "op5_exact_dedup": exact_dedup.ORACLE,
 }
