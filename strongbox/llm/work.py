@@ -48,3 +48,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def bounded_sample(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """At most ``most`` rows, those with the smallest 64-bit hash in column ``key``.
+
+    Rows beyond three times the bound are left out by the hash's range first, so
+    that what partitions send together stays in proportion to the bound and not
+    to the table.
+    """
+    n = rows.count()
+    if n > 3 * most:
+        rows = rows.where(rows[key] < int(-(2**63) + 2**64 * (3 * most / n)))
+    return rows.orderBy(*[key, *(c for c in rows.columns if c != key)]).limit(most)
