@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id, token_files, toxicity, url_rules
+from . import exact_dedup, language_id, subword_sampling, token_files, toxicity, url_rules
 
 QUERIES = {
+    "op10_subword_sampling": subword_sampling.op10_subword_sampling,
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_token_files": token_files.op2_token_files,
     "op3_url_filter": url_rules.op3_url_filter,
