@@ -17,6 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from .wordhash import buffers, slices
+from .work import bounded_sample
 
 _DIMS_LOG2 = 14
 _DIMS = 1 << _DIMS_LOG2
@@ -153,7 +154,7 @@ def fit(docs: DataFrame, sample_docs: int = 3000, sample_chars: int = 20_000, te
     """
     rows = docs.select(F.col(text_col).alias("t"), F.col(lang_col).alias("l"), F.xxhash64(id_col, text_col).alias("h"))
     rows = rows.where(F.col("l").isNotNull() & F.col("t").isNotNull() & (F.length("t") <= sample_chars) & (F.col("t") != ""))
-    rows = rows.orderBy("h", "t", "l").limit(sample_docs).collect()
+    rows = bounded_sample(rows, "h", sample_docs).collect()
     return Model([r.t for r in rows], [r.l for r in rows])
 
 
