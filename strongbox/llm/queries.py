@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontamination, exact_dedup, language_id, subword_sampling, token_files, toxicity, url_rules
+from . import decontamination, exact_dedup, language_id, subword_sampling, token_files, tool_calls, toxicity, url_rules
 
 QUERIES = {
+    "op8_tool_calls": tool_calls.op8_tool_calls,
     "op6_decontamination": decontamination.op6_decontamination,
     "op10_subword_sampling": subword_sampling.op10_subword_sampling,
     "op1_toxicity": toxicity.op1_toxicity,
