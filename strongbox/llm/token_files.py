@@ -20,9 +20,11 @@ As ranks are by frequency, common ids take one byte.  A file decodes by itself.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +37,14 @@ from .work import new_folder
 
 _HEAD = struct.Struct("<4sBIQI")
 _NULL = np.iinfo(np.int64).min
-# fixed values: the pre-tokenizer's split pattern of the vocabulary file
-_SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+_LATIN = "".join(c for c in map(chr, range(0x24F)) if regex.match(r"\p{L}", c))
+# fixed values: the split pattern of the vocabulary file, for text of ASCII and Latin letters
+_SPLIT = re.compile(
+    rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LATIN}]+| ?[0-9]+| ?[^ \t\n\r\f\v{_LATIN}0-9]+"
+    r"|[ \t\n\r\f\v]+(?![^ \t\n\r\f\v])|[ \t\n\r\f\v]+"
+)
+_OTHER = re.compile(rf"[^\x00-\x1b\x20-\x7f{_LATIN}]")
+_PLAIN = re.compile(rf" [{_LATIN}]+")
 # for each control byte: the lengths of its four ranks
 _LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.uint8) + 1
 
@@ -94,12 +102,13 @@ class Encoder:
     """The tokenizers library behind a table of the pieces that its pre-tokenizer splits.
 
     Byte-level BPE never merges across pieces, so a text's ids are its pieces'
-    ids in turn; each distinct piece goes through the library once.  A text that
-    holds the string of an added token goes through the library whole.  The
+    ids in turn; each distinct piece goes through the library once.  A text with
+    other characters than ASCII and Latin letters, or with the string of an added
+    token, goes through the library whole.  The
     table is emptied when it holds ``most`` pieces, which bounds memory only.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -107,6 +116,9 @@ class Encoder:
 
         self.library, self.most = Tokenizer.from_file(path), most
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        vocab = self.library.get_vocab()
+        self.bytes = np.zeros(max(vocab.values()) + 1, np.int64)  # a byte is a character of its own in the vocabulary
+        self.bytes[list(vocab.values())] = [len(x) for x in vocab]
         self.clear()
 
     def clear(self) -> None:
@@ -115,30 +127,51 @@ class Encoder:
         self.at, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
     def _learn(self, pieces: list[str]) -> None:
-        found = self.library.encode_batch_fast(pieces, add_special_tokens=False)
-        for piece, x in zip(pieces, found, strict=True):
-            ids, code = x.ids, len(self.codes)
-            if code == len(self.at):
-                self.at, self.size = (np.concatenate([v, np.zeros_like(v)]) for v in (self.at, self.size))
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.at[code], self.size[code] = self.used, len(ids)
-            self.codes[piece], self.used = code, self.used + len(ids)
-
-    def encode(self, text: str) -> np.ndarray:
-        if any(s in text for s in self.special):
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
-        pieces = _SPLIT.findall(text)
-        if new := [p for p in set(pieces) if p not in self.codes]:
-            if len(self.codes) + len(new) > self.most:
+        """Ids of new pieces.  Those of a space and letters go through the library as one
+        text, which its pre-tokenizer splits into the same pieces; the bytes of the ids
+        then tell where a piece ends."""
+        plain, rest = [], []
+        for p in pieces:
+            (plain if _PLAIN.fullmatch(p) else rest).append(p)
+        ids = np.array(self.library.encode_batch_fast(["".join(plain)], add_special_tokens=False)[0].ids, np.int64)
+        ends = np.searchsorted(np.cumsum(self.bytes[ids]), np.cumsum([len(p.encode()) for p in plain])) + 1
+        size = np.diff(ends, prepend=0) if plain else np.zeros(0, np.int64)
+        if rest:
+            found = [x.ids for x in self.library.encode_batch_fast(rest, add_special_tokens=False)]
+            ids = np.concatenate([ids, *(np.array(x, np.int64) for x in found)])
+            size = np.concatenate([size, [len(x) for x in found]])
+        first, n = len(self.codes), len(pieces)
+        self.codes.update(zip(plain + rest, range(first, first + n), strict=True))
+        while first + n > len(self.at):
+            self.at, self.size = (np.concatenate([v, np.zeros_like(v)]) for v in (self.at, self.size))
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.size[first : first + n] = size
+        self.at[first : first + n] = self.used + np.cumsum(size) - size
+        self.used += len(ids)
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        split = [None if _OTHER.search(t) or any(s in t for s in self.special) else _SPLIT.findall(t) for t in texts]
+        pieces = list(chain.from_iterable(x for x in split if x))
+        codes = np.fromiter(map(self.codes.get, pieces, repeat(-1)), np.int64, len(pieces))
+        new = np.flatnonzero(codes < 0)
+        if len(new):
+            words = {pieces[k] for k in new.tolist()}
+            if len(self.codes) + len(words) > self.most:
                 self.clear()
-                new = list(set(pieces))
-            self._learn(new)
-        codes = np.fromiter(map(self.codes.__getitem__, pieces), np.int64, len(pieces))
+                words, new = set(pieces), np.arange(len(pieces))
+            self._learn(list(words))
+            codes[new] = [self.codes[pieces[k]] for k in new.tolist()]
         size, at = self.size[codes], self.at[codes]
         ends = np.cumsum(size)
-        return self.flat[np.repeat(at - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
+        flat = self.flat[np.repeat(at - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
+        ends = np.concatenate([[0], ends])[np.cumsum([0, *(len(x) if x else 0 for x in split)])]
+        return [
+            np.array(self.library.encode(t, add_special_tokens=False).ids, np.uint32) if x is None else flat[a:b]
+            for t, x, a, b in zip(texts, split, ends[:-1].tolist(), ends[1:].tolist(), strict=True)
+        ]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -175,7 +208,8 @@ def write_token_files(
     rows = docs.select(F.col(id_col).cast("long").alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     conf = docs.sparkSession.conf
     parts = max(int(conf.get("spark.sql.shuffle.partitions")), 1)
-    dealt = rows.repartitionByRange(parts, "i", "t").sortWithinPartitions("i", "t")
+    # the sampled sort keys reach the driver: a hash stands in for the text there
+    dealt = rows.repartitionByRange(parts, F.col("i"), F.xxhash64("t")).sortWithinPartitions("i", "t")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -202,13 +236,13 @@ def write_token_files(
             number, held, total = number + 1, [], 0
 
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            for doc, text in zip(ids, batch.column(1), strict=True):
-                found = np.append(encoder.encode(text.as_py()), np.uint32(end_id))
-                held.append((_NULL if doc is None else doc, found))
-                total += len(found)
-                if total >= ids_in_file:
-                    close()
+            for some in slices(batch, 1, 1 << 20):
+                texts = encoder.encode(some.column(1).to_pylist())
+                for doc, found in zip(some.column(0).to_pylist(), texts, strict=True):
+                    held.append((_NULL if doc is None else doc, np.append(found, np.uint32(end_id))))
+                    total += len(found) + 1
+                    if total >= ids_in_file:
+                        close()
         close()
         columns = [pa.array([n[k] for n in names], pa.int64()) for k in range(4)]
         yield pa.RecordBatch.from_arrays(columns, names=["part", "number", "n_docs", "n_ids"])
