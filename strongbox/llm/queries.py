@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontamination, exact_dedup, language_id, substring_dedup, subword_sampling, token_files, tool_calls, toxicity, url_rules
+from . import decontamination, exact_dedup, language_id, near_dedup, substring_dedup, subword_sampling, token_files, tool_calls, toxicity, url_rules
 
 QUERIES = {
+    "op9_near_dedup": near_dedup.op9_near_dedup,
     "op7_substring_dedup": substring_dedup.op7_substring_dedup,
     "op8_tool_calls": tool_calls.op8_tool_calls,
     "op6_decontamination": decontamination.op6_decontamination,
