@@ -12,6 +12,8 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .work import written
+
 # Of every window of 13 words with up to 2 others, one of these finds a span (see misses()).
 MASKS = ((0, 1, 2, 3, 6, 7), (0, 1, 3, 5, 6, 7))
 
@@ -89,10 +91,13 @@ def overlaps(
     hashed = rows.select("_id", hashed_words(F.col("_text")).alias("_t"))
     items = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).alias("_item"), hashed_words(F.col(item_text_col)).alias("_t"))
     items = items.where(F.size("_t") >= span)
-    found = hits(hashed, items, masks, most_broadcast)
+    # written once: its size then says whether the texts have to be dealt by id to meet their hits
+    found = written(hits(hashed, items, masks, most_broadcast), "seed-hits")
+    if found.count() <= most_broadcast:
+        found = F.broadcast(found)
 
     # the words along a diagonal, from the first place that both texts have
-    along = found.join(hashed.withColumnRenamed("_t", "_dt"), "_id").join(items.withColumnRenamed("_t", "_it"), "_item")
+    along = hashed.withColumnRenamed("_t", "_dt").join(found, "_id").join(items.withColumnRenamed("_t", "_it"), "_item")
     skip = F.greatest(-F.col("_diagonal"), F.lit(0))
     dt = F.expr("slice(_dt, greatest(_diagonal, 0) + 1, size(_it))")
     it = F.expr("slice(_it, greatest(-_diagonal, 0) + 1, size(_it))")
