@@ -1,11 +1,74 @@
-"""The corpus pipeline: toxicity, exact dedup, near dedup, decontamination, tokens."""
+"""The corpus pipeline: from raw documents to sampled token sequences.
 
-STAGES: list = []
+``STAGES`` are (name, function) in order; a function takes (spark, docs, sf_dir)
+and returns the documents that stay, with the columns of ``docs``, and the last
+one the token sequences.  ``run`` writes what a stage returns to the shared
+folder and reads it back for the next.
+
+Each stage has the nulls, empty and very long texts, ties and repeated rows of
+its operator's docstring: rows without doc_id are judged by their text in the
+first stage and kept by the others.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from strongbox.llm.decontamination import overlaps
+from strongbox.llm.exact_dedup import exact_dedup
+from strongbox.llm.near_dedup import near_dedup
+from strongbox.llm.subword_sampling import sample_segmentations
+from strongbox.llm.toxicity import fit, training_labels, without_toxic
+from strongbox.llm.work import table, without, written
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below 0.7; learned from the labels that op1 may learn from."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    return without_toxic(docs, fit(docs.select("doc_id", "text"), training_labels(labels)))
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the one of the smallest doc_id; of repeated rows one."""
+    found = written(exact_dedup(docs, keep="min").select("doc_id", "kept"), "exact-kept")
+    kept = found.where("kept AND doc_id IS NOT NULL")
+    n, ids = kept.agg(F.count("doc_id"), F.count_distinct("doc_id")).first()
+    out = without(docs, found.where("NOT kept").select("doc_id"))
+    if n == ids:
+        return out
+    return out.where("doc_id IS NULL").unionByName(out.where("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"]))
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of near duplicates the one of the smallest doc_id."""
+    return without(docs, near_dedup(docs).where("NOT kept").select("doc_id"))
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that overlap with no benchmark item."""
+    return without(docs, overlaps(docs, table(spark, sf_dir, "benchmark")).select("doc_id"))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Three sampled segmentations of each document."""
+    return sample_segmentations(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
+STAGES = [
+    ("toxicity", toxicity),
+    ("exact_dedup", exact),
+    ("near_dedup", near),
+    ("decontamination", decontaminated),
+    ("tokens", tokens),
+]
+
+#: SQL expresses neither the learned toxicity model nor the sampling; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

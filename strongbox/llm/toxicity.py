@@ -334,3 +334,16 @@ def op1_toxicity(spark, sf_dir: str) -> DataFrame:
     return score_texts(docs, scorer).select(
         "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
     )
+
+
+def without_toxic(docs: DataFrame, scorer: Scorer, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows whose whole text scores ``threshold`` or more; all columns stay."""
+    shared = docs.sparkSession.sparkContext.broadcast(scorer)
+    at = docs.columns.index(text_col)
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [shared.value.score(t.as_py()) < threshold for t in batch.column(at)]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(clean, docs.schema)

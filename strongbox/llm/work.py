@@ -12,7 +12,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def work_root(spark: SparkSession) -> str:
@@ -61,3 +61,15 @@ def bounded_sample(rows: DataFrame, key: str, most: int) -> DataFrame:
     if n > 3 * most:
         rows = rows.where(rows[key] < int(-(2**63) + 2**64 * (3 * most / n)))
     return rows.orderBy(*[key, *(c for c in rows.columns if c != key)]).limit(most)
+
+
+def without(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id", most_broadcast: int = 1_000_000) -> DataFrame:
+    """``docs`` without the rows whose id is in ``dropped``'s only column.
+
+    The ids are written and counted; up to ``most_broadcast`` of them are
+    broadcast, so that texts stay where they are; more are joined by id.
+    Rows with a null id stay.
+    """
+    ids = written(dropped.toDF("_dropped").where("_dropped IS NOT NULL").distinct(), "dropped")
+    few = ids.count() <= most_broadcast
+    return docs.join(F.broadcast(ids) if few else ids, docs[id_col] == ids["_dropped"], "left_anti")
