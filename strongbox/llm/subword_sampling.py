@@ -30,7 +30,8 @@ from pyspark.sql import DataFrame, functions as F
 from .wordhash import _windows, mix, slices
 
 _BASE = 0x9E3779B97F4A7C15
-_SLOTS = 1 << 21
+_SLOT_BITS = 21
+_SLOTS = 1 << _SLOT_BITS
 _NOISE = 38.0  # -log(-log(u)) for the largest u of _uniform is below this
 
 
@@ -38,6 +39,11 @@ def _uniform(key: np.ndarray, seed: int) -> np.ndarray:
     return (mix(key, seed) >> np.uint64(11)).astype(np.float64) * 2.0**-53 + 2.0**-54
 
 
+def _slots(key: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return ((key * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
+
+
 class _Draws:
     """Numbers in (0, 1) of a row's own stream."""
 
@@ -99,14 +105,14 @@ class Pieces:
         for p, i in table:
             points = np.frombuffer(p.encode("utf-32-le"), np.uint32).astype(np.uint64)
             key = _windows(points, np.zeros(1, np.int64), np.array([len(points)]), _BASE)
-            slot = int(mix(key)[0]) % _SLOTS
+            slot = int(_slots(key)[0])
             probe = 1
             while self.ids[slot] >= 0:
                 slot, probe = (slot + 1) % _SLOTS, probe + 1
             self.keys[slot], self.ids[slot], self.probes = key[0], i, max(self.probes, probe)
 
     def find(self, key: np.ndarray) -> np.ndarray:
-        slot = (mix(key) % np.uint64(_SLOTS)).astype(np.int64)
+        slot = _slots(key)
         out = np.where(self.keys[slot] == key, self.ids[slot], -1)
         for k in range(1, self.probes):
             miss = np.flatnonzero(out < 0)
@@ -172,7 +178,13 @@ class _Batch:
         self.doc_unit = np.searchsorted(self.unit_at, self.doc_at)
         start, size = self.unit_at[:-1], np.diff(self.unit_at)
         key = _windows(points.astype(np.uint64), start, size, _BASE) if n else np.zeros(0, np.uint64)
-        _, first, self.form = np.unique(key, return_index=True, return_inverse=True)
+        # equal units together: draws go through them in this order, for the sake of the caches
+        self.by_form = np.argsort(key)
+        new = np.ones(len(key), bool)
+        new[1:] = np.diff(key[self.by_form]) != 0
+        first = self.by_form[new]
+        self.form = np.empty(len(key), np.int64)
+        self.form[self.by_form] = np.cumsum(new) - 1
         # distinct forms, longest first, laid out end to end; a form of m characters has m + 1 nodes
         order = np.argsort(-size[first], kind="stable")
         rank = np.empty_like(order)
@@ -190,7 +202,7 @@ class _Batch:
     def _edges(self, flat: np.ndarray, total: int) -> None:
         """self.edge[L - 1, i]: id of the piece of L characters at i, -1 if none; ids from n on are characters without a piece."""
         p = self.p
-        self.edge = np.full((p.longest, total), -1, np.int32)
+        edge = [np.full(total, -1, np.int32) for _ in range(min(p.longest, int(self.size[0]) if len(self.size) else 1))]
         left = np.repeat(self.char_at + self.size, self.size) - np.arange(total)
         with np.errstate(over="ignore"):
             base = np.full(total + 1, _BASE, np.uint64)
@@ -199,66 +211,90 @@ class _Batch:
             base[1:] = np.uint64(pow(_BASE, -1, 2**64))
             back = np.cumprod(base, dtype=np.uint64)
             sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(flat.astype(np.uint64) * power[:total], dtype=np.uint64)])
-            for length in range(1, p.longest + 1):
-                at = np.flatnonzero(left >= length)
-                if not len(at):
-                    break
-                self.edge[length - 1, at] = p.find((sums[at + length] - sums[at]) * back[at])
+            at = np.arange(total)
+            for length in range(1, len(edge) + 1):
+                at = at[left[at] >= length]
+                edge[length - 1][at] = p.find((sums[at + length] - sums[at]) * back[at])
+        while len(edge) > 1 and not (edge[-1] >= 0).any():
+            edge.pop()
+        self.edge, self.longest = np.stack(edge), len(edge)
         alone = self.edge[0] < 0
         self.edge[0, alone] = p.n + flat[alone]
         width = np.array([1, 2, 3, 4])[np.searchsorted([0x80, 0x800, 0x10000], flat, side="right")]
         self.log_weight = np.full(self.edge.shape, -np.inf, np.float32)
-        for k in range(p.longest):
+        for k in range(self.longest):
             has = np.flatnonzero(self.edge[k] >= 0)
             self.log_weight[k, has] = p.log_weight[np.minimum(self.edge[k, has], p.n - 1)]
         self.log_weight[0, alone] = width[alone] * p.log_weight[p.byte_id[0]]
 
     def _forward(self, total: int) -> None:
         """self.alpha[node]: log of the summed weight of paths to it; self.share[node, L - 1]:
-        the share of the paths whose last piece has L characters; self.paths: their number, up to 2."""
+        the share of the paths whose last piece has L characters; self.best, self.best_share:
+        the largest of these; self.paths: the paths' number, up to 2."""
         nodes = total + len(self.size)
-        longest = self.p.longest
         self.alpha, self.paths = np.zeros(nodes), np.ones(nodes, np.int8)
-        self.share = np.zeros((nodes, longest), np.float32)
-        self.last = np.zeros(nodes, np.int64)  # the longest last piece
+        self.share = np.zeros((nodes, self.longest), np.float32)
+        self.best, self.best_share = np.zeros(nodes, np.int32), np.zeros(nodes, np.float32)
         for t in range(1, int(self.size[0]) + 1 if len(self.size) else 0):
             live = int(np.searchsorted(-self.size, -t, side="right"))
             node, char = self.node_at[:live] + t, self.char_at[:live] + t
-            m = min(t, longest)
-            x = np.empty((live, m))
-            paths = np.zeros(live, np.int8)
-            for length in range(1, m + 1):
+            x = self.alpha[node - 1] + self.log_weight[0, char - 1]  # one character: always an edge
+            top, paths, edges = x.copy(), self.paths[node - 1].copy(), [(1, slice(None), x)]
+            for length in range(2, min(t, self.longest) + 1):
                 w = self.log_weight[length - 1, char - length]
-                x[:, length - 1] = self.alpha[node - length] + w
-                paths += np.where(w > -np.inf, self.paths[node - length], 0).astype(np.int8)
-                np.minimum(paths, 2, out=paths)
-            top = x.max(axis=1)
-            e = np.exp(x - top[:, None])
-            total_e = e.sum(axis=1)
-            self.alpha[node] = top + np.log(total_e)
-            self.share[node, :m] = e / total_e[:, None]
-            self.paths[node] = paths
-            self.last[node] = m - np.argmax(e[:, ::-1] > 0, axis=1)
-        self.cdf = np.cumsum(self.share, axis=1, dtype=np.float32)
-        self.cdf /= np.maximum(self.cdf[:, -1:], np.float32(1e-30))
+                has = np.flatnonzero(w > -np.inf)
+                if len(has):
+                    x = self.alpha[node[has] - length] + w[has]
+                    edges.append((length, has, x))
+                    top[has] = np.maximum(top[has], x)
+                    paths[has] = np.minimum(paths[has] + self.paths[node[has] - length], 2)
+            sums = np.zeros(live)
+            for length, has, x in edges:
+                sums[has] += np.exp(x - top[has])
+            alpha = top + np.log(sums)
+            best, best_share = np.ones(live, np.int32), np.zeros(live, np.float32)
+            for length, has, x in edges:
+                share = np.exp(x - alpha[has]).astype(np.float32)
+                self.share[node[has], length - 1] = share
+                more = share > best_share[has]
+                best[has] = np.where(more, length, best[has])
+                best_share[has] = np.where(more, share, best_share[has])
+            self.alpha[node], self.paths[node], self.best[node], self.best_share[node] = alpha, paths, best, best_share
 
     def draw(self, units: np.ndarray, key: np.ndarray, seed: int, piece_at: np.ndarray, logp: np.ndarray) -> None:
-        """Draw a path for each unit: ids of pieces into piece_at (by first character), logs of path probabilities."""
+        """Draw a path for each of ``units``, by the row's key (one for every unit of the batch): ids of pieces into piece_at (by first character), logs of path probabilities."""
+        chosen = np.zeros(len(self.form), bool)
+        chosen[units] = True
+        units = self.by_form[chosen[self.by_form]]
+        key = key[units]
         form = self.form[units]
         t, stream = self.size[form].copy(), mix(key + units.astype(np.uint64), seed)
         begin, node0, char0 = self.unit_at[units], self.node_at[form], self.char_at[form]
         total = np.zeros(len(units))
-        live, step = np.arange(len(units)), 0
+        live = np.arange(len(units))
         while len(live):
-            node = node0[live] + t[live]
-            u = _uniform(stream[live], 31 + step).astype(np.float32)
-            length = 1 + np.count_nonzero(self.cdf[node] <= u[:, None], axis=1)
-            length = np.minimum(length, self.last[node])
-            t[live] -= length
-            at = char0[live] + t[live]
-            piece_at[begin[live] + t[live]] = self.edge[length - 1, at] + 1
+            left = t[live]
+            node = node0[live] + left
+            with np.errstate(over="ignore"):  # a linear congruential step of each unit's own stream
+                stream = stream * np.uint64(6364136223846793005) + np.uint64(1442695040888963407)
+            u = (stream >> np.uint64(40)).astype(np.float32) * np.float32(2.0**-24)
+            length = self.best[node]  # the likeliest piece ends most draws
+            other = np.flatnonzero(u >= self.best_share[node])
+            if len(other):
+                row = self.share[node[other]]
+                row[np.arange(len(other)), length[other] - 1] = 0
+                sums = np.cumsum(row, axis=1)
+                # the rest of u, stretched over the shares of the others; with no other the likeliest stays
+                reach = (u[other] - self.best_share[node[other]]) / np.maximum(1 - self.best_share[node[other]], np.float32(1e-12))
+                chosen = 1 + np.count_nonzero(sums <= np.minimum(reach, np.float32(1 - 1e-6))[:, None] * sums[:, -1:], axis=1)
+                length[other] = np.where(sums[:, -1] > 0, chosen, length[other])
+            left = left - length
+            t[live] = left
+            at = char0[live] + left
+            piece_at[begin[live] + left] = self.edge[length - 1, at] + 1
             total[live] += self.log_weight[length - 1, at]
-            live, step = live[t[live] > 0], step + 1
+            more = left > 0
+            live, stream = live[more], stream[more]
         logp[units] = np.minimum(total - self.alpha[node0 + self.size[form]], 0)
 
     def rest(self, units: np.ndarray, logp: np.ndarray) -> np.ndarray:
@@ -375,9 +411,9 @@ def sample_batch(pieces: Pieces, texts: list[str], keys: list[int], k: int) -> l
     b = _Batch(pieces, texts)
     n, units = len(b.points), len(b.unit_at) - 1
     doc_of = np.repeat(np.arange(len(texts)), np.diff(b.doc_unit))
-    key = np.array(keys, np.uint64)
+    key = np.array(keys, np.uint64)[doc_of]
     piece_at, logp = np.zeros(n, np.int32), np.zeros(units)
-    b.draw(np.arange(units), key[doc_of], 1, piece_at, logp)
+    b.draw(np.arange(units), key, 1, piece_at, logp)
     by_round = [piece_at]
     searches = [_Search(b, d, keys[d]) for d in range(len(texts))]
     for s in searches:
@@ -399,8 +435,7 @@ def sample_batch(pieces: Pieces, texts: list[str], keys: list[int], k: int) -> l
             tails.append(np.arange(unit + 1, s.hi))
             starts.append((s, unit + 1, value))
         if tails:
-            all_units = np.concatenate(tails)
-            b.draw(all_units, key[doc_of[all_units]], 1 + 97 * r, piece_at, logp2)
+            b.draw(np.concatenate(tails), key, 1 + 97 * r, piece_at, logp2)
         by_round.append(piece_at)
         for s, first, value in starts:
             s.__dict__["logs"][r] = logp2
@@ -453,7 +488,7 @@ def sample_segmentations(
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = pieces_of(model, alpha)
         for batch in batches:
-            for part in slices(batch, 1, 4 << 20):
+            for part in slices(batch, 1, 2 << 20):
                 ids = part.column(0).to_pylist()
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 keys = [xxhash.xxh3_64_intdigest(str(i), seed) for i in ids]
