@@ -136,21 +136,41 @@ def decode_blocks(archive: bytes, d: Directory, wanted: set[int] | None = None,
         yield Block(e.index, data, status, corrected, value)
 
 
+def unpack_many(archives: list[bytes], validate: bool = True) -> list[tuple[bytes, str, int]]:
+    """For each archive all data that could be decoded, the first thing wrong (or ok), bytes corrected.
+
+    Blocks of all archives are hashed together.
+    """
+    directories = [directory(a) for a in archives]
+    payloads = [[decode_payload(payload_of(a, e), d.options, validate) for e in d.entries] for a, d in zip(archives, directories, strict=True)]
+    todo = [
+        (data, e.index << d.options.block_exp, root)
+        for d, found in zip(directories, payloads, strict=True)
+        for e, (data, _, _) in zip(d.entries, found, strict=True)
+        if data is not None
+        # a lone block may be hashed as the root it is, or as a part, as its writer couldn't know
+        for root in ((True, False) if len(d.entries) == 1 else (False,))
+    ]
+    values = iter(blake.block_values(todo) if todo else [])
+    out = []
+    for d, found in zip(directories, payloads, strict=True):
+        status = d.status
+        for e, (data, problem, _) in zip(d.entries, found, strict=True):
+            own = [next(values) for _ in range(2 if len(d.entries) == 1 else 1)] if data is not None else []
+            if status == d.status and e.record.value not in own:
+                status = problem if data is None else "hash"
+        data = b"".join(x or b"" for x, _, _ in found)
+        if status == "ok":
+            if blake.root_of([e.record.value for e in d.entries]) != d.trailer.value:
+                status = "root"
+            elif len(data) != d.trailer.size:
+                status = "size"
+        out.append((data, status, d.corrected + sum(c for _, _, c in found)))
+    return out
+
+
 def unpack(archive: bytes, validate: bool = True) -> tuple[bytes, str, int]:
-    """All data that could be decoded, the first thing wrong (or ok), bytes corrected."""
-    d = directory(archive)
-    if d.options is None:
-        return b"", d.status, d.header_corrected
-    blocks = list(decode_blocks(archive, d, None, validate))
-    data = b"".join(b.data or b"" for b in blocks)
-    status = next((b.status for b in blocks if b.status != "ok"), d.status)
-    if status == "ok":
-        root = blake.root_of([e.record.value for e in d.entries])
-        if root != d.trailer.value:
-            status = "root"
-        elif len(data) != d.trailer.size:
-            status = "size"
-    return data, status, d.corrected + sum(b.corrected for b in blocks)
+    return unpack_many([archive], validate)[0]
 
 
 def repair(archive: bytes) -> tuple[bytes, int, int]:

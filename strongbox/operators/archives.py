@@ -46,6 +46,9 @@ def encode_blocks(files: DataFrame, options: Options, raw: bool = False, id_col:
     size = F.octet_length(F.col(content_col))
     plan = block_plan(files, size, options.block_exp, [id_col, content_col])
     unit = 1 << options.block_exp
+    slots = files.sparkSession.sparkContext.defaultParallelism
+    if files.rdd.getNumPartitions() < slots:  # coding is worth more than a shuffle where tasks are too few
+        plan = plan.repartition(slots, id_col, "block_idx")
     data = F.expr(f"substring({content_col}, cast(block_offset + 1 AS int), cast(size AS int))")
     blocks = plan.select(F.col(id_col).alias("id"), "block_idx", "is_partial", "is_last", data.alias("data"))
 
@@ -205,13 +208,19 @@ def verify(archives: DataFrame, id_col: str = "file_id", validate: bool = True)
 def unpack(archives: DataFrame, id_col: str = "file_id", validate: bool = True, strict: bool = False) -> DataFrame:
     """file_id, content, status, corrected.  ``strict``: any status but ok fails the query."""
 
-    def rows(id_: object, archive: bytes) -> tuple:
-        data, status, corrected = whole.unpack(archive or b"", validate)
-        if strict and status != "ok":
-            raise ValueError(f"archive {id_}: {status}")
-        return id_, data, status, corrected
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = whole.unpack_many([a or b"" for a in batch.column(1).to_pylist()], validate)
+            if strict:
+                for id_, (_, status, _) in zip(batch.column(0).to_pylist(), found, strict=True):
+                    if status != "ok":
+                        raise ValueError(f"archive {id_}: {status}")
+            columns = [pa.array([f[k] for f in found], t) for k, t in enumerate((_BYTES, _TEXT, _LONG))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["id", "content", "status", "corrected"])
 
-    return _per_archive(archives, rows, id_col, [("content", "binary", _BYTES), ("status", "string", _TEXT), ("corrected", "long", _LONG)])
+    kind = dict(archives.dtypes)[id_col]
+    out = archives.select(F.col(id_col).alias("id"), "archive").mapInArrow(decode, f"id {kind}, content binary, status string, corrected long")
+    return out.withColumnRenamed("id", id_col)
 
 
 def _per_archive(archives: DataFrame, rows, id_col: str, columns: list[tuple], inputs=("archive",)) -> DataFrame:
