@@ -81,9 +81,9 @@ def _filters(o: Options, length: int | None) -> list[dict]:
 
 
 def compress(data: bytes, o: Options) -> bytes:
-    """A payload of chunks with its end mark."""
+    """A payload of chunks with its end mark; raw chunks where liblzma refuses the settings."""
     if o.lc + o.lp > 4:
-        raise FormatError("unsupported: lc + lp over 4")
+        return store(data)
     if not data:
         return b"\0"
     coded = lzma.compress(data, lzma.FORMAT_RAW, filters=_filters(o, len(data)))
