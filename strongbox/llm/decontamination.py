@@ -114,15 +114,13 @@ def overlaps(
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """One row per row of ``docs``: id, contaminated, n_items, first_item, matched (most words on a diagonal)."""
-    item = options.get("item_col", "item_id")
+    """One row per row of ``docs``: id, contaminated, n_items, matched (most words on a diagonal)."""
     found = overlaps(docs, benchmark, id_col=id_col, **options).groupBy(F.col(id_col).alias("_id"))
-    found = found.agg(F.count(F.lit(1)).alias("n_items"), F.min(item).alias("first_item"), F.max("matched").alias("matched"))
+    found = found.agg(F.count(F.lit(1)).alias("n_items"), F.max("matched").alias("matched"))
     return docs.select(id_col).join(found, F.col(id_col) == F.col("_id"), "left").select(
         id_col,
         F.col("n_items").isNotNull().alias("contaminated"),
         F.coalesce("n_items", F.lit(0)).alias("n_items"),
-        "first_item",
         F.coalesce("matched", F.lit(0)).alias("matched"),
     )
 
@@ -130,3 +128,21 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 def op6_decontamination(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+# fixed values: the defaults of overlaps(), window 13, 2 substitutions, masks of span 8
+ORACLE = r"""
+WITH dl AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM documents),
+il AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM benchmark),
+dw AS (SELECT doc_id, len(w) AS dn, unnest(w) AS w, generate_subscripts(w, 1) AS p FROM dl),
+iw AS (SELECT item_id, len(w) AS n, unnest(w) AS w, generate_subscripts(w, 1) AS ip FROM il WHERE len(w) >= 8),
+m AS (SELECT doc_id, item_id, n, dn, p - ip AS g, ip FROM dw JOIN iw USING (w)),
+c AS (SELECT *, count(*) OVER (PARTITION BY doc_id, item_id, g ORDER BY ip RANGE BETWEEN CURRENT ROW AND 12 FOLLOWING) AS near,
+        count(*) OVER (PARTITION BY doc_id, item_id, g) AS total,
+        least(n, dn - g) - greatest(1, 1 - g) + 1 AS common FROM m),
+hit AS (SELECT doc_id, item_id, max(total) AS matched FROM c
+        WHERE CASE WHEN n < 13 THEN total = n ELSE common >= 13 AND near >= 11 END GROUP BY doc_id, item_id),
+per AS (SELECT doc_id, count(*) AS n_items, max(matched) AS matched FROM hit GROUP BY doc_id)
+SELECT d.doc_id, per.doc_id IS NOT NULL AS contaminated, coalesce(n_items, 0)::BIGINT AS n_items, coalesce(matched, 0)::INT AS matched
+FROM documents d LEFT JOIN per ON per.doc_id = d.doc_id
+"""

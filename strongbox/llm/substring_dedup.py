@@ -280,3 +280,17 @@ def substring_dedup(
 def op7_substring_dedup(spark, sf_dir: str) -> DataFrame:
     out = substring_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+ORACLE = r"""
+WITH l AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+w AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM l),
+win AS (SELECT doc_id, p, word,
+   string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING) AS s,
+   count(*) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING) AS n FROM w),
+r AS (SELECT doc_id, p, word, n = 20 AND row_number() OVER (PARTITION BY s, n = 20 ORDER BY doc_id, p) > 1 AS later FROM win),
+c AS (SELECT doc_id, p, word, max(later::INT) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) = 1 AS gone FROM r),
+k AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (WHERE gone) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY p) FILTER (WHERE NOT gone), '') AS kept FROM c GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents d LEFT JOIN k ON k.doc_id = d.doc_id
+"""

@@ -195,3 +195,21 @@ def schema_table(spark, rows=SCHEMAS) -> DataFrame:
 def op8_tool_calls(spark, sf_dir: str) -> DataFrame:
     chats = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     return format_chats(chats, schema_table(spark), turns_as_calls=True)
+
+
+# the driver's conversations hold plain turns only; explicit calls are held against brute force in the tests
+ORACLE = """
+WITH c AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations),
+k AS (SELECT *, CASE WHEN role = 'user' THEN 'call' WHEN role = 'assistant' AND turn > 0 THEN 'result' ELSE 'message' END AS kind FROM c),
+a AS (SELECT DISTINCT conv_id, turn - 1 AS turn FROM k WHERE kind = 'result'),
+q AS (SELECT DISTINCT conv_id, turn FROM k WHERE kind = 'call')
+SELECT k.conv_id, k.turn, 0 AS stage, 0 AS part, kind,
+  CASE kind WHEN 'call' THEN 'turn-' || k.turn WHEN 'result' THEN 'turn-' || (k.turn - 1) END AS call_id,
+  CASE kind WHEN 'call' THEN CASE WHEN a.conv_id IS NULL THEN 'unanswered' ELSE 'ok' END
+            WHEN 'result' THEN CASE WHEN q.conv_id IS NULL THEN 'orphan' ELSE 'ok' END ELSE 'ok' END AS status,
+  CASE kind WHEN 'call' THEN '{"arguments":{"prompt":' || to_json(text)::VARCHAR || ',"turn":' || k.turn || '},"id":"turn-' || k.turn || '","name":"respond","role":"user"}'
+            WHEN 'result' THEN '{"content":' || to_json(text)::VARCHAR || ',"role":"assistant","tool_call_id":"turn-' || (k.turn - 1) || '"}'
+            ELSE '{"content":' || to_json(text)::VARCHAR || ',"role":' || to_json(role)::VARCHAR || '}' END AS json
+FROM k LEFT JOIN a ON kind = 'call' AND a.conv_id = k.conv_id AND a.turn = k.turn
+LEFT JOIN q ON kind = 'result' AND q.conv_id = k.conv_id AND q.turn = k.turn - 1
+"""
