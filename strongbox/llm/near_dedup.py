@@ -18,7 +18,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .wordhash import buffers, mix, slices, window_hashes, word_hashes, word_spans
 from .work import written
@@ -108,49 +108,6 @@ def _sketch_rows(width: int, count: int, least: int):
     return run
 
 
-def _stars(count: int, outside: bool):
-    """Of a batch of sketches: with outside False pairs (a, b, votes) of a document and the
-    least of the batch with the same sketch; else each sketch once, with that least document."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            keys = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint64).view(np.int64)
-            docs = np.repeat(ids, count)
-            order = np.lexsort((docs, keys))
-            keys, docs = keys[order], docs[order]
-            first = np.ones(len(keys), bool)
-            first[1:] = keys[1:] != keys[:-1]
-            if outside:
-                yield pa.RecordBatch.from_arrays([pa.array(keys[first]), pa.array(docs[first])], names=["key", "doc"])
-                continue
-            lead = docs[np.maximum.accumulate(np.where(first, np.arange(len(keys)), 0))]
-            other = docs != lead
-            pairs, votes = np.unique(np.stack([docs[other], lead[other]]), axis=1, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), pa.array(votes)], names=["a", "b", "votes"])
-
-    return run
-
-
-def _led(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (key, doc): pairs of each document and the first of its key."""
-    key = lead = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        keys, docs = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(2))
-        first = np.ones(len(keys), bool)
-        first[1:] = keys[1:] != keys[:-1]
-        leads = docs[np.maximum.accumulate(np.where(first, np.arange(len(keys)), 0))].copy()
-        if key is not None and keys[0] == key:
-            leads[: int(np.searchsorted(keys, key, side="right"))] = lead
-        key, lead = keys[-1], leads[-1]
-        take = docs != leads
-        yield pa.RecordBatch.from_arrays([pa.array(docs[take]), pa.array(leads[take])], names=["a", "b"])
-
-
 def _pairs_of_open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Hashes of all twos of a document's open sketches."""
     for batch in batches:
@@ -165,34 +122,64 @@ def _pairs_of_open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(docs, pa.int64()), pa.array(comps, pa.int64())], names=["key", "doc", "comp"])
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (key, comp, doc): pairs of documents of one key and different components.
+def _shingles_of(width: int):
+    """(shingle, doc, n) of every labelled shingle."""
 
-    Pairs leave in blocks of 100,000; only one key's documents are held.
-    """
-    out_a: list[int] = []
-    out_b: list[int] = []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 1):
+                found = list(shingle_rows(part.column(1), width))
+                sizes = np.array([len(x) for x in found], np.int64)
+                docs = np.repeat(part.column(0).to_numpy(zero_copy_only=False).astype(np.int64), sizes)
+                columns = [pa.array(np.concatenate(found).view(np.int64)), pa.array(docs), pa.array(np.repeat(sizes, sizes))]
+                yield pa.RecordBatch.from_arrays(columns, names=["shingle", "doc", "n"])
+
+    return run
 
-    def flush():
-        batch = pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
-        out_a.clear()
-        out_b.clear()
-        return batch
 
-    key, held, start, comp = None, [], 0, None
-    for batch in batches:
-        for k, doc, c in zip(*(batch.column(n).to_pylist() for n in range(3)), strict=True):
-            if k != key:
-                key, held, start, comp = k, [], 0, c
-            elif c != comp:
-                comp, start = c, len(held)
-            for other in held[:start]:
-                out_a.append(max(doc, other))
-                out_b.append(min(doc, other))
-            held.append(doc)
-            if len(out_a) >= 100_000:
-                yield flush()
-    yield flush()
+def _pairs_of_posting(comp: np.ndarray, doc: np.ndarray, n: np.ndarray, rank: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of documents that hold one shingle, of different components, that can reach the
+    threshold if it is the first that they share: behind it either has to hold enough."""
+    rest = n - rank + 1
+    # the shorter text of a pair needs what two texts of its size would
+    tight = np.flatnonzero(rest >= np.ceil(2 * threshold / (1 + threshold) * n - 1e-9))
+    for at in range(0, len(tight), 256):
+        i = tight[at : at + 256]
+        need = np.ceil(threshold / (1 + threshold) * (n[i][:, None] + n[None, :]) - 1e-9)
+        fits = (comp[i][:, None] != comp[None, :]) & (np.minimum(rest[i][:, None], rest[None, :]) >= need)
+        x, y = np.nonzero(fits)
+        a, b = doc[i[x]], doc[y]
+        yield np.maximum(a, b), np.minimum(a, b)
+
+
+def _across(threshold: float):
+    """_pairs_of_posting of rows (shingle, comp, doc, n, rank) sorted by shingle; a posting is held at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in _and_end(batches):
+            if batch is not None:
+                rows = [batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(5)]
+                held = rows if held is None else [np.concatenate(p) for p in zip(held, rows, strict=True)]
+                cut = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
+            else:
+                cut = len(held[0]) if held else 0
+            if not cut:
+                continue
+            now, held = [c[:cut] for c in held], [c[cut:] for c in held]
+            edges = np.append(np.flatnonzero(np.append(True, np.diff(now[0]) != 0)), cut)
+            for low, high in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                part = [c[low:high] for c in now[1:]]
+                if (part[0] != part[0][0]).any():
+                    for a, b in _pairs_of_posting(*part, threshold):
+                        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    return run
+
+
+def _and_end(batches):
+    yield from batches
+    yield None
 
 
 def _verify(width: int, threshold: float):
@@ -208,23 +195,30 @@ def _verify(width: int, threshold: float):
     return run
 
 
-def components(links: DataFrame) -> DataFrame:
+def _small(side: DataFrame, most_broadcast: int) -> DataFrame:
+    """A written table, broadcast if its rows as counted are few enough."""
+    return F.broadcast(side) if side.count() <= most_broadcast else side
+
+
+def components(links: DataFrame, most_broadcast: int = 1_000_000) -> DataFrame:
     """doc, comp (the least id it is connected to) for every id in ``links`` (a, b).
 
-    Each round takes the least component among the neighbours and then that
-    component's own; rounds go on until none changes.  Every table of a round is
-    written to the shared folder.
+    Each round takes the least component among a document and its neighbours and
+    then that component's own; rounds go on until none changes.  Every table of a
+    round is written to the shared folder.
     """
-    both = written(links.union(links.select("b", "a")).distinct(), "near-links")
-    labels = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("comp")).select(F.col("a").alias("doc"), "comp"), "near-comps")
+    both = links.union(links.select("b", "a"))
+    both = written(both.union(links.select("a", F.col("a").alias("b"))).union(links.select("b", F.col("b").alias("a"))).distinct(), "near-links")
+    labels = written(both.groupBy(F.col("a").alias("doc")).agg(F.min("b").alias("comp")), "near-comps")
+    total = None
     while True:
-        seen = both.join(labels.select(F.col("doc").alias("b"), F.col("comp").alias("near")), "b").groupBy("a").agg(F.min("near").alias("near"))
-        step = labels.join(seen, F.col("doc") == F.col("a")).select("doc", "comp", F.least("comp", "near").alias("new"))
-        jump = labels.select(F.col("doc").alias("at"), F.col("comp").alias("further"))
-        step = step.join(jump, F.col("new") == F.col("at"), "left").select("doc", F.col("comp").alias("old"), F.least("new", "further").alias("comp"))
-        step = written(step, "near-comps")
-        labels = step.select("doc", "comp")
-        if step.where("comp <> old").isEmpty():
+        known = _small(labels, most_broadcast)
+        seen = both.join(known.select(F.col("doc").alias("b"), "comp"), "b").groupBy(F.col("a").alias("doc")).agg(F.min("comp").alias("near"))
+        jump = known.select(F.col("doc").alias("near"), F.col("comp").alias("further"))
+        labels = written(seen.join(jump, "near").select("doc", F.col("further").alias("comp")), "near-comps")
+        # components only ever fall, so their sum tells whether one did
+        before, total = total, labels.agg(F.sum(F.col("comp").cast("decimal(38,0)"))).first()[0]
+        if total == before:
             return labels
 
 
@@ -234,6 +228,7 @@ def near_dedup(
     threshold: float = 0.8,
     count: int = 20,
     least: int = 3,
+    turns: int = 3,
     id_col: str = "doc_id",
     text_col: str = "text",
     most_broadcast: int = 1_000_000,
@@ -249,13 +244,14 @@ def near_dedup(
 
     Two texts at the threshold share a sketch with probability threshold **
     least, so all ``count`` are missed with probability (1 - threshold ** least)
-    ** count: 6e-7 by default.  Candidates: first, per sketch, each document with
-    the least document of its slice, and these with the least of all (never all
-    pairs); each document is verified with the candidate that most sketches
-    name, then with the others that are still in another component.  Last, where
-    a sketch's documents are still in different components, every pair of them
-    that shares two sketches is verified (missed with probability 1e-5), so that
-    no link depends on which document happened to be least.
+    ** count: 6e-7 by default.  Candidates are never all pairs of a sketch: each
+    sketch has a leader, and a document is verified with the leader that most of
+    its sketches name.  Where a sketch's documents are still in different
+    components, other leaders follow, in ``turns`` rounds at most.  Last, documents that share two
+    sketches across components (texts at the threshold do but with probability
+    1e-5) are joined on the rarest of their shingles, of which texts at the
+    threshold share at least one far enough in front, and every pair found is
+    verified, so that no link depends on which document happened to lead.
     """
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL)).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     keyed = rows.withColumn("key", F.sha2("text", 256))
@@ -267,14 +263,15 @@ def near_dedup(
     single = marked.where("doc = head").select("doc", "text")
 
     drawn = written(single.mapInArrow(_sketch_rows(width, count, least), "doc long, sketch binary"), "near-sketches")
-    within = drawn.mapInArrow(_stars(count, False), "a long, b long, votes long")
-    alone = drawn.mapInArrow(_stars(count, True), "key long, doc long")
-    led = alone.repartition(F.col("key")).sortWithinPartitions("key", "doc").mapInArrow(_led, "a long, b long")
-    named = within.unionByName(led.withColumn("votes", F.lit(1).cast("long")))
-    named = written(named.groupBy("a", "b").agg(F.sum("votes").alias("votes")), "near-candidates")
-
-    ids = written(named.select(F.col("a").alias("doc")).union(named.select("b")).distinct(), "near-ids")
-    busy = F.broadcast(ids) if ids.count() <= most_broadcast else ids
+    # sketches that several documents share, with how many; what a document shares says how central it is
+    places = F.sequence(F.lit(0), F.lit(count - 1))
+    keys = F.transform(places, lambda k: F.conv(F.hex(F.substring(F.col("sketch"), k * 8 + 1, F.lit(8))), 16, -10).cast("long"))
+    every = drawn.select("doc", F.explode(F.array_distinct(keys)).alias("key"))
+    shared = every.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    own = written(every.join(shared.select(F.expr("key + 0").alias("open"), "n"), F.col("key") == F.col("open")).select("key", "doc", "n"), "near-own")
+    central = written(own.groupBy("doc").agg(F.sum("n").alias("weight")), "near-central")
+
+    busy = _small(central, most_broadcast)
     texts = written(single.join(busy, "doc", "left_semi").dropDuplicates(["doc"]), "near-texts")
 
     def linked(pairs: DataFrame) -> DataFrame:
@@ -282,34 +279,52 @@ def near_dedup(
         met = met.join(texts.select(F.col("doc").alias("a"), F.col("text").alias("ta")), "a")
         return written(met.select("a", "b", "ta", "tb").mapInArrow(_verify(width, threshold), "a long, b long"), "near-linked")
 
-    def apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
-        left = comps.select(F.col("doc").alias("a"), F.col("comp").alias("ca"))
-        right = comps.select(F.col("doc").alias("b"), F.col("comp").alias("cb"))
-        met = pairs.join(left, "a", "left").join(right, "b", "left")
-        return met.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select(*pairs.columns)
-
-    best = named.groupBy("a").agg(F.max(F.struct("votes", (-F.col("b")).alias("nb"))).alias("m")).select("a", (-F.col("m.nb")).alias("b"))
-    best = written(best, "near-best")
-    links = linked(best)
-    comps = components(links)
-    others = written(apart(named.select("a", "b").join(best, ["a", "b"], "left_anti"), comps), "near-others")
-    links = links.union(linked(others))
-    comps = components(links)
-
-    # what is left: sketches whose documents are in different components
-    own = drawn.join(busy, "doc", "left_semi").join(comps, "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
-    keys = F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda k: F.conv(F.hex(F.substring(F.col("sketch"), k * 8 + 1, F.lit(8))), 16, -10).cast("long"))
-    own = own.select("doc", "comp", F.explode(F.array_distinct(keys)).alias("key"))
-    own = written(own, "near-own")
-    spans = own.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
-    spans = spans.select(F.expr("key + 0").alias("open"))
-    open_ = own.join(spans, F.col("key") == F.col("open")).groupBy("doc", "comp").agg(F.collect_list("key").alias("keys"))
-    twos = open_.where(F.size("keys") > 1).mapInArrow(_pairs_of_open, "key long, doc long, comp long")
-    across = twos.repartition(F.col("key")).sortWithinPartitions("key", "comp", "doc").mapInArrow(_across, "a long, b long").distinct()
-    across = across.join(best, ["a", "b"], "left_anti").join(others, ["a", "b"], "left_anti")
-    last = linked(written(across, "near-across"))
+    links = comps = None
+
+    def placed() -> DataFrame:
+        rows_ = own.join(busy, "doc")
+        if comps is None:
+            return rows_.select("key", "doc", "weight", F.col("doc").alias("comp"))
+        return rows_.join(_small(comps, most_broadcast), "doc", "left").select("key", "doc", "weight", F.coalesce("comp", "doc").alias("comp"))
+
+    # each sketch has a leader: at first its most central document, then ones drawn by how central they are
+    for turn in range(turns):
+        rows_ = placed()
+        drawn_ = F.pmod(F.xxhash64("doc", F.lit(turn)), F.lit(1 << 20)) if turn else F.lit(1)
+        lead = F.max(F.struct((F.col("weight") * drawn_).alias("w"), "doc", "comp")).alias("m")
+        leads = rows_.groupBy("key").agg(lead, F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
+        leads = leads.select(F.expr("key + 0").alias("open"), F.col("m.doc").alias("b"), F.col("m.comp").alias("cb"))
+        pairs = rows_.join(leads, F.col("key") == F.col("open")).where("comp <> cb")
+        pairs = pairs.groupBy(F.col("doc").alias("a"), "b").agg(F.count(F.lit(1)).alias("votes"))
+        pairs = pairs.groupBy("a").agg(F.max(F.struct("votes", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
+        more = linked(pairs)
+        if more.isEmpty() and turn:
+            break
+        links = more if links is None else links.union(more)
+        comps = components(links, most_broadcast)
+
+    # the rest exactly: of documents that share two sketches across components, those that share
+    # one of their rarest shingles, as texts at the threshold must
+    rows_ = placed()
+    spans = rows_.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
+    open_ = rows_.join(spans.select(F.expr("key + 0").alias("open")), F.col("key") == F.col("open"))
+    open_ = open_.groupBy("doc", "comp").agg(F.collect_list("key").alias("keys")).where(F.size("keys") > 1)
+    twos = written(open_.mapInArrow(_pairs_of_open, "key long, doc long, comp long"), "near-twos")
+    spans = twos.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
+    apart_ = twos.join(spans.select(F.expr("key + 0").alias("open")), F.col("key") == F.col("open")).select("doc", "comp").distinct()
+    apart_ = written(apart_, "near-apart")
+    shingles = texts.join(apart_.select("doc"), "doc", "left_semi").select("doc", "text")
+    shingles = shingles.mapInArrow(_shingles_of(width), "shingle long, doc long, n long")
+    often = shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1").select(F.expr("shingle + 0").alias("s"), "df")
+    ranked = shingles.join(often, F.col("shingle") == F.col("s"), "left").withColumn("df", F.coalesce("df", F.lit(1)))
+    order = Window.partitionBy("doc").orderBy("df", "shingle")
+    prefix = ranked.withColumn("rank", F.row_number().over(order))
+    prefix = prefix.where((F.col("rank") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1) & (F.col("df") > 1))
+    postings = prefix.select("shingle", "doc", "n", "rank").join(_small(apart_, most_broadcast), "doc").select("shingle", "comp", "doc", "n", "rank")
+    across = postings.repartition(F.col("shingle")).sortWithinPartitions("shingle").mapInArrow(_across(threshold), "a long, b long").distinct()
+    last = linked(across)
     if not last.isEmpty():
-        comps = components(links.union(last))
+        comps = components(links.union(last), most_broadcast)
 
     comps = comps.where("doc <> comp")
     n = comps.count()
