@@ -233,6 +233,28 @@ def append(archive: bytes, extra: bytes) -> bytes:
     return b"".join([*out, records.trailer(d.trailer.size + len(extra), blake.root_of(values))])
 
 
+def replace_block(archive: bytes, index: int, data: bytes) -> bytes:
+    """The archive with one block's data changed, in length only if it is the last; other payloads are kept."""
+    d = directory(archive)
+    if d.options is None or d.trailer is None or not 0 <= index < len(d.entries):
+        raise ValueError("no such block")
+    o, unit, last = d.options, 1 << d.options.block_exp, index == len(d.entries) - 1
+    if not 0 < len(data) <= unit or (not last and len(data) != unit):
+        raise ValueError("only the last block may be short")
+    (old,) = decode_blocks(archive, d, {index})
+    if old.data is None:
+        raise ValueError(f"block {index}: {old.status}")
+    (value,) = blake.block_values([(data, index * unit, len(d.entries) == 1)])
+    out, values = [records.header(o)], []
+    for e in d.entries:
+        payload, cv, partial = payload_of(archive, e), e.record.value, e.record.partial
+        if e.index == index:
+            payload, cv, partial = encode_payload(data, o), value, len(data) < unit
+        values.append(cv)
+        out += [records.block_header(len(payload), partial, cv), payload]
+    return b"".join([*out, records.trailer(d.trailer.size - len(old.data) + len(data), blake.root_of(values))])
+
+
 def regions(archive: bytes) -> list[tuple[str, int, int, int]]:
     """(kind, start, length, correctable bytes) of every protected stretch."""
     d = directory(archive)

@@ -248,6 +248,12 @@ def append(archives: DataFrame, extra_col: str = "extra", id_col: str = "file_id
     return _per_archive(archives, rows, id_col, [("archive", "binary", _BYTES)], ("archive", extra_col))
 
 
+def replace_block(archives: DataFrame, index_col: str = "block_idx", data_col: str = "data", id_col: str = "file_id") -> DataFrame:
+    """file_id, archive with block ``block_idx`` holding ``data``; the root follows, other payloads are kept."""
+    rows = lambda id_, a, k, x: (id_, whole.replace_block(a, k, x))
+    return _per_archive(archives, rows, id_col, [("archive", "binary", _BYTES)], ("archive", index_col, data_col))
+
+
 def best_copies(copies: DataFrame, id_col: str = "file_id", copy_col: str = "copy") -> DataFrame:
     """Of several copies of an archive each block's first that verifies: file_id, block_idx, copy, data (null: all lost)."""
     parts = copies.select(F.struct(id_col, copy_col).alias("_k"), "archive").select(F.to_json("_k").alias("_k"), "archive")

@@ -295,12 +295,17 @@ def gf_mul_table(spark, sf_dir):
 _WORDS = {
     "arm": ("w // 16777216 = 235", "3942645760 + ((w * 4 % 4294967296 + place + 8) // 4) % 16777216"),
     "powerpc": ("w // 67108864 = 18 AND w % 4 = 1", "1207959552 + (w % 67108864 - 1 + place) % 67108864 + 1"),
+    "sparc": (
+        "w // 4194304 IN (256, 511)",
+        "1073741824 + ((w * 4 % 4294967296 + place) % 4294967296 // 4) // 4194304 % 2 * 1069547520 + ((w * 4 % 4294967296 + place) % 4294967296 // 4) % 4194304",
+    ),
+    "arm64": ("w // 67108864 = 37", "2483027968 + (w + place // 4) % 67108864"),
 }
 
 
 def _word_sql(name: str) -> str:
     hit, value = _WORDS[name]
-    top = {"arm": "3942645760 + i * 40503 % 16777216", "powerpc": "1207959552 + i * 40503 % 16777216 * 4 + 1"}[name]
+    top = {"sparc": "CASE WHEN i % 4 = 0 THEN 1073741824 ELSE 2143289344 END + i * 40503 % 4194304", "arm64": "2483027968 + i * 40503 % 67108864", "arm": "3942645760 + i * 40503 % 16777216", "powerpc": "1207959552 + i * 40503 % 16777216 * 4 + 1"}[name]
     return f"""SELECT i AS word, place, w AS before, (CASE WHEN {hit} THEN {value} ELSE w END)::BIGINT AS after FROM
 (SELECT l_orderkey * 8 + l_linenumber AS i, (l_orderkey * 8 + l_linenumber) * 4 AS place, CASE WHEN l_linenumber % 2 = 0 THEN {top.replace('i', '(l_orderkey * 8 + l_linenumber)')} ELSE l_partkey * 2654435 % 4294967296 END AS w FROM lineitem)"""
 
@@ -327,6 +332,82 @@ def bcj_powerpc_words(spark, sf_dir):
     return rows.withColumn("after", F.when(hit, F.lit(18 << 26).cast("long") + (w % (1 << 26) - 1 + place) % (1 << 26) + 1).otherwise(w))
 
 
+@query(_word_sql("sparc"))
+def bcj_sparc_words(spark, sf_dir):
+    rows = _word_rows(spark, sf_dir, lambda i: F.when(i % 4 == 0, 1 << 30).otherwise(511 << 22) + i * 40503 % (1 << 22))
+    w, place = F.col("before"), F.col("place")
+    to = scalars.idiv((w * 4 % (1 << 32) + place) % (1 << 32), 4)
+    after = F.lit(1 << 30) + scalars.idiv(to, 1 << 22) % 2 * (255 << 22) + to % (1 << 22)
+    return rows.withColumn("after", F.when(scalars.idiv(w, 1 << 22).isin(256, 511), after).otherwise(w))
+
+
+@query(_word_sql("arm64"))
+def bcj_arm64_words(spark, sf_dir):
+    rows = _word_rows(spark, sf_dir, lambda i: F.lit(37 << 26) + i * 40503 % (1 << 26))
+    w, place = F.col("before"), F.col("place")
+    after = F.lit(37 << 26) + (w + scalars.idiv(place, 4)) % (1 << 26)
+    return rows.withColumn("after", F.when(scalars.idiv(w, 1 << 26) == 37, after).otherwise(w))
+
+
+@query("""SELECT l_orderkey, l_linenumber, (CASE WHEN l_linenumber % 3 = 0 THEN 16 + l_suppkey % 10 WHEN l_linenumber % 3 = 1 THEN CASE WHEN each <= 65536 THEN 16 ELSE least(length(ltrim(bin(each - 1), '0')), 62) END
+WHEN size > 268435456 THEN least(19 + l_partkey % 10 + 1, 30) ELSE 19 + l_partkey % 10 END)::INT AS block_exp
+FROM (SELECT *, l_orderkey * 77777 + 1 AS size, (l_orderkey * 77777 + 1 + l_linenumber - 1) // l_linenumber AS each FROM lineitem)""")
+def option_precedence(spark, sf_dir):
+    """The block exponent that a preset, a block size, a block count and the data's size lead to."""
+    line, size = F.col("l_linenumber"), F.col("l_orderkey") * 77777 + 1
+    by_count = scalars.block_exponent_from_count(size, line.cast("long"))
+    default = scalars.default_block_exponent(size, F.col("l_partkey") % 10 + 19)
+    chosen = F.when(line % 3 == 0, F.col("l_suppkey") % 10 + 16).when(line % 3 == 1, by_count).otherwise(default)
+    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", chosen.cast("int").alias("block_exp"))
+
+
+@query("SELECT doc_id AS file_id, octet_length(encode(coalesce(text, '')))::BIGINT AS bytes, md5(upper(substr(hex(encode(coalesce(text, ''))), 1))) AS digest, 'ok' AS status FROM documents WHERE text <> ''".replace("upper(substr(hex(encode(coalesce(text, ''))), 1))", "repeat('z', octet_length(encode(text)))"))
+def replace_roundtrip(spark, sf_dir):
+    """The last block of each archive replaced by as many other bytes."""
+    files = documents_as_files(spark, sf_dir).where("octet_length(content) > 0")
+    other = files.select("file_id", F.lit(0).cast("long").alias("block_idx"), F.encode(F.expr("repeat('z', octet_length(content))"), "UTF-8").alias("data"))
+    packed = archives.pack(files, Options(block_exp=30, dict_exp=16), raw=True).join(other, "file_id")
+    return _told(archives.unpack(archives.replace_block(packed)))
+
+
+@query("SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS bytes, md5(coalesce(html, '')) AS digest FROM pages")
+def source_roundtrip(spark, sf_dir):
+    """Pages written through the sink and read back block by block through the source."""
+    from .sources.archive import register
+    from .sources.scratch import scratch
+
+    register(spark)
+    folder = scratch(spark, "archives")
+    rows = read(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("name"), F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("content"))
+    rows.write.format("strongbox").option("path", folder).option("preset", 1).option("blockExponent", 16).mode("append").save()
+    page = F.regexp_extract("path", r"(\d+)\.toa$", 1).cast("long").alias("page_id")
+    blocks_ = spark.read.format("strongbox").load(folder).select(page, "block_idx", "data")
+    names = spark.read.format("strongbox").option("mode", "meta").load(folder).select(page, "size")
+    data = blocks_.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("block_idx", F.hex("data").alias("x")))).alias("b"))
+    whole = F.unhex(F.coalesce(F.array_join(F.transform("b", lambda b: b["x"]), ""), F.lit("")))
+    return names.join(data, "page_id", "left").select("page_id", F.col("size").alias("bytes"), F.md5(whole).alias("digest"))
+
+
+@query("""SELECT conv_id::VARCHAR AS stream_id, sum(octet_length(encode(coalesce(text, ''))))::BIGINT AS bytes, md5(string_agg(coalesce(text, ''), '' ORDER BY turn)) AS digest, 'ok' AS status FROM conversations GROUP BY conv_id""")
+def stream_roundtrip(spark, sf_dir):
+    """Conversations encoded turn by turn by the stateful stream; the archives unpacked."""
+    import uuid
+
+    from .sources.scratch import scratch
+    from .streaming.encode import encode_stream
+
+    name, folder = f"segments_{uuid.uuid4().hex}", scratch(spark, "stream")
+    order = Window.partitionBy("conv_id").orderBy("turn")
+    places = read(spark, sf_dir, "conversations").select("conv_id", "turn", (F.row_number().over(order) - 1).cast("long").alias("seq"), F.lead("turn").over(order).isNull().alias("eos"))
+    rows = spark.readStream.schema(read(spark, sf_dir, "conversations").schema).parquet(f"{sf_dir}/conversations.parque*").join(places, ["conv_id", "turn"])
+    chunks = rows.select(F.col("conv_id").cast("string").alias("stream_id"), "seq", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("data"), "eos")
+    query_ = encode_stream(chunks, preset(1).with_(ecc=1, block_exp=16)).writeStream.format("parquet").option("path", f"{folder}/{name}").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    query_.awaitTermination()
+    parts = spark.read.schema("stream_id string, ord long, kind string, bytes binary").parquet(f"{folder}/{name}").groupBy("stream_id").agg(F.array_sort(F.collect_list(F.struct("ord", F.hex("bytes").alias("x")))).alias("p"))
+    packed = parts.select(F.col("stream_id").alias("file_id"), F.unhex(F.array_join(F.transform("p", lambda p: p["x"]), "")).alias("archive"))
+    return _told(archives.unpack(packed)).withColumnRenamed("file_id", "stream_id")
+
+
 @query("""SELECT l_orderkey, l_linenumber, (CASE WHEN l_partkey < 4 THEN l_partkey ELSE (length(ltrim(bin(l_partkey), '0')) - 1) * 2 + (l_partkey >> (length(ltrim(bin(l_partkey), '0')) - 2)) & 1 END)::BIGINT AS slot,
 (CASE WHEN l_linenumber + 1 < 6 THEN l_linenumber - 1 ELSE 3 END)::INT AS state FROM lineitem""".replace("+ (l_partkey >>", "+ ((l_partkey >>").replace("- 2)) & 1 END", "- 2)) & 1) END"))
 def dist_slot(spark, sf_dir):

@@ -204,3 +204,26 @@ def test_options():
     o = Options().with_(lc=99, lp=-1, block_exp=1, dict_exp=99)
     assert (o.lc, o.lp, o.block_exp, o.dict_exp) == (8, 0, 16, 31)
     assert dims.auto_depth(preset(4)) == 24 and dims.auto_depth(Options(fast=True, nice=64)) == 20
+
+
+def test_precedence():
+    from strongbox.plans.options import block_exponent, resolve
+
+    assert resolve(3).block_exp == 22 and resolve(3, size=300 << 20).block_exp == 23 and resolve(9, size=1 << 40).block_exp == 29
+    assert resolve(6, block_exp=0).block_exp == 62 and resolve(6, block_exp=20, block_count=3, size=10**9).block_exp == 20
+    assert resolve(6, size=10**9, block_count=4).block_exp == 28 and resolve(6, size=10**9, block_count=0).block_exp == 62
+    assert resolve(6, dict_exp=99, lc=9).dict_exp == 31 and resolve().ecc == 1 and resolve(2, prefilter=4).prefilter == 4
+    assert [block_exponent(s, c) for s, c in ((1, 1), (65537, 1), (1 << 20, 16), ((1 << 20) + 1, 16), (5, 0))] == [16, 17, 16, 17, None]
+
+
+def test_replace_block():
+    data = random.Random(9).randbytes(150_000)
+    o = preset(1).with_(ecc=1, block_exp=16)
+    packed = archive.pack(data, o)
+    other = bytes(65536)
+    changed = archive.replace_block(packed, 1, other)
+    assert archive.unpack(changed) == (data[:65536] + other + data[131072:], "ok", 0)
+    assert archive.unpack(archive.replace_block(changed, 2, b"end")) == (data[:65536] + other + b"end", "ok", 0)
+    for index, part in ((0, b"short"), (3, b"x"), (2, bytes(65537)), (2, b"")):
+        with pytest.raises(ValueError):
+            archive.replace_block(packed, index, part)
