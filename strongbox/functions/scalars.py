@@ -151,9 +151,9 @@ def window_buffer_size(dict_size_: Column, before: int, after: int, longest: int
     return dict_size_ + before + after + longest + reserve
 
 
-def output_name(name: Column, unpack: bool) -> Column:
+def output_name(name: Column, unpack: bool, suffix: str = ".sba") -> Column:
     """Where an archive goes: a suffix more, or on unpacking a suffix less (without it: .extracted)."""
     if not unpack:
-        return F.concat(name, F.lit(".toa"))
-    cut = F.substr(name, F.lit(1), F.length(name) - 4)
-    return F.when(name.endswith(".toa"), cut).otherwise(F.concat(name, F.lit(".extracted")))
+        return F.concat(name, F.lit(suffix))
+    cut = F.substr(name, F.lit(1), F.length(name) - len(suffix))
+    return F.when(name.endswith(suffix), cut).otherwise(F.concat(name, F.lit(".extracted")))

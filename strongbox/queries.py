@@ -380,7 +380,7 @@ def source_roundtrip(spark, sf_dir):
     folder = scratch(spark, "archives")
     rows = read(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("name"), F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("content"))
     rows.write.format("strongbox").option("path", folder).option("preset", 1).option("blockExponent", 16).mode("append").save()
-    page = F.regexp_extract("path", r"(\d+)\.toa$", 1).cast("long").alias("page_id")
+    page = F.regexp_extract("path", r"(\d+)\.sba$", 1).cast("long").alias("page_id")
     blocks_ = spark.read.format("strongbox").load(folder).select(page, "block_idx", "data")
     names = spark.read.format("strongbox").option("mode", "meta").load(folder).select(page, "size")
     data = blocks_.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("block_idx", F.hex("data").alias("x")))).alias("b"))
@@ -455,9 +455,9 @@ def segment_union_layout(spark, sf_dir):
     return s.withColumn("at", F.coalesce(F.sum("n").over(before), F.lit(0)))
 
 
-@query("""SELECT page_id, url || '.toa' AS packed, CASE WHEN ends_with(n, '.toa') THEN substr(n, 1, length(n) - 4) ELSE n || '.extracted' END AS unpacked FROM (SELECT page_id, url, CASE WHEN page_id % 2 = 0 THEN url || '.toa' ELSE url END AS n FROM pages)""")
+@query("""SELECT page_id, url || '.sba' AS packed, CASE WHEN ends_with(n, '.sba') THEN substr(n, 1, length(n) - 4) ELSE n || '.extracted' END AS unpacked FROM (SELECT page_id, url, CASE WHEN page_id % 2 = 0 THEN url || '.sba' ELSE url END AS n FROM pages)""")
 def output_name(spark, sf_dir):
-    rows = read(spark, sf_dir, "pages").select("page_id", "url", F.when(F.col("page_id") % 2 == 0, F.concat("url", F.lit(".toa"))).otherwise(F.col("url")).alias("n"))
+    rows = read(spark, sf_dir, "pages").select("page_id", "url", F.when(F.col("page_id") % 2 == 0, F.concat("url", F.lit(".sba"))).otherwise(F.col("url")).alias("n"))
     return rows.select("page_id", scalars.output_name(F.col("url"), False).alias("packed"), scalars.output_name(F.col("n"), True).alias("unpacked"))
 
 

@@ -6,8 +6,8 @@ block.  A partition of ``data`` is a run of blocks of one archive, read by its
 byte range, so that one large archive feeds many tasks.  Filters on block_idx and
 path are pushed into the partitions.
 
-Writing: rows (name STRING, content BINARY) become archives ``<name>.toa``.  A
-task writes under temporary names; the commit renames, an abort removes.
+Writing: rows (name STRING, content BINARY) become archives ``<name><suffix>``, by
+default ``.sba`` (option ``suffix``, also for reading).  A task writes under temporary names; the commit renames, an abort removes.
 
 Streaming: archives that appear in a folder are read once each, in order of name.
 """
@@ -29,6 +29,7 @@ from pyspark.sql.types import StructType
 from ..codecs import archive, blake
 from ..dims import Options, preset
 
+SUFFIX = ".sba"
 SCHEMAS = {
     "meta": "path string, status string, ecc int, prefilter int, block_exp int, dict_exp int, n_blocks long, payload_size long, file_size long, size long, root_hash binary, corrected long",
     "blocks": "path string, block_idx long, header_off long, physical_size long, is_partial boolean, cv binary, corrected long",
@@ -44,14 +45,14 @@ def _store(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
     return pyarrow.fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
 
 
-def archive_files(path: str) -> list[tuple[str, int]]:
-    """(path, size) of an archive or of the ``.toa`` files of a folder, by name."""
+def archive_files(path: str, suffix: str = SUFFIX) -> list[tuple[str, int]]:
+    """(path, size) of an archive or of the files of a folder that end in the suffix, by name."""
     store, base = _store(path)
     info = store.get_file_info(base)
     if info.type == pyarrow.fs.FileType.File:
         return [(base, info.size)]
     found = store.get_file_info(pyarrow.fs.FileSelector(base, recursive=True))
-    return sorted((f.path, f.size) for f in found if f.type == pyarrow.fs.FileType.File and f.path.endswith(".toa"))
+    return sorted((f.path, f.size) for f in found if f.type == pyarrow.fs.FileType.File and f.path.endswith(suffix))
 
 
 def _walk(store, path: str, size: int) -> archive.Directory:
@@ -74,7 +75,7 @@ class Run(InputPartition):
 
 class ArchiveReader(DataSourceReader):
     def __init__(self, options: dict, mode: str):
-        self.path, self.mode = options["path"], mode
+        self.path, self.mode, self.suffix = options["path"], mode, options.get("suffix", SUFFIX)
         self.run_bytes = int(options.get("runBytes", 32 << 20))
         self.validate = options.get("validate", "true").lower() != "false"
         self.strict = options.get("strict", "false").lower() == "true"
@@ -101,7 +102,7 @@ class ArchiveReader(DataSourceReader):
     def partitions(self) -> list[Run]:
         store, _ = _store(self.path)
         runs = []
-        for path, size in archive_files(self.path):
+        for path, size in archive_files(self.path, self.suffix):
             if self.name is not None and path != self.name:
                 continue
             if self.mode != "data":
@@ -154,7 +155,7 @@ class Written(WriterCommitMessage):
 
 class ArchiveWriter(DataSourceWriter):
     def __init__(self, options: dict):
-        self.path = options["path"]
+        self.path, self.suffix = options["path"], options.get("suffix", SUFFIX)
         o = preset(int(options.get("preset", 6))).with_(ecc=int(options.get("ecc", 1)))
         values = {k: int(options[n]) for k, n in (("prefilter", "prefilter"), ("block_exp", "blockExponent"), ("dict_exp", "dictExponent")) if n in options}
         self.options = o.with_(**values)
@@ -167,7 +168,7 @@ class ArchiveWriter(DataSourceWriter):
             held = f"{base}/_temporary/{uuid.uuid4().hex}"
             with store.open_output_stream(held) as out:
                 out.write(archive.pack(bytes(row["content"] or b""), self.options))
-            names.append((held, f"{base}/{row['name']}.toa"))
+            names.append((held, f"{base}/{row['name']}{self.suffix}"))
         return Written(names)
 
     def commit(self, messages) -> None:
@@ -199,7 +200,7 @@ class ArchiveStream(DataSourceStreamReader):
         return {"after": ""}
 
     def latestOffset(self) -> dict:  # noqa: N802
-        new = [p for p, _ in archive_files(self.path) if p > self.at][: self.most]
+        new = [p for p, _ in archive_files(self.path, self.reader.suffix) if p > self.at][: self.most]
         if new:
             self.at = new[-1]
         return {"after": self.at}

@@ -25,9 +25,9 @@ def test_write_then_read(spark, tmp_path):
     frame = spark.createDataFrame(rows, "name string, content binary")
     frame.write.format("strongbox").option("path", target).option("preset", 1).option("blockExponent", 16).mode("append").save()
     meta = {r.path.rpartition("out/")[2]: r for r in spark.read.format("strongbox").option("mode", "meta").load(target).collect()}
-    assert {k: (r.status, r.size) for k, r in meta.items()} == {"a.toa": ("ok", len(rows[0][1])), "b.toa": ("ok", 0), "sub/c.toa": ("ok", len(rows[2][1]))}
+    assert {k: (r.status, r.size) for k, r in meta.items()} == {"a.sba": ("ok", len(rows[0][1])), "b.sba": ("ok", 0), "sub/c.sba": ("ok", len(rows[2][1]))}
     blocks = spark.read.format("strongbox").option("runBytes", 1000).load(target)
-    found = blocks.where(F.col("path").endswith("/a.toa")).orderBy("block_idx").collect()
+    found = blocks.where(F.col("path").endswith("/a.sba")).orderBy("block_idx").collect()
     assert b"".join(bytes(r.data) for r in found) == rows[0][1] and {r.status for r in found} == {"ok"}
     only = blocks.where("block_idx >= 1 AND block_idx < 2").collect()
     assert [(r.block_idx, bytes(r.data)) for r in only] == [(1, rows[0][1][1 << 16 : 2 << 16])]
@@ -37,11 +37,11 @@ def test_stream_reads_each_archive_once(spark, tmp_path):
     register(spark)
     folder = tmp_path / "in"
     folder.mkdir()
-    (folder / "1.toa").write_bytes(archive.pack(b"first", OPTIONS))
+    (folder / "1.sba").write_bytes(archive.pack(b"first", OPTIONS))
     stream = spark.readStream.format("strongbox").load(str(folder))
     query = stream.writeStream.format("memory").queryName("arrived").option("checkpointLocation", str(tmp_path / "cp")).start()
     query.processAllAvailable()
-    (folder / "2.toa").write_bytes(archive.pack(b"second", OPTIONS))
+    (folder / "2.sba").write_bytes(archive.pack(b"second", OPTIONS))
     query.processAllAvailable()
     query.stop()
     assert sorted(bytes(r.data) for r in spark.table("arrived").collect()) == [b"first", b"second"]
