@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .wordhash import buffers, mix, slices, window_hashes, word_hashes, word_spans
-from .work import written
+from .work import trim, written
 
 _NULL = -(2**63)
 
@@ -101,9 +101,10 @@ def aligned_similarity(a: np.ndarray, b: np.ndarray, threshold: float) -> float:
 def _sketch_rows(width: int, count: int, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, 1):
+            for part in slices(batch, 1, 2 << 20):
                 found = [sketches(s, count, least).tobytes() for s in shingle_rows(part.column(1), width)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.binary())], names=["doc", "sketch"])
+        trim()
 
     return run
 
@@ -127,12 +128,13 @@ def _shingles_of(width: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, 1):
+            for part in slices(batch, 1, 2 << 20):
                 found = list(shingle_rows(part.column(1), width))
                 sizes = np.array([len(x) for x in found], np.int64)
                 docs = np.repeat(part.column(0).to_numpy(zero_copy_only=False).astype(np.int64), sizes)
                 columns = [pa.array(np.concatenate(found).view(np.int64)), pa.array(docs), pa.array(np.repeat(sizes, sizes))]
                 yield pa.RecordBatch.from_arrays(columns, names=["shingle", "doc", "n"])
+        trim()
 
     return run
 
@@ -185,12 +187,13 @@ def _and_end(batches):
 def _verify(width: int, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, 2, 8 << 20):
+            for part in slices(batch, 2, 1 << 20):
                 left = shingle_rows(part.column(2), width)
                 right = shingle_rows(part.column(3), width)
                 close = [aligned_similarity(a, b, threshold) >= threshold for a, b in zip(left, right, strict=True)]
                 close = pa.array(close, pa.bool_())
                 yield pa.RecordBatch.from_arrays([part.column(0).filter(close), part.column(1).filter(close)], names=["a", "b"])
+        trim()
 
     return run
 

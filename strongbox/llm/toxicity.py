@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .work import bounded_sample
+from .work import bounded_sample, trim
 
 _TOKEN = re.compile(r"[\w@$*]+|[\"“”„«»\n]")
 _QUOTES = frozenset("\"“”„«»")
@@ -139,41 +138,63 @@ class FuzzyTrie:
         return (min(ends)[1], min(ends)[0]) if ends else None
 
 
+class Occurrences:
+    """Which word and which word beginning occurs in which text, as arrays of numbers."""
+
+    def __init__(self, texts: list[set[str]]):
+        ids: dict[str, int] = {}
+        sizes = [len(t) for t in texts]
+        self.word = np.fromiter((ids.setdefault(w, len(ids)) for t in texts for w in sorted(t)), np.int64, sum(sizes))
+        self.doc = np.repeat(np.arange(len(texts)), sizes)
+        self.words, self.n = list(ids), len(texts)
+
+    def unique(self, value_of_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct (text, value) pairs, for a value of each word (-1: none)."""
+        value = value_of_word[self.word]
+        has = value >= 0
+        wide = int(value_of_word.max(initial=-1)) + 1
+        key = np.unique(self.doc[has] * max(wide, 1) + value[has])
+        return key // max(wide, 1), key % max(wide, 1)
+
+    def features(self):
+        """(kind, names, texts, numbers of names) of words and of beginnings of 4 to 9 letters."""
+        yield "word", self.words, self.doc, self.word
+        for n in range(4, 10):
+            ids: dict[str, int] = {}
+            value = np.fromiter((ids.setdefault(w[:n], len(ids)) if len(w) > n else -1 for w in self.words), np.int64, len(self.words))
+            yield "stem", list(ids), *self.unique(value)
+
+
 class Lexicon:
-    """Weights of (term, kind); kind: word, stem, near."""
-
-    def __init__(self, docs: list[tuple[set[str], int]], most_terms: int = 3000, least_docs: int = 3):
-        """docs: distinct words and label of each text."""
-        toxic = sum(y for _, y in docs)
-        clean = len(docs) - toxic
-        pos, neg = Counter(), Counter()
-        for words, y in docs:
-            features = set()
-            for w in words:
-                features.add(w)
-                features.update(w[:n] + "~" for n in range(4, min(len(w), 10)))
-            (pos if y else neg).update(features)
-        ratio = (toxic + 1) / (clean + 1)
-
-        def weight(p: int, n: int) -> float:
-            return math.log((p + 0.25) / (n * ratio + 0.75))
-
-        least = max(least_docs, 0.002 * toxic)
-        scored = [(weight(p, neg[f]), p, f) for f, p in pos.items() if p >= least]
-        scored = sorted(((w * math.sqrt(p), w, f) for w, p, f in scored if w > 1.6), key=lambda x: (-x[0], x[2]))[:most_terms]
-        kept = {f: w for _, w, f in scored}
-        # a stem is kept where it says more than the words below it: when it covers more texts
-        self.weight = {("stem" if f[-1] == "~" else "word", f.rstrip("~")): w for f, w in kept.items()}
+    """Weights of (kind, term); kind: word, stem, near."""
+
+    def __init__(self, seen: Occurrences, toxic: np.ndarray, use: np.ndarray, most_terms: int = 3000, least_docs: int = 3):
+        """Learned from the texts with ``use``, of which those with ``toxic`` are toxic."""
+        pos_docs, neg_docs = use & toxic, use & ~toxic
+        ratio = (pos_docs.sum() + 1) / (neg_docs.sum() + 1)
+
+        def weight(p, n):
+            return np.log((p + 0.25) / (n * ratio + 0.75))
+
+        least, scored = max(least_docs, 0.002 * pos_docs.sum()), []
+        for kind, names, doc, feature in seen.features():
+            p = np.bincount(feature[pos_docs[doc]], minlength=len(names))
+            n = np.bincount(feature[neg_docs[doc]], minlength=len(names))
+            w = weight(p, n)
+            for k in np.flatnonzero((p >= least) & (w > 1.6)).tolist():
+                scored.append((-w[k] * math.sqrt(p[k]), kind, names[k], float(w[k])))
+        self.weight = {(kind, term): w for _, kind, term, w in sorted(scored)[:most_terms]}
         self.trie = FuzzyTrie([t for k, t in self.weight if k == "word"], [t for k, t in self.weight if k == "stem"])
-        near_pos, near_neg = Counter(), Counter()
-        for words, y in docs:
-            near = {hit[0] for w in words if (hit := self.trie.find(w)) and hit[1] > 0}
-            (near_pos if y else near_neg).update(near)
-        for (kind, t), w in list(self.weight.items()):
-            if kind == "word" and allowed_edits(t):
+        terms = {t: k for k, t in enumerate(sorted({t for k, t in self.weight if k == "word"}))}
+        near = np.fromiter((terms[hit[0]] if (hit := self.trie.find(w)) and hit[1] > 0 else -1 for w in seen.words), np.int64, len(seen.words))
+        doc, term = seen.unique(near)
+        p = np.bincount(term[pos_docs[doc]], minlength=len(terms))
+        n = np.bincount(term[neg_docs[doc]], minlength=len(terms))
+        for t, k in terms.items():
+            if allowed_edits(t):
                 # few sightings leave a misspelling the word's weight; clean sightings take it away
-                seen = weight(near_pos[t], near_neg[t])
-                self.weight["near", t] = w if near_pos[t] + near_neg[t] == 0 else max(0.0, min(w, seen))
+                w = self.weight["word", t]
+                self.weight["near", t] = w if p[k] + n[k] == 0 else max(0.0, min(w, float(weight(p[k], n[k]))))
 
     def look(self, token: str) -> tuple[float, str] | None:
         word = fold(token)
@@ -187,7 +208,7 @@ class Lexicon:
 class Scorer:
     """A lexicon and a logistic model over a text's context scores."""
 
-    def __init__(self, lexicon: Lexicon | None, coef: np.ndarray | None, most: int = 500_000):
+    def __init__(self, lexicon: Lexicon | None, coef: np.ndarray | None, most: int = 300_000):
         self.lexicon, self.coef, self.most = lexicon, coef, most
 
     def _tables(self) -> tuple[dict, set]:
@@ -198,6 +219,11 @@ class Scorer:
             self._hits, self._clean = {}, set()
         return self._hits, self._clean
 
+    def forget(self) -> None:
+        """Let go of what was looked up, at the end of a task: idle workers hold memory."""
+        self._hits, self._clean = {}, set()
+        trim()
+
     def __getstate__(self):
         return {"lexicon": self.lexicon, "coef": self.coef, "most": self.most}
 
@@ -285,27 +311,30 @@ def fit(docs: DataFrame, labels: DataFrame, most_toxic: int = 3000, most_clean:
     shares = {r.y: r.n for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     parts = [bounded_sample(known.where(F.col("y") == y), "h", m) for y, m in ((1, most_toxic), (0, most_clean))]
     few = F.broadcast(parts[0].unionByName(parts[1]).select(F.col("doc_id").alias("k"), "h", "y"))  # bounded by the two parameters
-    rows = docs.join(few, F.col("doc_id") == F.col("k")).where(F.length("text") <= most_chars)
-    rows = rows.select("h", "y", F.col("text").alias("t")).collect()
-    seen, sample = set(), []
-    for r in sorted(rows, key=lambda r: (r.h, r.t)):
-        tokens = _TOKEN.findall(r.t.lower())
-        family = (_family([w for w in tokens if w != "\n"]), r.y) if tokens else (0, r.y)
-        sample.append((r.t, {f for t in tokens if len(f := fold(t)) >= 3}, r.y, family not in seen, family[0] % 3))
-        seen.add(family)
-    counts = Counter(y for _, _, y, _, _ in sample)
-    if not counts[0] or not counts[1]:
+    texts = docs.select("doc_id", F.col("text").alias("t")).where(F.length("t") <= most_chars)
+    rows = texts.join(few, F.col("doc_id") == F.col("k")).select("h", "y", "t").collect()
+    rows = sorted(rows, key=lambda r: (r.h, r.t))
+    y = np.array([r.y for r in rows], np.int64)
+    if not (y == 1).any() or not (y == 0).any():
         return Scorer(None, None)
-    x, y = np.zeros((len(sample), 7)), np.array([s[2] for s in sample])
-    for k in range(3):
-        seen_docs = [(words, label) for _, words, label, first, fold_ in sample if first and fold_ != k]
-        scorer = Scorer(Lexicon(seen_docs), None)
-        for i, s in enumerate(sample):
-            if s[4] == k:
-                x[i] = scorer.features(s[0])
-    weight = np.where(y == 1, shares[1] / counts[1], shares[0] / counts[0])
+    families, first, words = np.empty(len(rows), np.int64), np.empty(len(rows), bool), []
+    before = set()
+    for k, r in enumerate(rows):
+        tokens = _TOKEN.findall(r.t.lower())
+        words.append({f for t in set(tokens) if len(f := fold(t)) >= 3})
+        family = (_family([w for w in tokens if w != "\n"]) if tokens else 0, r.y)
+        first[k], families[k] = family not in before, family[0] % 3
+        before.add(family)
+    seen = Occurrences(words)
+    del words
+    x = np.zeros((len(rows), 7))
+    for part in range(3):
+        scorer = Scorer(Lexicon(seen, y == 1, first & (families != part)), None)
+        for k in np.flatnonzero(families == part).tolist():
+            x[k] = scorer.features(rows[k].t)
+    weight = np.where(y == 1, shares[1] / (y == 1).sum(), shares[0] / (y == 0).sum())
     coef = _logistic(x, y, weight * len(y) / weight.sum())
-    return Scorer(Lexicon([(words, label) for _, words, label, first, _ in sample if first]), coef)
+    return Scorer(Lexicon(seen, y == 1, first), coef)
 
 
 def score_texts(docs: DataFrame, scorer: Scorer, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -317,6 +346,7 @@ def score_texts(docs: DataFrame, scorer: Scorer, id_col: str = "doc_id", text_co
         for batch in batches:
             scores = [known.score(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["id", "score"])
+        known.forget()
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
     return rows.mapInArrow(score, "id long, score double").withColumnRenamed("id", id_col)
@@ -345,5 +375,6 @@ def without_toxic(docs: DataFrame, scorer: Scorer, threshold: float = 0.7, text_
         for batch in batches:
             keep = [shared.value.score(t.as_py()) < threshold for t in batch.column(at)]
             yield batch.filter(pa.array(keep, pa.bool_()))
+        shared.value.forget()
 
     return docs.mapInArrow(clean, docs.schema)
