@@ -19,6 +19,7 @@ def exact_dedup(
     keep: str = "min",
     normalise=lambda text: text,
     hash_bits: int = 128,
+    most_broadcast: int = 1_000_000,
 ) -> DataFrame:
     """One row per input row: id, keep_id, group_size, kept, text_sha256.
 
@@ -30,9 +31,11 @@ def exact_dedup(
     Other columns are ignored, whatever their names.
 
     The group table is aggregated map-side before its shuffle, so a text that
-    makes up a third of the rows arrives as one partial row per task.  The join
-    that brings the kept text to the rows has an exchange of its own on either
-    side, which lets adaptive execution split a hot group over many tasks.
+    makes up a third of the rows arrives as one partial row per task.  Up to
+    ``most_broadcast`` groups of several rows are broadcast, as counted, so that
+    only texts with copies are dealt out to be compared; beyond it all are dealt.
+    The join that brings the kept text to the rows has an exchange of its own on
+    either side, which lets adaptive execution split a hot group over many tasks.
     """
     if keep not in ("min", "max"):
         raise ValueError("keep is min or max")
@@ -47,13 +50,17 @@ def exact_dedup(
         .agg(F.count(F.lit(1)).alias("_n"), best("_id").alias("_keep"))
         .where("_n > 1")
     )
-    stays = rows.select(F.col("_id").alias("_keep"), F.col("_key").alias("_kkey"), F.col("_text").alias("_ktext"))
-    stays = groups.join(stays, "_keep").where("_key = _kkey")
+    groups = written(groups.select(F.concat("_key", F.lit("")).alias("_gkey"), "_n", "_keep"), "exact-groups")
+    few = groups.count() <= most_broadcast
+    known = F.broadcast(groups) if few else groups
+    on = F.col("_key") == F.col("_gkey")
+    copies = rows.join(known, on).drop("_gkey")
+    stays = copies.where(F.col("_id").eqNullSafe(F.col("_keep")))
     # one row for each group, also where the kept id is repeated
-    stays = stays.groupBy("_key").agg(*(F.first(c).alias(c) for c in ("_n", "_keep", "_ktext")))
+    stays = stays.groupBy("_key").agg(F.first("_text").alias("_ktext"))
     # another expression than the grouping key: the join then gets its own exchange
-    stays = stays.select(F.concat("_key", F.lit("")).alias("_gkey"), "_n", "_keep", "_ktext")
-    met = rows.join(stays, F.col("_key") == F.col("_gkey"), "left").select(
+    stays = stays.select(F.concat("_key", F.lit("")).alias("_gkey"), "_ktext")
+    met = copies.join(stays, on, "left").select(
         "_id",
         "_sha",
         "_key",
@@ -62,7 +69,11 @@ def exact_dedup(
         F.coalesce(F.col("_text") == F.col("_ktext"), F.lit(True)).alias("_same"),
         F.when(F.col("_text") != F.col("_ktext"), F.col("_text")).alias("_other"),
     )
-    met = written(met, "exact-met")
+    none = F.lit(None)
+    alone = rows.join(known, on, "left_anti").select(
+        "_id", "_sha", "_key", none.cast("long").alias("_n"), none.cast(docs.schema[id_col].dataType).alias("_keep"), F.lit(True).alias("_same"), none.cast("string").alias("_other")
+    )
+    met = written(met.unionByName(alone), "exact-met")
     same, other = met.where("_same"), met.where("NOT _same")
     keep_id: Column = F.coalesce("_keep", "_id")
     if other.isEmpty():
