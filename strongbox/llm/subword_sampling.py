@@ -28,6 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from .wordhash import _windows, mix, slices
+from .work import trim
 
 _BASE = 0x9E3779B97F4A7C15
 _SLOT_BITS = 21
@@ -120,31 +121,35 @@ class Pieces:
             out[miss] = np.where(self.keys[at] == key[miss], self.ids[at], -1)
         return out
 
-    def with_bytes(self, ids: np.ndarray) -> np.ndarray:
-        """Ids from n on are code points of characters without a piece; they become bytes' pieces."""
+    def with_bytes(self, ids: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids from n on are code points of characters without a piece; they become bytes' pieces.
+        ``cuts`` (places in ids) move along."""
         odd = np.flatnonzero(ids >= self.n)
-        points = ids[odd] - self.n
         if not len(odd):
-            return ids
+            return ids, cuts
+        points = ids[odd] - self.n
         ids = ids.copy()
         ids[odd] = self.byte_id[np.minimum(points, 127)]
         if points.max() < 128:
-            return ids
+            return ids, cuts
         wide = odd[points > 127]
         raw = [chr(c).encode() for c in (points[points > 127]).tolist()]
         size = np.ones(len(ids), np.int64)
         size[wide] = [len(r) for r in raw]
-        out = np.repeat(ids, size)
-        first = (np.cumsum(size) - size)[wide]
-        for at, r in zip(first.tolist(), raw, strict=True):
+        out, first = np.repeat(ids, size), np.concatenate([[0], np.cumsum(size)])
+        for at, r in zip(first[wide].tolist(), raw, strict=True):
             out[at : at + len(r)] = self.byte_id[list(r)]
-        return out
+        return out, first[cuts]
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        """The text of ids: their bytes, white space marks as spaces, without the first."""
+    def spelled(self, ids: np.ndarray) -> np.ndarray:
+        """The bytes of ids."""
         size, at = self.size[ids], self.at[ids]
         ends = np.cumsum(size)
-        raw = self.flat[np.repeat(at - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
+        return self.flat[np.repeat(at - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        """The text of ids: their bytes, white space marks as spaces, without the first."""
+        raw = self.spelled(ids).tobytes()
         raw = raw.replace("▁".encode(), b" ")
         return raw[1:] if raw[:1] == b" " else raw
 
@@ -163,7 +168,7 @@ class _Batch:
 
     def __init__(self, pieces: Pieces, texts: list[str]):
         self.p = pieces
-        shown = ["▁" + t.replace(" ", "▁") if t else "" for t in texts]
+        self.shown = shown = ["▁" + t.replace(" ", "▁") if t else "" for t in texts]
         self.points = np.frombuffer("".join(shown).encode("utf-32-le"), np.uint32).astype(np.int64)
         self.doc_at = np.concatenate([[0], np.cumsum([len(t) for t in shown])]).astype(np.int64)
         points, n = self.points, len(self.points)
@@ -176,6 +181,8 @@ class _Batch:
         if not n:
             self.unit_at = np.zeros(1, np.int64)
         self.doc_unit = np.searchsorted(self.unit_at, self.doc_at)
+        # a unit's number within its row: draws must not depend on what else is in the batch
+        self.own = (np.arange(len(self.unit_at) - 1) - np.repeat(self.doc_unit[:-1], np.diff(self.doc_unit))).astype(np.uint64)
         start, size = self.unit_at[:-1], np.diff(self.unit_at)
         key = _windows(points.astype(np.uint64), start, size, _BASE) if n else np.zeros(0, np.uint64)
         # equal units together: draws go through them in this order, for the sake of the caches
@@ -268,7 +275,7 @@ class _Batch:
         units = self.by_form[chosen[self.by_form]]
         key = key[units]
         form = self.form[units]
-        t, stream = self.size[form].copy(), mix(key + units.astype(np.uint64), seed)
+        t, stream = self.size[form].copy(), mix(key + self.own[units], seed)
         begin, node0, char0 = self.unit_at[units], self.node_at[form], self.char_at[form]
         total = np.zeros(len(units))
         live = np.arange(len(units))
@@ -339,7 +346,7 @@ class _Search:
         while True:
             units = np.arange(first, min(first + n, self.hi))
             mass = sums[units - self.lo] + self.b.rest(units, logp)
-            g = _truncated(mass, value, _uniform(units.astype(np.uint64) + np.uint64(self.key), 1000 + round_))
+            g = _truncated(mass, value, _uniform(self.b.own[units] + np.uint64(self.key), 1000 + round_))
             floor = np.partition(g, -want)[-want] if len(g) > want else -np.inf
             if first + n >= self.hi or sums[first + n - self.lo] + _NOISE < floor:
                 break
@@ -406,8 +413,8 @@ class _Search:
         return round_, unit, value, path, log_
 
 
-def sample_batch(pieces: Pieces, texts: list[str], keys: list[int], k: int) -> list[list[tuple[np.ndarray, float, float, float]]]:
-    """For each text up to k of (ids, log probability, perturbed value, inclusion probability), best first."""
+def sample_batch(pieces: Pieces, texts: list[str], keys: list[int], k: int) -> list[list[tuple[np.ndarray, float, float, float, bool]]]:
+    """For each text up to k of (ids, log probability, perturbed value, inclusion probability, whether they decode to it), best first."""
     b = _Batch(pieces, texts)
     n, units = len(b.points), len(b.unit_at) - 1
     doc_of = np.repeat(np.arange(len(texts)), np.diff(b.doc_unit))
@@ -440,18 +447,21 @@ def sample_batch(pieces: Pieces, texts: list[str], keys: list[int], k: int) -> l
         for s, first, value in starts:
             s.__dict__["logs"][r] = logp2
             s.settle(r, first, value, logp2, k - r)
-    out = []
-    for d, s in enumerate(searches):
-        lo, hi = int(b.doc_at[d]), int(b.doc_at[d + 1])
-        limit = -s.queue[0][0] if s.queue and len(s.found) == k else None
-        rows = []
-        for r, log_, value in s.found:
-            ids = by_round[r][lo:hi]
-            ids = ids[ids > 0].astype(np.int64) - 1
-            ids = pieces.with_bytes(ids)
+    out: list[list] = [[] for _ in texts]
+    limits = [-s.queue[0][0] if s.queue and len(s.found) == k else None for s in searches]
+    for r, piece_at in enumerate(by_round):
+        at = np.flatnonzero(piece_at)
+        ids, cuts = pieces.with_bytes(piece_at[at].astype(np.int64) - 1, np.searchsorted(at, b.doc_at))
+        there = [d for d, s in enumerate(searches) if len(s.found) > r]
+        # the samples of a round are decoded together; only if they differ somewhere, text by text
+        shown = "".join(b.shown[d] for d in there).encode()
+        whole = bytes(pieces.spelled(ids)) == shown
+        for d in there:
+            _, log_, value = searches[d].found[r]
+            own, limit = ids[cuts[d] : cuts[d + 1]], limits[d]
             included = 1.0 if limit is None else -math.expm1(-math.exp(min(log_ - limit, 50.0)))
-            rows.append((ids, log_, value, included))
-        out.append(rows)
+            same = "▁" not in texts[d] if whole else pieces.decode(own) == texts[d].encode()
+            out[d].append((own, log_, value, included, same))
     return out
 
 
@@ -488,19 +498,19 @@ def sample_segmentations(
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = pieces_of(model, alpha)
         for batch in batches:
-            for part in slices(batch, 1, 2 << 20):
+            for part in slices(batch, 1, 1 << 20):
                 ids = part.column(0).to_pylist()
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 keys = [xxhash.xxh3_64_intdigest(str(i), seed) for i in ids]
                 rows = []
-                for i, text, found in zip(ids, texts, sample_batch(pieces, texts, keys, k), strict=True):
-                    raw = text.encode()
-                    for r, (x, log_, value, included) in enumerate(found):
-                        rows.append((i, r, len(x), x.astype("<u2").tobytes(), log_, value, included, pieces.decode(x) == raw))
+                for i, found in zip(ids, sample_batch(pieces, texts, keys, k), strict=True):
+                    for r, (x, log_, value, included, same) in enumerate(found):
+                        rows.append((i, r, len(x), x.astype("<u2").tobytes(), log_, value, included, same))
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.float64(), pa.float64(), pa.float64(), pa.bool_())
                 names = ("id", "sample", "n_pieces", "ids", "log_prob", "perturbed", "inclusion", "round_trip")
                 columns = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=list(names))
+        trim()
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
     return rows.mapInArrow(sample, _SCHEMA.replace("best boolean, ", "")).withColumnRenamed("id", id_col)
