@@ -29,6 +29,14 @@ def test_golden_archives():
 @pytest.mark.parametrize("fill,kib,root", [
     (0x42, 32, "848eb396076028fdfe1133c3078e4541817f76461d27163adbfc82a55363aee1"),
     (0x43, 128, "2abdf8fb89c3df201cc4c4d33bdf58a094126177f5820ac9f9b40000468d2d09"),
+    (0x44, 192, "0b6310de56f0483e8175e9b4d30e14123e526959b56b55ba3d803d46a0a7f72e"),
+    (0x45, 256, "999251bdbb729527f92296cd57309ee8548f5bdeb85952f970e55e7573e49c91"),
+    (0x46, 320, "6dc0f6e4fe1c61290891ff698bdb4fecd4b7138f7dba6587daf93a717e35f830"),
+    (0x47, 512, "303af5f1fb59ac7b2f654d87544b6b7ffd40b1b269916bcfe310ac25977d5b5c"),
+    (0x48, 1024, "544f851259a35e14f6db263bec303018931571071820a691207189ec537288e2"),
+    (0x49, 200, "11d18712ed9237e3492805542aa2600d6ad339d14c3095ec136ce0c2c884473d"),
+    (0x4A, 260, "e35d464de3144ea508a4944dbb89b3017d41efa76ff840dee6fa117be46e615a"),
+    (0x4B, 128, "15741f4c1583214c8dc575bc7e2849c6d3728583f81f67c7524d4fdc5ec18f87"),
 ])
 @pytest.mark.parametrize("exponent", [16, 26])
 def test_root_hashes(fill, kib, root, exponent):
@@ -72,6 +80,19 @@ def test_reed_solomon(code, n, k):
             assert changed[0] == -1 and (fixed == bad).all()
 
 
+# fixed values: the first parity bytes of the data 0, 1, 2 ... and of all ones
+@pytest.mark.parametrize("n,k,counting,ones", [
+    (255, 239, "07ffcc5e9bfb1c0838aee03603b502aa", "ff" * 16),
+    (255, 223, "93cca4cfe7c914d65c083eb57a634cd5a86f77edf97b87cf4c05be2478e175d4", "ff" * 32),
+    (255, 191, "792316db851127a71e19d44e5fe58400bffdc5be5a73b3b90f1b660ea25f08bfced98819758eabc2586966bee7b5abec7387eea89e0377f623340cf0", "ff" * 64),
+    (64, 40, "bb68ae9f872c2d5eb1c486a104d5d0d0e77140d3", "579a5af18d3b67e5bfec98bb598dc2b4a5a7714d"),
+    (32, 10, "2e15b80a2d182f2a0e46a888cf8803394a8b5cdba41d", "6b947c9013410983bf927cd5eafba958214e0fee90ef"),
+])
+def test_published_parity(n, k, counting, ones):
+    for data, want in ((np.arange(k), counting), (np.full(k, 255), ones)):
+        assert rs.encode(data.astype(np.uint8)[None], n, k).tobytes().hex().startswith(want)
+
+
 def test_payload_padding():
     assert len(rs.protect(b"x" * 29, (239, 16))) == 255 and len(rs.protect(b"x" * 300, (239, 16))) == 510
     assert rs.unprotect(rs.protect(b"x" * 300, (239, 16)), (239, 16))[0][:300] == b"x" * 300
