@@ -20,11 +20,12 @@ from strongbox.llm.exact_dedup import exact_dedup
 from strongbox.llm.near_dedup import near_dedup
 from strongbox.llm.subword_sampling import sample_segmentations
 from strongbox.llm.toxicity import fit, training_labels, without_toxic
-from strongbox.llm.work import table, without, written
+from strongbox.llm.work import short_batches, table, without, written
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below 0.7; learned from the labels that op1 may learn from."""
+    short_batches(spark)
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
     return without_toxic(docs, fit(docs.select("doc_id", "text"), training_labels(labels)))
 
@@ -52,7 +53,8 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Three sampled segmentations of each document."""
-    return sample_segmentations(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    short_batches(spark)
+    return sample_segmentations(docs, public_tokenizers.path("piece_bpe_32k.model"), slice_bytes=1 << 18)
 
 
 STAGES = [

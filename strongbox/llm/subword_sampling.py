@@ -31,7 +31,7 @@ from .wordhash import _windows, mix, slices
 from .work import trim
 
 _BASE = 0x9E3779B97F4A7C15
-_SLOT_BITS = 21
+_SLOT_BITS = 18
 _SLOTS = 1 << _SLOT_BITS
 _NOISE = 38.0  # -log(-log(u)) for the largest u of _uniform is below this
 
@@ -479,6 +479,7 @@ def sample_segmentations(
     seed: int = 0,
     id_col: str = "doc_id",
     text_col: str = "text",
+    slice_bytes: int = 1 << 20,
 ) -> DataFrame:
     """Up to k distinct segmentations of every whole text, drawn without replacement.
 
@@ -492,13 +493,14 @@ def sample_segmentations(
     Draws depend on seed and id alone, so a task that runs again, or rows dealt
     otherwise, give the same samples; repeated ids with the same text repeat them.
     A null or empty text has one segmentation, of no piece.  A text with fewer
-    than k segmentations gives them all.  Other columns are ignored.
+    than k segmentations gives them all.  Other columns are ignored.  Texts are done
+    in slices of about ``slice_bytes``, which bears on a worker's memory alone.
     """
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = pieces_of(model, alpha)
         for batch in batches:
-            for part in slices(batch, 1, 1 << 20):
+            for part in slices(batch, 1, slice_bytes):
                 ids = part.column(0).to_pylist()
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 keys = [xxhash.xxh3_64_intdigest(str(i), seed) for i in ids]

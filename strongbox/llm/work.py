@@ -46,6 +46,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
+def short_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Have Spark hand Python at most ``rows`` rows at once from now on: texts may be long, and
+    a batch is held by the JVM and by the worker at the same time."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
 def trim() -> None:
     """Give memory that a Python worker no longer uses back to the system, at the end of a task.
 
