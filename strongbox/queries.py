@@ -266,8 +266,9 @@ SELECT key, string_agg(lpad(lower(hex(coalesce(x, 0))), 2, '0'), '' ORDER BY j)
 
 @query()
 def rs_parity_64_40(spark, sf_dir):
-    rows = read(spark, sf_dir, "documents").where(F.octet_length("text") >= 40).select(F.col("doc_id").alias("key"), F.substring(F.encode("text", "UTF-8"), 1, 40).alias("data"))
-    return parity.parity(rows, ["key"], "data", 64, 40)
+    """Parity of every 40 bytes of every text; of an empty or null one as of one word of zeros."""
+    rows = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), F.encode("text", "UTF-8").alias("data"))
+    return parity.word_parity(rows, "key", "data", 64, 40)
 
 
 @query(_parity_sql(32, 10, f"SELECT preset * 100 + ecc * 10 + prefilter AS key, bytes AS hexed FROM ({_HEADERS})"))

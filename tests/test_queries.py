@@ -49,6 +49,24 @@ def test_native_parity_is_the_codec_s(spark):
     assert [r.parity for r in rows] == [p.tobytes().hex() for p in rs.encode(data, 64, 40)]
 
 
+def test_parity_of_whole_texts(spark, tmp_path):
+    """Against the joins of the native parity, word by word."""
+    from strongbox.operators import parity
+
+    given = [(1, "a" * 39), (2, "b" * 40), (3, "é" * 41), (4, ""), (5, None), (6, "".join(chr(33 + k * 7 % 90) for k in range(9001))), (None, "no id")]
+    spark.createDataFrame(given, "doc_id long, text string").repartition(1).write.parquet(str(tmp_path / "documents.parquet"))
+    words = []
+    for i, text in given:
+        raw = (text or "").encode()
+        words += [(i or 0, k, bytearray(raw[k * 40 : k * 40 + 40].ljust(40, b"\0"))) for k in range(max(1, -(-len(raw) // 40)))]
+    native = parity.parity(spark.createDataFrame(words, "key long, word_idx long, data binary"), ["key", "word_idx"], "data", 64, 40)
+    rows = queries.rs_parity_64_40(spark, str(tmp_path)).collect()
+    assert len(rows) == len(words) and {(r.key or 0, r.word_idx, r.parity) for r in rows} == {tuple(r) for r in native.collect()}
+    assert {r.key for r in rows} == {i for i, _ in given}
+    texts = spark.read.parquet(f"{DATA}/documents.parquet").collect()
+    assert queries.rs_parity_64_40(spark, DATA).count() == sum(max(1, -(-len((r.text or "").encode()) // 40)) for r in texts)
+
+
 def test_frames_and_bytes_agree(spark):
     files = [(1, b""), (2, b"x" * 200_000), (3, b"\0"), (4, None)]
     o = preset(2).with_(ecc=1, block_exp=16, prefilter=1)
