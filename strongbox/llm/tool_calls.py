@@ -6,7 +6,8 @@ schemas of their functions, and written as canonical JSON (keys sorted, no white
 space), one row per message, call or result.
 
 Input forms.  An ``assistant`` text ``{"tool_calls": [{"id", "name",
-"arguments"}, ...]}`` holds calls; arguments may be an object or a string of
+"arguments"}, ...]}`` holds calls; ``content`` beside them is a message before
+them (part -1), and a turn with an empty list of calls is a message; arguments may be an object or a string of
 JSON, and use another call's result by ``{"$ref": "<id>"}``.  A ``tool`` text
 ``{"tool_call_id", "content"}`` is a result.  With ``turns_as_calls`` a plain
 ``user`` turn is a call of ``respond`` with the text as its prompt, and a plain
@@ -52,6 +53,12 @@ def parts(conversations: DataFrame, turns_as_calls: bool) -> DataFrame:
         F.try_variant_get("_c", "$.id", "string").alias("call_id"), F.try_variant_get("_c", "$.name", "string").alias("name"),
         F.to_json(arguments).alias("arguments"), F.lit(None).cast("string").alias("content"),
     )
+    beside = F.try_variant_get("_j", "$.content", "string")
+    said = rows.where("_calls IS NOT NULL").where((F.size("_calls") == 0) | beside.isNotNull()).select(
+        "conv_id", "turn", F.when(F.size("_calls") == 0, 0).otherwise(-1).alias("part"), F.lit("message").alias("kind"), "role",
+        F.lit(None).cast("string").alias("call_id"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("arguments"),
+        F.coalesce(beside, F.lit("")).alias("content"),
+    )
     results = rows.where("_of IS NOT NULL").select(
         "conv_id", "turn", F.lit(0).alias("part"), F.lit("result").alias("kind"), "role", F.col("_of").alias("call_id"),
         F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("arguments"),
@@ -68,7 +75,7 @@ def parts(conversations: DataFrame, turns_as_calls: bool) -> DataFrame:
         F.when(asks, F.to_json(F.struct(text.alias("prompt"), F.col("turn")))).alias("arguments"),
         F.when(~F.coalesce(asks, F.lit(False)), text).alias("content"),
     )
-    return calls.unionByName(results).unionByName(rest)
+    return calls.unionByName(said).unionByName(results).unionByName(rest)
 
 
 def violations(calls: DataFrame, schemas: DataFrame) -> DataFrame:

@@ -56,6 +56,19 @@ def test_links_order_and_checks(spark):
     assert (None, 0, "unplaced") in messages and (3, None, "unplaced") in messages and (3, 0, "ok") in messages and (1, 6, "ok") in messages
 
 
+def test_text_beside_calls_and_empty_lists(spark):
+    add = call("a", "add", {"a": 1, "b": 2})
+    texts = [{"content": "I add.", "tool_calls": [add]}, {"tool_calls": []}, {"content": "none", "tool_calls": []}, {"content": None, "tool_calls": [dict(add, id="b")]}]
+    texts.append({"content": [{"type": "text"}], "tool_calls": [dict(add, id="c")]})
+    for options in ({}, {"turns_as_calls": True}):
+        found = rows_of(spark, [(1, k, "assistant", json.dumps(t)) for k, t in enumerate(texts)], **options)
+        got = [(r.turn, r.part, r.kind, json.loads(r.json).get("content")) for r in found]
+        assert got == [
+            (0, -1, "message", "I add."), (0, 0, "call", None), (1, 0, "message", ""), (2, 0, "message", "none"), (3, 0, "call", None),
+            (4, -1, "message", '[{"type":"text"}]'), (4, 0, "call", None),
+        ]
+
+
 def test_turns(spark):
     rows = [(1, 0, "system", "s"), (1, 1, "user", "u"), (1, 2, "assistant", "a"), (1, 3, "user", ""), (2, 1, "assistant", "lost"), (2, 0, "assistant", "first"), (1, 1, "user", "u")]
     found = rows_of(spark, rows, turns_as_calls=True)
