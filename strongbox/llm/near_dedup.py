@@ -14,7 +14,6 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -109,20 +108,6 @@ def _sketch_rows(width: int, count: int, least: int):
     return run
 
 
-def _pairs_of_open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Hashes of all twos of a document's open sketches."""
-    for batch in batches:
-        twos, docs, comps = [], [], []
-        for doc, comp, keys in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-            keys = np.sort(np.array(keys, np.int64)).view(np.uint64)
-            at = np.array(list(combinations(range(len(keys)), 2)), np.int64).reshape(-1, 2)
-            twos.append(mix(mix(keys[at[:, 0]], 1) ^ keys[at[:, 1]], 2).view(np.int64))
-            docs += [doc] * len(at)
-            comps += [comp] * len(at)
-        keys = np.concatenate(twos) if twos else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(docs, pa.int64()), pa.array(comps, pa.int64())], names=["key", "doc", "comp"])
-
-
 def _shingles_of(width: int):
     """(shingle, doc, n) of every labelled shingle."""
 
@@ -250,9 +235,8 @@ def near_dedup(
     ** count: 6e-7 by default.  Candidates are never all pairs of a sketch: each
     sketch has a leader, and a document is verified with the leader that most of
     its sketches name.  Where a sketch's documents are still in different
-    components, other leaders follow, in ``turns`` rounds at most.  Last, documents that share two
-    sketches across components (texts at the threshold do but with probability
-    1e-5) are joined on the rarest of their shingles, of which texts at the
+    components, other leaders follow, in ``turns`` rounds at most.  Last, documents that share a
+    sketch across components are joined on the rarest of their shingles, of which texts at the
     threshold share at least one far enough in front, and every pair found is
     verified, so that no link depends on which document happened to lead.
     """
@@ -306,15 +290,12 @@ def near_dedup(
         links = more if links is None else links.union(more)
         comps = components(links, most_broadcast)
 
-    # the rest exactly: of documents that share two sketches across components, those that share
+    # the rest exactly: of documents that share a sketch across components, those that share
     # one of their rarest shingles, as texts at the threshold must
     rows_ = placed()
     spans = rows_.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
     open_ = rows_.join(spans.select(F.expr("key + 0").alias("open")), F.col("key") == F.col("open"))
-    open_ = open_.groupBy("doc", "comp").agg(F.collect_list("key").alias("keys")).where(F.size("keys") > 1)
-    twos = written(open_.mapInArrow(_pairs_of_open, "key long, doc long, comp long"), "near-twos")
-    spans = twos.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
-    apart_ = twos.join(spans.select(F.expr("key + 0").alias("open")), F.col("key") == F.col("open")).select("doc", "comp").distinct()
+    apart_ = open_.select("doc", "comp").distinct()
     apart_ = written(apart_, "near-apart")
     shingles = texts.join(apart_.select("doc"), "doc", "left_semi").select("doc", "text")
     shingles = shingles.mapInArrow(_shingles_of(width), "shingle long, doc long, n long")

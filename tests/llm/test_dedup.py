@@ -7,6 +7,7 @@ from bisect import bisect_left
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from strongbox.llm import near_dedup as near
@@ -154,6 +155,20 @@ def test_near(spark, seed, few):
     assert all(r.kept == (r.doc_id == r.class_id) for r in rows)
 
 
+def test_near_pairs_of_one_sketch_that_no_leader_verified(spark):
+    rng = random.Random(5)
+    bodies = [prose(rng, 40) for _ in range(3)]
+    texts = [(1, bodies[0]), (2, bodies[0] + " tail"), (3, bodies[1]), (4, bodies[1] + " tail"), (9, bodies[2])]
+    while True:  # a passage whose shingle is the only sketch of all
+        passage = prose(rng, 5)
+        given = [(i, passage + " " + t) for i, t in texts]
+        rows = near.shingle_rows(pa.array([t for _, t in given]), 5)
+        if len({int(near.sketches(x, 1, 1)[0]) for x in rows}) == 1:
+            break
+    rows = near.near_dedup(frame(spark, given), count=1, least=1, turns=1).collect()
+    assert {r.doc_id: r.class_id for r in rows} == brute_classes(given) == {1: 1, 2: 1, 3: 3, 4: 3, 9: 9}
+
+
 def test_near_nulls_repeats_and_nothing(spark):
     assert near.near_dedup(frame(spark, [])).count() == 0
     rows = near.near_dedup(frame(spark, [(None, "a b c d e f"), (1, "a  b c d e f"), (2, None), (3, " "), (4, "a b"), (4, "a b"), (5, "x y z")])).collect()
