@@ -20,9 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .wordhash import buffers, mix, slices, window_hashes, word_hashes, word_spans
-from .work import trim, written
+from .work import id_or_text, trim, written
 
-_NULL = -(2**63)
 
 
 def _labelled(hashes: np.ndarray) -> np.ndarray:
@@ -226,7 +225,8 @@ def near_dedup(
     Words are runs of other bytes than 0x20 and 0x09-0x0D, unchanged.  A text of
     fewer than ``width`` words is one shingle; null, empty and blank texts have
     one empty shingle and form a class.  Equal texts are in one class and are
-    searched once.  A null id counts as smaller than all and is returned as null.
+    searched once.  A null id counts as smaller than all and is returned as null;
+    rows without id are documents of their own by their texts.
     Rows that repeat an id are one document if their texts are equal; ids are
     expected to be unique otherwise.  Other columns are ignored.
 
@@ -240,7 +240,8 @@ def near_dedup(
     threshold share at least one far enough in front, and every pair found is
     verified, so that no link depends on which document happened to lead.
     """
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL)).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    doc, back = id_or_text(docs, id_col, text_col)
+    rows = docs.select(doc.alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     keyed = rows.withColumn("key", F.sha2("text", 256))
     groups = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("head")).where("n > 1")
     groups = written(groups.select(F.concat("key", F.lit("")).alias("group"), "head"), "near-copies")
@@ -314,8 +315,7 @@ def near_dedup(
     n = comps.count()
     out = marked.select("doc", "head").join(F.broadcast(comps.withColumnRenamed("doc", "of")) if n <= most_broadcast else comps.withColumnRenamed("doc", "of"), F.col("head") == F.col("of"), "left")
     out = out.select("doc", F.coalesce("comp", "head").alias("class"))
-    back = lambda c: F.when(F.col(c) != _NULL, F.col(c))
-    return out.select(back("doc").alias(id_col), back("class").alias("class_id"), (F.col("doc") == F.col("class")).alias("kept"))
+    return out.select(back(F.col("doc")).alias(id_col), back(F.col("class")).alias("class_id"), (F.col("doc") == F.col("class")).alias("kept"))
 
 
 def op9_near_dedup(spark, sf_dir: str) -> DataFrame:

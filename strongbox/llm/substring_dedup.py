@@ -16,11 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .wordhash import buffers, slices, window_hashes, window_starts, word_hashes, word_spans
-from .work import written
+from .work import id_or_text, written
 
 # fixed values: perfect difference sets; every remainder is a difference of two members
 COVERS = {3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18)}
-_NULL = -(2**63)
 
 
 def cover_for(window: int) -> tuple[int, tuple[int, ...], int]:
@@ -233,7 +232,8 @@ def substring_dedup(
     than 0x20 and 0x09-0x0D) whose word sequence also starts earlier: in a
     document of smaller id, or earlier in the same.  Windows are judged on the
     input.  Kept words are joined by one space.  Null and empty texts have no
-    word; a null id counts as smaller than all.  Rows that repeat id and text
+    word; a null id counts as smaller than all, and rows without id are documents
+    of their own by their texts.  Rows that repeat id and text
     are one document and get the same result; ids are expected to be unique
     otherwise.  Other columns are ignored.
 
@@ -242,7 +242,8 @@ def substring_dedup(
     most once, so that a passage of a third of the documents sends a row per
     slice and no more.
     """
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL)).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    doc, back = id_or_text(docs, id_col, text_col)
+    rows = docs.select(doc.alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     keyed = rows.withColumn("key", F.sha2("text", 256))
     groups = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("least")).where("n > 1")
     groups = written(groups.select(F.concat("key", F.lit("")).alias("group"), "least"), "window-copies")
@@ -274,7 +275,7 @@ def substring_dedup(
         todo = todo.unionByName(rest.select("doc", "text", none, F.lit(False).alias("whole")))
     todo = todo.unionByName(marked.where("copy").select("doc", "text", none, F.lit(True).alias("whole")))
     out = todo.mapInArrow(_cut(window), "doc long, n_words long, n_removed long, kept_text string")
-    return out.select(F.when(F.col("doc") != _NULL, F.col("doc")).alias(id_col), "n_words", "n_removed", "kept_text")
+    return out.select(back(F.col("doc")).alias(id_col), "n_words", "n_removed", "kept_text")
 
 
 def op7_substring_dedup(spark, sf_dir: str) -> DataFrame:

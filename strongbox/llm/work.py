@@ -75,6 +75,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def id_or_text(docs: DataFrame, id_col: str, text_col: str, last: bool = False):
+    """A LONG column that stands for the id, and a function that turns it back into the id.
+
+    Rows without id get a number of their text's hash (62 bits), smaller than all
+    ids, or with ``last`` larger.  Ids in that quarter of the numbers are an error
+    if, and only if, there are rows without id.
+    """
+    own = F.col(id_col).cast("long")
+    low, high, nulls = docs.select(own.alias("i")).agg(F.min("i"), F.max("i"), F.count_if(F.col("i").isNull())).first()
+    if not nulls:
+        return own, lambda c: c
+    edge = 2**62
+    if low is not None and (high >= edge if last else low < -edge):
+        raise ValueError(f"{id_col} is null in {nulls} rows, and other ids reach into the range that stands for null ids")
+    number = F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), 2) + F.lit(edge if last else -(2**63))
+    return F.coalesce(own, number), lambda c: F.when(c < edge if last else c >= -edge, c)
+
+
 def bounded_sample(rows: DataFrame, key: str, most: int) -> DataFrame:
     """At most ``most`` rows, those with the smallest 64-bit hash in column ``key``.
 

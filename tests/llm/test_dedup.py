@@ -80,6 +80,22 @@ def test_substrings_repeats_and_nothing(spark):
     assert sorted((r.doc_id or 0, r.n_removed) for r in rows) == [(0, 0), (1, 0), (1, 0), (2, 50)]
 
 
+def test_null_ids_of_different_texts(spark):
+    rng = random.Random(8)
+    shared, a, b, c = (prose(rng, n) for n in (30, 40, 40, 40))
+    texts = [(None, f"{shared} {a}"), (None, f"{shared} {b}"), (1, c), (2, f"{c} {b}"), (3, f"{a} {shared}")]
+    rows = sub.substring_dedup(frame(spark, texts)).collect()
+    assert {r.doc_id for r in rows} == {None, 1, 2, 3}
+    # the passage stays in one row without id and goes from the other; their own words stay
+    assert sorted((r.n_words, r.n_removed) for r in rows if r.doc_id is None) == [(70, 0), (70, 30)]
+    assert {r.doc_id: r.n_removed for r in rows if r.doc_id} == {1: 0, 2: 80, 3: 70}
+    close = [(None, a), (None, b), (1, a + " tail"), (2, b + " tail"), (3, c)]
+    rows = near.near_dedup(frame(spark, close)).collect()
+    assert sorted((r.doc_id or 0, r.class_id, r.kept) for r in rows if r.doc_id != 3) == [(0, None, True), (0, None, True), (1, None, False), (2, None, False)]
+    with pytest.raises(ValueError, match="null ids"):
+        near.near_dedup(frame(spark, [(None, a), (-(2**63) + 5, b)]))
+
+
 @pytest.mark.parametrize("window", [4, 7, 20, 50])
 def test_every_shift_shares_an_anchor(window):
     period, cover, length = sub.cover_for(window)
