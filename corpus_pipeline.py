@@ -6,8 +6,8 @@ one the token sequences.  ``run`` writes what a stage returns to the shared
 folder and reads it back for the next.
 
 Each stage has the nulls, empty and very long texts, ties and repeated rows of
-its operator's docstring: rows without doc_id are judged by their text in the
-first stage and kept by the others.
+its operator's docstring: rows without doc_id are judged by their text, and
+give way to rows with one.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from strongbox.llm.exact_dedup import exact_dedup
 from strongbox.llm.near_dedup import near_dedup
 from strongbox.llm.subword_sampling import sample_segmentations
 from strongbox.llm.toxicity import fit, training_labels, without_toxic
-from strongbox.llm.work import short_batches, table, without, written
+from strongbox.llm.work import id_or_text, short_batches, table, without, written
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,25 +30,32 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return without_toxic(docs, fit(docs.select("doc_id", "text"), training_labels(labels)))
 
 
+def identified(docs: DataFrame) -> DataFrame:
+    """``docs`` with _sid: doc_id, or a larger number that follows from the text."""
+    return docs.withColumn("_sid", id_or_text(docs, "doc_id", "text", last=True)[0])
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the one of the smallest doc_id; of repeated rows one."""
-    found = written(exact_dedup(docs, keep="min").select("doc_id", "kept"), "exact-kept")
-    kept = found.where("kept AND doc_id IS NOT NULL")
-    n, ids = kept.agg(F.count("doc_id"), F.count_distinct("doc_id")).first()
-    out = without(docs, found.where("NOT kept").select("doc_id"))
-    if n == ids:
-        return out
-    return out.where("doc_id IS NULL").unionByName(out.where("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"]))
+    docs = identified(docs)
+    found = written(exact_dedup(docs, id_col="_sid", keep="min").select("_sid", "kept"), "exact-kept")
+    n, ids = found.where("kept").agg(F.count("_sid"), F.count_distinct("_sid")).first()
+    out = without(docs, found.where("NOT kept").select("_sid"), "_sid")
+    if n != ids:
+        out = out.dropDuplicates(["_sid", "text"])
+    return out.drop("_sid")
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of near duplicates the one of the smallest doc_id."""
-    return without(docs, near_dedup(docs).where("NOT kept").select("doc_id"))
+    docs = identified(docs)
+    return without(docs, near_dedup(docs, id_col="_sid").where("NOT kept").select("_sid"), "_sid").drop("_sid")
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that overlap with no benchmark item."""
-    return without(docs, overlaps(docs, table(spark, sf_dir, "benchmark")).select("doc_id"))
+    docs = identified(docs)
+    return without(docs, overlaps(docs, table(spark, sf_dir, "benchmark"), id_col="_sid").select("_sid"), "_sid").drop("_sid")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -66,6 +66,16 @@ def test_pipeline(spark):
     assert np.mean([r.n_pieces for r in found]) > 5
 
 
+def test_stages_decide_rows_without_id(spark):
+    stages = dict(corpus_pipeline.STAGES)
+    item = spark.read.parquet(f"{DATA}/benchmark.parquet").where("item_id IS NOT NULL AND text IS NOT NULL").first().text
+    text, other = (" ".join(f"{w}{k}" for k in range(60)) for w in "ab")
+    left = lambda name, rows: sorted((r.doc_id or 0, r.text) for r in stages[name](spark, spark.createDataFrame(rows, "doc_id long, text string"), DATA).collect())
+    assert left("exact_dedup", [(5, text), (None, text), (None, other), (None, other)]) == [(0, other), (5, text)]
+    assert left("near_dedup", [(5, text), (None, text + " tail"), (None, other)]) == [(0, other), (5, text)]
+    assert left("decontamination", [(None, item), (None, other), (5, text)]) == [(0, other), (5, text)]
+
+
 def test_stages_on_nothing(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
