@@ -123,42 +123,44 @@ def _shingles_of(width: int):
     return run
 
 
-def _pairs_of_posting(comp: np.ndarray, doc: np.ndarray, n: np.ndarray, rank: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of documents that hold one shingle, of different components, that can reach the
-    threshold if it is the first that they share: behind it either has to hold enough."""
+def _pairs_of_cell(side: np.ndarray, comp: np.ndarray, doc: np.ndarray, n: np.ndarray, rank: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of documents that hold one shingle, of different components and, if there are two, of
+    different sides, that can reach the threshold if the shingle is the first that they share:
+    behind it either has to hold enough."""
     rest = n - rank + 1
+    one = (side == side[0]).all()
     # the shorter text of a pair needs what two texts of its size would
     tight = np.flatnonzero(rest >= np.ceil(2 * threshold / (1 + threshold) * n - 1e-9))
     for at in range(0, len(tight), 256):
         i = tight[at : at + 256]
         need = np.ceil(threshold / (1 + threshold) * (n[i][:, None] + n[None, :]) - 1e-9)
         fits = (comp[i][:, None] != comp[None, :]) & (np.minimum(rest[i][:, None], rest[None, :]) >= need)
+        if not one:
+            fits &= side[i][:, None] != side[None, :]
         x, y = np.nonzero(fits)
         a, b = doc[i[x]], doc[y]
         yield np.maximum(a, b), np.minimum(a, b)
 
 
 def _across(threshold: float):
-    """_pairs_of_posting of rows (shingle, comp, doc, n, rank) sorted by shingle; a posting is held at a time."""
+    """_pairs_of_cell of rows (shingle, cell, side, comp, doc, n, rank) sorted by shingle and cell; a cell is held at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in _and_end(batches):
             if batch is not None:
-                rows = [batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(5)]
+                rows = [batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(7)]
                 held = rows if held is None else [np.concatenate(p) for p in zip(held, rows, strict=True)]
-                cut = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
-            else:
-                cut = len(held[0]) if held else 0
-            if not cut:
+            if held is None or not len(held[0]):
                 continue
-            now, held = [c[:cut] for c in held], [c[cut:] for c in held]
-            edges = np.append(np.flatnonzero(np.append(True, np.diff(now[0]) != 0)), cut)
-            for low, high in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                part = [c[low:high] for c in now[1:]]
-                if (part[0] != part[0][0]).any():
-                    for a, b in _pairs_of_posting(*part, threshold):
+            edges = np.flatnonzero((np.diff(held[0]) != 0) | (np.diff(held[1]) != 0)) + 1
+            edges = [0, *edges.tolist()] if batch is not None else [0, *edges.tolist(), len(held[0])]
+            for low, high in zip(edges[:-1], edges[1:], strict=True):
+                part = [c[low:high] for c in held[2:]]
+                if (part[1] != part[1][0]).any():
+                    for a, b in _pairs_of_cell(*part, threshold):
                         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            held = [c[edges[-1] :] for c in held]
 
     return run
 
@@ -209,6 +211,20 @@ def components(links: DataFrame, most_broadcast: int = 1_000_000) -> DataFrame:
             return labels
 
 
+def merged(comps: DataFrame | None, links: DataFrame, most_broadcast: int = 1_000_000) -> DataFrame:
+    """``comps`` (doc, comp) after ``links`` (a, b): only the components that links join are searched anew."""
+    if comps is None:
+        return components(links, most_broadcast)
+    known = _small(comps, most_broadcast)
+    ends = links.join(known.select(F.col("doc").alias("a"), F.col("comp").alias("ca")), "a", "left")
+    ends = ends.join(known.select(F.col("doc").alias("b"), F.col("comp").alias("cb")), "b", "left")
+    ends = ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a <> b").distinct()
+    step = components(ends, most_broadcast)
+    moved = comps.join(_small(step.select(F.col("doc").alias("from"), F.col("comp").alias("to")), most_broadcast), F.col("comp") == F.col("from"), "left")
+    fresh = step.join(known.select("doc"), "doc", "left_anti")
+    return written(moved.select("doc", F.coalesce("to", "comp").alias("comp")).unionByName(fresh), "near-merged")
+
+
 def near_dedup(
     docs: DataFrame,
     width: int = 5,
@@ -219,6 +235,8 @@ def near_dedup(
     id_col: str = "doc_id",
     text_col: str = "text",
     most_broadcast: int = 1_000_000,
+    growth: int = 16,
+    side_rows: int = 4096,
 ) -> DataFrame:
     """One row per row of ``docs``: id, class_id (the least id of its class), kept (it has that id).
 
@@ -235,10 +253,16 @@ def near_dedup(
     ** count: 6e-7 by default.  Candidates are never all pairs of a sketch: each
     sketch has a leader, and a document is verified with the leader that most of
     its sketches name.  Where a sketch's documents are still in different
-    components, other leaders follow, in ``turns`` rounds at most.  Last, documents that share a
-    sketch across components are joined on the rarest of their shingles, of which texts at the
-    threshold share at least one far enough in front, and every pair found is
-    verified, so that no link depends on which document happened to lead.
+    components, other leaders follow, in ``turns`` rounds.  Last,
+    documents that share a sketch across components are joined on the rarest of
+    their shingles, of which texts at the threshold share at least one far enough
+    in front.  One link joins two components, so each component first puts one
+    member a posting and class of size forward, then ``growth`` times as many, till
+    the posting's components are one or all their members were compared: no link
+    depends on which document happened to lead, and pairs inside a component are
+    never made.  A posting of more than ``side_rows`` rows is dealt over tasks as
+    pairs of its sides.  What can't be avoided this way is one comparison for every
+    pair of *unlinked* texts that the rarest shingles and the sizes leave open.
     """
     doc, back = id_or_text(docs, id_col, text_col)
     rows = docs.select(doc.alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -267,7 +291,7 @@ def near_dedup(
         met = met.join(texts.select(F.col("doc").alias("a"), F.col("text").alias("ta")), "a")
         return written(met.select("a", "b", "ta", "tb").mapInArrow(_verify(width, threshold), "a long, b long"), "near-linked")
 
-    links = comps = None
+    comps = None
 
     def placed() -> DataFrame:
         rows_ = own.join(busy, "doc")
@@ -286,30 +310,60 @@ def near_dedup(
         pairs = pairs.groupBy(F.col("doc").alias("a"), "b").agg(F.count(F.lit(1)).alias("votes"))
         pairs = pairs.groupBy("a").agg(F.max(F.struct("votes", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
         more = linked(pairs)
-        if more.isEmpty() and turn:
-            break
-        links = more if links is None else links.union(more)
-        comps = components(links, most_broadcast)
+        if comps is None or not more.isEmpty():
+            comps = merged(comps, more, most_broadcast)
 
     # the rest exactly: of documents that share a sketch across components, those that share
     # one of their rarest shingles, as texts at the threshold must
     rows_ = placed()
     spans = rows_.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
     open_ = rows_.join(spans.select(F.expr("key + 0").alias("open")), F.col("key") == F.col("open"))
-    apart_ = open_.select("doc", "comp").distinct()
-    apart_ = written(apart_, "near-apart")
-    shingles = texts.join(apart_.select("doc"), "doc", "left_semi").select("doc", "text")
+    apart = written(open_.select("doc").distinct(), "near-apart")
+    shingles = texts.join(apart, "doc", "left_semi").select("doc", "text")
     shingles = shingles.mapInArrow(_shingles_of(width), "shingle long, doc long, n long")
     often = shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1").select(F.expr("shingle + 0").alias("s"), "df")
     ranked = shingles.join(often, F.col("shingle") == F.col("s"), "left").withColumn("df", F.coalesce("df", F.lit(1)))
     order = Window.partitionBy("doc").orderBy("df", "shingle")
     prefix = ranked.withColumn("rank", F.row_number().over(order))
     prefix = prefix.where((F.col("rank") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1) & (F.col("df") > 1))
-    postings = prefix.select("shingle", "doc", "n", "rank").join(_small(apart_, most_broadcast), "doc").select("shingle", "comp", "doc", "n", "rank")
-    across = postings.repartition(F.col("shingle")).sortWithinPartitions("shingle").mapInArrow(_across(threshold), "a long, b long").distinct()
-    last = linked(across)
-    if not last.isEmpty():
-        comps = components(links.union(last), most_broadcast)
+    # sizes at the threshold are in the same class of size or in adjoining ones
+    size = F.floor(F.log(F.col("n")) / F.log(F.lit(1 / threshold)))
+    postings = written(prefix.select("shingle", "doc", "n", "rank", size.alias("size")), "near-postings")
+
+    def joined() -> DataFrame:
+        return postings.join(_small(comps, most_broadcast), "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
+
+    # one link between two components is enough: of each component a posting gives few members a
+    # turn, ``growth`` times as many the next time, till its components are one or all were tried
+    members, before, tried = 1, 0, None
+    while True:
+        here = joined()
+        groups_ = here.groupBy("shingle", "comp", "size").agg(F.count(F.lit(1)).alias("m"))
+        spans = groups_.groupBy(F.expr("shingle + 0").alias("open")).agg(
+            F.min("comp").alias("low"), F.max("comp").alias("high"), F.max("m").alias("most"), F.sum(F.least("m", F.lit(members))).alias("rows")
+        )
+        spans = written(spans.where(f"low <> high AND most > {before}").select("open", "rows"), "near-open")
+        if spans.isEmpty():
+            break
+        first = Window.partitionBy("shingle", "comp", "size").orderBy(F.xxhash64("doc"), "doc")
+        here = here.withColumn("k", F.row_number().over(first)).where(F.col("k") <= members)
+        here = here.join(_small(spans, most_broadcast), F.col("shingle") == F.col("open"))
+        # a posting of many rows is dealt as the pairs of its sides
+        sides = F.ceil(F.col("rows") / F.lit(side_rows)).cast("int")
+        here = here.withColumn("side", F.pmod(F.xxhash64("doc", F.lit(9)), sides).cast("int"))
+        here = here.withColumn("other", F.explode(F.sequence(F.lit(0), sides - 1)))
+        cell = F.least("side", "other") * sides + F.greatest("side", "other")
+        here = here.select("shingle", cell.alias("cell"), "side", "comp", "doc", "n", "rank")
+        dealt = here.repartition(F.col("shingle"), F.col("cell")).sortWithinPartitions("shingle", "cell")
+        pairs = dealt.mapInArrow(_across(threshold), "a long, b long").distinct()
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = written(pairs, "near-pairs")
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        more = linked(pairs)
+        if not more.isEmpty():
+            comps = merged(comps, more, most_broadcast)
+        members, before = members * growth, members
 
     comps = comps.where("doc <> comp")
     n = comps.count()
