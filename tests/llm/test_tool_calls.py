@@ -83,3 +83,44 @@ def test_a_long_chain_inside_a_turn(spark):
     calls = [call(f"k{i}", "show", {"value": {"$ref": f"k{i - 1}"} if i else {}}) for i in range(n)]
     found = rows_of(spark, [(1, 0, "assistant", turn(*calls[::-1]))])
     assert [r.call_id for r in found] == [f"k{i}" for i in range(n)] and [r.stage for r in found] == list(range(n))
+
+
+def test_order_over_the_conversation(spark):
+    """Uses of later turns, cycles across turns, identifiers that nobody has, chains back through the turns."""
+    use = lambda *ids: {"value": [{"$ref": i} for i in ids]}
+    long_ = "word " * 200_000
+    rows = [
+        (1, 1, "assistant", turn(call("a", "show", use("b")), call("p", "show", use("q")))),
+        (1, 2, "tool", result("p")),
+        (1, 3, "assistant", turn(call("b", "show", use("a")), call("q", "show", use("r")))),
+        (1, 5, "assistant", turn(call("r", "show", {"value": {}}), call("s", "show", use("p", "r")), call("u", "show", use("none", "also"))), ),
+        (1, 6, "tool", result("p")), (1, 6, "tool", result("r")),
+        (1, 7, "assistant", turn(call("p", "show", use("u")), call('odd "id"', "show", {"value": {"text": long_}}), call("v", "show", use('odd "id"')))),
+        *((2, k, "assistant", turn(call(f"k{k}", "show", use(f"k{k - 1}") if k else {"value": {}}))) for k in range(40)),
+        (3, 0, "assistant", turn(call("x", "show", use("a")))),
+    ]
+    found = rows_of(spark, rows)
+    calls = {(r.conv_id, r.turn, r.call_id): r for r in found if r.kind == "call"}
+    said = lambda *k: (calls[k].place, calls[k].stage, calls[k].status)
+    assert said(1, 1, "a") == (3, 0, "cycle") and said(1, 3, "b") == (3, 0, "cycle")
+    assert said(1, 5, "r") == (5, 0, "invalid:type:value") or calls[1, 5, "r"].status == "ok"
+    assert calls[1, 3, "q"].place == 5 and calls[1, 3, "q"].stage == 1 and calls[1, 1, "p"].place == 5 and calls[1, 1, "p"].stage == 2
+    assert calls[1, 5, "s"].stage == 3 and calls[1, 5, "u"].status == "lost:also" and calls[1, 7, "p"].status == "duplicate"
+    assert calls[1, 7, "v"].stage == 1 and len(calls[1, 7, 'odd "id"'].json) > len(long_) and calls[3, 0, "x"].status == "lost:a"
+    assert all((calls[2, k, f"k{k}"].place, calls[2, k, f"k{k}"].stage) == (k, 0) for k in range(40))
+    results = {(r.turn, r.call_id): r.status for r in found if r.kind == "result"}
+    assert results == {(2, "p"): "early", (6, "p"): "ok", (6, "r"): "ok"}
+    # in the order of (place, stage, turn, part) no call stands before one it uses, but for cycles
+    order = sorted((r for r in found if r.kind == "call" and r.status not in ("cycle", "duplicate")), key=lambda r: (r.conv_id, r.place, r.stage, r.turn, r.part))
+    at = {(r.conv_id, r.call_id): k for k, r in enumerate(order)}
+    for r in order:
+        for i in (x["$ref"] for x in json.loads(r.json)["arguments"].get("value", []) if isinstance(x, dict) and "$ref" in x):
+            assert at.get((r.conv_id, i), -1) < at[r.conv_id, r.call_id]
+
+
+def test_field_names_with_signs(spark):
+    schemas = spark.createDataFrame([("f", "a.b", "number", True), ("f", "c'd", "string", True)], "name string, field string, type string, required boolean")
+    texts = [turn(call("x", "f", {"a.b": 1, "c'd": "s"})), turn(call("y", "f", {"a": {"b": 1}, "c'd": "s"})), turn(call("z", "f", {"a.b": None, "c'd": "s"}))]
+    rows = spark.createDataFrame([(1, k, "assistant", t) for k, t in enumerate(texts)], "conv_id long, turn long, role string, text string")
+    got = {r.call_id: r.status for r in tc.format_chats(rows, schemas).collect()}
+    assert got == {"x": "unanswered", "y": "invalid:missing:a.b", "z": "invalid:type:a.b"}
