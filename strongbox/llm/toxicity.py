@@ -9,24 +9,38 @@ which keeps hits inside quotations apart from the others.
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from .wordhash import slices
 from .work import bounded_sample, trim
 
-_TOKEN = re.compile(r"[\w@$*]+|[\"“”„«»\n]")
-_QUOTES = frozenset("\"“”„«»")
+# a token is a run of letters, digits, _ @ $ *, or one quotation mark or line end
+_QUOTES = "\"“”„«»"
+_ALONE = f"([{_QUOTES}\\n])"
+_BETWEEN = f"[^\\p{{L}}\\p{{N}}_@$*{_QUOTES}\\n]+"
 _EDGE = "_@$*0123456789"
 # fixed values: digits and signs that stand in for letters
 _LEET = str.maketrans("013457@$", "oieastas")
 _WINDOW = 8
 
 
+def tokenised(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The distinct lower-cased tokens of some texts, the texts' tokens by number, and where each text's begin."""
+    apart = pc.replace_substring_regex(pc.utf8_lower(pc.fill_null(texts, "")), _ALONE, r" \1 ")
+    parts = pc.split_pattern_regex(apart, _BETWEEN)
+    flat = pc.dictionary_encode(parts.flatten())
+    names, ids = flat.dictionary.to_pylist(), flat.indices.to_numpy(zero_copy_only=False)
+    offsets = np.concatenate([[0], np.cumsum(parts.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+    real = np.array([n != "" for n in names], bool)[ids] if len(ids) else np.zeros(0, bool)
+    return names, ids[real], np.concatenate([[0], np.cumsum(real)])[offsets]
+
+
 def fold(token: str) -> str:
     """The word that a token shows: signs at its ends go, signs and digits inside become letters."""
     if token.isalpha():
@@ -227,54 +241,62 @@ class Scorer:
     def __getstate__(self):
         return {"lexicon": self.lexicon, "coef": self.coef, "most": self.most}
 
-    def features(self, text: str) -> np.ndarray:
+    def features(self, texts: pa.Array) -> np.ndarray:
+        """The context scores of each text.  Words are looked up once a batch, all else is arrays."""
         hits, clean = self._tables()
-        tokens = _TOKEN.findall(text.lower())
-        words = set(tokens)
-        for w in words - clean:
-            if w not in hits:
+        names, ids, offsets = tokenised(texts)
+        for w in names:
+            if w not in clean and w not in hits:
                 found = self.lexicon.look(w)
                 if found:
                     hits[w] = found
                 else:
                     clean.add(w)
-        out = np.zeros(7)
-        if words.isdisjoint(hits):
+        n = len(offsets) - 1
+        out = np.zeros((n, 7))
+        terms: dict[str, int] = {}
+        term_of = np.array([terms.setdefault(hits[w][1], len(terms)) if w in hits else -1 for w in names], np.int64)
+        at = np.flatnonzero(term_of[ids] >= 0) if len(ids) else np.zeros(0, np.int64)
+        if not len(at):
             return out
-        # a quotation opens and closes on one line; an unclosed one doesn't count
-        quoted, opened, at = [], -1, []
-        for i, t in enumerate(tokens):
-            if t in hits:
-                at.append(i)
-            elif t in _QUOTES:
-                if opened >= 0:
-                    quoted.append((opened, i))
-                    opened = -1
-                else:
-                    opened = i
-            elif t == "\n":
-                opened = -1
-        weights = np.array([hits[tokens[i]][0] for i in at])
-        places = np.array(at)
-        inside = np.zeros(len(at), bool)
-        for a, b in quoted:
-            inside |= (places > a) & (places < b)
+        # weights are multiples of a power of two, so that no sum depends on what else is in the batch
+        weight_of = np.array([round(hits[w][0] * 2**20) / 2**20 if w in hits else 0.0 for w in names])
+        weights, row = weight_of[ids[at]], np.searchsorted(offsets, at, side="right") - 1
+        # a quotation opens and closes on one line of one text; an unclosed one doesn't count
+        mark = np.array([w in _QUOTES and w != "" for w in names], bool)[ids]
+        ends = np.array([w == "\n" for w in names], bool)[ids]
+        ends[offsets[1:-1][offsets[1:-1] < len(ids)]] = True
+        line, marks = np.cumsum(ends), np.concatenate([[0], np.cumsum(mark)])
+        first = np.searchsorted(line, line[at], side="left")
+        last = np.searchsorted(line, line[at], side="right")
+        inside = ((marks[at] - marks[first]) % 2 == 1) & (marks[last] > marks[at])
         free = np.where(inside, 0.25 * weights, weights)
         sums = np.concatenate([[0], np.cumsum(free)])
+        places = at + row * (2 * _WINDOW)  # texts stand further apart than a window
         near = sums[np.searchsorted(places, places + _WINDOW, side="right")] - sums[np.searchsorted(places, places - _WINDOW)]
-        n = len(tokens)
-        out[:] = (
-            np.log1p(weights[~inside].sum()), np.log1p(weights[inside].sum()), np.log1p(near.max()),
-            np.log1p(100 * free.sum() / (n + 20)), np.log1p(len({hits[tokens[i]][1] for i in at})),
-            weights.max(), np.log1p(np.sort(free)[-3:].sum()),
-        )
+        has, begin = np.unique(row, return_index=True)
+        size = np.diff(offsets)[has]
+        by_size = np.lexsort((-free, row))
+        rank = np.arange(len(row)) - np.repeat(begin, np.diff(np.append(begin, len(row))))
+        distinct = np.unique(row * len(terms) + term_of[ids[at]]) // len(terms)
+        out[has] = np.stack([
+            np.log1p(np.add.reduceat(np.where(inside, 0, weights), begin)), np.log1p(np.add.reduceat(np.where(inside, weights, 0), begin)),
+            np.log1p(np.maximum.reduceat(near, begin)), np.log1p(100 * np.add.reduceat(free, begin) / (size + 20)),
+            np.log1p(np.bincount(distinct, minlength=n)[has]), np.maximum.reduceat(weights, begin),
+            np.log1p(np.add.reduceat(np.where(rank < 3, free[by_size], 0), begin)),
+        ], axis=1)
         return out
 
-    def score(self, text: str | None) -> float:
+    def scores(self, texts: pa.Array) -> np.ndarray:
+        """Between 0 and 1 for each text; null texts are empty."""
         if self.coef is None:
-            return 0.0
-        x = self.features(text or "") if self.lexicon else np.zeros(7)
-        return float(1 / (1 + math.exp(-max(-30.0, min(30.0, float(x @ self.coef[:-1] + self.coef[-1]))))))
+            return np.zeros(len(texts))
+        x = self.features(texts) if self.lexicon else np.zeros((len(texts), 7))
+        value = (x * self.coef[:-1]).sum(axis=1) + self.coef[-1]
+        return 1 / (1 + np.exp(-np.clip(value, -30, 30)))
+
+    def score(self, text: str | None) -> float:
+        return float(self.scores(pa.array([text], pa.string()))[0])
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.5) -> np.ndarray:
@@ -301,7 +323,8 @@ def fit(docs: DataFrame, labels: DataFrame, most_toxic: int = 3000, most_clean:
 
     At most ``most_toxic`` and ``most_clean`` labels are taken, by the smallest
     hash of their doc_id, and of their texts those of at most ``most_chars``
-    characters, whole.  Copies count once in the lexicon.  The logistic model is
+    characters, whole; of rows that repeat a doc_id, one.  These numbers bound what
+    reaches the driver.  Copies count once in the lexicon.  The logistic model is
     fitted on scores from lexicons that didn't see the text (three folds), with
     weights that give the classes their true shares.  Without a toxic and a
     clean row every score is 0.
@@ -312,17 +335,20 @@ def fit(docs: DataFrame, labels: DataFrame, most_toxic: int = 3000, most_clean:
     parts = [bounded_sample(known.where(F.col("y") == y), "h", m) for y, m in ((1, most_toxic), (0, most_clean))]
     few = F.broadcast(parts[0].unionByName(parts[1]).select(F.col("doc_id").alias("k"), "h", "y"))  # bounded by the two parameters
     texts = docs.select("doc_id", F.col("text").alias("t")).where(F.length("t") <= most_chars)
-    rows = texts.join(few, F.col("doc_id") == F.col("k")).select("h", "y", "t").collect()
+    rows = texts.join(few, F.col("doc_id") == F.col("k")).groupBy("h", "y", "k").agg(F.min(F.struct(F.xxhash64("t").alias("th"), "t"))["t"].alias("t"))
+    rows = rows.select("h", "y", "t").collect()
     rows = sorted(rows, key=lambda r: (r.h, r.t))
     y = np.array([r.y for r in rows], np.int64)
     if not (y == 1).any() or not (y == 0).any():
         return Scorer(None, None)
     families, first, words = np.empty(len(rows), np.int64), np.empty(len(rows), bool), []
-    before = set()
-    for k, r in enumerate(rows):
-        tokens = _TOKEN.findall(r.t.lower())
-        words.append({f for t in set(tokens) if len(f := fold(t)) >= 3})
-        family = (_family([w for w in tokens if w != "\n"]) if tokens else 0, r.y)
+    texts, before = pa.array([r.t for r in rows], pa.large_string()), set()
+    names, ids, offsets = tokenised(texts)
+    folded = [f if len(f := fold(t)) >= 3 else "" for t in names]
+    for k in range(len(rows)):
+        own = ids[offsets[k] : offsets[k + 1]].tolist()
+        words.append({folded[i] for i in own} - {""})
+        family = (_family([names[i] for i in own if names[i] != "\n"]) if own else 0, int(y[k]))
         first[k], families[k] = family not in before, family[0] % 3
         before.add(family)
     seen = Occurrences(words)
@@ -330,22 +356,27 @@ def fit(docs: DataFrame, labels: DataFrame, most_toxic: int = 3000, most_clean:
     x = np.zeros((len(rows), 7))
     for part in range(3):
         scorer = Scorer(Lexicon(seen, y == 1, first & (families != part)), None)
-        for k in np.flatnonzero(families == part).tolist():
-            x[k] = scorer.features(rows[k].t)
+        out = families == part
+        x[out] = scorer.features(texts.filter(pa.array(out)))
     weight = np.where(y == 1, shares[1] / (y == 1).sum(), shares[0] / (y == 0).sum())
     coef = _logistic(x, y, weight * len(y) / weight.sum())
     return Scorer(Lexicon(seen, y == 1, first), coef)
 
 
 def score_texts(docs: DataFrame, scorer: Scorer, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and score for every row, from its whole text; a null text is empty."""
+    """doc_id and score for every row, from its whole text.
+
+    Null, empty and blank texts have the score of a text without hits.  Rows that
+    repeat an id, and rows without id, are scored one by one; equal texts have equal
+    scores.  Other columns are ignored; an empty table gives no row.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(scorer)  # at most 3000 terms and 8 numbers
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for batch in batches:
-            scores = [known.score(t.as_py()) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["id", "score"])
+            for part in slices(batch, 1):
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(known.scores(part.column(1)))], names=["id", "score"])
         known.forget()
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
@@ -367,14 +398,18 @@ def op1_toxicity(spark, sf_dir: str) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, scorer: Scorer, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows whose whole text scores ``threshold`` or more; all columns stay."""
+    """``docs`` without the rows whose whole text scores ``threshold`` or more; all columns stay, whatever their names.
+
+    Null and empty texts score as score_texts() says; each of repeated rows is
+    judged by itself, so all or none stay.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(scorer)
     at = docs.columns.index(text_col)
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [shared.value.score(t.as_py()) < threshold for t in batch.column(at)]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            for part in slices(batch, at):
+                yield part.filter(pa.array(shared.value.scores(part.column(at)) < threshold))
         shared.value.forget()
 
     return docs.mapInArrow(clean, docs.schema)
