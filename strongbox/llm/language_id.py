@@ -14,10 +14,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .wordhash import buffers, slices
-from .work import bounded_sample
 
 _DIMS_LOG2 = 14
 _DIMS = 1 << _DIMS_LOG2
@@ -149,12 +148,28 @@ def _logistic(x: np.ndarray, sign: np.ndarray, steps: int = 60) -> tuple[float,
 def fit(docs: DataFrame, sample_docs: int = 3000, sample_chars: int = 20_000, text_col="text", lang_col="lang", id_col="doc_id") -> Model:
     """Learn from at most ``sample_docs`` labelled rows of at most ``sample_chars`` characters.
 
-    The rows with the smallest hash of id and text are taken, whole; these two
-    numbers bound what reaches the driver.
+    The rows with the smallest hash of id and text are taken, whole, of each
+    language an equal share of ``sample_docs`` at least where it has as many, so
+    that rare languages are learned too; shares that a language doesn't fill go to
+    the others.  These two numbers bound what reaches the driver; of more than
+    ``sample_docs`` languages those with the most rows are learned.
     """
     rows = docs.select(F.col(text_col).alias("t"), F.col(lang_col).alias("l"), F.xxhash64(id_col, text_col).alias("h"))
     rows = rows.where(F.col("l").isNotNull() & F.col("t").isNotNull() & (F.length("t") <= sample_chars) & (F.col("t") != ""))
-    rows = bounded_sample(rows, "h", sample_docs).collect()
+    counts = [(r.n, r.l) for r in rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "l").limit(sample_docs).collect()]
+    left, want = sample_docs, {}
+    for k, (n, lang) in enumerate(sorted(counts)):  # the rarest first: what it leaves is shared by the rest
+        want[lang] = min(n, left // (len(counts) - k))
+        left -= want[lang]
+    if not want:
+        return Model([], [])
+    # by hash: first a range that holds about three times a language's share, then exactly that many
+    sizes = {lang: n for n, lang in counts}
+    near = [(lang, int(min(-(2**63) + 2**64 * (3 * m / sizes[lang]), 2**63 - 1)), m) for lang, m in want.items()]
+    shares = F.broadcast(docs.sparkSession.createDataFrame(near, "_l string, _below long, _m long"))  # at most sample_docs rows
+    rows = rows.join(shares, F.col("l") == F.col("_l")).where("h <= _below")
+    place = F.row_number().over(Window.partitionBy("l").orderBy("h", "t"))
+    rows = rows.withColumn("_place", place).where("_place <= _m").orderBy("h", "t").select("t", "l").collect()
     return Model([r.t for r in rows], [r.l for r in rows])
 
 
@@ -163,7 +178,9 @@ def identify(docs: DataFrame, model: Model, ambiguous_below: float = 0.05, id_co
 
     ``und`` with score 0 where the text is null or has no letter, and where
     nothing was learned.  ``ambiguous`` marks rows whose nearest two codewords
-    differ in loss by less than ``ambiguous_below``.  Other columns are ignored.
+    differ in loss by less than ``ambiguous_below``; of languages at the same loss
+    the first by name is predicted.  Rows that repeat an id or have none are
+    predicted one by one; other columns are ignored; an empty table gives no row.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # fixed size: bits x 2^14 weights
 
