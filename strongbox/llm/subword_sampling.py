@@ -73,6 +73,8 @@ class Pieces:
 
         self.model = model = sentencepiece.SentencePieceProcessor(model_file=path)
         n = model.get_piece_size()
+        if n > 1 << 16:
+            raise ValueError(f"{path} has {n} pieces, and ids are written in 16 bits")
         names = [model.id_to_piece(i) for i in range(n)]
         self.byte_id = np.zeros(256, np.int64)
         log_weight = np.full(n, -alpha * math.log(n + 100))

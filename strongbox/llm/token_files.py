@@ -231,6 +231,8 @@ def write_token_files(
             name = f"{base}/part-{part:06d}-{number:06d}.tok"
             with store.open_output_stream(f"{name}.{context.taskAttemptId()}") as out:
                 out.write(blob)
+            if store.get_file_info(name).type != pyarrow.fs.FileType.NotFound:
+                store.delete_file(name)  # of an attempt that failed later; not every store moves onto a file
             store.move(f"{name}.{context.taskAttemptId()}", name)
             names.append((part, number, len(held), total))
             number, held, total = number + 1, [], 0

@@ -9,7 +9,7 @@ intervals are open, outermost first.
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_right, insort
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -104,7 +104,8 @@ def url_filter(
             yield pa.RecordBatch.from_arrays([pa.array([m[c] for m in met], k) for c, k in zip(names, kinds, strict=True)], names=names)
 
     def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stack: list[tuple[str, list]] = []  # open rules: key; (length, host length, path, rule, action)
+        # open rules: key; of each path (length, host length, path, rule, action); the paths' lengths, longest first
+        stack: list[tuple[str, dict, list]] = []
         for batch in batches:
             out = []
             for id_, host, path, key, action in zip(*(batch.column(c).to_pylist() for c in ("id", "host", "path", "key", "action")), strict=True):
@@ -112,11 +113,15 @@ def url_filter(
                     stack.pop()
                 if action is not None:
                     if not stack or stack[-1][0] != key:
-                        stack.append((key, []))
-                    stack[-1][1].append((len(host) + len(path), len(host), path, host + path, action))
+                        stack.append((key, {}, []))
+                    _, held, sizes = stack[-1]
+                    held[path] = (len(host) + len(path), len(host), path, host + path, action)
+                    if len(path) not in sizes:
+                        insort(sizes, len(path), key=lambda n: -n)
                     continue
-                fits = [r for _, held in stack for r in held if path.startswith(r[2])]
-                rule, verdict = max(fits)[3:] if fits else (None, default)
+                # of one host's rules the longest path that the url's begins with: a look-up for each length
+                fits = [next((held[p] for n in sizes if (p := path[:n]) in held), None) for _, held, sizes in stack]
+                rule, verdict = max((f for f in fits if f), default=(0, 0, "", None, default))[3:]
                 out.append((id_, host, path, rule, verdict))
             columns = list(zip(*out, strict=True)) if out else [()] * 5
             yield pa.RecordBatch.from_arrays(

@@ -11,6 +11,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -19,8 +21,8 @@ def work_root(spark: SparkSession) -> str:
     """The shared folder for intermediates.
 
     Reads ``spark.checkpoint.dir`` from the session.  Only a local master may go
-    without it (tests): a folder under the system's temporary folder is then
-    set.  On a cluster a missing setting is an error, as a machine-local folder
+    without it (tests), with a folder under the system's temporary folder.  On a
+    cluster a missing setting is an error, as a machine-local folder
     would lose data.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
@@ -29,9 +31,7 @@ def work_root(spark: SparkSession) -> str:
     master = spark.sparkContext.master
     if not (master == "local" or master.startswith("local[")):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    root = "file://" + os.path.join(tempfile.gettempdir(), "strongbox-work")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    return "file://" + os.path.join(tempfile.gettempdir(), "strongbox-work")
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
@@ -46,10 +46,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
-def short_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Have Spark hand Python at most ``rows`` rows at once from now on: texts may be long, and
-    a batch is held by the JVM and by the worker at the same time."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+@contextmanager
+def short_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Spark hands Python at most ``rows`` rows at once for what runs inside: texts may be long,
+    and a batch is held by the JVM and by the worker at the same time."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def trim() -> None:

@@ -1,6 +1,7 @@
 """Exact, substring and near dedup against brute force."""
 
 import hashlib
+import os
 import random
 import re
 from bisect import bisect_left
@@ -171,6 +172,37 @@ def test_near(spark, seed, few):
     assert all(r.kept == (r.doc_id == r.class_id) for r in rows)
 
 
+@pytest.mark.parametrize("side_rows", [3, 50])
+def test_near_postings_dealt_as_sides(spark, side_rows):
+    """Hot postings as pairs of sides, and components that put few members forward at a time."""
+    rng = random.Random(21)
+    base = prose(rng, 150)
+    texts = [(k, edited(rng, base, rng.randrange(2, 12))) for k in range(90)]
+    rows = near.near_dedup(frame(spark, texts), turns=1, growth=2, side_rows=side_rows).collect()
+    assert {r.doc_id: r.class_id for r in rows} == brute_classes(texts)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables here")
+def test_recall_on_documents(spark):
+    """All links among the driver's documents, by brute force over those that share a shingle and fit in size."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    heads = {}
+    for r in docs.orderBy("doc_id").collect():
+        heads.setdefault(r.text or "", r.doc_id)
+    grams = {i: labelled(t) for t, i in heads.items()}
+    holders = defaultdict(list)
+    for i, g in grams.items():
+        for x in g:
+            holders[x].append(i)
+    shared = Counter()
+    for ids in holders.values():
+        for k, i in enumerate(ids):
+            shared.update((i, j) for j in ids[:k])
+    links = [(i, j) for (i, j), n in shared.items() if n >= 0.8 * (len(grams[i]) + len(grams[j]) - n) and similarity(grams[i], grams[j]) >= 0.8]
+    found = {r.doc_id: r.class_id for r in near.near_dedup(docs).collect()}
+    assert len(links) > 50 and all(found[i] == found[j] for i, j in links)
+
+
 def test_near_pairs_of_one_sketch_that_no_leader_verified(spark):
     rng = random.Random(5)
     bodies = [prose(rng, 40) for _ in range(3)]

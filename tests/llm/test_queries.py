@@ -2,6 +2,7 @@
 
 import glob
 import os
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -76,6 +77,51 @@ def test_stages_decide_rows_without_id(spark):
     assert left("decontamination", [(None, item), (None, other), (5, text)]) == [(0, other), (5, text)]
 
 
+def test_stages_on_odd_rows(spark):
+    """Nulls in every column, empty and very long texts, repeated rows, columns with clashing names."""
+    long_ = " ".join(f"word{k}" for k in range(60_000))
+    rows = [(1, long_), (2, None), (3, ""), (3, ""), (None, None), (None, long_ + " tail"), (4, "short"), (4, "short"), (5, "é😀 \t"), (6, "x" * 100_000)]
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    for name in ("key", "id", "kept", "score", "doc", "comp", "_id", "_text", "h", "text_sha256"):
+        docs = docs.selectExpr("*", f"CAST(NULL AS STRING) AS {name}")
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    left = {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, DATA)
+        left[name] = [(r.doc_id, getattr(r, "text", None)) for r in out.collect()]
+        assert name == "tokens" or out.columns == docs.columns
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == batch
+    count = lambda name: len(left[name])
+    assert count("toxicity") == count("decontamination") == len(rows)
+    # null counts as empty: ids 2 and 3 and the row without id are one text, of which the least id stays
+    assert sorted(i for i, _ in left["exact_dedup"] if i) == [1, 2, 4, 5, 6] and [t for i, t in left["exact_dedup"] if i is None] == [long_ + " tail"]
+    assert sorted(i for i, _ in left["near_dedup"] if i) == [1, 2, 4, 4, 5, 6] and not [i for i, _ in left["near_dedup"] if i is None]
+    samples = Counter(i for i, _ in left["tokens"])
+    assert samples[1] == 3 and samples[3] == 2 and samples[2] == 1
+
+
+def test_settings_stay_as_they_are(spark):
+    from strongbox.llm.work import short_batches, work_root
+
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    with pytest.raises(ZeroDivisionError), short_batches(spark, 7):
+        assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "7"
+        1 / 0
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+    class Unset:
+        class conf:  # noqa: N801
+            get = staticmethod(lambda name, default: default)
+
+        class sparkContext:  # noqa: N801
+            master = "local[2]"
+
+    assert work_root(Unset).startswith("file:")
+    Unset.sparkContext.master = "spark://host:7077"
+    with pytest.raises(ValueError, match="checkpoint"):
+        work_root(Unset)
+
+
 def test_stages_on_nothing(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
