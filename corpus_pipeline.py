@@ -2,12 +2,13 @@
 
 ``STAGES`` are (name, function) in order; a function takes (spark, docs, sf_dir)
 and returns the documents that stay, with the columns of ``docs``, and the last
-one the token sequences.  ``run`` writes what a stage returns to the shared
-folder and reads it back for the next.
+one the token sequences, written to the shared folder and read back from there.
 
 Each stage has the nulls, empty and very long texts, ties and repeated rows of
 its operator's docstring: rows without doc_id are judged by their text, and
-give way to rows with one.
+give way to rows with one.  Null texts count as empty.  Other columns stay as
+they are, nulls included, whatever their names but ``_sid``.  An empty table
+gives an empty table.  No session setting is left changed.
 """
 
 from __future__ import annotations
@@ -25,9 +26,10 @@ from strongbox.llm.work import id_or_text, short_batches, table, without, writte
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below 0.7; learned from the labels that op1 may learn from."""
-    short_batches(spark)
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
-    return without_toxic(docs, fit(docs.select("doc_id", "text"), training_labels(labels)))
+    scorer = fit(docs.select("doc_id", "text"), training_labels(labels))
+    with short_batches(spark):
+        return written(without_toxic(docs, scorer), "stage-toxicity")
 
 
 def identified(docs: DataFrame) -> DataFrame:
@@ -43,25 +45,28 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     out = without(docs, found.where("NOT kept").select("_sid"), "_sid")
     if n != ids:
         out = out.dropDuplicates(["_sid", "text"])
-    return out.drop("_sid")
+    return written(out.drop("_sid"), "stage-exact")
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of near duplicates the one of the smallest doc_id."""
     docs = identified(docs)
-    return without(docs, near_dedup(docs, id_col="_sid").where("NOT kept").select("_sid"), "_sid").drop("_sid")
+    out = without(docs, near_dedup(docs, id_col="_sid").where("NOT kept").select("_sid"), "_sid")
+    return written(out.drop("_sid"), "stage-near")
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that overlap with no benchmark item."""
     docs = identified(docs)
-    return without(docs, overlaps(docs, table(spark, sf_dir, "benchmark"), id_col="_sid").select("_sid"), "_sid").drop("_sid")
+    out = without(docs, overlaps(docs, table(spark, sf_dir, "benchmark"), id_col="_sid").select("_sid"), "_sid")
+    return written(out.drop("_sid"), "stage-clean")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Three sampled segmentations of each document."""
-    short_batches(spark)
-    return sample_segmentations(docs, public_tokenizers.path("piece_bpe_32k.model"), slice_bytes=1 << 18)
+    with short_batches(spark):
+        found = sample_segmentations(docs, public_tokenizers.path("piece_bpe_32k.model"), slice_bytes=1 << 18)
+        return written(found, "stage-tokens")
 
 
 STAGES = [
@@ -78,6 +83,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    for _, stage in STAGES:
+        docs = stage(spark, docs, sf_dir)
+    return docs
