@@ -82,41 +82,41 @@ def parts(conversations: DataFrame, turns_as_calls: bool) -> DataFrame:
     return calls.unionByName(said).unionByName(results).unionByName(rest)
 
 
-def violations(calls: DataFrame, schemas: DataFrame) -> DataFrame:
-    """conv_id, turn, part, problem of calls whose arguments don't fit: the first problem by name.
+def with_problems(calls: DataFrame, schemas: DataFrame, most_broadcast: int = 100_000) -> DataFrame:
+    """``calls`` with problem: the first by name of what doesn't fit the function's schema; null: all does.
 
     An argument of an unknown name, of another type than the schema's, or a
     required one that is missing; arguments that are no JSON object; a function
-    without schema.  A ``$ref`` object fits every type.
+    without schema.  A ``$ref`` object fits every type; of two types of a field the
+    first by name counts.  A function's schema is one row, so a call is checked where it is.
     """
-    key = ["conv_id", "turn", "part"]
-    object_ = F.coalesce(F.col("arguments").startswith("{"), F.lit(False))
-    calls = calls.select(*key, "name", "arguments", object_.alias("_object"))
-    known = schemas.select(F.col("name").alias("_known")).distinct()
-    shape = calls.join(known, F.col("name") == F.col("_known"), "left").select(
-        *key,
-        F.when(F.col("_known").isNull(), F.concat(F.lit("function:"), F.coalesce("name", F.lit(""))))
-        .when(~F.col("_object"), "arguments").alias("problem"),
+    fields = schemas.where("name IS NOT NULL AND field IS NOT NULL").groupBy("name", "field").agg(F.min("type").alias("type"), F.max("required").alias("required"))
+    known = fields.groupBy(F.col("name").alias("_known")).agg(
+        F.map_from_entries(F.collect_list(F.struct("field", "type"))).alias("_types"),
+        F.collect_list(F.when(F.col("required"), F.col("field"))).alias("_needed"),
     )
-    given = calls.where("_object").lateralJoin(
-        calls.sparkSession.tvf.variant_explode(F.try_parse_json(F.col("arguments").outer()))
-    ).select(
-        *key, "name", F.col("key").alias("field"),
-        F.when(F.try_variant_get("value", "$['$ref']", "string").isNotNull(), "ref").otherwise(_kind(F.col("value"))).alias("type"),
+    known = written(known, "call-schemas")
+    if known.count() <= most_broadcast:
+        known = F.broadcast(known)
+    given = F.try_variant_get(F.try_parse_json("arguments"), "$", "map<string, variant>")
+    names = F.map_keys("_given")
+    told = lambda kind, fields: F.transform(fields, lambda f: F.concat(F.lit(kind), f))
+
+    def wrong(field: Column, value: Column) -> Column:
+        ref = F.try_variant_get(value, "$['$ref']", "string").isNotNull()
+        return ~ref & (F.coalesce(_kind(value), F.lit("null")) != F.element_at("_types", field))
+
+    problems = F.concat(
+        told("unknown:", F.array_except(names, F.map_keys("_types"))),
+        told("type:", F.map_keys(F.map_filter("_given", wrong))),
+        told("missing:", F.array_except("_needed", names)),
     )
-    want = schemas.select(F.col("name").alias("_n"), F.col("field").alias("_f"), F.col("type").alias("_t"))
-    met = given.join(want, (F.col("name") == F.col("_n")) & (F.col("field") == F.col("_f")), "left")
-    wrong = met.select(
-        *key,
-        F.when(F.col("_f").isNull(), F.concat(F.lit("unknown:"), "field"))
-        .when((F.col("type") != "ref") & (F.col("type") != F.col("_t")), F.concat(F.lit("type:"), "field")).alias("problem"),
+    problem = (
+        F.when(F.col("_known").isNull(), F.concat(F.lit("function:"), F.coalesce("name", F.lit(""))))
+        .when(F.col("_given").isNull(), "arguments").otherwise(F.array_min(problems))
     )
-    needed = schemas.where("required").select(F.col("name").alias("_n"), F.col("field").alias("_f"))
-    missing = calls.where("_object").join(needed, F.col("name") == F.col("_n")).select(
-        *key, F.when(~F.array_contains(F.json_object_keys("arguments"), F.col("_f")), F.concat(F.lit("missing:"), "_f")).alias("problem")
-    )
-    found = shape.unionByName(wrong).unionByName(missing).where("problem IS NOT NULL")
-    return found.groupBy(*key).agg(F.min("problem").alias("problem"))
+    out = calls.withColumn("_given", given).join(known, F.col("name") == F.col("_known"), "left")
+    return out.withColumn("problem", problem).drop("_given", "_known", "_types", "_needed")
 
 
 def ordered(calls: DataFrame) -> DataFrame | None:
@@ -189,7 +189,7 @@ def format_chats(conversations: DataFrame, schemas: DataFrame, turns_as_calls: b
     Conversations are never gathered: every join is on conversation and
     identifier, so that a conversation with a third of the rows is spread.
     """
-    rows = parts(conversations, turns_as_calls)
+    rows = written(parts(conversations, turns_as_calls), "chat-parts")  # parsed once, for the joins on identifiers and for the result
     calls = rows.where("kind = 'call'")
     ident = ["conv_id", "call_id"]
     refs = F.regexp_extract_all("arguments", F.lit(REF), F.lit(1))
@@ -201,9 +201,9 @@ def format_chats(conversations: DataFrame, schemas: DataFrame, turns_as_calls: b
     else:
         owner = owner.select("*", *(F.lit(None).cast(t).alias(c) for c, t in (("place", "long"), ("stage", "int"), ("lost", "string"), ("_cycle", "boolean"))))
     owner = owner.select(*ident, F.col("_own.turn").alias("_turn"), F.col("_own.part").alias("_part"), "place", "stage", "lost", "_cycle")
+    owner = written(owner, "call-owners")
     answered = rows.where("kind = 'result'").select(*ident).distinct().withColumn("_answered", F.lit(True))
-    problems = violations(calls, schemas)
-    out = calls.join(problems, ["conv_id", "turn", "part"], "left")
+    out = with_problems(calls, schemas)
     out = out.join(owner.hint("shuffle_hash"), ident, "left").join(answered.hint("shuffle_hash"), ident, "left")
     own = (F.col("turn") == F.col("_turn")) & (F.col("part") == F.col("_part"))
     status = (
