@@ -42,6 +42,39 @@ def pack(data: bytes, o: Options, raw: bool = False) -> bytes:
     return b"".join([*out, records.trailer(len(data), blake.root_of(values))])
 
 
+class Packer:
+    """An archive in the making: data goes in by ``feed``, finished bytes come out; one block is held."""
+
+    def __init__(self, o: Options, raw: bool = False):
+        self.o, self.raw, self.pending, self.size, self.values = o, raw, bytearray(), 0, []
+        self.started = False
+
+    def _sealed(self, block: bytes, only: bool) -> bytes:
+        (cv,) = blake.block_values([(block, len(self.values) << self.o.block_exp, only)])
+        self.values.append(cv)
+        payload = encode_payload(block, self.o, self.raw)
+        return records.block_header(len(payload), len(block) < 1 << self.o.block_exp, cv) + payload
+
+    def feed(self, data: bytes) -> Iterator[bytes]:
+        if not self.started:
+            self.started = True
+            yield records.header(self.o)
+        self.pending += data
+        self.size += len(data)
+        unit, at = 1 << self.o.block_exp, 0
+        # a block is sealed when more follows, as a full last block is still the last
+        while len(self.pending) - at > unit:
+            yield self._sealed(bytes(self.pending[at : at + unit]), False)
+            at += unit
+        del self.pending[:at]
+
+    def end(self) -> Iterator[bytes]:
+        yield from self.feed(b"")
+        if self.pending:
+            yield self._sealed(bytes(self.pending), not self.values)
+        yield records.trailer(self.size, blake.root_of(self.values))
+
+
 @dataclass(frozen=True)
 class Entry:
     """A block of a directory: its header's place and record."""
@@ -68,8 +101,8 @@ class Directory:
         return self.header_corrected + sum(found) + (self.trailer.corrected if self.trailer else 0)
 
 
-def walk(read, size: int) -> Directory:
-    """Directory of an archive by ``read(at, n)``, 64 bytes a block.
+def walk(read, size: int, until: int | None = None) -> Directory:
+    """Directory of an archive by ``read(at, n)``, 64 bytes a block; of what begins before ``until`` alone.
 
     Status: ``ok``; a header rule; ``record_uncorrectable`` or ``truncated`` where
     the walk had to stop (what lies behind is unknown); ``partial_inside`` if a
@@ -80,7 +113,7 @@ def walk(read, size: int) -> Directory:
     if options is None:
         return out
     at, partial = HEADER_SIZE, False
-    while True:
+    while until is None or at < until:
         if at + BLOCK_HEADER_SIZE > size:
             out.status, out.end = "truncated", at
             return out
@@ -100,6 +133,15 @@ def walk(read, size: int) -> Directory:
             return out
         out.entries.append(Entry(len(out.entries), at, record))
         partial, at = record.partial, at + BLOCK_HEADER_SIZE + record.size
+    out.end = at
+    return out
+
+
+def told(d: Directory) -> str:
+    """The status of a whole directory, its root hash compared with its blocks' values."""
+    if d.status == "ok" and blake.root_of([e.record.value for e in d.entries]) != d.trailer.value:
+        return "root"
+    return d.status
 
 
 def directory(archive: bytes) -> Directory:

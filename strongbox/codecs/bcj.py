@@ -65,6 +65,11 @@ def arm64(w: np.ndarray, place: np.ndarray, encode: bool) -> np.ndarray:
 _WORDS = {2: (arm, "<u4"), 4: (arm64, "<u4"), 5: (sparc, ">u4"), 6: (powerpc, ">u4")}
 
 
+def word_rule(kind: int):
+    """The function (words, places, encode) of a prefilter of fixed-width words."""
+    return _WORDS[kind][0]
+
+
 def _by_words(data: bytes, kind: int, encode: bool) -> bytes:
     rule, order = _WORDS[kind]
     whole = len(data) // 4 * 4

@@ -11,7 +11,7 @@ from functools import cache
 
 import numpy as np
 
-from .gf import EXP, LOG, MUL, inverse, product, value
+from .gf import EXP, LOG, MUL, product
 
 
 @cache
@@ -49,87 +49,89 @@ def encode(data: np.ndarray, n: int, k: int) -> np.ndarray:
     return out.view(np.uint8)[:, : n - k]
 
 
-@cache
-def _places(n: int, k: int) -> np.ndarray:
-    """Degree of each stored byte."""
-    return np.concatenate([np.arange(n - k, n), np.arange(n - k)])
+def _remainder(words: np.ndarray, n: int, k: int) -> np.ndarray:
+    """Stored codewords modulo the generator polynomial, low degree first; all zero: a codeword."""
+    return encode(words[:, :k], n, k) ^ words[:, k:]
+
+
+def _at_roots(rest: np.ndarray) -> np.ndarray:
+    """Values at the roots of polynomials given by their remainders."""
+    degree, root = np.arange(rest.shape[1]), np.arange(1, rest.shape[1] + 1)
+    powers = EXP[degree[:, None] * root[None, :] % 255]
+    out = np.zeros_like(rest)
+    for d in degree:
+        out ^= MUL[rest[:, d, None], powers[d]]
+    return out
 
 
 def syndromes(words: np.ndarray, n: int, k: int) -> np.ndarray:
     """rows x (n - k) values of stored codewords at the roots; all zero: a codeword."""
-    out = np.zeros((len(words), n - k), np.uint8)
-    logs, degree = LOG[words], _places(n, k)
-    there = words != 0
-    for root in range(1, n - k + 1):
-        terms = EXP[(logs + root * degree) % 255]
-        out[:, root - 1] = np.bitwise_xor.reduce(np.where(there, terms, 0), axis=1)
-    return out
+    return _at_roots(_remainder(words, n, k))
 
 
 def dirty(words: np.ndarray, n: int, k: int) -> np.ndarray:
     """Which stored rows are no codewords: their parity differs from their data's."""
-    return (encode(words[:, :k], n, k) != words[:, k:]).any(axis=1)
-
-
-def _locator(s: list[int]) -> list[int]:
-    """The shortest linear recurrence of the syndromes (Berlekamp-Massey)."""
-    current, before, length, shift, last = [1], [1], 0, 1, 1
-    for r, _ in enumerate(s):
-        gap = s[r]
-        for i in range(1, min(length, len(current) - 1) + 1):
-            gap ^= int(MUL[current[i], s[r - i]])
-        if gap == 0:
-            shift += 1
-            continue
-        scale = int(MUL[gap, inverse(last)])
-        moved = [0] * shift + [int(MUL[scale, x]) for x in before]
-        size = max(len(current), len(moved))
-        grown = [a ^ b for a, b in zip(current + [0] * (size - len(current)), moved + [0] * (size - len(moved)), strict=True)]
-        if 2 * length <= r:
-            before, length, last, shift = current, r + 1 - length, gap, 1
-        else:
-            shift += 1
+    return _remainder(words, n, k).any(axis=1)
+
+
+def _locators(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row of syndromes the shortest linear recurrence (Berlekamp-Massey on all rows at once), and its length."""
+    rows, count = s.shape
+    current, before = np.zeros((rows, count + 1), np.uint8), np.zeros((rows, count + 1), np.uint8)
+    current[:, 0] = before[:, 0] = 1
+    length, last = np.zeros(rows, np.int64), np.ones(rows, np.uint8)
+    for r in range(count):
+        before[:, 1:] = before[:, :-1].copy()
+        before[:, 0] = 0
+        gap = np.bitwise_xor.reduce(MUL[current[:, : r + 1], s[:, r::-1]], axis=1)
+        scale = np.where(gap > 0, EXP[(LOG[gap] - LOG[last]) % 255], 0).astype(np.uint8)
+        grown = current ^ MUL[scale[:, None], before]
+        longer = (gap > 0) & (2 * length <= r)
+        before[longer], last[longer] = current[longer], gap[longer]
+        length[longer] = r + 1 - length[longer]
         current = grown
-    while current[-1] == 0:
-        current.pop()
-    return current if len(current) - 1 == length else []
-
-
-def _repair_one(word: np.ndarray, s: list[int], n: int, k: int) -> int:
-    """Corrects one stored codeword in place; the number of bytes changed, -1 if it can't be."""
-    locator = _locator(s)
-    errors = len(locator) - 1
-    if errors < 1 or errors > (n - k) // 2:
-        return -1
-    degrees = [d for d in range(n) if value(locator, int(EXP[-d % 255])) == 0]
-    if len(degrees) != errors:
-        return -1
-    magnitude = product(s, locator)[: n - k]
-    slope = [c if i % 2 else 0 for i, c in enumerate(locator)][1:]
-    for d in degrees:
-        x = int(EXP[-d % 255])
-        below = value(slope, x)
-        if below == 0:
-            return -1
-        # the first root is the generator itself, so no power of the place is left over
-        change = int(MUL[value(magnitude, x), inverse(below)])
-        word[d - (n - k) if d >= n - k else k + d] ^= change
-    return errors
+    return current, length
+
+
+def _changes(s: np.ndarray, n: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, stored place and change of each error that the syndromes tell, and the errors of each row; 0: it can't be told."""
+    most = (n - k) // 2
+    locator, errors = _locators(s)
+    locator = locator[:, : most + 1]
+    power = EXP[-np.arange(n) % 255]  # the inverse of each degree's place
+    at = np.zeros((len(s), n), np.uint8)
+    for i in range(most + 1):
+        at ^= MUL[locator[:, i, None], EXP[-np.arange(n) * i % 255]]
+    told = (errors > 0) & (errors <= most) & ((at == 0).sum(axis=1) == errors)
+    row, degree = np.nonzero((at == 0) & told[:, None])
+    magnitude = np.zeros_like(s)
+    for i in range(most + 1):
+        magnitude[:, i:] ^= MUL[locator[:, i, None], s[:, : n - k - i]]
+    x, above, below = power[degree], np.zeros(len(row), np.uint8), np.zeros(len(row), np.uint8)
+    for i in range(n - k - 1, -1, -1):
+        above = MUL[above, x] ^ magnitude[row, i]
+    square = MUL[x, x]
+    for i in range((most - 1) // 2 * 2 + 1, 0, -2):  # the derivative has the odd terms alone
+        below = MUL[below, square] ^ locator[row, i]
+    # the first root is the generator itself, so no power of the place is left over
+    change = np.where(below > 0, EXP[(LOG[above] - LOG[below]) % 255], 0)
+    change[above == 0] = 0
+    place = np.where(degree >= n - k, degree - (n - k), k + degree)
+    return row, place, change.astype(np.uint8), np.where(told, errors, 0)
 
 
 def decode(words: np.ndarray, n: int, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Stored codewords, corrected; for each the bytes changed, -1 where it can't be corrected (left as it was)."""
     out, changed = words.copy(), np.zeros(len(words), np.int64)
-    rows = np.flatnonzero(dirty(words, n, k))
-    if len(rows):
-        found = syndromes(words[rows], n, k)
-        for row, s in zip(rows.tolist(), found.tolist(), strict=True):
-            fixed = out[row].copy()
-            errors = _repair_one(fixed, s, n, k)
-            if errors > 0 and not dirty(fixed[None], n, k)[0]:
-                out[row], changed[row] = fixed, errors
-            else:
-                changed[row] = -1
+    rest = _remainder(words, n, k)
+    rows = np.flatnonzero(rest.any(axis=1))
+    for first in range(0, len(rows), 4096):
+        some = rows[first : first + 4096]
+        row, place, change, errors = _changes(_at_roots(rest[some]), n, k)
+        fixed = out[some]
+        fixed[row, place] ^= change
+        good = (errors > 0) & ~dirty(fixed, n, k)
+        out[some[good]], changed[some] = fixed[good], np.where(good, errors, -1)
     return out, changed
 
 

@@ -97,27 +97,22 @@ def format_size(size: Column) -> Column:
     """Bytes with a binary unit and three figures or so; exact halves go to the even last figure.
 
     A value shown with d decimals is ``size * 10**d / 2**k``, rounded as the
-    binary value is: by the exact remainder, never by way of decimal text.
+    binary value is: by the exact remainder, never by way of decimal text.  Unit
+    and decimals come first, so that one division and one rounding are left; all
+    of it stays within 64 bits.
     """
     units = ["B", "KiB", "MiB", "GiB", "TiB", "PiB"]
-    out = F.concat(size.cast("string"), F.lit(" B"))
-    for k, unit in enumerate(units[1:], start=1):
-        one = 1 << (10 * k)
-        wide = size.cast("decimal(38,0)")
-
-        def shown(decimals: int, wide=wide, one=one) -> Column:
-            scaled = wide * 10**decimals
-            low, rest = F.call_function("div", scaled, F.lit(one)), scaled % one
-            up = (rest * 2 > one) | ((rest * 2 == one) & (low % 2 == 1))
-            number = (low + F.when(up, 1).otherwise(0)).cast("string")
-            if not decimals:
-                return number
-            padded = F.lpad(number, F.greatest(F.length(number), F.lit(decimals + 1)), F.lit("0"))
-            return F.concat(F.substr(padded, F.lit(1), F.length(padded) - decimals), F.lit("."), F.right(padded, F.lit(decimals)))
-
-        text = F.when(size >= 100 * one, shown(0)).when(size >= 10 * one, shown(1)).otherwise(shown(2))
-        out = F.when(size >= one, F.concat(text, F.lit(f" {unit}"))).otherwise(out)
-    return out
+    unit = F.least(idiv(bits_needed(F.greatest(size, F.lit(1))) - 1, 10), F.lit(len(units) - 1)).cast("int")
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), unit * 10)
+    decimals = F.when(unit == 0, 0).otherwise(2 - (size >= one * 10).cast("int") - (size >= one * 100).cast("int"))
+    by = F.element_at(F.array(*(F.lit(10**d).cast("long") for d in range(3))), decimals + 1)
+    scaled = size * by
+    low, rest = F.call_function("shiftright", scaled, unit * 10), scaled.bitwiseAND(one - 1)
+    up = (rest * 2 > one) | ((rest * 2 == one) & (low.bitwiseAND(F.lit(1).cast("long")) == 1))
+    number = low + F.when(up, 1).otherwise(0)
+    digits = F.lpad((number % by).cast("string"), decimals, F.lit("0"))
+    text = F.concat(idiv(number, by).cast("string"), F.when(decimals > 0, F.concat(F.lit("."), digits)).otherwise(F.lit("")))
+    return F.concat(text, F.lit(" "), F.element_at(F.array(*map(F.lit, units)), unit + 1))
 
 
 def ratio_percent(packed: Column, original: Column) -> Column:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import SparkSession, functions as F
 
 from ..codecs import archive, bcj, blake, lz, records, rs
 from ..dims import preset
 from ..operators.archives import _roots
+from ..plans.options import resolve
 
 PACKED = "struct<ok: boolean, code: int, data: binary>"
 # fixed values: codes of the buffer interface
@@ -27,6 +29,27 @@ def bcj_decode(data: pd.Series, prefilter: pd.Series) -> pd.Series:
     return _each(lambda d, p: bcj.apply(bytes(d), int(p), False), data, prefilter)
 
 
+def bcj_words(word: pd.Series, place: pd.Series, prefilter: pd.Series) -> pd.Series:
+    """Single instruction words of a fixed-width prefilter (2, 4, 5, 6) at their places, encoded."""
+    out = np.zeros(len(word), np.int64)
+    with np.errstate(over="ignore"):
+        for kind in prefilter.unique():
+            own = (prefilter == kind).to_numpy()
+            rule = bcj.word_rule(int(kind))
+            out[own] = rule(word[own].to_numpy(np.int64).astype(np.uint32), place[own].to_numpy(np.int64).astype(np.uint32), True)
+    return pd.Series(out)
+
+
+def pack_options(level: pd.Series, size: pd.Series, block_exp: pd.Series, block_count: pd.Series, ecc: pd.Series) -> pd.DataFrame:
+    """The options that a preset, the data's size, a block exponent or count (null: not given) and an ECC level lead to."""
+    whole = lambda v: None if pd.isna(v) else int(v)
+    rows = [
+        resolve(int(n), whole(s), block_exp=whole(e), block_count=whole(c), ecc=int(x))
+        for n, s, e, c, x in zip(level, size, block_exp, block_count, ecc, strict=True)
+    ]
+    return pd.DataFrame([(o.ecc, o.block_exp, o.lc, o.lp, o.pb, o.dict_exp) for o in rows], columns=["ecc", "block_exp", "lc", "lp", "pb", "dict_exp"])
+
+
 def lz_encode(data: pd.Series, level: pd.Series) -> pd.Series:
     return _each(lambda d, n: lz.compress(bytes(d), preset(int(n))), data, level)
 
@@ -108,7 +131,9 @@ class archive_blocks:  # noqa: N801
 
 
 _SCALAR = {
-    "bcj_encode": (bcj_encode, "binary"), "bcj_decode": (bcj_decode, "binary"), "lz_encode": (lz_encode, "binary"), "lz_decode": (lz_decode, "binary"),
+    "bcj_encode": (bcj_encode, "binary"), "bcj_decode": (bcj_decode, "binary"), "bcj_words": (bcj_words, "long"),
+    "pack_options": (pack_options, "struct<ecc: int, block_exp: int, lc: int, lp: int, pb: int, dict_exp: int>"),
+    "lz_encode": (lz_encode, "binary"), "lz_decode": (lz_decode, "binary"),
     "rs_encode": (rs_encode, "binary"), "rs_decode": (rs_decode, "struct<data: binary, corrected: long, lost: long>"),
     "block_cv": (block_cv, "binary"), "pack": (pack, PACKED), "unpack": (unpack, PACKED), "tree_root": (_roots, "binary"),
 }

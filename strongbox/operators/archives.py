@@ -249,8 +249,8 @@ def append(archives: DataFrame, extra_col: str = "extra", id_col: str = "file_id
 
 
 def replace_block(archives: DataFrame, index_col: str = "block_idx", data_col: str = "data", id_col: str = "file_id") -> DataFrame:
-    """file_id, archive with block ``block_idx`` holding ``data``; the root follows, other payloads are kept."""
-    rows = lambda id_, a, k, x: (id_, whole.replace_block(a, k, x))
+    """file_id, archive with block ``block_idx`` holding ``data`` (null: no block); the root follows, other payloads are kept."""
+    rows = lambda id_, a, k, x: (id_, a if k is None else whole.replace_block(a, k, x))
     return _per_archive(archives, rows, id_col, [("archive", "binary", _BYTES)], ("archive", index_col, data_col))
 
 

@@ -34,15 +34,19 @@ def documents_as_files(spark, sf_dir) -> DataFrame:
     return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content"))
 
 
+FILE_IDS = 1000  # documents a file: no language or source makes one file grow with the table
+
+
 def files_by_lang(spark, sf_dir) -> DataFrame:
-    """A file per language and source: its texts in the order of doc_id; several blocks each."""
-    rows = read(spark, sf_dir, "documents").groupBy("lang", "source").agg(F.array_sort(F.collect_list(F.struct("doc_id", "text"))).alias("t"))
+    """Files of the texts of a language and source whose ids share their thousands, in the order of doc_id; several blocks each."""
+    rows = read(spark, sf_dir, "documents").withColumn("part", scalars.idiv(F.col("doc_id"), FILE_IDS))
+    rows = rows.groupBy("lang", "source", "part").agg(F.array_sort(F.collect_list(F.struct("doc_id", "text"))).alias("t"))
     text = F.array_join(F.transform("t", lambda t: t["text"]), "")
-    return rows.select(F.concat_ws("/", "lang", "source").alias("file_id"), F.encode(text, "UTF-8").alias("content"))
+    return rows.select(F.concat_ws("/", "lang", "source", "part").alias("file_id"), F.encode(text, "UTF-8").alias("content"))
 
 
-_BY_LANG = """
-SELECT lang || '/' || source AS file_id, string_agg(text, '' ORDER BY doc_id) AS content FROM documents GROUP BY lang, source
+_BY_LANG = f"""
+SELECT lang || '/' || source || '/' || (doc_id // {FILE_IDS}) AS file_id, string_agg(text, '' ORDER BY doc_id) AS content FROM documents GROUP BY lang, source, doc_id // {FILE_IDS}
 """
 _PLAN = f"""
 d AS (SELECT doc_id, octet_length(encode(text)) AS n FROM documents),
@@ -196,12 +200,12 @@ def archive_size_raw(spark, sf_dir):
     return docs.groupBy("lang").agg(F.sum(F.coalesce("b", F.lit(0)) + 96).alias("bytes"), F.count(F.lit(1)).alias("archives"))
 
 
-@query("""SELECT kind, count(*) AS chunks, sum(n)::BIGINT AS bytes FROM (SELECT octet_length(encode(text)) AS n, CASE WHEN abs(octet_length(encode(text)) - 65536) <= 8191 THEN 'delta' ELSE 'plain' END AS kind FROM documents WHERE text <> ''
-UNION ALL SELECT octet_length(encode(html)), CASE WHEN abs(octet_length(encode(html)) - 65536) <= 8191 THEN 'delta' ELSE 'plain' END FROM pages WHERE html <> '') GROUP BY kind""")
+@query("""SELECT CASE WHEN n = 0 THEN 'none' WHEN abs(n - 65536) <= 8191 THEN 'delta' ELSE 'plain' END AS kind, count(*) AS chunks, sum(n)::BIGINT AS bytes
+FROM (SELECT octet_length(encode(coalesce(text, ''))) AS n FROM documents UNION ALL SELECT octet_length(encode(coalesce(html, ''))) FROM pages) GROUP BY 1""")
 def raw_chunk_kind(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").select(F.octet_length("text").cast("long").alias("n"))
-    rows = docs.unionAll(read(spark, sf_dir, "pages").select(F.octet_length("html").cast("long"))).where("n > 0")
-    kind = F.when(scalars.raw_header_size(F.col("n")) == 2, "delta").otherwise("plain")
+    docs = read(spark, sf_dir, "documents").select(F.col("text").alias("t")).unionAll(read(spark, sf_dir, "pages").select("html"))
+    rows = docs.select(F.coalesce(F.octet_length("t"), F.lit(0)).cast("long").alias("n"))
+    kind = F.when(F.col("n") == 0, "none").when(scalars.raw_header_size(F.col("n")) == 2, "delta").otherwise("plain")
     return rows.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("chunks"), F.sum("n").alias("bytes"))
 
 
@@ -264,7 +268,12 @@ q AS (SELECT b.key, gen.j, bit_xor(p)::INT AS x FROM b JOIN gen ON gen.i = b.i J
 SELECT key, string_agg(lpad(lower(hex(coalesce(x, 0))), 2, '0'), '' ORDER BY j) AS parity FROM (SELECT d.key, t.j FROM d, range({p}) t(j)) LEFT JOIN q USING (key, j) GROUP BY key"""
 
 
-@query()
+# every 40 bytes of a text, of an empty one 40 zeros; a word's key has its place in the last six figures
+_WORDS_40 = """SELECT doc_id * 1000000 + i AS key, rpad(substr(hexed, 80 * i + 1, 80), 80, '0') AS hexed FROM
+(SELECT doc_id, hex(encode(coalesce(text, ''))) AS hexed, unnest(range(greatest(1, (octet_length(encode(coalesce(text, ''))) + 39) // 40))) AS i FROM documents)"""
+
+
+@query(f"SELECT key // 1000000 AS key, key % 1000000 AS word_idx, parity FROM ({_parity_sql(64, 40, _WORDS_40)})")
 def rs_parity_64_40(spark, sf_dir):
     """Parity of every 40 bytes of every text; of an empty or null one as of one word of zeros."""
     rows = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), F.encode("text", "UTF-8").alias("data"))
@@ -301,76 +310,213 @@ _WORDS = {
         "1073741824 + ((w * 4 % 4294967296 + place) % 4294967296 // 4) // 4194304 % 2 * 1069547520 + ((w * 4 % 4294967296 + place) % 4294967296 // 4) % 4194304",
     ),
     "arm64": ("w // 67108864 = 37", "2483027968 + (w + place // 4) % 67108864"),
+    # ADRP: an address of pages, if it is within 512 MiB
+    "arm64_page": (
+        "(w & 2667577344) = 2415919104 AND (((((w >> 29) & 3) | ((w >> 3) & 2097148)) + 131072) & 1835008) = 0",
+        "2415919104 | (w & 31) | ((moved & 3) << 29) | ((moved & 262140) << 3) | ((0 - (moved & 131072)) & 14680064)",
+    ),
 }
+_PREFILTER = {"arm": 2, "arm64": 4, "sparc": 5, "powerpc": 6}
 
 
 def _word_sql(name: str) -> str:
-    hit, value = _WORDS[name]
-    top = {"sparc": "CASE WHEN i % 4 = 0 THEN 1073741824 ELSE 2143289344 END + i * 40503 % 4194304", "arm64": "2483027968 + i * 40503 % 67108864", "arm": "3942645760 + i * 40503 % 16777216", "powerpc": "1207959552 + i * 40503 % 16777216 * 4 + 1"}[name]
-    return f"""SELECT i AS word, place, w AS before, (CASE WHEN {hit} THEN {value} ELSE w END)::BIGINT AS after FROM
-(SELECT l_orderkey * 8 + l_linenumber AS i, (l_orderkey * 8 + l_linenumber) * 4 AS place, CASE WHEN l_linenumber % 2 = 0 THEN {top.replace('i', '(l_orderkey * 8 + l_linenumber)')} ELSE l_partkey * 2654435 % 4294967296 END AS w FROM lineitem)"""
-
-
-def _word_rows(spark, sf_dir, top) -> DataFrame:
+    rules = [_WORDS[name]] + ([_WORDS["arm64_page"]] if name == "arm64" else [])
+    cases = " ".join(f"WHEN {hit} THEN {value}" for hit, value in rules)
+    top = {
+        "sparc": "CASE WHEN i % 4 = 0 THEN 1073741824 ELSE 2143289344 END + i * 40503 % 4194304",
+        "arm64": "CASE WHEN l_linenumber % 4 = 0 THEN 2483027968 + i * 40503 % 67108864 ELSE 2415919104 + i * 40503 % 4 * 536870912 + (i * 7919 % 131072 + 458752) % 524288 * 32 + i % 32 END",
+        "arm": "3942645760 + i * 40503 % 16777216", "powerpc": "1207959552 + i * 40503 % 16777216 * 4 + 1",
+    }[name]
+    return f"""SELECT i AS word, place, w AS before, (CASE {cases} ELSE w END)::BIGINT AS after FROM (SELECT *, (((w >> 29) & 3) | ((w >> 3) & 2097148)) + (place >> 12) AS moved FROM
+(SELECT i, i * 4 AS place, (CASE WHEN l_linenumber % 2 = 0 THEN {top} ELSE l_partkey * 2654435 % 4294967296 END)::BIGINT AS w FROM (SELECT *, l_orderkey * 8 + l_linenumber AS i FROM lineitem)))"""
+
+
+def _encoded_words(spark, sf_dir, name: str, top) -> DataFrame:
+    """Words of lineitem, every other one a branch, through the library's filter."""
+    _functions(spark)
     i = F.col("l_orderkey") * 8 + F.col("l_linenumber")
     word = F.when(F.col("l_linenumber") % 2 == 0, top(i)).otherwise(F.col("l_partkey") * 2654435 % 4294967296)
-    return read(spark, sf_dir, "lineitem").select(i.alias("word"), (i * 4).alias("place"), word.alias("before"))
+    rows = read(spark, sf_dir, "lineitem").select(i.alias("word"), (i * 4).alias("place"), word.alias("before"))
+    return rows.withColumn("after", F.call_function("bcj_words", "before", "place", F.lit(_PREFILTER[name])))
 
 
 @query(_word_sql("arm"))
 def bcj_arm_words(spark, sf_dir):
-    rows = _word_rows(spark, sf_dir, lambda i: F.lit(235 << 24) + i * 40503 % (1 << 24))
-    w, place = F.col("before"), F.col("place")
-    to = scalars.idiv(w * 4 % (1 << 32) + place + 8, 4) % (1 << 24)
-    return rows.withColumn("after", F.when(scalars.idiv(w, 1 << 24) == 235, F.lit(235 << 24).cast("long") + to).otherwise(w))
+    return _encoded_words(spark, sf_dir, "arm", lambda i: F.lit(235 << 24) + i * 40503 % (1 << 24))
 
 
 @query(_word_sql("powerpc"))
 def bcj_powerpc_words(spark, sf_dir):
-    rows = _word_rows(spark, sf_dir, lambda i: F.lit(18 << 26) + i * 40503 % (1 << 24) * 4 + 1)
-    w, place = F.col("before"), F.col("place")
-    hit = (scalars.idiv(w, 1 << 26) == 18) & (w % 4 == 1)
-    return rows.withColumn("after", F.when(hit, F.lit(18 << 26).cast("long") + (w % (1 << 26) - 1 + place) % (1 << 26) + 1).otherwise(w))
+    return _encoded_words(spark, sf_dir, "powerpc", lambda i: F.lit(18 << 26) + i * 40503 % (1 << 24) * 4 + 1)
 
 
 @query(_word_sql("sparc"))
 def bcj_sparc_words(spark, sf_dir):
-    rows = _word_rows(spark, sf_dir, lambda i: F.when(i % 4 == 0, 1 << 30).otherwise(511 << 22) + i * 40503 % (1 << 22))
-    w, place = F.col("before"), F.col("place")
-    to = scalars.idiv((w * 4 % (1 << 32) + place) % (1 << 32), 4)
-    after = F.lit(1 << 30) + scalars.idiv(to, 1 << 22) % 2 * (255 << 22) + to % (1 << 22)
-    return rows.withColumn("after", F.when(scalars.idiv(w, 1 << 22).isin(256, 511), after).otherwise(w))
+    return _encoded_words(spark, sf_dir, "sparc", lambda i: F.when(i % 4 == 0, 1 << 30).otherwise(511 << 22) + i * 40503 % (1 << 22))
 
 
 @query(_word_sql("arm64"))
 def bcj_arm64_words(spark, sf_dir):
-    rows = _word_rows(spark, sf_dir, lambda i: F.lit(37 << 26) + i * 40503 % (1 << 26))
-    w, place = F.col("before"), F.col("place")
-    after = F.lit(37 << 26) + (w + scalars.idiv(place, 4)) % (1 << 26)
-    return rows.withColumn("after", F.when(scalars.idiv(w, 1 << 26) == 37, after).otherwise(w))
+    branch = lambda i: F.lit(37 << 26) + i * 40503 % (1 << 26)
+    page = lambda i: F.lit(0x90000000) + i * 40503 % 4 * (1 << 29) + (i * 7919 % (1 << 17) + 458752) % (1 << 19) * 32 + i % 32
+    return _encoded_words(spark, sf_dir, "arm64", lambda i: F.when(F.col("l_linenumber") % 4 == 0, branch(i)).otherwise(page(i)))
 
 
 @query("""SELECT l_orderkey, l_linenumber, (CASE WHEN l_linenumber % 3 = 0 THEN 16 + l_suppkey % 10 WHEN l_linenumber % 3 = 1 THEN CASE WHEN each <= 65536 THEN 16 ELSE least(length(ltrim(bin(each - 1), '0')), 62) END
-WHEN size > 268435456 THEN least(19 + l_partkey % 10 + 1, 30) ELSE 19 + l_partkey % 10 END)::INT AS block_exp
+WHEN size > 268435456 THEN least(19 + l_partkey % 10 + 1, 30) ELSE 19 + l_partkey % 10 END)::INT AS block_exp, (19 + l_partkey % 10)::INT AS dict_exp, (l_suppkey % 4)::INT AS ecc, 3::INT AS lc, 2::INT AS pb
 FROM (SELECT *, l_orderkey * 77777 + 1 AS size, (l_orderkey * 77777 + 1 + l_linenumber - 1) // l_linenumber AS each FROM lineitem)""")
 def option_precedence(spark, sf_dir):
-    """The block exponent that a preset, a block size, a block count and the data's size lead to."""
-    line, size = F.col("l_linenumber"), F.col("l_orderkey") * 77777 + 1
-    by_count = scalars.block_exponent_from_count(size, line.cast("long"))
-    default = scalars.default_block_exponent(size, F.col("l_partkey") % 10 + 19)
-    chosen = F.when(line % 3 == 0, F.col("l_suppkey") % 10 + 16).when(line % 3 == 1, by_count).otherwise(default)
-    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", chosen.cast("int").alias("block_exp"))
+    """What a preset, a block exponent, a block count, the data's size and an ECC level lead to."""
+    _functions(spark)
+    line = F.col("l_linenumber")
+    rows = read(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber",
+        F.call_function(
+            "pack_options", F.col("l_partkey") % 10, F.col("l_orderkey") * 77777 + 1, F.when(line % 3 == 0, F.col("l_suppkey") % 10 + 16),
+            F.when(line % 3 < 2, line), F.col("l_suppkey") % 4,
+        ).alias("o"),
+    )
+    return rows.select("l_orderkey", "l_linenumber", "o.block_exp", "o.dict_exp", "o.ecc", "o.lc", "o.pb")
 
 
-@query("SELECT doc_id AS file_id, octet_length(encode(coalesce(text, '')))::BIGINT AS bytes, md5(upper(substr(hex(encode(coalesce(text, ''))), 1))) AS digest, 'ok' AS status FROM documents WHERE text <> ''".replace("upper(substr(hex(encode(coalesce(text, ''))), 1))", "repeat('z', octet_length(encode(text)))"))
+@query("SELECT doc_id AS file_id, octet_length(encode(coalesce(text, '')))::BIGINT AS bytes, md5(repeat('z', octet_length(encode(coalesce(text, ''))))) AS digest, 'ok' AS status FROM documents")
 def replace_roundtrip(spark, sf_dir):
-    """The last block of each archive replaced by as many other bytes."""
-    files = documents_as_files(spark, sf_dir).where("octet_length(content) > 0")
-    other = files.select("file_id", F.lit(0).cast("long").alias("block_idx"), F.encode(F.expr("repeat('z', octet_length(content))"), "UTF-8").alias("data"))
+    """The only block of each archive replaced by as many other bytes; archives without blocks stay."""
+    files = documents_as_files(spark, sf_dir)
+    index = F.when(F.octet_length("content") > 0, F.lit(0).cast("long"))
+    other = files.select("file_id", index.alias("block_idx"), F.encode(F.expr("repeat('z', octet_length(content))"), "UTF-8").alias("data"))
     packed = archives.pack(files, Options(block_exp=30, dict_exp=16), raw=True).join(other, "file_id")
     return _told(archives.unpack(archives.replace_block(packed)))
 
 
+@query(f"""SELECT file_id, octet_length(encode(content))::BIGINT AS bytes, md5(CASE WHEN n < 2 THEN hexed ELSE substr(hexed, 1, 131072) || repeat('7A', least(65536, octet_length(encode(content)) - 65536)::INT) || substr(hexed, 262145) END) AS digest, 'ok' AS status
+FROM (SELECT *, hex(encode(content)) AS hexed, (octet_length(encode(content)) + 65535) // 65536 AS n FROM ({_BY_LANG}))""")
+def replace_middle(spark, sf_dir):
+    """The second block of archives of several, replaced by as many other bytes; the others keep theirs."""
+    files = files_by_lang(spark, sf_dir)
+    rest = F.least(F.octet_length("content") - 65536, F.lit(65536))
+    other = files.select("file_id", F.when(rest > 0, F.lit(1).cast("long")).alias("block_idx"), rest.alias("_n"))
+    other = other.select("file_id", "block_idx", F.encode(F.expr("repeat('z', _n)"), "UTF-8").alias("data"))
+    packed = archives.pack(files, preset(1).with_(ecc=1, block_exp=16)).join(other, "file_id")
+    out = archives.unpack(archives.replace_block(packed))
+    return out.select("file_id", F.octet_length("content").cast("long").alias("bytes"), F.md5(F.hex("content").cast("binary")).alias("digest"), "status")
+
+
+@query("""SELECT doc_id AS file_id, CASE WHEN doc_id % 6 = 1 THEN 'truncated' WHEN doc_id % 6 = 2 THEN 'root' WHEN doc_id % 6 = 3 THEN 'size'
+WHEN doc_id % 6 = 4 AND n > 0 THEN 'hash' WHEN doc_id % 6 = 5 THEN 'magic' ELSE 'ok' END AS status, (doc_id % 6 = 4 AND n > 0)::BIGINT AS bad_blocks
+FROM (SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS n FROM documents)""")
+def verify_broken(spark, sf_dir):
+    """Archives cut short, with another root hash, size or magic, or with a changed byte that no parity covers."""
+    return archives.verify(_broken(spark, sf_dir)).select("file_id", "status", "bad_blocks")
+
+
+def _broken(spark, sf_dir) -> DataFrame:
+    """An archive for each document, of which five in six are wrong."""
+    packed = archives.pack(documents_as_files(spark, sf_dir), Options(block_exp=16, dict_exp=16), raw=True)
+    told = archives.list_archives(packed).select("file_id", "size", "root_hash", "n_blocks")
+    kind, n = F.col("file_id") % 6, F.octet_length("archive")
+    ends = F.pandas_udf(archives._trailers, "binary")
+    other = F.when(kind == 2, F.unhex(F.sha2(F.col("root_hash"), 256))).otherwise(F.col("root_hash"))
+    end = ends(F.col("size") + F.when(kind == 3, 1).otherwise(0), other)
+    body = F.expr("substring(archive, 1, octet_length(archive) - 64)")
+    # the first data byte stands behind the header, the block's header and the chunk's (two or three bytes)
+    changed = F.expr("overlay(archive PLACING unhex(hex(255 - conv(hex(substring(archive, 101, 1)), 16, 10))) FROM 101 FOR 1)")
+    # header parity is made for the wrong magic, or it would be corrected
+    head = F.lit(archives.records._with_parity(b"\xfe\xdc\xba\x97" + archives.records.header(Options(block_exp=16, dict_exp=16))[4:10], 32))
+    broken = (
+        F.when(kind == 1, F.expr("substring(archive, 1, octet_length(archive) - 10)")).when(kind.isin(2, 3), F.concat(body, end))
+        .when((kind == 4) & (F.col("n_blocks") > 0), changed).when(kind == 5, F.concat(head, F.expr("substring(archive, 33)"))).otherwise(F.col("archive"))
+    )
+    return packed.join(told, "file_id").where(n > 0).select("file_id", broken.alias("archive"))
+
+
+@query("""SELECT doc_id AS file_id, CASE WHEN doc_id % 6 = 1 THEN 'truncated' WHEN doc_id % 6 = 2 THEN 'root' WHEN doc_id % 6 = 3 THEN 'size'
+WHEN doc_id % 6 = 4 AND n > 0 THEN 'hash' WHEN doc_id % 6 = 5 THEN 'magic' ELSE 'ok' END AS status,
+CASE WHEN doc_id % 6 = 5 OR n = 0 OR (doc_id % 6 = 4 AND n <= 65536) THEN 0 ELSE (n + 65535) // 65536 - (doc_id % 6 = 4)::INT END::BIGINT AS good
+FROM (SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS n FROM documents)""")
+def source_broken(spark, sf_dir):
+    """The same archives as files, read by the source: an archive that is wrong says so, and gives the blocks that are right."""
+    from .sources.archive import register
+    from .sources.scratch import scratch
+
+    register(spark)
+    folder = scratch(spark, "broken")
+    files = _broken(spark, sf_dir).select("file_id", "archive")
+    _store_files(files, folder)
+    rows = spark.read.format("strongbox").load(folder)
+    own = F.regexp_extract("path", r"(\d+)\.sba$", 1).cast("long").alias("file_id")
+    wrong = F.min(F.when(F.col("status") != "ok", F.struct(F.col("block_idx").isNull(), "status")))["status"]
+    found = rows.groupBy(own).agg(wrong.alias("status"), F.count_if((F.col("status") == "ok") & F.col("block_idx").isNotNull()).alias("good"))
+    names = files.select("file_id")
+    return names.join(found, "file_id", "left").select("file_id", F.coalesce("status", F.lit("ok")).alias("status"), F.coalesce("good", F.lit(0)).alias("good"))
+
+
+def _store_files(files: DataFrame, folder: str) -> None:
+    """Each row's bytes as they are in a file of its own, ``<file_id>.sba``."""
+    import pyarrow.fs
+
+    store, base = pyarrow.fs.FileSystem.from_uri(folder)
+    store.create_dir(base, recursive=True)
+
+    def put(batches):
+        to, path = pyarrow.fs.FileSystem.from_uri(folder)
+        for batch in batches:
+            for name, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                with to.open_output_stream(f"{path}/{name}.sba") as out:
+                    out.write(data)
+            yield batch.select(["file_id"])
+
+    files.select("file_id", "archive").mapInArrow(put, "file_id long").write.format("noop").mode("overwrite").save()
+
+
+@query("SELECT page_id, (octet_length(encode(coalesce(html, ''))) + 65535) // 65536 AS blocks, octet_length(encode(coalesce(html, '')))::BIGINT AS bytes FROM pages WHERE html <> ''")
+def stream_source(spark, sf_dir):
+    """Pages written through the sink, then read as a stream, some archives a batch; pages without bytes have no block."""
+    from .sources.archive import register
+    from .sources.scratch import scratch
+
+    register(spark)
+    folder = scratch(spark, "arriving")
+    rows = read(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("name"), F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("content"))
+    rows.write.format("strongbox").option("path", f"{folder}/in").option("preset", 0).option("blockExponent", 16).mode("append").save()
+    stream = spark.readStream.format("strongbox").option("logPath", f"{folder}/log").option("maxFilesPerTrigger", 1000).load(f"{folder}/in")
+    slim = stream.select(F.regexp_extract("path", r"(\d+)\.sba$", 1).cast("long").alias("page_id"), "block_idx", F.octet_length("data").alias("n"))
+    running = slim.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").start()
+    try:
+        running.processAllAvailable()
+    finally:
+        running.stop()
+    found = spark.read.schema("page_id long, block_idx long, n int").parquet(f"{folder}/out")
+    return found.groupBy("page_id").agg(F.count("block_idx").alias("blocks"), F.sum("n").alias("bytes"))
+
+
+@query("""SELECT conv_id::VARCHAR AS stream_id, sum(octet_length(encode(coalesce(text, ''))))::BIGINT AS bytes, md5(string_agg(coalesce(text, ''), '' ORDER BY turn)) AS digest, 'ok' AS status FROM conversations GROUP BY conv_id""")
+def stream_decode(spark, sf_dir):
+    """Archives of conversations, damaged and cut into pieces, decoded by the stateful stream."""
+    import uuid
+
+    from .sources.scratch import scratch
+    from .streaming.decode import OUTPUT, decode_stream
+
+    name, folder = f"blocks_{uuid.uuid4().hex}", scratch(spark, "decode")
+    turns = read(spark, sf_dir, "conversations").groupBy(F.col("conv_id").cast("string").alias("file_id"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", F.coalesce("text", F.lit("")).alias("text")))), lambda t: t["text"]), "")
+    packed = archives.damage(archives.pack(turns.agg(F.encode(text, "UTF-8").alias("content")), preset(1).with_(ecc=1, block_exp=16)), 5)
+    pieces = packed.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(octet_length(archive) - 1) div 700"))).alias("seq"))
+    pieces.select(F.col("file_id").alias("stream_id"), "seq", F.expr("substring(archive, cast(seq * 700 + 1 AS int), 700)").alias("data")).write.parquet(f"{folder}/in")
+    rows = spark.readStream.schema("stream_id string, seq long, data binary").option("maxFilesPerTrigger", 4).parquet(f"{folder}/in")
+    running = decode_stream(rows).writeStream.format("parquet").option("path", f"{folder}/{name}").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    running.awaitTermination()
+    found = spark.read.schema(OUTPUT).parquet(f"{folder}/{name}")
+    data = F.array_sort(F.collect_list(F.when(F.col("kind") == "block", F.struct("block_idx", F.hex("data").alias("x")))))
+    whole = F.unhex(F.array_join(F.transform(data, lambda b: b["x"]), ""))
+    wrong = F.min(F.when(F.col("status") != "ok", F.col("status")))
+    ended = F.count_if(F.col("kind") == "trailer") == 1
+    per = found.groupBy("stream_id").agg(whole.alias("content"), wrong.alias("wrong"), ended.alias("ended"))
+    status = F.coalesce("wrong", F.when(F.col("ended"), "ok").otherwise("open"))
+    return per.select("stream_id", F.octet_length("content").cast("long").alias("bytes"), F.md5("content").alias("digest"), status.alias("status"))
+
+
 @query("SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS bytes, md5(coalesce(html, '')) AS digest FROM pages")
 def source_roundtrip(spark, sf_dir):
     """Pages written through the sink and read back block by block through the source."""
@@ -409,8 +555,8 @@ def stream_roundtrip(spark, sf_dir):
     return _told(archives.unpack(packed)).withColumnRenamed("file_id", "stream_id")
 
 
-@query("""SELECT l_orderkey, l_linenumber, (CASE WHEN l_partkey < 4 THEN l_partkey ELSE (length(ltrim(bin(l_partkey), '0')) - 1) * 2 + (l_partkey >> (length(ltrim(bin(l_partkey), '0')) - 2)) & 1 END)::BIGINT AS slot,
-(CASE WHEN l_linenumber + 1 < 6 THEN l_linenumber - 1 ELSE 3 END)::INT AS state FROM lineitem""".replace("+ (l_partkey >>", "+ ((l_partkey >>").replace("- 2)) & 1 END", "- 2)) & 1) END"))
+@query("""SELECT l_orderkey, l_linenumber, (CASE WHEN l_partkey < 4 THEN l_partkey ELSE (length(ltrim(bin(l_partkey), '0')) - 1) * 2 + ((l_partkey >> (length(ltrim(bin(l_partkey), '0')) - 2)) & 1) END)::BIGINT AS slot,
+(CASE WHEN l_linenumber + 1 < 6 THEN l_linenumber - 1 ELSE 3 END)::INT AS state FROM lineitem""")
 def dist_slot(spark, sf_dir):
     return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", scalars.dist_slot(F.col("l_partkey")).cast("long").alias("slot"), scalars.dist_state(F.col("l_linenumber") + 1).cast("int").alias("state"))
 
@@ -516,7 +662,7 @@ def verify_range(spark, sf_dir):
     return found.select("file_id", "block_idx", "status", F.md5(F.hex("data").cast("binary")).alias("digest"))
 
 
-@query(f"""SELECT file_id, b::BIGINT AS block_idx, (b % 2)::INT AS copy, md5(substr(hex(encode(content)), 1 + b * 131072, 131072)) AS digest FROM ({_BY_LANG}) f, range(100) t(b) WHERE b < (octet_length(encode(content)) + 65535) // 65536""")
+@query(f"""SELECT file_id, b::BIGINT AS block_idx, (b % 2)::INT AS copy, md5(substr(hex(encode(content)), 1 + b * 131072, 131072)) AS digest FROM (SELECT *, unnest(range((octet_length(encode(content)) + 65535) // 65536)) AS b FROM ({_BY_LANG}))""")
 def multi_copy_repair(spark, sf_dir):
     """Two copies, each with every other block's payload overwritten: each block comes from the copy that has it whole."""
     packed = archives.pack(files_by_lang(spark, sf_dir), Options(block_exp=16, dict_exp=16), raw=True)
@@ -529,6 +675,30 @@ def multi_copy_repair(spark, sf_dir):
     return best.select("file_id", "block_idx", "copy", F.md5(F.hex("data").cast("binary")).alias("digest"))
 
 
+# fixed values: fill byte, KiB and root hash of published constant inputs
+_PUBLISHED = [
+    (0x42, 32, "848eb396076028fdfe1133c3078e4541817f76461d27163adbfc82a55363aee1"),
+    (0x43, 128, "2abdf8fb89c3df201cc4c4d33bdf58a094126177f5820ac9f9b40000468d2d09"),
+    (0x44, 192, "0b6310de56f0483e8175e9b4d30e14123e526959b56b55ba3d803d46a0a7f72e"),
+    (0x45, 256, "999251bdbb729527f92296cd57309ee8548f5bdeb85952f970e55e7573e49c91"),
+    (0x46, 320, "6dc0f6e4fe1c61290891ff698bdb4fecd4b7138f7dba6587daf93a717e35f830"),
+    (0x47, 512, "303af5f1fb59ac7b2f654d87544b6b7ffd40b1b269916bcfe310ac25977d5b5c"),
+    (0x48, 1024, "544f851259a35e14f6db263bec303018931571071820a691207189ec537288e2"),
+    (0x49, 200, "11d18712ed9237e3492805542aa2600d6ad339d14c3095ec136ce0c2c884473d"),
+    (0x4A, 260, "e35d464de3144ea508a4944dbb89b3017d41efa76ff840dee6fa117be46e615a"),
+    (0x4B, 128, "15741f4c1583214c8dc575bc7e2849c6d3728583f81f67c7524d4fdc5ec18f87"),
+]
+
+
+@query(f"SELECT fill::BIGINT AS file_id, (kib // 64 + (kib % 64 > 0)::INT)::BIGINT AS n_blocks, kib * 1024::BIGINT AS size, root AS root_hash FROM (VALUES {', '.join(map(str, _PUBLISHED))}) t(fill, kib, root)")
+def published_roots(spark, sf_dir):
+    """Root hashes of inputs whose hashes are published, from blocks of 64 KiB hashed side by side."""
+    rows = spark.createDataFrame([(f, k) for f, k, _ in _PUBLISHED], "file_id long, kib int")
+    files = rows.select("file_id", F.encode(F.expr("repeat(char(file_id), kib * 1024)"), "UTF-8").alias("content"))
+    encoded = archives.encode_blocks(files, Options(block_exp=16, dict_exp=16), raw=True)
+    return archives.file_roots(encoded).select("file_id", "n_blocks", "size", F.lower(F.hex("root_hash")).alias("root_hash"))
+
+
 @query()
 def root_hashes(spark, sf_dir):
     encoded = archives.encode_blocks(files_by_lang(spark, sf_dir), Options(block_exp=16, dict_exp=16), raw=True)
@@ -562,19 +732,51 @@ def buffer_functions(spark, sf_dir):
     return rows.selectExpr("page_id", "p.code AS code", "md5(unpack(p.data).data) AS digest")
 
 
-@query("SELECT doc_id, sum(octet_length(encode(text)))::BIGINT AS usize FROM documents WHERE text <> '' GROUP BY doc_id")
+@query("SELECT doc_id, octet_length(encode(coalesce(text, '')))::BIGINT AS usize FROM documents")
 def chunk_walk(spark, sf_dir):
     """Chunk headers of coded payloads add up to the data."""
     _functions(spark)
-    documents_as_files(spark, sf_dir).where("octet_length(content) > 0").selectExpr("file_id", "lz_encode(content, 2) AS payload").createOrReplaceTempView("_payloads")
-    return spark.sql("SELECT file_id AS doc_id, sum(usize) AS usize FROM _payloads, LATERAL lz_chunks(payload) GROUP BY file_id")
+    documents_as_files(spark, sf_dir).selectExpr("file_id", "lz_encode(content, 2) AS payload").createOrReplaceTempView("_payloads")
+    return spark.sql("SELECT file_id AS doc_id, coalesce(sum(usize), 0L) AS usize FROM _payloads LEFT JOIN LATERAL lz_chunks(payload) GROUP BY file_id")
 
 
-@query("SELECT doc_id, (octet_length(encode(coalesce(text, ''))) + 238) // 239 AS codewords FROM documents WHERE text <> ''")
+@query("SELECT doc_id, (octet_length(encode(coalesce(text, ''))) + 238) // 239 AS codewords FROM documents")
 def codeword_rows(spark, sf_dir):
     _functions(spark)
-    documents_as_files(spark, sf_dir).where("octet_length(content) > 0").selectExpr("file_id", "rs_encode(content, 1) AS stored").createOrReplaceTempView("_stored")
-    return spark.sql("SELECT file_id AS doc_id, count(*) AS codewords FROM _stored, LATERAL codewords(stored, 1) GROUP BY file_id")
+    documents_as_files(spark, sf_dir).selectExpr("file_id", "rs_encode(content, 1) AS stored").createOrReplaceTempView("_stored")
+    return spark.sql("SELECT file_id AS doc_id, count(cw_idx) AS codewords FROM _stored LEFT JOIN LATERAL codewords(stored, 1) GROUP BY file_id")
+
+
+@query("SELECT doc_id, md5(coalesce(text, '')) AS decoded, md5(coalesce(text, '')) AS corrected, 0::BIGINT AS changed, 0::BIGINT AS lost FROM documents")
+def coded_functions(spark, sf_dir):
+    """Coding and the strongest parity (three) there and back as SQL functions."""
+    _functions(spark)
+    rows = documents_as_files(spark, sf_dir).selectExpr("file_id AS doc_id", "content", "lz_decode(lz_encode(content, 2), 2) AS plain", "rs_decode(rs_encode(content, 3), 3) AS p")
+    return rows.selectExpr("doc_id", "md5(plain) AS decoded", "md5(substring(p.data, 1, octet_length(content))) AS corrected", "p.corrected AS changed", "p.lost AS lost")
+
+
+@query("SELECT doc_id AS file_id, octet_length(encode(coalesce(text, '')))::BIGINT AS bytes, md5(coalesce(text, '')) AS digest, 'ok' AS status FROM documents")
+def extreme_roundtrip(spark, sf_dir):
+    """The strongest parity, every stretch damaged as far as it can be corrected, read with validation."""
+    packed = archives.pack(documents_as_files(spark, sf_dir), preset(1).with_(ecc=3, block_exp=16), raw=True)
+    return _told(archives.unpack(archives.damage(packed, 13)))
+
+
+@query(f"""SELECT file_id, ((octet_length(encode(content)) + 65535) // 65536)::BIGINT AS blocks, true AS same FROM ({_BY_LANG})""")
+def tree_functions(spark, sf_dir):
+    """The root from block values as SQL functions compute them, and as the archives' own records and trailer have it."""
+    _functions(spark)
+    files = files_by_lang(spark, sf_dir)
+    packed = archives.pack(files, Options(block_exp=16, dict_exp=16), raw=True)
+    packed.createOrReplaceTempView("_archives")
+    listed = spark.sql("SELECT file_id, array_sort(collect_list(struct(block_idx, cv))) AS v FROM _archives, LATERAL archive_blocks(archive) GROUP BY file_id")
+    listed = listed.selectExpr("file_id", "tree_root(transform(v, x -> x.cv)) AS by_records")
+    plan = blocks.block_plan(files, F.octet_length("content"), 16, ["file_id", "content"])
+    own = plan.selectExpr("file_id", "block_idx", "block_cv(substring(content, cast(block_offset + 1 AS int), cast(size AS int)), block_offset, block_offset = 0 AND is_last) AS cv")
+    own = own.groupBy("file_id").agg(F.count(F.lit(1)).alias("blocks"), F.array_sort(F.collect_list(F.struct("block_idx", "cv"))).alias("v"))
+    own = own.selectExpr("file_id", "blocks", "tree_root(transform(v, x -> x.cv)) AS by_values")
+    ends = archives.list_archives(packed).select("file_id", "root_hash")
+    return ends.join(listed, "file_id").join(own, "file_id").selectExpr("file_id", "blocks", "by_records = root_hash AND by_values = root_hash AS same")
 
 
 @query("SELECT conv_id, sum(octet_length(encode(text)))::BIGINT AS bytes, count(*) AS segments FROM conversations GROUP BY conv_id")

@@ -1,20 +1,36 @@
 """Archives as a Spark data source: ``spark.read.format("strongbox")`` and the sinks.
 
 Reading: ``mode`` is ``meta`` (a row per archive), ``blocks`` (a row per block
-record) or ``data`` (blocks decoded).  ``meta`` and ``blocks`` read 64 bytes per
-block.  A partition of ``data`` is a run of blocks of one archive, read by its
-byte range, so that one large archive feeds many tasks.  Filters on block_idx and
-path are pushed into the partitions.
+record) or ``data`` (blocks decoded).  The path is an archive, a folder (of which
+the files that end in the suffix are read) or a glob (``**`` for folders of any
+depth).  ``meta`` and ``blocks`` read 64 bytes per block.  Nothing of an archive is
+read to plan: a partition of ``data`` is a byte range of an archive, whose task
+walks the records up to its end and decodes the blocks that begin in it, so that
+one large archive feeds many tasks.  Filters on block_idx and path are pushed
+into the partitions.  An archive whose records, root hash or size are wrong has a
+row in ``data`` with its status and no block_idx; ``strict`` makes that, and a bad
+block, fail the query.  With a filter on block_idx only blocks are judged.
 
 Writing: rows (name STRING, content BINARY) become archives ``<name><suffix>``, by
-default ``.sba`` (option ``suffix``, also for reading).  A task writes under temporary names; the commit renames, an abort removes.
-
-Streaming: archives that appear in a folder are read once each, in order of name.
+default ``.sba`` (option ``suffix``, also for reading), block by block.  With
+``pieces`` rows of one name that follow each other in a task are pieces of one
+archive.  A task writes under temporary names in the job's own folder; the commit
+renames, an abort removes.  Overwriting replaces the archives of the folder;
+otherwise a name that is there, or one that two rows have, fails the commit, and
+so does a null name.
+
+Streaming: archives that appear in a folder, and those that change, are read once
+each, whatever their names.  What has been read is in the offset, so that a
+restart goes on from the checkpoint; ``logPath`` names a folder, one for each
+query, for a log that keeps offsets short where a stream reads many archives.
 """
 
 from __future__ import annotations
 
+import glob
 import json
+import math
+import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -45,32 +61,54 @@ def _store(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
     return pyarrow.fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
 
 
-def archive_files(path: str, suffix: str = SUFFIX) -> list[tuple[str, int]]:
-    """(path, size) of an archive or of the files of a folder that end in the suffix, by name."""
-    store, base = _store(path)
+def _split(path: str) -> tuple[str, str | None]:
+    """The folder that a glob begins in, and the glob from there; a plain path and None."""
+    magic = re.search(r"[*?\[]", path)
+    if not magic:
+        return path, None
+    cut = path.rfind("/", 0, magic.start()) + 1
+    return path[:cut] or ".", path[cut:]
+
+
+def archive_files(path: str, suffix: str = SUFFIX) -> list[tuple[str, int, int]]:
+    """(path, size, nanoseconds of change) of an archive, of a folder's files that end in the suffix, or of a glob's files; by name."""
+    root, pattern = _split(path)
+    store, base = _store(root)
+    base = base.rstrip("/") or "/"
     info = store.get_file_info(base)
     if info.type == pyarrow.fs.FileType.File:
-        return [(base, info.size)]
+        return [(base, info.size, info.mtime_ns or 0)]
     found = store.get_file_info(pyarrow.fs.FileSelector(base, recursive=True))
-    return sorted((f.path, f.size) for f in found if f.type == pyarrow.fs.FileType.File and f.path.endswith(suffix))
+    files = [f for f in found if f.type == pyarrow.fs.FileType.File and "/_temporary" not in f.path[len(base) :]]
+    if pattern is not None:
+        fits = re.compile(glob.translate(pattern, recursive=True, include_hidden=True))
+        files = [f for f in files if fits.match(f.path[len(base.rstrip("/")) + 1 :])]
+    else:
+        files = [f for f in files if f.path.endswith(suffix)]
+    return sorted((f.path, f.size, f.mtime_ns or 0) for f in files)
 
 
-def _walk(store, path: str, size: int) -> archive.Directory:
+def _walk(store, path: str, size: int, until: int | None = None) -> archive.Directory:
     with store.open_input_file(path) as f:
-        return archive.walk(lambda at, n: f.read_at(min(n, size - at), at), size)
+        return archive.walk(lambda at, n: f.read_at(min(n, size - at), at), size, until)
 
 
 @dataclass
-class Run(InputPartition):
-    """Blocks first to last of an archive (all fields plain, as partitions travel pickled)."""
+class Run:
+    """The blocks of an archive that begin in a range of its bytes."""
 
     path: str
     size: int
-    first: int = 0
-    last: int = -1
-    places: tuple = ()
-    options: Options | None = None
-    n_blocks: int = 0
+    low: int
+    high: int
+    last: bool
+
+
+@dataclass
+class Runs(InputPartition):
+    """What a task reads (all fields plain, as partitions travel pickled)."""
+
+    held: list[Run]
 
 
 class ArchiveReader(DataSourceReader):
@@ -99,30 +137,32 @@ class ArchiveReader(DataSourceReader):
             else:
                 yield f
 
-    def partitions(self) -> list[Run]:
-        store, _ = _store(self.path)
-        runs = []
-        for path, size in archive_files(self.path, self.suffix):
-            if self.name is not None and path != self.name:
-                continue
-            if self.mode != "data":
-                runs.append(Run(path, size))
-                continue
-            d = _walk(store, path, size)
-            held, total = [], 0
-            for e in d.entries:
-                if self.low <= e.index <= self.high:
-                    held.append((e.index, e.at + 64, e.record.size, e.record.value))
-                    total += e.record.size
-                if held and (total >= self.run_bytes or e is d.entries[-1]):
-                    runs.append(Run(path, size, held[0][0], held[-1][0], tuple(held), d.options, len(d.entries)))
-                    held, total = [], 0
-        return runs or [Run("", 0)]
-
-    def read(self, run: Run) -> Iterator[tuple]:
-        if not run.path:
-            return
-        store, _ = _store(self.path)
+    def runs(self, files: list[tuple]) -> list[Runs]:
+        """Small archives together, large ones in ranges."""
+        out, total = [], 0
+        for path, size, _ in files:
+            # every task walks from the archive's start: longer ranges, as a root, keep that in proportion
+            step = max(self.run_bytes, math.isqrt(size * self.run_bytes)) if self.mode == "data" else max(size, 1)
+            parts = max(1, -(-size // step))
+            for k in range(parts):
+                run = Run(path, size, k * step, (k + 1) * step, k == parts - 1)
+                if not out or parts > 1 or total + size > self.run_bytes or len(out[-1].held) >= 1000:
+                    out.append(Runs([]))
+                    total = 0
+                out[-1].held.append(run)
+                total += min(size, step)
+        return out
+
+    def partitions(self) -> list[Runs]:
+        files = archive_files(self.path, self.suffix)
+        return self.runs([f for f in files if self.name in (None, f[0])]) or [Runs([])]
+
+    def read(self, runs: Runs) -> Iterator[tuple]:
+        for run in runs.held:
+            yield from self._rows(run)
+
+    def _rows(self, run: Run) -> Iterator[tuple]:
+        store, _ = _store(_split(self.path)[0])
         if self.mode != "data":
             d = _walk(store, run.path, run.size)
             if self.mode == "blocks":
@@ -132,20 +172,40 @@ class ArchiveReader(DataSourceReader):
                 return
             o, t = d.options, d.trailer
             yield (
-                run.path, d.status, *((o.ecc, o.prefilter, o.block_exp, o.dict_exp) if o else (None,) * 4), len(d.entries),
+                run.path, archive.told(d), *((o.ecc, o.prefilter, o.block_exp, o.dict_exp) if o else (None,) * 4), len(d.entries),
                 sum(e.record.size for e in d.entries), run.size, t.size if t else None, t.value if t else None, d.corrected,
             )
             return
+        d = _walk(store, run.path, run.size, None if run.last else run.high)
+        length = 0
         with store.open_input_file(run.path) as f:
-            for index, at, size, value in run.places:
-                data, status, corrected = archive.decode_payload(f.read_at(size, at), run.options, self.validate)
+            for e in d.entries:
+                own = run.low <= e.at < run.high and self.low <= e.index <= self.high
+                tail = run.last and e is d.entries[-1]
+                if not own and not (tail and self._whole()):
+                    continue
+                data, status, corrected = archive.decode_payload(f.read_at(e.record.size, e.at + 64), d.options, self.validate)
+                length = len(data or b"")
+                if not own:
+                    continue
                 if data is not None:
-                    lone = run.n_blocks == 1
-                    own = blake.block_values([(data, index << run.options.block_exp, r) for r in ((True, False) if lone else (False,))])
-                    status = "ok" if value in own else "hash"
+                    lone = len(d.entries) == 1
+                    values = blake.block_values([(data, e.index << d.options.block_exp, r) for r in ((True, False) if lone else (False,))])
+                    status = "ok" if e.record.value in values else "hash"
                 if self.strict and status != "ok":
-                    raise ValueError(f"{run.path}, block {index}: {status}")
-                yield run.path, index, status, corrected, data
+                    raise ValueError(f"{run.path}, block {e.index}: {status}")
+                yield run.path, e.index, status, corrected, data
+        if run.last and self._whole():
+            status = archive.told(d)
+            if status == "ok" and d.trailer.size != (max(len(d.entries) - 1, 0) << d.options.block_exp) + length:
+                status = "size"
+            if status != "ok":
+                if self.strict:
+                    raise ValueError(f"{run.path}: {status}")
+                yield run.path, None, status, 0, None
+
+    def _whole(self) -> bool:
+        return self.low <= 0 and self.high >= 2**62
 
 
 @dataclass
@@ -154,65 +214,125 @@ class Written(WriterCommitMessage):
 
 
 class ArchiveWriter(DataSourceWriter):
-    def __init__(self, options: dict):
-        self.path, self.suffix = options["path"], options.get("suffix", SUFFIX)
+    def __init__(self, options: dict, overwrite: bool = False):
+        self.path, self.suffix, self.overwrite = options["path"], options.get("suffix", SUFFIX), overwrite
+        self.pieces = options.get("pieces", "false").lower() == "true"
+        self.held = f"_temporary-{uuid.uuid4().hex}"  # the job's own: it travels to the tasks
         o = preset(int(options.get("preset", 6))).with_(ecc=int(options.get("ecc", 1)))
         values = {k: int(options[n]) for k, n in (("prefilter", "prefilter"), ("block_exp", "blockExponent"), ("dict_exp", "dictExponent")) if n in options}
         self.options = o.with_(**values)
 
     def write(self, rows) -> Written:
         store, base = _store(self.path)
-        store.create_dir(f"{base}/_temporary", recursive=True)
-        names = []
+        store.create_dir(f"{base}/{self.held}", recursive=True)
+        names, current, packer, out = [], None, None, None
+
+        def close() -> None:
+            if out is not None:
+                for part in packer.end():
+                    out.write(part)
+                out.close()
+
         for row in rows:
-            held = f"{base}/_temporary/{uuid.uuid4().hex}"
-            with store.open_output_stream(held) as out:
-                out.write(archive.pack(bytes(row["content"] or b""), self.options))
-            names.append((held, f"{base}/{row['name']}{self.suffix}"))
+            name = row["name"]
+            if name is None or ".." in name.split("/"):
+                raise ValueError(f"no name for an archive: {name}")
+            if out is None or not self.pieces or name != current:
+                close()
+                held = f"{base}/{self.held}/{uuid.uuid4().hex}"
+                current, packer, out = name, archive.Packer(self.options), store.open_output_stream(held)
+                names.append((held, f"{base}/{name}{self.suffix}"))
+            for part in packer.feed(bytes(row["content"] or b"")):
+                out.write(part)
+        close()
         return Written(names)
 
     def commit(self, messages) -> None:
         store, base = _store(self.path)
-        for message in messages:
-            for held, name in message.names if message else ():
+        try:
+            moves = [m for message in messages for m in (message.names if message else ())]
+            names = {name for _, name in moves}
+            there = [p for p, _, _ in archive_files(self.path, self.suffix)] if store.get_file_info(base).type == pyarrow.fs.FileType.Directory else []
+            if len(names) < len(moves):
+                raise ValueError(f"{len(moves) - len(names)} names are given more than once")
+            if not self.overwrite and (both := names & set(there)):
+                raise ValueError(f"{len(both)} archives are there already, as {min(both)}")
+            for old in there if self.overwrite else ():
+                store.delete_file(old)
+            for held, name in moves:
                 store.create_dir(name.rpartition("/")[0], recursive=True)
                 store.move(held, name)
-        self._clean(store, base)
+        finally:
+            self._clean(store, base)
 
     def abort(self, messages) -> None:
         store, base = _store(self.path)
         self._clean(store, base)
 
     def _clean(self, store, base: str) -> None:
-        if store.get_file_info(f"{base}/_temporary").type == pyarrow.fs.FileType.Directory:
-            store.delete_dir(f"{base}/_temporary")
+        if store.get_file_info(f"{base}/{self.held}").type == pyarrow.fs.FileType.Directory:
+            store.delete_dir(f"{base}/{self.held}")
 
 
 class ArchiveStream(DataSourceStreamReader):
-    """Offsets are the last name read; a batch holds up to ``maxFilesPerTrigger`` archives more."""
+    """A file is known by its name, size and time of change.
+
+    Without a log an offset is the list of all files read so far, and a batch holds
+    all that are new: the source isn't told where a query stood, so after a restart
+    it can't tell which of them come first.  With a log an offset is the number of
+    the last batch, the log has a file for each batch with what was new in it, and
+    a batch holds up to ``maxFilesPerTrigger`` archives.
+    """
 
     def __init__(self, options: dict):
         self.reader = ArchiveReader(options, "data")
         self.path, self.most = options["path"], int(options.get("maxFilesPerTrigger", 1000))
-        self.at = ""
+        self.log = options.get("logPath")
+        self.seen: set[tuple] = set()
+        self.batches: list[list] = []
+
+    def _entries(self) -> list[tuple]:
+        return archive_files(self.path, self.reader.suffix)
+
+    def _read_log(self, to: int | None = None) -> None:
+        store, base = _store(self.log)
+        store.create_dir(base, recursive=True)
+        while to is None or len(self.batches) < to:
+            name = f"{base}/{len(self.batches) + 1}.json"
+            if store.get_file_info(name).type != pyarrow.fs.FileType.File:
+                return
+            with store.open_input_stream(name) as f:
+                self.batches.append([tuple(e) for e in json.loads(f.read())])
 
     def initialOffset(self) -> dict:  # noqa: N802
-        return {"after": ""}
+        return {"batch": 0} if self.log else {"seen": "[]"}
 
     def latestOffset(self) -> dict:  # noqa: N802
-        new = [p for p, _ in archive_files(self.path, self.reader.suffix) if p > self.at][: self.most]
-        if new:
-            self.at = new[-1]
-        return {"after": self.at}
-
-    def partitions(self, start: dict, end: dict) -> list[Run]:
-        return [r for r in self.reader.partitions() if start["after"] < r.path <= end["after"]]
-
-    def read(self, run: Run) -> Iterator[tuple]:
-        return self.reader.read(run)
-
-    def commit(self, end: dict) -> None:
-        json.dumps(end)
+        if not self.log:
+            self.seen |= set(self._entries())
+            return {"seen": json.dumps(sorted(self.seen))}
+        self._read_log()
+        known = {e for batch in self.batches for e in batch}
+        if new := [e for e in self._entries() if e not in known][: self.most]:
+            store, base = _store(self.log)
+            number = len(self.batches) + 1
+            with store.open_output_stream(f"{base}/{number}.tmp") as out:
+                out.write(json.dumps(new).encode())
+            store.move(f"{base}/{number}.tmp", f"{base}/{number}.json")
+            self.batches.append(new)
+        return {"batch": len(self.batches)}
+
+    def partitions(self, start: dict, end: dict) -> list[Runs]:
+        if self.log:
+            self._read_log(end["batch"])
+            new = [e for batch in self.batches[start["batch"] : end["batch"]] for e in batch]
+        else:
+            before = {tuple(e) for e in json.loads(start["seen"])}
+            new = [e for e in map(tuple, json.loads(end["seen"])) if e not in before]
+        return self.reader.runs(new)
+
+    def read(self, runs: Runs) -> Iterator[tuple]:
+        return self.reader.read(runs)
 
 
 class Strongbox(DataSource):
@@ -227,7 +347,7 @@ class Strongbox(DataSource):
         return ArchiveReader(self.options, self.options.get("mode", "data"))
 
     def writer(self, schema: StructType, overwrite: bool) -> ArchiveWriter:
-        return ArchiveWriter(self.options)
+        return ArchiveWriter(self.options, overwrite)
 
     def streamReader(self, schema: StructType) -> ArchiveStream:  # noqa: N802
         return ArchiveStream(self.options)

@@ -24,17 +24,20 @@ def advance(state: tuple, rows: list[tuple[int, bytes]]) -> tuple[tuple, list[tu
     """A stream's state after more rows, and (block_idx, kind, status, corrected, data) found."""
     pending, header, n, size, values, partial, next_, early, done = state
     waiting = dict(early) | {seq: data for seq, data in rows if seq >= next_}
+    parts = [pending]
     while next_ in waiting:
-        pending, next_ = pending + (waiting.pop(next_) or b""), next_ + 1
+        parts.append(waiting.pop(next_) or b"")
+        next_ += 1
+    pending, at = b"".join(parts), 0  # the open block is copied once a batch
     out: list[tuple] = []
     if not header and len(pending) >= 32 and not done:
-        header, pending = pending[:32], pending[32:]
+        header, at = pending[:32], 32
         _, status, corrected = records.parse_header(header)
         out.append((-1, "header", status, max(corrected, 0), None))
         done = status != "ok"
     options = records.parse_header(header)[0] if header else None
-    while options and not done and len(pending) >= 64:
-        record = records.parse_record(pending[:64])
+    while options and not done and len(pending) - at >= 64:
+        record = records.parse_record(pending[at : at + 64])
         if record is None:
             out.append((n, "block", "record_uncorrectable", 0, None))
             done = True
@@ -46,18 +49,18 @@ def advance(state: tuple, rows: list[tuple[int, bytes]]) -> tuple[tuple, list[tu
         elif partial:
             out.append((n, "block", "partial_inside", record.corrected, None))
             done = True
-        elif len(pending) < 64 + record.size:
+        elif len(pending) - at < 64 + record.size:
             break
         else:
-            data, status, corrected = archive.decode_payload(pending[64 : 64 + record.size], options)
+            data, status, corrected = archive.decode_payload(pending[at + 64 : at + 64 + record.size], options)
             if data is not None:
                 # whether the first block is the only one is not known yet: either value will do
                 own = blake.block_values([(data, n << options.block_exp, r) for r in ((True, False) if n == 0 else (False,))])
                 status = "ok" if record.value in own else "hash"
             out.append((n, "block", status, corrected + record.corrected, data))
-            pending, values = pending[64 + record.size :], values + record.value
+            at, values = at + 64 + record.size, values + record.value
             n, size, partial = n + 1, size + len(data or b""), record.partial
-    return (b"" if done else pending, header, n, size, values, partial, next_, sorted(waiting.items()), done), out
+    return (b"" if done else pending[at:], header, n, size, values, partial, next_, sorted(waiting.items()), done), out
 
 
 def decode_stream(rows: DataFrame) -> DataFrame:

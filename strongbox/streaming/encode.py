@@ -39,18 +39,22 @@ def advance(state: tuple, rows: list[tuple[int, bytes, bool]], o: Options) -> tu
         out.append((n, "block", records.block_header(len(payload), len(block) < unit, cv) + payload))
         n, values = n + 1, values + cv
 
+    parts = [pending]
     while not done and next_ in waiting:
-        data, eos = waiting.pop(next_)
-        pending, size, next_ = pending + (data or b""), size + len(data or b""), next_ + 1
-        while len(pending) > unit:
-            seal(pending[:unit], False)
-            pending = pending[unit:]
-        if eos:
-            if pending:
-                seal(pending, n == 0)
-            pending, done = b"", True
-            root = blake.root_of([values[k : k + 32] for k in range(0, len(values), 32)])
-            out.append((2**62, "trailer", records.trailer(size, root)))
+        data, done = waiting.pop(next_)
+        parts.append(data or b"")
+        size, next_ = size + len(data or b""), next_ + 1
+    pending, at = b"".join(parts), 0  # the open block is copied once a batch
+    while len(pending) - at > unit:
+        seal(pending[at : at + unit], False)
+        at += unit
+    pending = pending[at:]
+    if done and len(parts) > 1:
+        if pending:
+            seal(pending, n == 0)
+        pending = b""
+        root = blake.root_of([values[k : k + 32] for k in range(0, len(values), 32)])
+        out.append((2**62, "trailer", records.trailer(size, root)))
     return (pending, size, n, values, next_, [(s, d, e) for s, (d, e) in sorted(waiting.items())], done), out
 
 

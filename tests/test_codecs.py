@@ -248,3 +248,31 @@ def test_replace_block():
     for index, part in ((0, b"short"), (3, b"x"), (2, bytes(65537)), (2, b"")):
         with pytest.raises(ValueError):
             archive.replace_block(packed, index, part)
+
+
+@pytest.mark.parametrize("n,k", [(255, 239), (255, 223), (255, 191), (32, 10), (64, 40)])
+def test_many_codewords_at_once(n, k):
+    """As many errors as can be corrected, or fewer, or one more, in a table of codewords."""
+    rng = np.random.default_rng(n + k)
+    data = rng.integers(0, 256, (300, k)).astype(np.uint8)
+    words, most = np.hstack([data, rs.encode(data, n, k)]), (n - k) // 2
+    errors = rng.integers(0, most + 2, len(words))
+    bad = words.copy()
+    for row, e in enumerate(errors.tolist()):
+        bad[row, rng.choice(n, e, replace=False)] ^= rng.integers(1, 256, e).astype(np.uint8)
+    fixed, changed = rs.decode(bad, n, k)
+    sound = errors <= most
+    assert (fixed[sound] == words[sound]).all() and (changed[sound] == errors[sound]).all()
+    assert not rs.dirty(fixed[changed >= 0], n, k).any() and (fixed[changed < 0] == bad[changed < 0]).all()
+    assert (changed[~sound] < 0).mean() > 0.9 and len(rs.decode(bad[:0], n, k)[0]) == 0
+
+
+def test_archive_in_pieces():
+    rng = np.random.default_rng(2)
+    o = preset(1).with_(ecc=1, block_exp=16)
+    for size in (0, 1, 65_535, 65_536, 65_537, 131_072, 200_000):
+        data = rng.integers(0, 60, size).astype(np.uint8).tobytes()
+        for step in (1000, 70_000, 10**6):
+            p = archive.Packer(o)
+            parts = [x for at in range(0, size, step) for x in p.feed(data[at : at + step])]
+            assert b"".join([*parts, *p.end()]) == archive.pack(data, o)

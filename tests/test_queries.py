@@ -44,8 +44,9 @@ def test_native_parity_is_the_codec_s(spark):
     import numpy as np
 
     rows = queries.rs_parity_64_40(spark, DATA).collect()
-    texts = {r.doc_id: r.text.encode()[:40] for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
-    data = np.array([np.frombuffer(texts[r.key], np.uint8) for r in rows])
+    texts = {r.doc_id: r.text.encode() for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    words = [texts[r.key][40 * r.word_idx : 40 * r.word_idx + 40].ljust(40, b"\0") for r in rows]
+    data = np.frombuffer(b"".join(words), np.uint8).reshape(-1, 40)
     assert [r.parity for r in rows] == [p.tobytes().hex() for p in rs.encode(data, 64, 40)]
 
 

@@ -47,6 +47,126 @@ def test_stream_reads_each_archive_once(spark, tmp_path):
     assert sorted(bytes(r.data) for r in spark.table("arrived").collect()) == [b"first", b"second"]
 
 
+def write(spark, rows, target, mode="append", **options):
+    frame = spark.createDataFrame(rows, "name string, content binary").coalesce(1)
+    frame.write.format("strongbox").options(preset=1, blockExponent=16, **options).option("path", target).mode(mode).save()
+
+
+def read(spark, path, **options):
+    return spark.read.format("strongbox").options(**options).load(path)
+
+
+def test_overwrite_names_and_pieces(spark, tmp_path):
+    register(spark)
+    target = str(tmp_path / "out")
+    write(spark, [("a", b"one"), ("b", b"two")], target)
+    with pytest.raises(Exception, match="there already"):
+        write(spark, [("b", b"three"), ("c", b"four")], target)
+    for rows, said in (([("d", b"1"), ("d", b"2")], "more than once"), ([(None, b"1")], "no name"), ([("../e", b"1")], "no name")):
+        with pytest.raises(Exception, match=said):
+            write(spark, rows, target)
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["a.sba", "b.sba"]  # nothing half done, no folder left
+    write(spark, [("c", b"four")], target, "overwrite")
+    assert [p.name for p in (tmp_path / "out").iterdir()] == ["c.sba"]
+    data = data_of(300_000, 8)
+    write(spark, [("p", data[:100_000]), ("p", data[100_000:100_001]), ("p", data[100_001:]), ("q", b""), ("r", None)], target, pieces="true")
+    assert (tmp_path / "out" / "p.sba").read_bytes() == archive.pack(data, OPTIONS)
+    meta = {r.path.rpartition("/")[2]: (r.status, r.size) for r in read(spark, target, mode="meta").collect()}
+    assert meta == {"c.sba": ("ok", 4), "p.sba": ("ok", len(data)), "q.sba": ("ok", 0), "r.sba": ("ok", 0)}
+
+
+def test_globs(spark, tmp_path):
+    register(spark)
+    for name in ("x1.sba", "x2.bin", "y1.sba", "sub/x3.sba", "sub/deep/x4.sba"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(archive.pack(name.encode(), OPTIONS))
+    found = lambda path: sorted(bytes(r.data).decode() for r in read(spark, path).collect())
+    assert found(str(tmp_path)) == ["sub/deep/x4.sba", "sub/x3.sba", "x1.sba", "y1.sba"]
+    assert found(f"{tmp_path}/x*") == ["x1.sba", "x2.bin"] and found(f"file://{tmp_path}/**/x[34].sba") == ["sub/deep/x4.sba", "sub/x3.sba"]
+    assert found(f"{tmp_path}/*/x?.sba") == ["sub/x3.sba"] and found(f"{tmp_path}/y1.sba") == ["y1.sba"] and found(f"{tmp_path}/none*") == []
+
+
+def test_broken_archives_are_told(spark, tmp_path):
+    from strongbox.codecs import records
+
+    register(spark)
+    data = data_of(300_000, 9)
+    whole = archive.pack(data, OPTIONS)
+    d = archive.directory(whole)
+    second, third = d.entries[1].at, d.entries[2].at
+    magic = records._with_parity(b"\0\0\0\0" + whole[4:10], 32)
+    files = {
+        "ok": whole, "magic": magic + whole[32:], "record_uncorrectable": whole[:second] + bytes(range(64)) + whole[second + 64 :], "truncated": whole[:-30],
+        "root": whole[:-64] + records.trailer(len(data), bytes(32)), "size": whole[:-64] + records.trailer(len(data) + 1, d.trailer.value),
+        "header_uncorrectable": bytes(range(1, 33)) + whole[32:], "missing": whole[:second] + whole[third:], "trailing_bytes": whole + b"more", "empty": b"",
+    }
+    for name, content in files.items():
+        (tmp_path / f"{name}.sba").write_bytes(content)
+    for size in (1000, 1 << 25):
+        rows = read(spark, str(tmp_path), runBytes=size).collect()
+        told = {r.path.rpartition("/")[2][:-4]: r.status for r in rows if r.block_idx is None}
+        good = {n: sum(r.status == "ok" and r.block_idx is not None for r in rows if r.path.endswith(f"/{n}.sba")) for n in files}
+        n = len(d.entries)
+        assert told == {k: "root" if k == "missing" else "truncated" if k == "empty" else k for k in files if k != "ok"}
+        assert good == {"ok": n, "magic": 0, "record_uncorrectable": 1, "truncated": n, "root": n, "size": n, "header_uncorrectable": 0, "missing": 1, "trailing_bytes": n, "empty": 0}
+    assert b"".join(bytes(r.data) for r in read(spark, f"{tmp_path}/ok.sba", strict="true", runBytes=1000).orderBy("block_idx").collect()) == data
+    for name in files.keys() - {"ok"}:
+        with pytest.raises(Exception, match="sba"):
+            read(spark, f"{tmp_path}/{name}.sba", strict="true").collect()
+    assert [r.block_idx for r in read(spark, f"{tmp_path}/trailing_bytes.sba").where("block_idx = 1").collect()] == [1]
+
+
+@pytest.mark.parametrize("log", [False, True])
+def test_stream_goes_on_after_a_restart(spark, tmp_path, log):
+    """Late names, changed files, several batches, a stop in between: each archive is read once."""
+    register(spark)
+    folder = tmp_path / "in"
+    folder.mkdir()
+    put = lambda name, data: (folder / f"{name}.sba").write_bytes(archive.pack(data, OPTIONS))
+    options = {"maxFilesPerTrigger": "2"} | ({"logPath": str(tmp_path / "log")} if log else {})
+
+    def run():
+        stream = spark.readStream.format("strongbox").options(**options).load(str(folder))
+        query = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).start()
+        query.processAllAvailable()
+        return query
+
+    for k in range(5):
+        put(f"m{k}", b"first %d" % k)
+    query = run()
+    put("a0", b"late name")
+    query.processAllAvailable()
+    query.stop()
+    put("b0", b"while stopped")
+    put("m1", b"changed since")
+    query = run()
+    put("z", b"last")
+    query.processAllAvailable()
+    query.stop()
+    found = sorted(bytes(r.data) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert found == sorted([b"first %d" % k for k in range(5)] + [b"late name", b"while stopped", b"changed since", b"last"])
+
+
+def test_decoding_stream_of_many(spark, tmp_path):
+    wanted = {f"s{k}": data_of(80_000 + 40_000 * k, k) for k in range(3)}
+    schema, rows = "stream_id string, seq long, data binary", []
+    for s, d in wanted.items():
+        packed = archive.damage(archive.pack(d, OPTIONS), 3)[0]
+        rows += [(s, i, packed[i * 9000 : (i + 1) * 9000]) for i in range(-(-len(packed) // 9000))]
+    rows += [("cut", 0, archive.pack(b"cut short", OPTIONS)[:100]), ("bad", 0, bytes(range(100)))]
+    for k in range(3):
+        spark.createDataFrame(rows[k::3], schema).write.parquet(str(tmp_path / "in" / f"p{k}"))
+    source = spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    query = decode.decode_stream(source).writeStream.format("memory").queryName("decoded").option("checkpointLocation", str(tmp_path / "cp")).start()
+    query.processAllAvailable()
+    query.stop()
+    found = spark.table("decoded").orderBy("stream_id", "block_idx").collect()
+    for s, d in wanted.items():
+        own = [r for r in found if r.stream_id == s]
+        assert b"".join(bytes(r.data) for r in own if r.kind == "block") == d and {r.status for r in own} == {"ok"} and own[-1].kind == "trailer"
+    assert [(r.kind, r.status) for r in found if r.stream_id in ("bad", "cut")] == [("header", "header_uncorrectable"), ("header", "ok")]
+
+
 @pytest.mark.parametrize("size", [0, 1, 65536, 65537, 131072, 200_000])
 @pytest.mark.parametrize("step", [700, 65536, 100_000])
 def test_encoder_state_is_independent_of_cuts(size, step):
