@@ -28,6 +28,7 @@ _EDGE = "_@$*0123456789"
 # fixed values: digits and signs that stand in for letters
 _LEET = str.maketrans("013457@$", "oieastas")
 _WINDOW = 8
+_AT_ONCE = 300  # texts of the fit in arrays at a time, on the driver
 
 
 def tokenised(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -337,27 +338,33 @@ def fit(docs: DataFrame, labels: DataFrame, most_toxic: int = 3000, most_clean:
     texts = docs.select("doc_id", F.col("text").alias("t")).where(F.length("t") <= most_chars)
     rows = texts.join(few, F.col("doc_id") == F.col("k")).groupBy("h", "y", "k").agg(F.min(F.struct(F.xxhash64("t").alias("th"), "t"))["t"].alias("t"))
     rows = rows.select("h", "y", "t").collect()
-    rows = sorted(rows, key=lambda r: (r.h, r.t))
-    y = np.array([r.y for r in rows], np.int64)
+    rows = sorted((r.h, r.t, r.y) for r in rows)
+    y, texts = np.array([r[2] for r in rows], np.int64), [r[1] for r in rows]
+    del rows
     if not (y == 1).any() or not (y == 0).any():
         return Scorer(None, None)
-    families, first, words = np.empty(len(rows), np.int64), np.empty(len(rows), bool), []
-    texts, before = pa.array([r.t for r in rows], pa.large_string()), set()
-    names, ids, offsets = tokenised(texts)
-    folded = [f if len(f := fold(t)) >= 3 else "" for t in names]
-    for k in range(len(rows)):
-        own = ids[offsets[k] : offsets[k + 1]].tolist()
-        words.append({folded[i] for i in own} - {""})
-        family = (_family([names[i] for i in own if names[i] != "\n"]) if own else 0, int(y[k]))
-        first[k], families[k] = family not in before, family[0] % 3
-        before.add(family)
+    families, first, words, before = np.empty(len(y), np.int64), np.empty(len(y), bool), [], set()
+    shared: dict[str, str] = {}
+    for at in range(0, len(y), _AT_ONCE):
+        names, ids, offsets = tokenised(pa.array(texts[at : at + _AT_ONCE], pa.large_string()))
+        folded = [shared.setdefault(f, f) if len(f := fold(t)) >= 3 else "" for t in names]
+        for k in range(len(offsets) - 1):
+            own = ids[offsets[k] : offsets[k + 1]].tolist()
+            words.append({folded[i] for i in own} - {""})
+            family = (_family([names[i] for i in own if names[i] != "\n"]) if own else 0, int(y[at + k]))
+            first[at + k], families[at + k] = family not in before, family[0] % 3
+            before.add(family)
     seen = Occurrences(words)
-    del words
-    x = np.zeros((len(rows), 7))
+    del words, before
+    trim()
+    x = np.zeros((len(y), 7))
     for part in range(3):
         scorer = Scorer(Lexicon(seen, y == 1, first & (families != part)), None)
-        out = families == part
-        x[out] = scorer.features(texts.filter(pa.array(out)))
+        out = np.flatnonzero(families == part)
+        for at in range(0, len(out), _AT_ONCE):
+            some = out[at : at + _AT_ONCE]
+            x[some] = scorer.features(pa.array([texts[k] for k in some.tolist()], pa.large_string()))
+        scorer.forget()
     weight = np.where(y == 1, shares[1] / (y == 1).sum(), shares[0] / (y == 0).sum())
     coef = _logistic(x, y, weight * len(y) / weight.sum())
     return Scorer(Lexicon(seen, y == 1, first), coef)
