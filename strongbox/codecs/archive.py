@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -11,19 +11,36 @@ from ..dims import BLOCK_HEADER_SIZE, CODEWORD, HEADER_SIZE, Options
 from . import bcj, blake, lz, records, rs
 
 
+def encode_payloads(blocks: list[bytes], o: Options, raw: bool = False) -> list[bytes]:
+    filtered = [bcj.apply(b, o.prefilter, True) for b in blocks]
+    return rs.protect_many([lz.store(f) if raw else lz.compress(f, o) for f in filtered], records.level(o.ecc))
+
+
 def encode_payload(data: bytes, o: Options, raw: bool = False) -> bytes:
-    filtered = bcj.apply(data, o.prefilter, True)
-    return rs.protect(lz.store(filtered) if raw else lz.compress(filtered, o), records.level(o.ecc))
+    return encode_payloads([data], o, raw)[0]
+
+
+def decode_payloads(payloads: list[tuple[bytes, Options]], validate: bool = True) -> list[tuple[bytes | None, str, int]]:
+    """Of each payload data (None if lost), status, bytes corrected.  Never raises.
+
+    The codewords of all payloads of a level are corrected together.
+    """
+    plain: list[tuple[bytes, int, int]] = [(b"", 0, 0)] * len(payloads)
+    for ecc in {o.ecc for _, o in payloads}:
+        own = [k for k, (_, o) in enumerate(payloads) if o.ecc == ecc]
+        for k, found in zip(own, rs.unprotect_many([payloads[k][0] for k in own], records.level(ecc), validate), strict=True):
+            plain[k] = found
+    out: list[tuple[bytes | None, str, int]] = []
+    for (data, corrected, lost), (_, o) in zip(plain, payloads, strict=True):
+        try:
+            out.append((bcj.apply(lz.decompress(data, o), o.prefilter, False), "ok", corrected))
+        except (lz.FormatError, MemoryError, ValueError) as e:
+            out.append((None, "payload_uncorrectable" if lost else f"payload: {e}", corrected))
+    return out
 
 
 def decode_payload(payload: bytes, o: Options, validate: bool = True) -> tuple[bytes | None, str, int]:
-    """Data (None if lost), status, bytes corrected.  Never raises."""
-    plain, corrected, lost = rs.unprotect(payload, records.level(o.ecc), validate)
-    try:
-        data = bcj.apply(lz.decompress(plain, o), o.prefilter, False)
-    except (lz.FormatError, MemoryError, ValueError) as e:
-        return None, "payload_uncorrectable" if lost else f"payload: {e}", corrected
-    return data, "ok", corrected
+    return decode_payloads([(payload, o)], validate)[0]
 
 
 def split(data: bytes, o: Options) -> list[bytes]:
@@ -101,14 +118,9 @@ class Directory:
         return self.header_corrected + sum(found) + (self.trailer.corrected if self.trailer else 0)
 
 
-def walk(read, size: int, until: int | None = None) -> Directory:
-    """Directory of an archive by ``read(at, n)``, 64 bytes a block; of what begins before ``until`` alone.
-
-    Status: ``ok``; a header rule; ``record_uncorrectable`` or ``truncated`` where
-    the walk had to stop (what lies behind is unknown); ``partial_inside`` if a
-    partial block isn't the last; ``trailing_bytes``.
-    """
-    options, status, corrected = records.parse_header(read(0, HEADER_SIZE))
+def _steps(size: int, until: int | None) -> Generator[tuple[int, int], object, Directory]:
+    """A walk over an archive's records: yields the place and length of each, and is sent what it says."""
+    options, status, corrected = yield 0, HEADER_SIZE
     out = Directory(options, status, corrected, [], None, HEADER_SIZE)
     if options is None:
         return out
@@ -117,7 +129,7 @@ def walk(read, size: int, until: int | None = None) -> Directory:
         if at + BLOCK_HEADER_SIZE > size:
             out.status, out.end = "truncated", at
             return out
-        record = records.parse_record(read(at, BLOCK_HEADER_SIZE))
+        record = yield at, BLOCK_HEADER_SIZE
         if record is None:
             out.status, out.end = "record_uncorrectable", at
             return out
@@ -137,6 +149,32 @@ def walk(read, size: int, until: int | None = None) -> Directory:
     return out
 
 
+def walk(read, size: int, until: int | None = None) -> Directory:
+    """Directory of an archive by ``read(at, n)``, 64 bytes a block; of what begins before ``until`` alone.
+
+    Status: ``ok``; a header rule; ``record_uncorrectable`` or ``truncated`` where
+    the walk had to stop (what lies behind is unknown); ``partial_inside`` if a
+    partial block isn't the last; ``trailing_bytes``.
+    """
+    return _walked([(read, size)], until)[0]
+
+
+def _walked(archives: list[tuple], until: int | None = None) -> list[Directory]:
+    """Walks side by side: what each asks for next is corrected together."""
+    out: list[Directory | None] = [None] * len(archives)
+    walks = {k: _steps(size, until) for k, (_, size) in enumerate(archives)}
+    asked, parse = {k: next(g) for k, g in walks.items()}, records.parse_headers
+    while asked:
+        found, on = parse([archives[k][0](*ask) for k, ask in asked.items()]), {}
+        for k, says in zip(asked, found, strict=True):
+            try:
+                on[k] = walks[k].send(says)
+            except StopIteration as end:
+                out[k] = end.value
+        asked, parse = on, records.parse_records
+    return out
+
+
 def told(d: Directory) -> str:
     """The status of a whole directory, its root hash compared with its blocks' values."""
     if d.status == "ok" and blake.root_of([e.record.value for e in d.entries]) != d.trailer.value:
@@ -144,8 +182,12 @@ def told(d: Directory) -> str:
     return d.status
 
 
+def directories(archives: list[bytes]) -> list[Directory]:
+    return _walked([(lambda at, n, a=a: a[at : at + n], len(a)) for a in archives])
+
+
 def directory(archive: bytes) -> Directory:
-    return walk(lambda at, n: archive[at : at + n], len(archive))
+    return directories([archive])[0]
 
 
 def payload_of(archive: bytes, e: Entry) -> bytes:
@@ -183,11 +225,12 @@ def unpack_many(archives: list[bytes], validate: bool = True) -> list[tuple[byte
 
     Blocks of all archives are hashed together.
     """
-    directories = [directory(a) for a in archives]
-    payloads = [[decode_payload(payload_of(a, e), d.options, validate) for e in d.entries] for a, d in zip(archives, directories, strict=True)]
+    known = directories(archives)
+    decoded = iter(decode_payloads([(payload_of(a, e), d.options) for a, d in zip(archives, known, strict=True) for e in d.entries], validate))
+    payloads = [[next(decoded) for _ in d.entries] for d in known]
     todo = [
         (data, e.index << d.options.block_exp, root)
-        for d, found in zip(directories, payloads, strict=True)
+        for d, found in zip(known, payloads, strict=True)
         for e, (data, _, _) in zip(d.entries, found, strict=True)
         if data is not None
         # a lone block may be hashed as the root it is, or as a part, as its writer couldn't know
@@ -195,7 +238,7 @@ def unpack_many(archives: list[bytes], validate: bool = True) -> list[tuple[byte
     ]
     values = iter(blake.block_values(todo) if todo else [])
     out = []
-    for d, found in zip(directories, payloads, strict=True):
+    for d, found in zip(known, payloads, strict=True):
         status = d.status
         for e, (data, problem, _) in zip(d.entries, found, strict=True):
             own = [next(values) for _ in range(2 if len(d.entries) == 1 else 1)] if data is not None else []
@@ -215,78 +258,121 @@ def unpack(archive: bytes, validate: bool = True) -> tuple[bytes, str, int]:
     return unpack_many([archive], validate)[0]
 
 
+def repair_many(archives: list[bytes]) -> list[tuple[bytes, int, int]]:
+    """Each archive with all records and codewords corrected; bytes changed, places lost."""
+    known = directories(archives)
+    fixed: dict[tuple[int, int], tuple[bytes, int]] = {}
+    for level in {records.level(d.options.ecc) for d in known if d.options} - {None}:
+        n = sum(level)
+        own = [(k, e) for k, d in enumerate(known) if d.options and records.level(d.options.ecc) == level for e in d.entries if e.record.size % n == 0]
+        words = np.frombuffer(b"".join(payload_of(archives[k], e) for k, e in own), np.uint8).reshape(-1, n)
+        words, changed = rs.decode(words, n, level[0])
+        raw, at, bad = words.tobytes(), 0, np.concatenate([[0], np.cumsum(changed < 0)])
+        for k, e in own:
+            fixed[k, e.index] = raw[at : at + e.record.size], int(bad[(at + e.record.size) // n] - bad[at // n])
+            at += e.record.size
+    ends = [e for d in known for e in (*(x.record for x in d.entries), d.trailer) if e]
+    made = iter(records.with_parity([records.record_data(r) for r in ends], BLOCK_HEADER_SIZE))
+    out = []
+    for k, (archive, d) in enumerate(zip(archives, known, strict=True)):
+        if d.options is None:
+            out.append((archive, 0, 1))
+            continue
+        parts, lost = [records.header(d.options)], 0 if d.trailer else 1
+        for e in d.entries:
+            payload, bad = fixed.get((k, e.index), (payload_of(archive, e), 0))
+            parts += [next(made), payload]
+            lost += bad
+        if d.trailer:
+            parts.append(next(made))
+        whole = b"".join(parts) + archive[d.end :]
+        out.append((whole, int((np.frombuffer(whole, np.uint8) != np.frombuffer(archive, np.uint8)).sum()), lost))
+    return out
+
+
 def repair(archive: bytes) -> tuple[bytes, int, int]:
-    """The archive with all records and codewords corrected; bytes changed, places lost."""
-    d = directory(archive)
-    if d.options is None:
-        return archive, 0, 1
-    out, lost, k = [records.header(d.options)], 0, records.level(d.options.ecc)
-    for e in d.entries:
-        payload = payload_of(archive, e)
-        if k and payload:
-            n = sum(k)
-            words = np.frombuffer(payload, np.uint8)
-            if len(words) % n == 0:
-                fixed, changed = rs.decode(words.reshape(-1, n), n, k[0])
-                payload, lost = fixed.tobytes(), lost + int((changed < 0).sum())
-        out += [records.block_header(e.record.size, e.record.partial, e.record.value), payload]
-    if d.trailer:
-        out.append(records.trailer(d.trailer.size, d.trailer.value))
-    fixed = b"".join(out) + archive[d.end :]
-    changed = int((np.frombuffer(fixed, np.uint8) != np.frombuffer(archive, np.uint8)).sum())
-    return fixed, changed, lost + (d.trailer is None)
+    return repair_many([archive])[0]
 
 
-def append(archive: bytes, extra: bytes) -> bytes:
-    """The archive with ``extra`` behind its data; full blocks keep their payloads.
+Hashing = Generator[list[tuple[bytes, int, bool]], list[bytes], bytes]
 
-    Only a partial last block is coded again; a lone block is hashed again, as
-    its stored value is a root and no part of a tree.
-    """
-    d = directory(archive)
+
+def _together(jobs: list[Hashing]) -> list[bytes]:
+    """Runs jobs that ask for hashes side by side: what all ask for next is hashed at once."""
+    out: list[bytes] = [b""] * len(jobs)
+    sent: dict[int, list[bytes] | None] = dict.fromkeys(range(len(jobs)))
+    while sent:
+        asked = {}
+        for k, values in sent.items():
+            try:
+                asked[k] = jobs[k].send(values)
+            except StopIteration as end:
+                out[k] = end.value
+        values = iter(blake.block_values([b for blocks in asked.values() for b in blocks]) if any(asked.values()) else [])
+        sent = {k: [next(values) for _ in blocks] for k, blocks in asked.items()}
+    return out
+
+
+def _block(archive: bytes, d: Directory, e: Entry) -> tuple[bytes, list[tuple[bytes, int, bool]]]:
+    """A block's data, and what to hash for its value: alone in its archive it may be a root or a part."""
+    data, status, _ = decode_payload(payload_of(archive, e), d.options)
+    if data is None:
+        raise ValueError(f"block {e.index}: {status}")
+    return data, [(data, e.index << d.options.block_exp, root) for root in ((True, False) if len(d.entries) == 1 else (False,))]
+
+
+def _appended(archive: bytes, d: Directory, extra: bytes) -> Hashing:
     if d.options is None or d.trailer is None or not extra:
         return archive
     o, unit = d.options, 1 << d.options.block_exp
     keep = d.entries[:-1] if d.entries and d.entries[-1].record.partial else d.entries
-    tail = b""
-    if len(keep) < len(d.entries):
-        (last,) = decode_blocks(archive, d, {d.entries[-1].index})
-        if last.status != "ok":
-            raise ValueError(f"last block: {last.status}")
-        tail = last.data
+    tail, lone = b"", None
+    if len(d.entries) == 1 or len(keep) < len(d.entries):
+        data, todo = _block(archive, d, d.entries[-1])
+        values = yield todo
+        if d.entries[-1].record.value not in values:
+            raise ValueError(f"block {d.entries[-1].index}: hash")
+        if keep and len(d.entries) == 1:
+            lone = values[-1]
+        else:
+            tail = data
     fresh = split(tail + extra, o)
     total = len(keep) + len(fresh)
     out, values = [records.header(o)], []
     for e in keep:
-        value = e.record.value
-        if len(d.entries) == 1 and total > 1:
-            (only,) = decode_blocks(archive, d)
-            if only.status != "ok":
-                raise ValueError(f"block: {only.status}")
-            value = blake.block_values([(only.data, 0, False)])[0]
-        values.append(value)
-        out += [records.block_header(e.record.size, e.record.partial, value), payload_of(archive, e)]
-    first = len(keep)
-    hashed = blake.block_values([(b, (first + k) * unit, total == 1) for k, b in enumerate(fresh)])
-    for b, cv in zip(fresh, hashed, strict=True):
-        payload = encode_payload(b, o)
+        # the value of a lone block is a root's, and no part of a tree
+        values.append(lone if len(d.entries) == 1 and total > 1 else e.record.value)
+        out += [records.block_header(e.record.size, e.record.partial, values[-1]), payload_of(archive, e)]
+    hashed = yield [(b, (len(keep) + k) * unit, total == 1) for k, b in enumerate(fresh)]
+    for b, cv, payload in zip(fresh, hashed, encode_payloads(fresh, o), strict=True):
         values.append(cv)
         out += [records.block_header(len(payload), len(b) < unit, cv), payload]
     return b"".join([*out, records.trailer(d.trailer.size + len(extra), blake.root_of(values))])
 
 
-def replace_block(archive: bytes, index: int, data: bytes) -> bytes:
-    """The archive with one block's data changed, in length only if it is the last; other payloads are kept."""
-    d = directory(archive)
+def append_many(archives: list[bytes], extras: list[bytes]) -> list[bytes]:
+    """Each archive with the bytes of ``extras`` behind its data; full blocks keep their payloads.
+
+    Only a partial last block is coded again; a lone block is hashed again, as
+    its stored value is a root and no part of a tree.
+    """
+    return _together([_appended(*x) for x in zip(archives, directories(archives), extras, strict=True)])
+
+
+def append(archive: bytes, extra: bytes) -> bytes:
+    return append_many([archive], [extra])[0]
+
+
+def _replaced(archive: bytes, d: Directory, index: int | None, data: bytes) -> Hashing:
+    if index is None:
+        return archive
     if d.options is None or d.trailer is None or not 0 <= index < len(d.entries):
         raise ValueError("no such block")
     o, unit, last = d.options, 1 << d.options.block_exp, index == len(d.entries) - 1
     if not 0 < len(data) <= unit or (not last and len(data) != unit):
         raise ValueError("only the last block may be short")
-    (old,) = decode_blocks(archive, d, {index})
-    if old.data is None:
-        raise ValueError(f"block {index}: {old.status}")
-    (value,) = blake.block_values([(data, index * unit, len(d.entries) == 1)])
+    old, _ = _block(archive, d, d.entries[index])
+    (value,) = yield [(data, index * unit, len(d.entries) == 1)]
     out, values = [records.header(o)], []
     for e in d.entries:
         payload, cv, partial = payload_of(archive, e), e.record.value, e.record.partial
@@ -294,7 +380,16 @@ def replace_block(archive: bytes, index: int, data: bytes) -> bytes:
             payload, cv, partial = encode_payload(data, o), value, len(data) < unit
         values.append(cv)
         out += [records.block_header(len(payload), partial, cv), payload]
-    return b"".join([*out, records.trailer(d.trailer.size - len(old.data) + len(data), blake.root_of(values))])
+    return b"".join([*out, records.trailer(d.trailer.size - len(old) + len(data), blake.root_of(values))])
+
+
+def replace_many(archives: list[bytes], indexes: list[int | None], datas: list[bytes]) -> list[bytes]:
+    """Each archive with one block's data changed (None: none), in length only if it is the last; other payloads are kept."""
+    return _together([_replaced(*x) for x in zip(archives, directories(archives), indexes, datas, strict=True)])
+
+
+def replace_block(archive: bytes, index: int, data: bytes) -> bytes:
+    return replace_many([archive], [index], [data])[0]
 
 
 def regions(archive: bytes) -> list[tuple[str, int, int, int]]:

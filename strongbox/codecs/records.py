@@ -12,16 +12,22 @@ from . import rs
 _PARTIAL, _TRAILER, _LOW = 1 << 62, 1 << 63, (1 << 62) - 1
 
 
+def with_parity(data: list[bytes], n: int) -> list[bytes]:
+    """Records of n bytes: the data (all of one length), then its parity."""
+    rows = np.frombuffer(b"".join(data), np.uint8).reshape(len(data), -1)
+    return [r.tobytes() for r in np.hstack([rows, rs.encode(rows, n, rows.shape[1])])] if data else []
+
+
 def _with_parity(data: bytes, n: int) -> bytes:
-    return data + rs.encode(np.frombuffer(data, np.uint8)[None], n, len(data)).tobytes()
+    return with_parity([data], n)[0]
 
 
-def _corrected(record: bytes, n: int, k: int) -> tuple[bytes, int]:
-    """Data bytes and how many bytes of the record were put right; -1: beyond repair."""
-    if len(record) < n:
-        return record[:k], -1
-    words, changed = rs.decode(np.frombuffer(record[:n], np.uint8)[None], n, k)
-    return words[0, :k].tobytes(), int(changed[0])
+def _corrected(records: list[bytes], n: int, k: int) -> list[tuple[bytes, int]]:
+    """Of each record its data bytes and how many bytes were put right; -1: beyond repair, or cut short."""
+    whole = [r[:n] for r in records if len(r) >= n]
+    words, changed = rs.decode(np.frombuffer(b"".join(whole), np.uint8).reshape(-1, n), n, k)
+    found = zip(words[:, :k], changed.tolist(), strict=True)
+    return [(w.tobytes(), c) for w, c in (next(found) if len(r) >= n else (np.frombuffer(r[:k], np.uint8), -1) for r in records)]
 
 
 def header(o: Options) -> bytes:
@@ -29,11 +35,17 @@ def header(o: Options) -> bytes:
     return _with_parity(data, HEADER_SIZE)
 
 
+def parse_headers(records: list[bytes], validate: bool = True) -> list[tuple[Options | None, str, int]]:
+    """Options (None if unusable), status, bytes corrected of each; checks in the format's order."""
+    data = _corrected(records, 32, 10) if validate else [(r[:10], 0) for r in records]
+    return [_header_of(d, changed) if len(r) >= HEADER_SIZE else (None, "truncated", 0) for r, (d, changed) in zip(records, data, strict=True)]
+
+
 def parse_header(record: bytes, validate: bool = True) -> tuple[Options | None, str, int]:
-    """Options (None if unusable), status, bytes corrected; checks in the format's order."""
-    if len(record) < HEADER_SIZE:
-        return None, "truncated", 0
-    data, changed = _corrected(record, 32, 10) if validate else (record[:10], 0)
+    return parse_headers([record], validate)[0]
+
+
+def _header_of(data: bytes, changed: int) -> tuple[Options | None, str, int]:
     if changed < 0:
         return None, "header_uncorrectable", 0
     checks = (
@@ -47,12 +59,30 @@ def parse_header(record: bytes, validate: bool = True) -> tuple[Options | None,
     return Options(ecc=data[5], prefilter=data[6], block_exp=data[7], lc=lc, lp=lp, pb=pb, dict_exp=data[9]), "ok", changed
 
 
+def _block_data(physical: int, partial: bool, cv: bytes) -> bytes:
+    return (physical & _LOW | (_PARTIAL if partial else 0)).to_bytes(8, "big") + cv
+
+
+def _trailer_data(size: int, root: bytes) -> bytes:
+    return (size & ~_TRAILER | _TRAILER).to_bytes(8, "big") + root
+
+
+def block_headers(blocks: list[tuple[int, bool, bytes]]) -> list[bytes]:
+    """Of (physical size, partial, chaining value) each."""
+    return with_parity([_block_data(*b) for b in blocks], BLOCK_HEADER_SIZE)
+
+
+def trailers(ends: list[tuple[int, bytes]]) -> list[bytes]:
+    """Of (size, root hash) each."""
+    return with_parity([_trailer_data(*e) for e in ends], BLOCK_HEADER_SIZE)
+
+
 def block_header(physical: int, partial: bool, cv: bytes) -> bytes:
-    return _with_parity((physical & _LOW | (_PARTIAL if partial else 0)).to_bytes(8, "big") + cv, BLOCK_HEADER_SIZE)
+    return block_headers([(physical, partial, cv)])[0]
 
 
 def trailer(size: int, root: bytes) -> bytes:
-    return _with_parity((size & ~_TRAILER | _TRAILER).to_bytes(8, "big") + root, BLOCK_HEADER_SIZE)
+    return trailers([(size, root)])[0]
 
 
 @dataclass(frozen=True)
@@ -66,11 +96,21 @@ class Record:
     corrected: int
 
 
-def parse_record(record: bytes, validate: bool = True) -> Record | None:
+def record_data(r: Record) -> bytes:
+    return _trailer_data(r.size, r.value) if r.is_trailer else _block_data(r.size, r.partial, r.value)
+
+
+def parse_records(records: list[bytes], validate: bool = True) -> list[Record | None]:
     """None: beyond repair or cut short.  Parity is applied before the kind is told."""
-    data, changed = _corrected(record, 64, 40) if validate or len(record) < 64 else (record[:40], 0)
-    if changed < 0:
-        return None
+    data = _corrected(records, 64, 40) if validate else [(r[:40], 0 if len(r) >= 64 else -1) for r in records]
+    return [_record_of(d, changed) if changed >= 0 else None for d, changed in data]
+
+
+def parse_record(record: bytes, validate: bool = True) -> Record | None:
+    return parse_records([record], validate)[0]
+
+
+def _record_of(data: bytes, changed: int) -> Record:
     field = int.from_bytes(data[:8], "big")
     if field & _TRAILER:
         return Record(True, False, field & ~_TRAILER, data[8:], changed)

@@ -135,28 +135,36 @@ def decode(words: np.ndarray, n: int, k: int) -> tuple[np.ndarray, np.ndarray]:
     return out, changed
 
 
-def protect(payload: bytes, level: tuple[int, int] | None) -> bytes:
-    """Payload as codewords of (data, parity) bytes, the last padded with zeros; None: as it is."""
-    if level is None or not payload:
-        return payload
+def protect_many(payloads: list[bytes], level: tuple[int, int] | None) -> list[bytes]:
+    """Each payload as codewords of (data, parity) bytes, the last padded with zeros; level None: as they are."""
+    if level is None:
+        return payloads
     k, parity = level
-    data = np.zeros(-(-len(payload) // k) * k, np.uint8)
-    data[: len(payload)] = np.frombuffer(payload, np.uint8)
-    data = data.reshape(-1, k)
-    return np.hstack([data, encode(data, k + parity, k)]).tobytes()
+    counts = np.array([-(-len(p) // k) for p in payloads], np.int64)
+    data = np.frombuffer(b"".join(p.ljust(int(c) * k, b"\0") for p, c in zip(payloads, counts, strict=True)), np.uint8).reshape(-1, k)
+    raw, ends = np.hstack([data, encode(data, k + parity, k)]).tobytes(), np.cumsum(counts) * (k + parity)
+    return [raw[b - c * (k + parity) : b] for b, c in zip(ends.tolist(), counts.tolist(), strict=True)]
 
 
-def unprotect(stored: bytes, level: tuple[int, int] | None, validate: bool = True) -> tuple[bytes, int, int]:
-    """Data of codewords (with the padding), bytes corrected, codewords beyond repair."""
-    if level is None or not stored:
-        return stored, 0, 0
+def protect(payload: bytes, level: tuple[int, int] | None) -> bytes:
+    return protect_many([payload], level)[0]
+
+
+def unprotect_many(stored: list[bytes], level: tuple[int, int] | None, validate: bool = True) -> list[tuple[bytes, int, int]]:
+    """Of each: data of its codewords (with the padding), bytes corrected, codewords beyond repair."""
+    if level is None:
+        return [(s, 0, 0) for s in stored]
     k, parity = level
     n = k + parity
-    words = np.zeros(-(-len(stored) // n) * n, np.uint8)
-    words[: len(stored)] = np.frombuffer(stored, np.uint8)
-    words = words.reshape(-1, n)
-    corrected = lost = 0
+    counts = np.array([-(-len(s) // n) for s in stored], np.int64)
+    words = np.frombuffer(b"".join(s.ljust(int(c) * n, b"\0") for s, c in zip(stored, counts, strict=True)), np.uint8).reshape(-1, n)
+    changed = np.zeros(len(words), np.int64)
     if validate:
         words, changed = decode(words, n, k)
-        corrected, lost = int(changed[changed > 0].sum()), int((changed < 0).sum())
-    return words[:, :k].tobytes(), corrected, lost
+    raw, ends = words[:, :k].tobytes(), np.cumsum(counts)
+    sums = [np.concatenate([[0], np.cumsum(v)]) for v in (np.maximum(changed, 0), changed < 0)]
+    return [(raw[(b - c) * k : b * k], *(int(s[b] - s[b - c]) for s in sums)) for b, c in zip(ends.tolist(), counts.tolist(), strict=True)]
+
+
+def unprotect(stored: bytes, level: tuple[int, int] | None, validate: bool = True) -> tuple[bytes, int, int]:
+    return unprotect_many([stored], level, validate)[0]

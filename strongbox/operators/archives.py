@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..codecs import archive as whole
@@ -35,6 +36,32 @@ def _rows(function: Callable[..., tuple], names: list[str], types: list[pa.DataT
     return run
 
 
+def _parts(column: pa.Array, most: int = 16 << 20) -> Iterator[slice]:
+    """Stretches of rows of about ``most`` bytes together: what is coded at once stays bounded."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
+    first = total = 0
+    for k, n in enumerate(sizes):
+        if total and total + n > most:
+            yield slice(first, k)
+            first, total = k, 0
+        total += n
+    if len(sizes):
+        yield slice(first, len(sizes))
+
+
+def _batches(function: Callable[[list[bytes]], list[tuple]], names: list[str], types: list[pa.DataType]):
+    """A mapInArrow function of (id, archive): ``function`` of many archives gives a row for each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for some in _parts(batch.column(1)):
+                part = batch.slice(some.start, some.stop - some.start)
+                columns = zip(*function([a or b"" for a in part.column(1).to_pylist()]), strict=True)
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=["id", *names])
+
+    return run
+
+
 _LONG, _BYTES, _TEXT, _BOOL, _INT = pa.int64(), pa.binary(), pa.string(), pa.bool_(), pa.int32()
 
 
@@ -54,13 +81,15 @@ def encode_blocks(files: DataFrame, options: Options, raw: bool = False, id_col:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, index, partial, last, data = (c.to_pylist() for c in batch.columns)
-            lone = [x and k == 0 for k, x in zip(index, last, strict=True)]
-            values = blake.block_values([(d, k * unit, one) for d, k, one in zip(data, index, lone, strict=True)]) if data else []
-            payloads = [whole.encode_payload(d, options, raw) for d in data]
-            columns = [batch.column(0), batch.column(1), batch.column(2)]
-            columns += [pa.array([len(d) for d in data], _LONG), pa.array([len(p) for p in payloads], _LONG), pa.array(values, _BYTES), pa.array(payloads, _BYTES)]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "block_idx", "is_partial", "size", "physical_size", "cv", "payload"])
+            for some in _parts(batch.column(4)):
+                part = batch.slice(some.start, some.stop - some.start)
+                index, last, data = (part.column(k).to_pylist() for k in (1, 3, 4))
+                lone = [x and k == 0 for k, x in zip(index, last, strict=True)]
+                values = blake.block_values([(d, k * unit, one) for d, k, one in zip(data, index, lone, strict=True)])
+                payloads = whole.encode_payloads(data, options, raw)
+                columns = [part.column(0), part.column(1), part.column(2)]
+                columns += [pa.array([len(d) for d in data], _LONG), pa.array([len(p) for p in payloads], _LONG), pa.array(values, _BYTES), pa.array(payloads, _BYTES)]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "block_idx", "is_partial", "size", "physical_size", "cv", "payload"])
 
     kind = dict(files.dtypes)[id_col]
     out = blocks.mapInArrow(encode, f"id {kind}, block_idx long, is_partial boolean, size long, physical_size long, cv binary, payload binary")
@@ -77,11 +106,11 @@ def _joined(parts: pd.Series) -> pd.Series:
 
 
 def _block_headers(size: pd.Series, partial: pd.Series, cv: pd.Series) -> pd.Series:
-    return pd.Series([records.block_header(int(s), bool(p), bytes(c)) for s, p, c in zip(size, partial, cv, strict=True)], dtype=object)
+    return pd.Series(records.block_headers([(int(s), bool(p), bytes(c)) for s, p, c in zip(size, partial, cv, strict=True)]), dtype=object)
 
 
 def _trailers(size: pd.Series, root: pd.Series) -> pd.Series:
-    return pd.Series([records.trailer(int(s), bytes(r)) for s, r in zip(size, root, strict=True)], dtype=object)
+    return pd.Series(records.trailers([(int(s), bytes(r)) for s, r in zip(size, root, strict=True)]), dtype=object)
 
 
 def tree_root(values: Column) -> Column:
@@ -121,18 +150,24 @@ def pack(files: DataFrame, options: Options | None = None, raw: bool = False, id
 def block_directory(archives: DataFrame, id_col: str = "file_id", payloads: bool = True) -> DataFrame:
     """One row per block of every archive, and its archive's options and status."""
 
-    def rows(id_: object, archive: bytes):
-        d = whole.directory(archive or b"")
-        for e in d.entries:
-            o, r = d.options, e.record
-            payload = whole.payload_of(archive, e) if payloads else None
-            yield (id_, e.index, e.at, r.size, r.partial, r.value, r.corrected, len(d.entries), o.ecc, o.prefilter, o.block_exp, o.lc, o.lp, o.pb, o.dict_exp, d.status, payload)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for some in _parts(batch.column(1)):
+                part = batch.slice(some.start, some.stop - some.start)
+                many, rows = [a or b"" for a in part.column(1).to_pylist()], []
+                for id_, archive, d in zip(part.column(0).to_pylist(), many, whole.directories(many), strict=True):
+                    for e in d.entries:
+                        o, r = d.options, e.record
+                        payload = whole.payload_of(archive, e) if payloads else None
+                        rows.append((id_, e.index, e.at, r.size, r.partial, r.value, r.corrected, len(d.entries), o.ecc, o.prefilter, o.block_exp, o.lc, o.lp, o.pb, o.dict_exp, d.status, payload))
+                columns = zip(*rows, strict=True) if rows else [()] * len(names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
     kind = dict(archives.dtypes)[id_col]
     names = ["id", "block_idx", "header_off", "physical_size", "is_partial", "cv", "corrected", "n_blocks", "ecc", "prefilter", "block_exp", "lc", "lp", "pb", "dict_exp", "status", "payload"]
     types = [_id_type(kind), _LONG, _LONG, _LONG, _BOOL, _BYTES, _LONG, _LONG, *[_INT] * 7, _TEXT, _BYTES]
     schema = f"id {kind}, block_idx long, header_off long, physical_size long, is_partial boolean, cv binary, corrected long, n_blocks long, ecc int, prefilter int, block_exp int, lc int, lp int, pb int, dict_exp int, status string, payload binary"
-    out = archives.select(F.col(id_col).alias("id"), "archive").mapInArrow(_rows(rows, names, types), schema)
+    out = archives.select(F.col(id_col).alias("id"), "archive").mapInArrow(run, schema)
     return out.withColumnRenamed("id", id_col)
 
 
@@ -143,19 +178,21 @@ def _id_type(kind: str) -> pa.DataType:
 def list_archives(archives: DataFrame, id_col: str = "file_id") -> DataFrame:
     """Metadata of every archive by its records alone; no payload is decoded."""
 
-    def rows(id_: object, archive: bytes) -> tuple:
-        archive = archive or b""
-        d = whole.directory(archive)
-        o = d.options or Options(ecc=None, prefilter=None, block_exp=None, lc=None, lp=None, pb=None, dict_exp=None)
-        packed = sum(e.record.size for e in d.entries)
-        size, root = (d.trailer.size, d.trailer.value) if d.trailer else (None, None)
-        return (id_, d.status, o.ecc, o.prefilter, o.block_exp, o.lc, o.lp, o.pb, o.dict_exp, len(d.entries), packed, len(archive), size, root, d.corrected, packed // len(d.entries) if d.entries else None)
+    none = Options(ecc=None, prefilter=None, block_exp=None, lc=None, lp=None, pb=None, dict_exp=None)
+
+    def listed(many: list[bytes]) -> list[tuple]:
+        out = []
+        for archive, d in zip(many, whole.directories(many), strict=True):
+            o, packed = d.options or none, sum(e.record.size for e in d.entries)
+            size, root = (d.trailer.size, d.trailer.value) if d.trailer else (None, None)
+            out.append((d.status, o.ecc, o.prefilter, o.block_exp, o.lc, o.lp, o.pb, o.dict_exp, len(d.entries), packed, len(archive), size, root, d.corrected, packed // len(d.entries) if d.entries else None))
+        return out
 
     kind = dict(archives.dtypes)[id_col]
-    names = ["id", "status", "ecc", "prefilter", "block_exp", "lc", "lp", "pb", "dict_exp", "n_blocks", "payload_size", "file_size", "size", "root_hash", "corrected", "average_block"]
-    types = [_id_type(kind), _TEXT, *[_INT] * 7, _LONG, _LONG, _LONG, _LONG, _BYTES, _LONG, _LONG]
+    names = ["status", "ecc", "prefilter", "block_exp", "lc", "lp", "pb", "dict_exp", "n_blocks", "payload_size", "file_size", "size", "root_hash", "corrected", "average_block"]
+    types = [_TEXT, *[_INT] * 7, _LONG, _LONG, _LONG, _LONG, _BYTES, _LONG, _LONG]
     schema = f"id {kind}, status string, ecc int, prefilter int, block_exp int, lc int, lp int, pb int, dict_exp int, n_blocks long, payload_size long, file_size long, size long, root_hash binary, corrected long, average_block long"
-    out = archives.select(F.col(id_col).alias("id"), "archive").mapInArrow(_rows(rows, names, types), schema)
+    out = archives.select(F.col(id_col).alias("id"), "archive").mapInArrow(_batches(listed, names, types), schema)
     return out.withColumnRenamed("id", id_col)
 
 
@@ -171,19 +208,25 @@ def decode_blocks(archives: DataFrame, id_col: str = "file_id", validate: bool =
     if spread:
         blocks = blocks.repartition(F.col(id_col), F.col("block_idx"))
 
-    def rows(id_, index, cv, n, ecc, prefilter, exp, lc, lp, pb, dict_exp, status, payload) -> tuple:
-        o = Options(ecc=ecc, prefilter=prefilter, block_exp=exp, lc=lc, lp=lp, pb=pb, dict_exp=dict_exp)
-        data, found, corrected = whole.decode_payload(payload, o, validate)
-        if data is not None:
-            own = blake.block_values([(data, index << exp, n == 1)])[0]
-            if own != cv and not (n == 1 and blake.block_values([(data, 0, False)])[0] == cv):
-                found = "hash"
-        return id_, index, found, corrected, cv, data
-
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for some in _parts(batch.column("payload")):
+                part = batch.slice(some.start, some.stop - some.start)
+                index, cv, n, *values, payload = (c.to_pylist() for c in part.columns[1:])
+                options = [Options(**dict(zip(fields, row, strict=True))) for row in zip(*values, strict=True)]
+                found = whole.decode_payloads(list(zip(payload, options, strict=True)), validate)
+                # a lone block may be hashed as the root it is, or as a part
+                todo = [(d, k << o.block_exp, root) for (d, _, _), k, o, m in zip(found, index, options, n, strict=True) if d is not None for root in ((True, False) if m == 1 else (False,))]
+                hashes = iter(blake.block_values(todo) if todo else [])
+                own = [[next(hashes) for _ in range(2 if m == 1 else 1)] if d is not None else [] for (d, _, _), m in zip(found, n, strict=True)]
+                status = [s if d is None or v in o else "hash" for (d, s, _), v, o in zip(found, cv, own, strict=True)]
+                columns = [part.column(0), part.column(1), pa.array(status, _TEXT), pa.array([c for _, _, c in found], _LONG), part.column(2), pa.array([d for d, _, _ in found], _BYTES)]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "block_idx", "status", "corrected", "cv", "data"])
+
+    fields = ["ecc", "prefilter", "block_exp", "lc", "lp", "pb", "dict_exp"]
     kind = dict(archives.dtypes)[id_col]
-    slim = blocks.select(F.col(id_col).alias("id"), "block_idx", "cv", "n_blocks", "ecc", "prefilter", "block_exp", "lc", "lp", "pb", "dict_exp", "status", "payload")
-    names, types = ["id", "block_idx", "status", "corrected", "cv", "data"], [_id_type(kind), _LONG, _TEXT, _LONG, _BYTES, _BYTES]
-    out = slim.mapInArrow(_rows(rows, names, types), f"id {kind}, block_idx long, status string, corrected long, cv binary, data binary")
+    slim = blocks.select(F.col(id_col).alias("id"), "block_idx", "cv", "n_blocks", *fields, "payload")
+    out = slim.mapInArrow(decode, f"id {kind}, block_idx long, status string, corrected long, cv binary, data binary")
     return out.withColumnRenamed("id", id_col)
 
 
@@ -210,13 +253,15 @@ def unpack(archives: DataFrame, id_col: str = "file_id", validate: bool = True,
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = whole.unpack_many([a or b"" for a in batch.column(1).to_pylist()], validate)
-            if strict:
-                for id_, (_, status, _) in zip(batch.column(0).to_pylist(), found, strict=True):
-                    if status != "ok":
-                        raise ValueError(f"archive {id_}: {status}")
-            columns = [pa.array([f[k] for f in found], t) for k, t in enumerate((_BYTES, _TEXT, _LONG))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["id", "content", "status", "corrected"])
+            for some in _parts(batch.column(1)):
+                part = batch.slice(some.start, some.stop - some.start)
+                found = whole.unpack_many([a or b"" for a in part.column(1).to_pylist()], validate)
+                if strict:
+                    for id_, (_, status, _) in zip(part.column(0).to_pylist(), found, strict=True):
+                        if status != "ok":
+                            raise ValueError(f"archive {id_}: {status}")
+                columns = [pa.array([f[k] for f in found], t) for k, t in enumerate((_BYTES, _TEXT, _LONG))]
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=["id", "content", "status", "corrected"])
 
     kind = dict(archives.dtypes)[id_col]
     out = archives.select(F.col(id_col).alias("id"), "archive").mapInArrow(decode, f"id {kind}, content binary, status string, corrected long")
@@ -232,8 +277,9 @@ def _per_archive(archives: DataFrame, rows, id_col: str, columns: list[tuple], i
 
 def repair(archives: DataFrame, id_col: str = "file_id") -> DataFrame:
     """file_id, archive (corrected), changed bytes, lost places."""
-    rows = lambda id_, a: (id_, *whole.repair(a or b""))
-    return _per_archive(archives, rows, id_col, [("archive", "binary", _BYTES), ("changed", "long", _LONG), ("lost", "long", _LONG)])
+    kind, names, types = dict(archives.dtypes)[id_col], ["archive", "changed", "lost"], [_BYTES, _LONG, _LONG]
+    out = archives.select(F.col(id_col).alias("id"), "archive").mapInArrow(_batches(whole.repair_many, names, types), f"id {kind}, archive binary, changed long, lost long")
+    return out.withColumnRenamed("id", id_col)
 
 
 def damage(archives: DataFrame, seed: int, more: int = 0, id_col: str = "file_id") -> DataFrame:
@@ -242,16 +288,31 @@ def damage(archives: DataFrame, seed: int, more: int = 0, id_col: str = "file_id
     return _per_archive(archives, rows, id_col, [("archive", "binary", _BYTES), ("changed", "long", _LONG)])
 
 
+def _changed(archives: DataFrame, many: Callable[..., list[bytes]], id_col: str, *inputs: str) -> DataFrame:
+    """file_id, archive: ``many`` of archives and further columns gives the archives that they become."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for some in _parts(batch.column(1)):
+                part = batch.slice(some.start, some.stop - some.start)
+                held = [a or b"" for a in part.column(1).to_pylist()]
+                out = many(held, *(c.to_pylist() for c in part.columns[2:]))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, _BYTES)], names=["id", "archive"])
+
+    kind = dict(archives.dtypes)[id_col]
+    rows = archives.select(F.col(id_col).alias("id"), "archive", *inputs)
+    return rows.mapInArrow(run, f"id {kind}, archive binary").withColumnRenamed("id", id_col)
+
+
 def append(archives: DataFrame, extra_col: str = "extra", id_col: str = "file_id") -> DataFrame:
     """file_id, archive with the bytes of ``extra`` behind its data; full blocks are kept as they are."""
-    rows = lambda id_, a, x: (id_, whole.append(a, x or b""))
-    return _per_archive(archives, rows, id_col, [("archive", "binary", _BYTES)], ("archive", extra_col))
+    many = lambda held, extras: whole.append_many(held, [x or b"" for x in extras])
+    return _changed(archives, many, id_col, extra_col)
 
 
 def replace_block(archives: DataFrame, index_col: str = "block_idx", data_col: str = "data", id_col: str = "file_id") -> DataFrame:
     """file_id, archive with block ``block_idx`` holding ``data`` (null: no block); the root follows, other payloads are kept."""
-    rows = lambda id_, a, k, x: (id_, a if k is None else whole.replace_block(a, k, x))
-    return _per_archive(archives, rows, id_col, [("archive", "binary", _BYTES)], ("archive", index_col, data_col))
+    return _changed(archives, whole.replace_many, id_col, index_col, data_col)
 
 
 def best_copies(copies: DataFrame, id_col: str = "file_id", copy_col: str = "copy") -> DataFrame:
