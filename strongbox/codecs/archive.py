@@ -59,36 +59,63 @@ def pack(data: bytes, o: Options, raw: bool = False) -> bytes:
     return b"".join([*out, records.trailer(len(data), blake.root_of(values))])
 
 
+class BlockWriter:
+    """One block of an archive: data up to the block's size, then its header and payload."""
+
+    def __init__(self, o: Options, index: int = 0, raw: bool = False):
+        self.o, self.index, self.raw, self.held = o, index, raw, bytearray()
+
+    @property
+    def full(self) -> bool:
+        return len(self.held) >= 1 << self.o.block_exp
+
+    @property
+    def empty(self) -> bool:
+        return not self.held
+
+    def write(self, data: bytes) -> int:
+        """Takes what there is room for and says how much; a full block takes nothing and is an error."""
+        if self.full and data:
+            raise ValueError("block is full")
+        taken = data[: (1 << self.o.block_exp) - len(self.held)]
+        self.held += taken
+        return len(taken)
+
+    def finish(self, only: bool = False) -> tuple[bytes, bytes]:
+        """The block's bytes in the archive, and its chaining value (``only``: its hash as all there is)."""
+        (cv,) = blake.block_values([(bytes(self.held), self.index << self.o.block_exp, only)])
+        payload = encode_payload(bytes(self.held), self.o, self.raw)
+        return records.block_header(len(payload), not self.full, cv) + payload, cv
+
+
 class Packer:
     """An archive in the making: data goes in by ``feed``, finished bytes come out; one block is held."""
 
     def __init__(self, o: Options, raw: bool = False):
-        self.o, self.raw, self.pending, self.size, self.values = o, raw, bytearray(), 0, []
-        self.started = False
+        self.o, self.raw, self.size, self.values = o, raw, 0, []
+        self.block, self.started = BlockWriter(o, 0, raw), False
 
-    def _sealed(self, block: bytes, only: bool) -> bytes:
-        (cv,) = blake.block_values([(block, len(self.values) << self.o.block_exp, only)])
+    def _sealed(self, only: bool) -> bytes:
+        out, cv = self.block.finish(only)
         self.values.append(cv)
-        payload = encode_payload(block, self.o, self.raw)
-        return records.block_header(len(payload), len(block) < 1 << self.o.block_exp, cv) + payload
+        self.block = BlockWriter(self.o, len(self.values), self.raw)
+        return out
 
     def feed(self, data: bytes) -> Iterator[bytes]:
         if not self.started:
             self.started = True
             yield records.header(self.o)
-        self.pending += data
         self.size += len(data)
-        unit, at = 1 << self.o.block_exp, 0
-        # a block is sealed when more follows, as a full last block is still the last
-        while len(self.pending) - at > unit:
-            yield self._sealed(bytes(self.pending[at : at + unit]), False)
-            at += unit
-        del self.pending[:at]
+        at = 0
+        while at < len(data):
+            if self.block.full:  # a block is sealed when more follows, as a full last block is still the last
+                yield self._sealed(False)
+            at += self.block.write(data[at : at + (1 << self.o.block_exp)])
 
     def end(self) -> Iterator[bytes]:
         yield from self.feed(b"")
-        if self.pending:
-            yield self._sealed(bytes(self.pending), not self.values)
+        if not self.block.empty:
+            yield self._sealed(not self.values)
         yield records.trailer(self.size, blake.root_of(self.values))
 
 
@@ -159,13 +186,13 @@ def walk(read, size: int, until: int | None = None) -> Directory:
     return _walked([(read, size)], until)[0]
 
 
-def _walked(archives: list[tuple], until: int | None = None) -> list[Directory]:
-    """Walks side by side: what each asks for next is corrected together."""
+def _walked(archives: list[tuple], until: int | None = None, validate: bool = True) -> list[Directory]:
+    """Walks side by side: what each asks for next is corrected together, or taken as it is."""
     out: list[Directory | None] = [None] * len(archives)
     walks = {k: _steps(size, until) for k, (_, size) in enumerate(archives)}
     asked, parse = {k: next(g) for k, g in walks.items()}, records.parse_headers
     while asked:
-        found, on = parse([archives[k][0](*ask) for k, ask in asked.items()]), {}
+        found, on = parse([archives[k][0](*ask) for k, ask in asked.items()], validate), {}
         for k, says in zip(asked, found, strict=True):
             try:
                 on[k] = walks[k].send(says)
@@ -182,8 +209,9 @@ def told(d: Directory) -> str:
     return d.status
 
 
-def directories(archives: list[bytes]) -> list[Directory]:
-    return _walked([(lambda at, n, a=a: a[at : at + n], len(a)) for a in archives])
+def directories(archives: list[bytes], validate: bool = True) -> list[Directory]:
+    """Directories of whole archives; without ``validate`` the records' parity isn't looked at."""
+    return _walked([(lambda at, n, a=a: a[at : at + n], len(a)) for a in archives], None, validate)
 
 
 def directory(archive: bytes) -> Directory:

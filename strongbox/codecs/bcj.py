@@ -102,13 +102,15 @@ def riscv(data: bytes, encode: bool) -> bytes:
     """
     buf = bytearray(data)
     read = lambda at: int.from_bytes(buf[at : at + 4], "little")
-    i, end = 0, len(buf) - 8
-    while i <= end:
+    first_bytes, after = np.frombuffer(data, np.uint8)[: max(len(data) - 7, 0) : 2], 0
+    # what is rewritten lies behind the next place, so the candidates are those of the data as it came
+    for i in (2 * np.flatnonzero((first_bytes == 0xEF) | (first_bytes & 0x7F == 0x17))).tolist():
+        if i < after:
+            continue
         if buf[i] == 0xEF:
             if buf[i + 1] & 0x0D:
-                i += 2
                 continue
-            word = read(i)
+            word, after = read(i), i + 4
             if encode:
                 to = _jal_address(word) + i
                 # stored with the address bits in order, high bits first
@@ -117,36 +119,33 @@ def riscv(data: bytes, encode: bool) -> bytes:
             else:
                 to = ((buf[i + 1] & 0xF0) << 13 | buf[i + 2] << 9 | buf[i + 3] << 1) - i
                 buf[i : i + 4] = _jal_word(word & 0xFFF, to).to_bytes(4, "little")
-            i += 4
-        elif buf[i] & 0x7F == 0x17:
-            first, second = read(i), read(i + 4)
-            if first & 0xE80:
-                if ((first << 8) ^ second) & 0xF8003 != 3:
-                    i += 6
-                    continue
-                head = 0x117 | second << 12 & 0xFFFFF000
-                upper = first & 0xFFFFF000
-                if encode:
-                    tail = (upper + (_signed(second) >> 20) + i & 0xFFFFFFFF).to_bytes(4, "big")
-                else:
-                    tail = (upper + (second >> 20) & 0xFFFFFFFF).to_bytes(4, "little")
+            continue
+        first, second = read(i), read(i + 4)
+        if first & 0xE80:
+            if ((first << 8) ^ second) & 0xF8003 != 3:
+                after = i + 6
+                continue
+            head = 0x117 | second << 12 & 0xFFFFF000
+            upper = first & 0xFFFFF000
+            if encode:
+                tail = (upper + (_signed(second) >> 20) + i & 0xFFFFFFFF).to_bytes(4, "big")
             else:
-                register = first >> 27
-                if (first - 0x3100) & 0x3F80 >= register & 0x1D:
-                    i += 4
-                    continue
-                if encode:
-                    head = 0x17 | register << 7 | second & 0xFFFFF000
-                    tail = (first >> 12 | second << 20 & 0xFFFFFFFF).to_bytes(4, "little")
-                else:
-                    to = int.from_bytes(buf[i + 4 : i + 8], "big") - i
-                    head = 0x17 | register << 7 | to + 0x800 & 0xFFFFF000
-                    tail = (first >> 12 | to << 20 & 0xFFFFFFFF).to_bytes(4, "little")
-            buf[i : i + 4] = head.to_bytes(4, "little")
-            buf[i + 4 : i + 8] = tail
-            i += 8
+                tail = (upper + (second >> 20) & 0xFFFFFFFF).to_bytes(4, "little")
         else:
-            i += 2
+            register = first >> 27
+            if (first - 0x3100) & 0x3F80 >= register & 0x1D:
+                after = i + 4
+                continue
+            if encode:
+                head = 0x17 | register << 7 | second & 0xFFFFF000
+                tail = (first >> 12 | second << 20 & 0xFFFFFFFF).to_bytes(4, "little")
+            else:
+                to = int.from_bytes(buf[i + 4 : i + 8], "big") - i
+                head = 0x17 | register << 7 | to + 0x800 & 0xFFFFF000
+                tail = (first >> 12 | to << 20 & 0xFFFFFFFF).to_bytes(4, "little")
+        buf[i : i + 4] = head.to_bytes(4, "little")
+        buf[i + 4 : i + 8] = tail
+        after = i + 8
     return bytes(buf)
 
 

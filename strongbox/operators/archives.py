@@ -175,14 +175,14 @@ def _id_type(kind: str) -> pa.DataType:
     return {"bigint": _LONG, "int": _INT, "string": _TEXT}[kind]
 
 
-def list_archives(archives: DataFrame, id_col: str = "file_id") -> DataFrame:
-    """Metadata of every archive by its records alone; no payload is decoded."""
+def list_archives(archives: DataFrame, id_col: str = "file_id", validate: bool = True) -> DataFrame:
+    """Metadata of every archive by its records alone; no payload is decoded.  Without ``validate`` records are taken as they are."""
 
     none = Options(ecc=None, prefilter=None, block_exp=None, lc=None, lp=None, pb=None, dict_exp=None)
 
     def listed(many: list[bytes]) -> list[tuple]:
         out = []
-        for archive, d in zip(many, whole.directories(many), strict=True):
+        for archive, d in zip(many, whole.directories(many, validate), strict=True):
             o, packed = d.options or none, sum(e.record.size for e in d.entries)
             size, root = (d.trailer.size, d.trailer.value) if d.trailer else (None, None)
             out.append((d.status, o.ecc, o.prefilter, o.block_exp, o.lc, o.lp, o.pb, o.dict_exp, len(d.entries), packed, len(archive), size, root, d.corrected, packed // len(d.entries) if d.entries else None))

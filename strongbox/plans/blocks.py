@@ -35,6 +35,23 @@ def physical_offsets(blocks: DataFrame, keys: list[str], physical: str = "physic
     return blocks.withColumn("header_off", F.coalesce(F.sum(F.col(physical) + 64).over(before), F.lit(0)) + 32)
 
 
+def data_offsets(blocks: DataFrame, keys: list[str], size: str = "size") -> DataFrame:
+    """With data_off: where each block's data begins in its file, which is where its hash counts from."""
+    before = Window.partitionBy(*keys).orderBy("block_idx").rowsBetween(Window.unboundedPreceding, -1)
+    return blocks.withColumn("data_off", F.coalesce(F.sum(size).over(before), F.lit(0).cast("long")))
+
+
+def block_room(size: Column, block_exp: int) -> dict[str, Column]:
+    """Whether a block of so many bytes is full, or empty."""
+    return {"full": size >= (1 << block_exp), "empty": size == 0}
+
+
+def state_resets(chunks: DataFrame, keys: list[str], order: str, raw: Column) -> DataFrame:
+    """With reset: a coded chunk's state starts anew, as it is the first or stands behind a raw one."""
+    along = Window.partitionBy(*keys).orderBy(order)
+    return chunks.withColumn("reset", F.coalesce(F.lag(raw).over(along), F.lit(True)))
+
+
 def partial_order(blocks: DataFrame, keys: list[str]) -> DataFrame:
     """Blocks that stand behind a partial block, which no valid archive has."""
     order = Window.partitionBy(*keys).orderBy("block_idx")

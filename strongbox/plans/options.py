@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..dims import Options, preset
+from ..dims import PREFILTERS, Options, preset
 
 LARGE = 256 << 20
 
@@ -42,3 +42,18 @@ def resolve(
     else:
         exponent = min(o.dict_exp + 1, 30) if size is not None and size > LARGE else o.dict_exp
     return o.with_(block_exp=exponent, ecc=ecc)
+
+
+def one_prefilter(given: list[str]) -> int:
+    """The code of the only prefilter that is asked for, 0 for none; more than one is an error."""
+    codes = [PREFILTERS.index(name) for name in given]
+    if len(codes) > 1:
+        raise ValueError(f"one prefilter at a time, not {', '.join(given)}")
+    return codes[0] if codes else 0
+
+
+def output_of(inputs: list[str], output: str | None) -> str | None:
+    """The name given for the output, which only a single input can have."""
+    if output is not None and len(inputs) != 1:
+        raise ValueError(f"one output for {len(inputs)} inputs")
+    return output

@@ -216,8 +216,16 @@ def lzma_chunk_hdr_len(spark, sf_dir):
 
 @query("""SELECT user_id, event_id, coalesce(lag(event_type = 'click') OVER (PARTITION BY user_id ORDER BY event_id), true) AS reset FROM events""")
 def chunk_state_reset(spark, sf_dir):
-    order = Window.partitionBy("user_id").orderBy("event_id")
-    return read(spark, sf_dir, "events").select("user_id", "event_id", F.coalesce(F.lag(F.col("event_type") == "click").over(order), F.lit(True)).alias("reset"))
+    rows = read(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
+    return blocks.state_resets(rows, ["user_id"], "event_id", F.col("event_type") == "click").drop("event_type")
+
+
+@query(f"""WITH {_PLAN} SELECT doc_id, block_idx::BIGINT AS block_idx, coalesce(sum(size) OVER (PARTITION BY doc_id ORDER BY block_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS data_off,
+size = {1 << EXP} AS full, size = 0 AS empty FROM plan""")
+def data_offsets(spark, sf_dir):
+    room = blocks.block_room(F.col("size"), EXP)
+    rows = blocks.data_offsets(_plan(spark, sf_dir), ["doc_id"])
+    return rows.select("doc_id", "block_idx", "data_off", room["full"].alias("full"), room["empty"].alias("empty"))
 
 
 @query("""SELECT lang, source, n, bit_count(n)::INT AS stack, bit_count((n & -n) - 1)::INT AS last_merges, n - 1 AS merges FROM (SELECT lang, source, count(*) AS n FROM documents GROUP BY lang, source)""")
@@ -642,11 +650,35 @@ def append_roundtrip(spark, sf_dir):
     return _told(archives.unpack(archives.append(packed)))
 
 
-@query(f"""SELECT file_id, 'ok' AS status, n_blocks::BIGINT AS n_blocks, size::BIGINT AS size, (32 + 64 + n_blocks * 65 + size + 2 * (size // 65536) + CASE WHEN size % 65536 > 0 THEN CASE WHEN abs(size % 65536 - 65536) <= 8191 THEN 2 ELSE 3 END ELSE 0 END)::BIGINT AS file_size
-FROM (SELECT file_id, octet_length(encode(content)) AS size, (octet_length(encode(content)) + 65535) // 65536 AS n_blocks FROM ({_BY_LANG}))""")
-def list_raw_archives(spark, sf_dir):
+_LISTED = f"""SELECT file_id, 'ok' AS status, n_blocks::BIGINT AS n_blocks, size::BIGINT AS size, (96 + n_blocks * 64 + stored)::BIGINT AS file_size, CASE WHEN n_blocks > 0 THEN stored // n_blocks END::BIGINT AS average_block
+FROM (SELECT *, n_blocks + size + 2 * (size // 65536) + CASE WHEN size % 65536 > 0 THEN CASE WHEN abs(size % 65536 - 65536) <= 8191 THEN 2 ELSE 3 END ELSE 0 END AS stored
+FROM (SELECT file_id, octet_length(encode(content)) AS size, (octet_length(encode(content)) + 65535) // 65536 AS n_blocks FROM ({_BY_LANG})))"""
+
+
+def _listed(spark, sf_dir, validate: bool) -> DataFrame:
     packed = archives.pack(files_by_lang(spark, sf_dir), Options(block_exp=16, dict_exp=16), raw=True)
-    return archives.list_archives(packed).select("file_id", "status", "n_blocks", "size", "file_size")
+    return archives.list_archives(packed, validate=validate).select("file_id", "status", "n_blocks", "size", "file_size", "average_block")
+
+
+@query(_LISTED)
+def list_raw_archives(spark, sf_dir):
+    return _listed(spark, sf_dir, True)
+
+
+@query(_LISTED)
+def list_unchecked(spark, sf_dir):
+    """The same by the records as they are, without a look at their parity."""
+    return _listed(spark, sf_dir, False)
+
+
+# the header's 11 bytes, 12 of each block's header and of the trailer, 16 of each codeword of 223
+@query("""SELECT file_id, (23 + coalesce(sum(12 + 16 * ((phys + 222) // 223)), 0))::BIGINT AS changed FROM (SELECT doc_id AS file_id, octet_length(encode(coalesce(text, ''))) AS n FROM documents) d
+LEFT JOIN (SELECT doc_id, size + 1 + CASE WHEN abs(size - 65536) <= 8191 THEN 2 ELSE 3 END AS phys FROM
+ (SELECT doc_id, unnest(range((n + 65535) // 65536)) AS b, n, least(65536, n - b * 65536) AS size FROM (SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS n FROM documents))) p ON p.doc_id = d.file_id GROUP BY file_id""")
+def damage_counts(spark, sf_dir):
+    """How many bytes are changed where every protected stretch is damaged as far as it can be corrected."""
+    packed = archives.pack(documents_as_files(spark, sf_dir), Options(ecc=2, block_exp=16, dict_exp=16), raw=True)
+    return archives.damage(packed, 7).select("file_id", "changed")
 
 
 @query(f"SELECT file_id, 'ok' AS status, ((octet_length(encode(content)) + 65535) // 65536)::BIGINT AS n_blocks, 0::BIGINT AS bad_blocks, 0::BIGINT AS corrected FROM ({_BY_LANG})")

@@ -276,3 +276,32 @@ def test_archive_in_pieces():
             p = archive.Packer(o)
             parts = [x for at in range(0, size, step) for x in p.feed(data[at : at + step])]
             assert b"".join([*parts, *p.end()]) == archive.pack(data, o)
+
+
+def test_block_writer():
+    o = Options(block_exp=16, dict_exp=16)
+    b = archive.BlockWriter(o, 2)
+    assert b.empty and not b.full and b.write(b"x" * 70_000) == 65_536 and b.full and b.write(b"") == 0
+    with pytest.raises(ValueError, match="block is full"):
+        b.write(b"y")
+    stored, cv = b.finish()
+    assert records.parse_record(stored[:64]).value == cv == blake.block_values([(b"x" * 65_536, 2 << 16, False)])[0]
+
+
+def test_records_as_they_are():
+    packed = archive.pack(b"z" * 100_000, preset(1).with_(ecc=1, block_exp=16))
+    assert [e.record for e in archive.directories([packed], False)[0].entries] == [e.record for e in archive.directory(packed).entries]
+    at = archive.directory(packed).entries[1].at + 20
+    wrong = packed[:at] + bytes([packed[at] ^ 1]) + packed[at + 1 :]
+    plain, fixed = archive.directories([wrong], False)[0], archive.directory(wrong)
+    assert fixed.corrected == 1 and plain.corrected == 0 and plain.entries[1].record.value != fixed.entries[1].record.value
+
+
+def test_arguments():
+    from strongbox.plans.options import one_prefilter, output_of
+
+    assert one_prefilter([]) == 0 and one_prefilter(["arm64"]) == 4 and output_of(["a"], "b") == "b" and output_of(["a", "b"], None) is None
+    with pytest.raises(ValueError, match="one prefilter"):
+        one_prefilter(["x86", "arm"])
+    with pytest.raises(ValueError, match="2 inputs"):
+        output_of(["a", "b"], "c")
