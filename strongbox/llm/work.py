@@ -11,8 +11,6 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -46,19 +44,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
-@contextmanager
-def short_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
-    """Spark hands Python at most ``rows`` rows at once for what runs inside: texts may be long,
-    and a batch is held by the JVM and by the worker at the same time."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, rows)
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 def trim() -> None:
     """Give memory that a Python worker no longer uses back to the system, at the end of a task.
 
