@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .wordhash import buffers, slices, window_hashes, window_starts, word_hashes, word_spans
-from .work import id_or_text, written
+from .work import id_or_text, trim, written
 
 # fixed values: perfect difference sets; every remainder is a difference of two members
 COVERS = {3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18)}
@@ -81,6 +81,7 @@ def _anchors(window: int, repeats: bool):
                 take = (several & ~first) if repeats else first
                 columns = [pa.array(h[take]), pa.array(doc[take]), pa.array(place[take].astype(np.int32)), pa.array(several[take])]
                 yield pa.RecordBatch.from_arrays(columns, names=["h", "doc", "place", "several"])
+        trim()
 
     return run
 
@@ -148,6 +149,7 @@ def _windows(window: int, later: bool):
                 take = ~first if later else first
                 columns = [pa.array(c[take]) for c in (h1, h2, doc)] + [pa.array(place[take].astype(np.int32))]
                 yield pa.RecordBatch.from_arrays(columns, names=["h1", "h2", "doc", "place"])
+        trim()
 
     return run
 
@@ -174,29 +176,31 @@ def _cut(window: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts, places, whole = batch.columns
-            out: list[tuple[int, int, str]] = []
-            for text, given, all_ in zip(texts, places, whole.to_pylist(), strict=True):
-                words = text.as_py().encode().split()  # at bytes 0x20 and 0x09 to 0x0D
-                n = len(words)
-                if all_ and n >= window:
-                    out.append((n, n, ""))
-                elif not given.is_valid:
-                    out.append((n, 0, b" ".join(words).decode()))
-                else:
-                    starts = given.values.to_numpy(zero_copy_only=False)
-                    starts = starts[starts + window <= n]
-                    edge = np.zeros(n + 1, np.int64)
-                    np.add.at(edge, starts, 1)
-                    np.add.at(edge, starts + window, -1)
-                    covered = np.cumsum(edge)[:n] > 0
-                    kept = [words[k] for k in np.flatnonzero(~covered).tolist()]
-                    out.append((n, n - len(kept), b" ".join(kept).decode()))
-            columns = list(zip(*out, strict=True)) if out else [(), (), ()]
-            yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.string())],
-                names=["doc", "n_words", "n_removed", "kept_text"],
-            )
+            for part in slices(batch, 1, 1 << 20):
+                ids, texts, places, whole = part.columns
+                out: list[tuple[int, int, str]] = []
+                for text, given, all_ in zip(texts, places, whole.to_pylist(), strict=True):
+                    words = text.as_py().encode().split()  # at bytes 0x20 and 0x09 to 0x0D
+                    n = len(words)
+                    if all_ and n >= window:
+                        out.append((n, n, ""))
+                    elif not given.is_valid:
+                        out.append((n, 0, b" ".join(words).decode()))
+                    else:
+                        starts = given.values.to_numpy(zero_copy_only=False)
+                        starts = starts[starts + window <= n]
+                        edge = np.zeros(n + 1, np.int64)
+                        np.add.at(edge, starts, 1)
+                        np.add.at(edge, starts + window, -1)
+                        covered = np.cumsum(edge)[:n] > 0
+                        kept = [words[k] for k in np.flatnonzero(~covered).tolist()]
+                        out.append((n, n - len(kept), b" ".join(kept).decode()))
+                columns = list(zip(*out, strict=True)) if out else [(), (), ()]
+                yield pa.RecordBatch.from_arrays(
+                    [ids, pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.string())],
+                    names=["doc", "n_words", "n_removed", "kept_text"],
+                )
+        trim()
 
     return run
 
