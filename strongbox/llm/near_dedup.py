@@ -256,8 +256,8 @@ def near_dedup(
     components, other leaders follow, in ``turns`` rounds.  Last,
     documents that share a sketch across components are joined on the rarest of
     their shingles, of which texts at the threshold share at least one far enough
-    in front.  One link joins two components, so each component first puts one
-    member a posting and class of size forward, then ``growth`` times as many, till
+    in front.  One link joins two components, so each component first puts ``growth``
+    members a posting and class of size forward, then that many times as many, till
     the posting's components are one or all their members were compared: no link
     depends on which document happened to lead, and pairs inside a component are
     never made.  A posting of more than ``side_rows`` rows is dealt over tasks as
@@ -333,9 +333,9 @@ def near_dedup(
     def joined() -> DataFrame:
         return postings.join(_small(comps, most_broadcast), "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
 
-    # one link between two components is enough: of each component a posting gives few members a
-    # turn, ``growth`` times as many the next time, till its components are one or all were tried
-    members, before, tried = 1, 0, None
+    # one link between two components is enough: of each component a posting gives ``growth`` members
+    # a turn, that many times as many the next time, till its components are one or all were tried
+    members, before, tried = growth, 0, None
     while True:
         here = joined()
         groups_ = here.groupBy("shingle", "comp", "size").agg(F.count(F.lit(1)).alias("m"))
