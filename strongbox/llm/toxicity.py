@@ -364,10 +364,16 @@ def fit(docs: DataFrame, labels: DataFrame, most_toxic: int = 3000, most_clean:
         for at in range(0, len(out), _AT_ONCE):
             some = out[at : at + _AT_ONCE]
             x[some] = scorer.features(pa.array([texts[k] for k in some.tolist()], pa.large_string()))
-        scorer.forget()
+        del scorer
+        trim()
+    del texts
     weight = np.where(y == 1, shares[1] / (y == 1).sum(), shares[0] / (y == 0).sum())
     coef = _logistic(x, y, weight * len(y) / weight.sum())
-    return Scorer(Lexicon(seen, y == 1, first), coef)
+    lexicon = Lexicon(seen, y == 1, first)
+    lexicon.trie._forget()  # what it learned on the way; words are looked up anew
+    del seen
+    trim()
+    return Scorer(lexicon, coef)
 
 
 def score_texts(docs: DataFrame, scorer: Scorer, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
