@@ -36,7 +36,7 @@ def _rows(function: Callable[..., tuple], names: list[str], types: list[pa.DataT
     return run
 
 
-def _parts(column: pa.Array, most: int = 16 << 20) -> Iterator[slice]:
+def _parts(column: pa.Array, most: int = 4 << 20) -> Iterator[slice]:
     """Stretches of rows of about ``most`` bytes together: what is coded at once stays bounded."""
     sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
     first = total = 0
@@ -49,15 +49,20 @@ def _parts(column: pa.Array, most: int = 16 << 20) -> Iterator[slice]:
         yield slice(first, len(sizes))
 
 
+def _few(batches: Iterator[pa.RecordBatch], column: int | str) -> Iterator[pa.RecordBatch]:
+    """Batches cut into stretches of rows of about 4 MiB together: what a worker holds beside what it was sent stays bounded."""
+    for batch in batches:
+        for some in _parts(batch.column(column)):
+            yield batch.slice(some.start, some.stop - some.start)
+
+
 def _batches(function: Callable[[list[bytes]], list[tuple]], names: list[str], types: list[pa.DataType]):
     """A mapInArrow function of (id, archive): ``function`` of many archives gives a row for each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for some in _parts(batch.column(1)):
-                part = batch.slice(some.start, some.stop - some.start)
-                columns = zip(*function([a or b"" for a in part.column(1).to_pylist()]), strict=True)
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=["id", *names])
+        for part in _few(batches, 1):
+            columns = zip(*function([a or b"" for a in part.column(1).to_pylist()]), strict=True)
+            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=["id", *names])
 
     return run
 
@@ -74,22 +79,20 @@ def encode_blocks(files: DataFrame, options: Options, raw: bool = False, id_col:
     plan = block_plan(files, size, options.block_exp, [id_col, content_col])
     unit = 1 << options.block_exp
     slots = files.sparkSession.sparkContext.defaultParallelism
-    if files.rdd.getNumPartitions() < slots:  # coding is worth more than a shuffle where tasks are too few
+    if _partitions(files) < slots:  # coding is worth more than a shuffle where tasks are too few
         plan = plan.repartition(slots, id_col, "block_idx")
     data = F.expr(f"substring({content_col}, cast(block_offset + 1 AS int), cast(size AS int))")
     blocks = plan.select(F.col(id_col).alias("id"), "block_idx", "is_partial", "is_last", data.alias("data"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for some in _parts(batch.column(4)):
-                part = batch.slice(some.start, some.stop - some.start)
-                index, last, data = (part.column(k).to_pylist() for k in (1, 3, 4))
-                lone = [x and k == 0 for k, x in zip(index, last, strict=True)]
-                values = blake.block_values([(d, k * unit, one) for d, k, one in zip(data, index, lone, strict=True)])
-                payloads = whole.encode_payloads(data, options, raw)
-                columns = [part.column(0), part.column(1), part.column(2)]
-                columns += [pa.array([len(d) for d in data], _LONG), pa.array([len(p) for p in payloads], _LONG), pa.array(values, _BYTES), pa.array(payloads, _BYTES)]
-                yield pa.RecordBatch.from_arrays(columns, names=["id", "block_idx", "is_partial", "size", "physical_size", "cv", "payload"])
+        for part in _few(batches, 4):
+            index, last, data = (part.column(k).to_pylist() for k in (1, 3, 4))
+            lone = [x and k == 0 for k, x in zip(index, last, strict=True)]
+            values = blake.block_values([(d, k * unit, one) for d, k, one in zip(data, index, lone, strict=True)])
+            payloads = whole.encode_payloads(data, options, raw)
+            columns = [part.column(0), part.column(1), part.column(2)]
+            columns += [pa.array([len(d) for d in data], _LONG), pa.array([len(p) for p in payloads], _LONG), pa.array(values, _BYTES), pa.array(payloads, _BYTES)]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "block_idx", "is_partial", "size", "physical_size", "cv", "payload"])
 
     kind = dict(files.dtypes)[id_col]
     out = blocks.mapInArrow(encode, f"id {kind}, block_idx long, is_partial boolean, size long, physical_size long, cv binary, payload binary")
@@ -98,7 +101,7 @@ def encode_blocks(files: DataFrame, options: Options, raw: bool = False, id_col:
 
 # Functions that workers import are plain; they become UDFs where they are used.
 def _roots(values: pd.Series) -> pd.Series:
-    return values.map(lambda v: blake.root_of([bytes(x) for x in v]))
+    return pd.Series(blake.roots_of([[bytes(x) for x in v] for v in values]), dtype=object)
 
 
 def _joined(parts: pd.Series) -> pd.Series:
@@ -140,28 +143,55 @@ def assemble(files: DataFrame, blocks: DataFrame, options: Options, id_col: str
     return parts.select(id_col, F.concat(F.lit(head), joined(F.transform("_s", lambda s: s["bytes"]))).alias("archive"))
 
 
+WHOLE = 1 << 20  # bytes of a file up to which its blocks aren't worth a shuffle
+
+
 def pack(files: DataFrame, options: Options | None = None, raw: bool = False, id_col: str = "file_id", content_col: str = "content") -> DataFrame:
-    """file_id, archive of every file; null content counts as empty.  Files of 2 GiB and more go by the sink."""
+    """file_id, archive of every file; null content counts as empty.  Files of 2 GiB and more go by the sink.
+
+    Blocks of files over 1 MiB are dealt out and meet again; smaller files are packed where they are, many at once.
+    """
     options = options or preset(6).with_(ecc=1)
     files = files.select(id_col, F.coalesce(content_col, F.lit(b"")).alias("content"))
-    return assemble(files, encode_blocks(files, options, raw, id_col), options, id_col)
+    size = F.octet_length("content")
+    large = files.where(size > WHOLE)
+    return _packed(files.where(size <= WHOLE), options, raw, id_col).unionByName(assemble(large, encode_blocks(large, options, raw, id_col), options, id_col))
+
+
+def _packed(files: DataFrame, options: Options, raw: bool, id_col: str) -> DataFrame:
+    slots = files.sparkSession.sparkContext.defaultParallelism
+    if _partitions(files) < slots:
+        files = files.repartition(slots)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _few(batches, 1):
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(whole.pack_many(part.column(1).to_pylist(), options, raw), _BYTES)], names=["id", "archive"])
+
+    kind = dict(files.dtypes)[id_col]
+    return files.select(F.col(id_col).alias("id"), "content").mapInArrow(run, f"id {kind}, archive binary").withColumnRenamed("id", id_col)
+
+
+def _partitions(rows: DataFrame) -> int:
+    """How many tasks read the rows; behind a shuffle they are as many as it is wide, and asking would run it."""
+    plan = rows._jdf.queryExecution().executedPlan()
+    if plan.toString().find("Exchange") >= 0:
+        return int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.rdd.getNumPartitions()
 
 
 def block_directory(archives: DataFrame, id_col: str = "file_id", payloads: bool = True) -> DataFrame:
     """One row per block of every archive, and its archive's options and status."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for some in _parts(batch.column(1)):
-                part = batch.slice(some.start, some.stop - some.start)
-                many, rows = [a or b"" for a in part.column(1).to_pylist()], []
-                for id_, archive, d in zip(part.column(0).to_pylist(), many, whole.directories(many), strict=True):
-                    for e in d.entries:
-                        o, r = d.options, e.record
-                        payload = whole.payload_of(archive, e) if payloads else None
-                        rows.append((id_, e.index, e.at, r.size, r.partial, r.value, r.corrected, len(d.entries), o.ecc, o.prefilter, o.block_exp, o.lc, o.lp, o.pb, o.dict_exp, d.status, payload))
-                columns = zip(*rows, strict=True) if rows else [()] * len(names)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+        for part in _few(batches, 1):
+            many, rows = [a or b"" for a in part.column(1).to_pylist()], []
+            for id_, archive, d in zip(part.column(0).to_pylist(), many, whole.directories(many), strict=True):
+                for e in d.entries:
+                    o, r = d.options, e.record
+                    payload = whole.payload_of(archive, e) if payloads else None
+                    rows.append((id_, e.index, e.at, r.size, r.partial, r.value, r.corrected, len(d.entries), o.ecc, o.prefilter, o.block_exp, o.lc, o.lp, o.pb, o.dict_exp, d.status, payload))
+            columns = zip(*rows, strict=True) if rows else [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
     kind = dict(archives.dtypes)[id_col]
     names = ["id", "block_idx", "header_off", "physical_size", "is_partial", "cv", "corrected", "n_blocks", "ecc", "prefilter", "block_exp", "lc", "lp", "pb", "dict_exp", "status", "payload"]
@@ -209,19 +239,15 @@ def decode_blocks(archives: DataFrame, id_col: str = "file_id", validate: bool =
         blocks = blocks.repartition(F.col(id_col), F.col("block_idx"))
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for some in _parts(batch.column("payload")):
-                part = batch.slice(some.start, some.stop - some.start)
-                index, cv, n, *values, payload = (c.to_pylist() for c in part.columns[1:])
-                options = [Options(**dict(zip(fields, row, strict=True))) for row in zip(*values, strict=True)]
-                found = whole.decode_payloads(list(zip(payload, options, strict=True)), validate)
-                # a lone block may be hashed as the root it is, or as a part
-                todo = [(d, k << o.block_exp, root) for (d, _, _), k, o, m in zip(found, index, options, n, strict=True) if d is not None for root in ((True, False) if m == 1 else (False,))]
-                hashes = iter(blake.block_values(todo) if todo else [])
-                own = [[next(hashes) for _ in range(2 if m == 1 else 1)] if d is not None else [] for (d, _, _), m in zip(found, n, strict=True)]
-                status = [s if d is None or v in o else "hash" for (d, s, _), v, o in zip(found, cv, own, strict=True)]
-                columns = [part.column(0), part.column(1), pa.array(status, _TEXT), pa.array([c for _, _, c in found], _LONG), part.column(2), pa.array([d for d, _, _ in found], _BYTES)]
-                yield pa.RecordBatch.from_arrays(columns, names=["id", "block_idx", "status", "corrected", "cv", "data"])
+        for part in _few(batches, "payload"):
+            index, cv, n, *values, payload = (c.to_pylist() for c in part.columns[1:])
+            options = [Options(**dict(zip(fields, row, strict=True))) for row in zip(*values, strict=True)]
+            found = whole.decode_payloads(list(zip(payload, options, strict=True)), validate)
+            todo = [(d, k << o.block_exp, m == 1, v) for (d, _, _), k, o, m, v in zip(found, index, options, n, cv, strict=True) if d is not None]
+            holds = iter(blake.holds(todo))
+            status = [s if d is None or next(holds) else "hash" for d, s, _ in found]
+            columns = [part.column(0), part.column(1), pa.array(status, _TEXT), pa.array([c for _, _, c in found], _LONG), part.column(2), pa.array([d for d, _, _ in found], _BYTES)]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "block_idx", "status", "corrected", "cv", "data"])
 
     fields = ["ecc", "prefilter", "block_exp", "lc", "lp", "pb", "dict_exp"]
     kind = dict(archives.dtypes)[id_col]
@@ -232,36 +258,24 @@ def decode_blocks(archives: DataFrame, id_col: str = "file_id", validate: bool =
 
 def verify(archives: DataFrame, id_col: str = "file_id", validate: bool = True) -> DataFrame:
     """file_id, status, n_blocks, bad_blocks, corrected: records, payloads, block hashes, root and size together."""
-    blocks = decode_blocks(archives, id_col, validate)
-    per = blocks.groupBy(id_col).agg(
-        F.sum((F.col("status") != "ok").cast("long")).alias("bad"), F.sum("corrected").alias("_c"), F.sum(F.octet_length("data")).alias("_size"),
-        F.min(F.when(F.col("status") != "ok", F.col("status"))).alias("_first"),
-        F.array_sort(F.collect_list(F.struct("block_idx", "cv"))).alias("_v"),
-    )
-    per = per.withColumn("_root", tree_root(F.transform("_v", lambda v: v["cv"])))
-    met = list_archives(archives, id_col).join(per, id_col, "left")
-    none = F.lit(blake.root_of([]))
-    status = (
-        F.when(F.col("_first").isNotNull(), F.col("_first")).when(F.col("status") != "ok", F.col("status"))
-        .when(F.coalesce("_root", none) != F.col("root_hash"), "root").when(F.coalesce("_size", F.lit(0)) != F.col("size"), "size").otherwise("ok")
-    )
-    return met.select(id_col, status.alias("status"), "n_blocks", F.coalesce("bad", F.lit(0)).alias("bad_blocks"), (F.col("corrected") + F.coalesce("_c", F.lit(0))).alias("corrected"))
+    kind, names, types = dict(archives.dtypes)[id_col], ["status", "n_blocks", "bad_blocks", "corrected"], [_TEXT, _LONG, _LONG, _LONG]
+    run = _batches(lambda many: whole.verify_many(many, validate), names, types)
+    out = archives.select(F.col(id_col).alias("id"), "archive").mapInArrow(run, f"id {kind}, status string, n_blocks long, bad_blocks long, corrected long")
+    return out.withColumnRenamed("id", id_col)
 
 
 def unpack(archives: DataFrame, id_col: str = "file_id", validate: bool = True, strict: bool = False) -> DataFrame:
     """file_id, content, status, corrected.  ``strict``: any status but ok fails the query."""
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for some in _parts(batch.column(1)):
-                part = batch.slice(some.start, some.stop - some.start)
-                found = whole.unpack_many([a or b"" for a in part.column(1).to_pylist()], validate)
-                if strict:
-                    for id_, (_, status, _) in zip(part.column(0).to_pylist(), found, strict=True):
-                        if status != "ok":
-                            raise ValueError(f"archive {id_}: {status}")
-                columns = [pa.array([f[k] for f in found], t) for k, t in enumerate((_BYTES, _TEXT, _LONG))]
-                yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=["id", "content", "status", "corrected"])
+        for part in _few(batches, 1):
+            found = whole.unpack_many([a or b"" for a in part.column(1).to_pylist()], validate)
+            if strict:
+                for id_, (_, status, _) in zip(part.column(0).to_pylist(), found, strict=True):
+                    if status != "ok":
+                        raise ValueError(f"archive {id_}: {status}")
+            columns = [pa.array([f[k] for f in found], t) for k, t in enumerate((_BYTES, _TEXT, _LONG))]
+            yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=["id", "content", "status", "corrected"])
 
     kind = dict(archives.dtypes)[id_col]
     out = archives.select(F.col(id_col).alias("id"), "archive").mapInArrow(decode, f"id {kind}, content binary, status string, corrected long")
@@ -284,20 +298,27 @@ def repair(archives: DataFrame, id_col: str = "file_id") -> DataFrame:
 
 def damage(archives: DataFrame, seed: int, more: int = 0, id_col: str = "file_id") -> DataFrame:
     """file_id, archive with as many bytes changed as can be corrected (and ``more``) in every stretch, changed."""
-    rows = lambda id_, a: (id_, *whole.damage(a, seed + zlib.crc32(str(id_).encode()), more))
-    return _per_archive(archives, rows, id_col, [("archive", "binary", _BYTES), ("changed", "long", _LONG)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _few(batches, 1):
+            seeds = [seed + zlib.crc32(str(id_).encode()) for id_ in part.column(0).to_pylist()]
+            found = whole.damage_many([a or b"" for a in part.column(1).to_pylist()], seeds, more)
+            columns = [pa.array([f[k] for f in found], t) for k, t in enumerate((_BYTES, _LONG))]
+            yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=["id", "archive", "changed"])
+
+    kind = dict(archives.dtypes)[id_col]
+    rows = archives.select(F.col(id_col).alias("id"), "archive")
+    return rows.mapInArrow(run, f"id {kind}, archive binary, changed long").withColumnRenamed("id", id_col)
 
 
 def _changed(archives: DataFrame, many: Callable[..., list[bytes]], id_col: str, *inputs: str) -> DataFrame:
     """file_id, archive: ``many`` of archives and further columns gives the archives that they become."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for some in _parts(batch.column(1)):
-                part = batch.slice(some.start, some.stop - some.start)
-                held = [a or b"" for a in part.column(1).to_pylist()]
-                out = many(held, *(c.to_pylist() for c in part.columns[2:]))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, _BYTES)], names=["id", "archive"])
+        for part in _few(batches, 1):
+            held = [a or b"" for a in part.column(1).to_pylist()]
+            out = many(held, *(c.to_pylist() for c in part.columns[2:]))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, _BYTES)], names=["id", "archive"])
 
     kind = dict(archives.dtypes)[id_col]
     rows = archives.select(F.col(id_col).alias("id"), "archive", *inputs)
