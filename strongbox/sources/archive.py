@@ -27,6 +27,7 @@ query, for a log that keeps offsets short where a stream reads many archives.
 
 from __future__ import annotations
 
+import contextlib
 import glob
 import json
 import math
@@ -46,6 +47,7 @@ from ..codecs import archive, blake
 from ..dims import Options, preset
 
 SUFFIX = ".sba"
+WHOLE = 1 << 20  # bytes of rows that are packed together
 SCHEMAS = {
     "meta": "path string, status string, ecc int, prefilter int, block_exp int, dict_exp int, n_blocks long, payload_size long, file_size long, size long, root_hash binary, corrected long",
     "blocks": "path string, block_idx long, header_off long, physical_size long, is_partial boolean, cv binary, corrected long",
@@ -88,11 +90,6 @@ def archive_files(path: str, suffix: str = SUFFIX) -> list[tuple[str, int, int]]
     return sorted((f.path, f.size, f.mtime_ns or 0) for f in files)
 
 
-def _walk(store, path: str, size: int, until: int | None = None) -> archive.Directory:
-    with store.open_input_file(path) as f:
-        return archive.walk(lambda at, n: f.read_at(min(n, size - at), at), size, until)
-
-
 @dataclass
 class Run:
     """The blocks of an archive that begin in a range of its bytes."""
@@ -137,8 +134,8 @@ class ArchiveReader(DataSourceReader):
             else:
                 yield f
 
-    def runs(self, files: list[tuple]) -> list[Runs]:
-        """Small archives together, large ones in ranges."""
+    def runs(self, files: list[tuple], most: int = 1000) -> list[Runs]:
+        """Small archives together, up to ``most`` a task, large ones in ranges."""
         out, total = [], 0
         for path, size, _ in files:
             # every task walks from the archive's start: longer ranges, as a root, keep that in proportion
@@ -146,7 +143,7 @@ class ArchiveReader(DataSourceReader):
             parts = max(1, -(-size // step))
             for k in range(parts):
                 run = Run(path, size, k * step, (k + 1) * step, k == parts - 1)
-                if not out or parts > 1 or total + size > self.run_bytes or len(out[-1].held) >= 1000:
+                if not out or parts > 1 or total + size > self.run_bytes or len(out[-1].held) >= most:
                     out.append(Runs([]))
                     total = 0
                 out[-1].held.append(run)
@@ -158,51 +155,68 @@ class ArchiveReader(DataSourceReader):
         return self.runs([f for f in files if self.name in (None, f[0])]) or [Runs([])]
 
     def read(self, runs: Runs) -> Iterator[tuple]:
+        some, total = [], 0
         for run in runs.held:
-            yield from self._rows(run)
-
-    def _rows(self, run: Run) -> Iterator[tuple]:
+            own = min(run.size, run.high - run.low)
+            if some and (total + own > 4 << 20 or len(some) >= 200):
+                yield from self._rows(some)
+                some, total = [], 0
+            some.append(run)
+            total += own
+        if some:
+            yield from self._rows(some)
+
+    def _rows(self, runs: list[Run]) -> Iterator[tuple]:
+        """Of a few runs: their records are walked, and their blocks decoded and hashed, side by side."""
         store, _ = _store(_split(self.path)[0])
-        if self.mode != "data":
-            d = _walk(store, run.path, run.size)
-            if self.mode == "blocks":
-                for e in d.entries:
-                    if self.low <= e.index <= self.high:
-                        yield run.path, e.index, e.at, e.record.size, e.record.partial, e.record.value, e.record.corrected
-                return
-            o, t = d.options, d.trailer
-            yield (
-                run.path, archive.told(d), *((o.ecc, o.prefilter, o.block_exp, o.dict_exp) if o else (None,) * 4), len(d.entries),
-                sum(e.record.size for e in d.entries), run.size, t.size if t else None, t.value if t else None, d.corrected,
-            )
-            return
-        d = _walk(store, run.path, run.size, None if run.last else run.high)
-        length = 0
-        with store.open_input_file(run.path) as f:
-            for e in d.entries:
-                own = run.low <= e.at < run.high and self.low <= e.index <= self.high
-                tail = run.last and e is d.entries[-1]
-                if not own and not (tail and self._whole()):
-                    continue
-                data, status, corrected = archive.decode_payload(f.read_at(e.record.size, e.at + 64), d.options, self.validate)
-                length = len(data or b"")
-                if not own:
-                    continue
+        with contextlib.ExitStack() as held:
+            files = [held.enter_context(store.open_input_file(run.path)) for run in runs]
+            reads = [lambda at, n, f=f, size=run.size: f.read_at(min(n, size - at), at) for f, run in zip(files, runs, strict=True)]
+            untils = [None if run.last or self.mode != "data" else run.high for run in runs]
+            found = archive.walks([(read, run.size, until) for read, run, until in zip(reads, runs, untils, strict=True)])
+            for run, d in zip(runs, found, strict=True):
+                if self.mode == "blocks":
+                    for e in d.entries:
+                        if self.low <= e.index <= self.high:
+                            yield run.path, e.index, e.at, e.record.size, e.record.partial, e.record.value, e.record.corrected
+                elif self.mode != "data":
+                    o, t = d.options, d.trailer
+                    yield (
+                        run.path, archive.told(d), *((o.ecc, o.prefilter, o.block_exp, o.dict_exp) if o else (None,) * 4), len(d.entries),
+                        sum(e.record.size for e in d.entries), run.size, t.size if t else None, t.value if t else None, d.corrected,
+                    )
+            if self.mode == "data":
+                yield from self._data(runs, found, files)
+
+    def _data(self, runs: list[Run], found: list[archive.Directory], files: list) -> Iterator[tuple]:
+        own = lambda run, e: run.low <= e.at < run.high and self.low <= e.index <= self.high
+        tail = lambda run, d, e: run.last and e is d.entries[-1] and self._whole()
+        todo = [(k, e, d.options) for k, (run, d) in enumerate(zip(runs, found, strict=True)) for e in d.entries if own(run, e) or tail(run, d, e)]
+        length = [0] * len(runs)
+        for some in archive.stretches(todo):
+            decoded = archive.decode_payloads([(files[k].read_at(e.record.size, e.at + 64), o) for k, e, o in some], self.validate)
+            holds = iter(blake.holds([
+                (data, e.index << o.block_exp, len(found[k].entries) == 1, e.record.value)
+                for (k, e, o), (data, _, _) in zip(some, decoded, strict=True) if data is not None
+            ]))
+            for (k, e, _), (data, status, corrected) in zip(some, decoded, strict=True):
                 if data is not None:
-                    lone = len(d.entries) == 1
-                    values = blake.block_values([(data, e.index << d.options.block_exp, r) for r in ((True, False) if lone else (False,))])
-                    status = "ok" if e.record.value in values else "hash"
+                    status = "ok" if next(holds) else "hash"
+                length[k] = len(data or b"")
+                if not own(runs[k], e):
+                    continue
                 if self.strict and status != "ok":
-                    raise ValueError(f"{run.path}, block {e.index}: {status}")
-                yield run.path, e.index, status, corrected, data
-        if run.last and self._whole():
-            status = archive.told(d)
-            if status == "ok" and d.trailer.size != (max(len(d.entries) - 1, 0) << d.options.block_exp) + length:
-                status = "size"
-            if status != "ok":
-                if self.strict:
-                    raise ValueError(f"{run.path}: {status}")
-                yield run.path, None, status, 0, None
+                    raise ValueError(f"{runs[k].path}, block {e.index}: {status}")
+                yield runs[k].path, e.index, status, corrected, data
+        for run, d, n in zip(runs, found, length, strict=True):
+            if run.last and self._whole():
+                status = archive.told(d)
+                if status == "ok" and d.trailer.size != (max(len(d.entries) - 1, 0) << d.options.block_exp) + n:
+                    status = "size"
+                if status != "ok":
+                    if self.strict:
+                        raise ValueError(f"{run.path}: {status}")
+                    yield run.path, None, status, 0, None
 
     def _whole(self) -> bool:
         return self.low <= 0 and self.high >= 2**62
@@ -225,7 +239,18 @@ class ArchiveWriter(DataSourceWriter):
     def write(self, rows) -> Written:
         store, base = _store(self.path)
         store.create_dir(f"{base}/{self.held}", recursive=True)
-        names, current, packer, out = [], None, None, None
+        names, current, packer, out, some, total = [], None, None, None, [], 0
+
+        def opened(name: str):
+            held = f"{base}/{self.held}/{uuid.uuid4().hex}"
+            names.append((held, f"{base}/{name}{self.suffix}"))
+            return store.open_output_stream(held)
+
+        def flush() -> None:
+            for (name, _), packed in zip(some, archive.pack_many([data for _, data in some], self.options), strict=True):
+                with opened(name) as whole:
+                    whole.write(packed)
+            some.clear()
 
         def close() -> None:
             if out is not None:
@@ -237,13 +262,20 @@ class ArchiveWriter(DataSourceWriter):
             name = row["name"]
             if name is None or ".." in name.split("/"):
                 raise ValueError(f"no name for an archive: {name}")
+            content = bytes(row["content"] or b"")
+            if not self.pieces and len(content) <= WHOLE:
+                some.append((name, content))
+                total += len(content)
+                if total > WHOLE or len(some) >= 1000:
+                    flush()
+                    total = 0
+                continue
             if out is None or not self.pieces or name != current:
                 close()
-                held = f"{base}/{self.held}/{uuid.uuid4().hex}"
-                current, packer, out = name, archive.Packer(self.options), store.open_output_stream(held)
-                names.append((held, f"{base}/{name}{self.suffix}"))
-            for part in packer.feed(bytes(row["content"] or b"")):
+                current, packer, out = name, archive.Packer(self.options), opened(name)
+            for part in packer.feed(content):
                 out.write(part)
+        flush()
         close()
         return Written(names)
 
@@ -289,6 +321,8 @@ class ArchiveStream(DataSourceStreamReader):
         self.path, self.most = options["path"], int(options.get("maxFilesPerTrigger", 1000))
         self.log = options.get("logPath")
         self.seen: set[tuple] = set()
+        self.known: set[tuple] = set()
+        self.waiting: list[tuple] = []
         self.batches: list[list] = []
 
     def _entries(self) -> list[tuple]:
@@ -303,6 +337,7 @@ class ArchiveStream(DataSourceStreamReader):
                 return
             with store.open_input_stream(name) as f:
                 self.batches.append([tuple(e) for e in json.loads(f.read())])
+            self.known.update(self.batches[-1])
 
     def initialOffset(self) -> dict:  # noqa: N802
         return {"batch": 0} if self.log else {"seen": "[]"}
@@ -312,16 +347,30 @@ class ArchiveStream(DataSourceStreamReader):
             self.seen |= set(self._entries())
             return {"seen": json.dumps(sorted(self.seen))}
         self._read_log()
-        known = {e for batch in self.batches for e in batch}
-        if new := [e for e in self._entries() if e not in known][: self.most]:
+        if new := self._next():
             store, base = _store(self.log)
             number = len(self.batches) + 1
             with store.open_output_stream(f"{base}/{number}.tmp") as out:
                 out.write(json.dumps(new).encode())
             store.move(f"{base}/{number}.tmp", f"{base}/{number}.json")
             self.batches.append(new)
+            self.known.update(new)
         return {"batch": len(self.batches)}
 
+    def _next(self) -> list[tuple]:
+        """New archives for a batch; the folder is listed only when none of its last listing wait, or listings grow with their square."""
+        store, _ = _store(_split(self.path)[0])
+        while True:
+            if not self.waiting:
+                self.waiting = [e for e in self._entries() if e not in self.known]
+            some, self.waiting = self.waiting[: self.most], self.waiting[self.most :]
+            # as they are now: what was listed may have changed since, or gone
+            found = store.get_file_info([path for path, _, _ in some]) if some else []
+            now = [(f.path, f.size, f.mtime_ns or 0) for f in found if f.type == pyarrow.fs.FileType.File]
+            new = [e for e in now if e not in self.known]
+            if new or not some:
+                return new
+
     def partitions(self, start: dict, end: dict) -> list[Runs]:
         if self.log:
             self._read_log(end["batch"])
@@ -329,7 +378,7 @@ class ArchiveStream(DataSourceStreamReader):
         else:
             before = {tuple(e) for e in json.loads(start["seen"])}
             new = [e for e in map(tuple, json.loads(end["seen"])) if e not in before]
-        return self.reader.runs(new)
+        return self.reader.runs(new, max(1, -(-min(len(new), 16000) // 16)))
 
     def read(self, runs: Runs) -> Iterator[tuple]:
         return self.reader.read(runs)
