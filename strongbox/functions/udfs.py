@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import SparkSession, functions as F
@@ -67,34 +69,68 @@ def lz_decode(payload: pd.Series, level: pd.Series) -> pd.Series:
 
 
 def rs_encode(payload: pd.Series, ecc: pd.Series) -> pd.Series:
-    return _each(lambda p, e: rs.protect(bytes(p), records.level(int(e))), payload, ecc)
+    out: list[bytes | None] = [None] * len(payload)
+    for some in _stretches(payload):
+        for e, own in _levels(payload, ecc, some):
+            for k, stored in zip(own, rs.protect_many([bytes(payload.iat[k]) for k in own], records.level(e)), strict=True):
+                out[k] = stored
+    return pd.Series(out, dtype=object)
+
+
+def _levels(data: pd.Series, ecc: pd.Series, some: range) -> Iterator[tuple[int, list[int]]]:
+    """Each level among some rows and its rows; rows of nothing have none."""
+    whole = [k for k in some if data.iat[k] is not None and not pd.isna(ecc.iat[k])]
+    for e in {int(ecc.iat[k]) for k in whole}:
+        yield e, [k for k in whole if ecc.iat[k] == e]
 
 
 def rs_decode(stored: pd.Series, ecc: pd.Series) -> pd.DataFrame:
-    rows = [rs.unprotect(bytes(s), records.level(int(e))) if s is not None and e is not None else (None, None, None) for s, e in zip(stored, ecc, strict=True)]
+    rows: list[tuple] = [(None, None, None)] * len(stored)
+    for some in _stretches(stored):
+        for e, own in _levels(stored, ecc, some):
+            for k, found in zip(own, rs.unprotect_many([bytes(stored.iat[k]) for k in own], records.level(e)), strict=True):
+                rows[k] = found
     return pd.DataFrame(rows, columns=["data", "corrected", "lost"])
 
 
 def block_cv(data: pd.Series, offset: pd.Series, root: pd.Series) -> pd.Series:
     """Chaining value of a block at a byte offset, or the hash if it is all there is."""
-    rows = [(b"" if d is None else bytes(d), int(o), bool(r)) for d, o, r in zip(data, offset, root, strict=True)]
-    return pd.Series(blake.block_values(rows) if rows else [], dtype=object)
+    out: list[bytes] = []
+    for some in _stretches(data):
+        out += blake.block_values([(b"" if data.iat[k] is None else bytes(data.iat[k]), int(offset.iat[k]), bool(root.iat[k])) for k in some])
+    return pd.Series(out, dtype=object)
+
+
+def _stretches(column: pd.Series, most: int = 4 << 20) -> Iterator[range]:
+    """Places of rows of about ``most`` bytes together."""
+    first = total = 0
+    for k, d in enumerate(column):
+        n = 0 if d is None else len(d)
+        if total and total + n > most:
+            yield range(first, k)
+            first, total = k, 0
+        total += n
+    if len(column):
+        yield range(first, len(column))
 
 
 def pack(data: pd.Series, level: pd.Series) -> pd.DataFrame:
     """An archive of a buffer; nothing or no bytes is invalid input, code -1."""
-    rows = [(True, OK, archive.pack(bytes(d), preset(int(n)))) if d is not None and len(d) else (False, INVALID_INPUT, None) for d, n in zip(data, level, strict=True)]
+    rows: list[tuple] = [(False, INVALID_INPUT, None)] * len(data)
+    for some in _stretches(data):
+        for n in {int(level.iat[k]) for k in some}:
+            own = [k for k in some if level.iat[k] == n and data.iat[k] is not None and len(data.iat[k])]
+            for k, packed in zip(own, archive.pack_many([bytes(data.iat[k]) for k in own], preset(n)), strict=True):
+                rows[k] = (True, OK, packed)
     return pd.DataFrame(rows, columns=["ok", "code", "data"])
 
 
 def unpack(data: pd.Series) -> pd.DataFrame:
-    rows = []
-    for d in data:
-        if d is None or not len(d):
-            rows.append((False, INVALID_INPUT, None))
-            continue
-        content, status, _ = archive.unpack(bytes(d))
-        rows.append((True, OK, content) if status == "ok" else (False, DATA_ERROR, None))
+    rows: list[tuple] = [(False, INVALID_INPUT, None)] * len(data)
+    for some in _stretches(data):
+        own = [k for k in some if data.iat[k] is not None and len(data.iat[k])]
+        for k, (content, status, _) in zip(own, archive.unpack_many([bytes(data.iat[k]) for k in own]), strict=True):
+            rows[k] = (True, OK, content) if status == "ok" else (False, DATA_ERROR, None)
     return pd.DataFrame(rows, columns=["ok", "code", "data"])
 
 
