@@ -582,8 +582,12 @@ def dict_sizes(spark, sf_dir):
 
 @query("""SELECT doc_id, pos FROM (SELECT doc_id, pos, row_number() OVER (PARTITION BY doc_id ORDER BY md5('7:' || doc_id || ':' || pos), pos) AS r FROM documents, range(255) t(pos)) WHERE r <= 8""")
 def corrupt_topk_positions(spark, sf_dir):
-    rows = read(spark, sf_dir, "documents").select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(254).cast("long"))).alias("pos"))
-    order = Window.partitionBy("doc_id").orderBy(F.md5(F.concat_ws(":", F.lit("7"), "doc_id", "pos").cast("binary")), "pos")
+    """Each row's first places come from its own array; ids that are repeated meet with eight places a row."""
+    digest = lambda p: F.md5(F.concat(F.lit("7:"), F.col("doc_id").cast("string"), F.lit(":"), p.cast("string")).cast("binary"))
+    key = lambda p: F.named_struct(F.lit("k"), digest(p), F.lit("pos"), p)
+    places = F.slice(F.array_sort(F.transform(F.sequence(F.lit(0).cast("long"), F.lit(254).cast("long")), key)), 1, 8)
+    rows = read(spark, sf_dir, "documents").select("doc_id", F.inline(places))
+    order = Window.partitionBy("doc_id").orderBy("k", "pos")
     return rows.withColumn("r", F.row_number().over(order)).where("r <= 8").select("doc_id", "pos")
 
 
