@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..codecs import archive as whole
 from ..codecs import blake, records
 from ..dims import Options, preset
+from ..memory import trim
 from ..plans.blocks import block_plan
 
 
@@ -50,10 +51,14 @@ def _parts(column: pa.Array, most: int = 4 << 20) -> Iterator[slice]:
 
 
 def _few(batches: Iterator[pa.RecordBatch], column: int | str) -> Iterator[pa.RecordBatch]:
-    """Batches cut into stretches of rows of about 4 MiB together: what a worker holds beside what it was sent stays bounded."""
+    """Batches cut into stretches of rows of about 4 MiB together: what a worker holds beside what it was sent stays bounded.
+
+    Behind each batch what the allocators keep of it goes back to the system.
+    """
     for batch in batches:
         for some in _parts(batch.column(column)):
             yield batch.slice(some.start, some.stop - some.start)
+        trim()
 
 
 def _batches(function: Callable[[list[bytes]], list[tuple]], names: list[str], types: list[pa.DataType]):
