@@ -470,11 +470,11 @@ def _store_files(files: DataFrame, folder: str) -> None:
 
     def put(batches):
         to, path = pyarrow.fs.FileSystem.from_uri(folder)
-        for batch in batches:
-            for name, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for part in archives._few(batches, 1):
+            for name, data in zip(*(c.to_pylist() for c in part.columns), strict=True):
                 with to.open_output_stream(f"{path}/{name}.sba") as out:
                     out.write(data)
-            yield batch.select(["file_id"])
+            yield part.select(["file_id"])
 
     files.select("file_id", "archive").mapInArrow(put, "file_id long").write.format("noop").mode("overwrite").save()
 
