@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -97,7 +98,8 @@ def decode_stream(rows: DataFrame) -> DataFrame:
         given = [(int(seq), bytes(data) if data is not None else b"") for batch in batches for seq, data in zip(batch["seq"], batch["data"], strict=True)]
         s, out = collect(s, sorted(given))
         held.update(s)
-        yield pd.DataFrame([(key[0], *found) for found in out], columns=["stream_id", *_FOUND]).astype({"block_exp": "Int32"})
+        columns = list(zip(*((key[0], *found) for found in out), strict=True)) or [()] * 8  # as they are: a frame that guesses kinds takes longer than a block
+        yield pd.DataFrame({name: np.array(column, object) for name, column in zip(["stream_id", *_FOUND], columns, strict=True)})
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _few(batches, "data"):
