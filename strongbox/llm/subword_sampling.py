@@ -93,8 +93,8 @@ class Pieces:
         self.longest = max(len(p) for p, _ in table)
         self.bytes = [b"" if model.is_control(i) or model.is_unknown(i) else bytes([int(p[3:5], 16)]) if model.is_byte(i) else p.encode() for i, p in enumerate(names)]
         flat = np.frombuffer(b"".join(self.bytes), np.uint8)
-        self.size = np.array([len(b) for b in self.bytes])
-        self.flat, self.at = flat, np.cumsum(self.size) - self.size
+        self.size = np.array([len(b) for b in self.bytes], np.int32)
+        self.flat, self.at = flat, (np.cumsum(self.size) - self.size).astype(np.int32)
         # which pairs of neighbours some piece spans
         self.char = np.zeros(max(chars) + 2, np.int32)
         for c, k in chars.items():
@@ -115,12 +115,17 @@ class Pieces:
             self.keys[slot], self.ids[slot], self.probes = key[0], i, max(self.probes, probe)
 
     def find(self, key: np.ndarray) -> np.ndarray:
-        slot = _slots(key)
-        out = np.where(self.keys[slot] == key, self.ids[slot], -1)
-        for k in range(1, self.probes):
-            miss = np.flatnonzero(out < 0)
-            at = (slot[miss] + k) % _SLOTS
-            out[miss] = np.where(self.keys[at] == key[miss], self.ids[at], -1)
+        at = _slots(key)
+        out, same = self.ids[at], self.keys[at] == key
+        # most have no piece: a slot that is free ends the search, one that another piece has goes on
+        more = np.flatnonzero(~same & (out >= 0))
+        out[~same] = -1
+        while len(more):
+            at = (at[more] if len(at) == len(key) else at) + 1 & _SLOTS - 1
+            ids, same = self.ids[at], self.keys[at] == key[more]
+            out[more[same]] = ids[same]
+            on = ~same & (ids >= 0)
+            more, at = more[on], at[on]
         return out
 
     def with_bytes(self, ids: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -145,9 +150,13 @@ class Pieces:
 
     def spelled(self, ids: np.ndarray) -> np.ndarray:
         """The bytes of ids."""
-        size, at = self.size[ids], self.at[ids]
+        size, at = self.size.take(ids), self.at.take(ids)
         ends = np.cumsum(size)
-        return self.flat[np.repeat(at - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
+        if len(ends) and ends[-1] < 2**31:  # places in half the room
+            ends = ends.astype(np.int32)
+        where = np.repeat(at - (ends - size), size)
+        where += np.arange(len(where), dtype=where.dtype)
+        return self.flat.take(where)
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The text of ids: their bytes, white space marks as spaces, without the first."""
@@ -280,47 +289,54 @@ class _Batch:
         t, stream = self.size[form].copy(), mix(key + self.own[units], seed)
         begin, node0, char0 = self.unit_at[units], self.node_at[form], self.char_at[form]
         total = np.zeros(len(units))
-        live = np.arange(len(units))
+        live, wide = np.arange(len(units)), self.edge.shape[1]
+        edge, log_weight = self.edge.reshape(-1), self.log_weight.reshape(-1)
         while len(live):
             left = t[live]
             node = node0[live] + left
             with np.errstate(over="ignore"):  # a linear congruential step of each unit's own stream
                 stream = stream * np.uint64(6364136223846793005) + np.uint64(1442695040888963407)
             u = (stream >> np.uint64(40)).astype(np.float32) * np.float32(2.0**-24)
-            length = self.best[node]  # the likeliest piece ends most draws
-            other = np.flatnonzero(u >= self.best_share[node])
+            length = self.best.take(node)  # the likeliest piece ends most draws
+            best_share = self.best_share.take(node)
+            other = np.flatnonzero(u >= best_share)
             if len(other):
                 row = self.share[node[other]]
                 row[np.arange(len(other)), length[other] - 1] = 0
                 sums = np.cumsum(row, axis=1)
                 # the rest of u, stretched over the shares of the others; with no other the likeliest stays
-                reach = (u[other] - self.best_share[node[other]]) / np.maximum(1 - self.best_share[node[other]], np.float32(1e-12))
+                held = best_share[other]
+                reach = (u[other] - held) / np.maximum(1 - held, np.float32(1e-12))
                 chosen = 1 + np.count_nonzero(sums <= np.minimum(reach, np.float32(1 - 1e-6))[:, None] * sums[:, -1:], axis=1)
                 length[other] = np.where(sums[:, -1] > 0, chosen, length[other])
             left = left - length
             t[live] = left
-            at = char0[live] + left
-            piece_at[begin[live] + left] = self.edge[length - 1, at] + 1
-            total[live] += self.log_weight[length - 1, at]
-            more = left > 0
-            live, stream = live[more], stream[more]
+            at = char0[live] + left + (length - 1).astype(np.int64) * wide
+            piece_at[begin[live] + left] = edge.take(at) + 1
+            total[live] += log_weight.take(at)
+            more = np.flatnonzero(left)
+            live, stream = live.take(more), stream.take(more)
         logp[units] = np.minimum(total - self.alpha[node0 + self.size[form]], 0)
 
     def rest(self, units: np.ndarray, logp: np.ndarray) -> np.ndarray:
         """Log of the mass of a unit's other paths; minus infinity if there is none."""
         form = self.form[units]
         more = self.paths[self.node_at[form] + self.size[form]] > 1
-        with np.errstate(divide="ignore"):
-            return np.where(more, np.log(-np.expm1(logp[units])), -np.inf)
+        return np.where(more, np.log(-np.expm1(logp[units])), -np.inf)
 
     def options(self, node: int, out: frozenset) -> list[tuple[int, float]]:
-        return [(k + 1, float(s)) for k, s in enumerate(self.share[node]) if s > 0 and k + 1 not in out]
+        return [(k, s) for k, s in enumerate(self.share[node].tolist(), 1) if s > 0 and k not in out]
 
 
-def _truncated(log_mass, bound: float, u):
-    """A Gumbel variable at log_mass, given that it is below bound."""
-    with np.errstate(divide="ignore", invalid="ignore"):
-        return -np.logaddexp(-bound, np.log(-np.log(u)) - log_mass)
+def _truncated(log_mass: np.ndarray, bound: float, u: np.ndarray) -> np.ndarray:
+    """Gumbel variables at log_mass, given that they are below bound."""
+    return -np.logaddexp(-bound, np.log(-np.log(u)) - log_mass)
+
+
+def _truncated_one(log_mass: float, bound: float, u: float) -> float:
+    """The same of one, by numbers."""
+    a, b = -bound, math.log(-math.log(u)) - log_mass
+    return -(max(a, b) + math.log1p(math.exp(-abs(a - b))))
 
 
 class _Search:
@@ -387,7 +403,7 @@ class _Search:
             chosen = min(chosen, len(parts) - 1)
             for k, (mass, part) in enumerate(parts):
                 if k != chosen:
-                    self.push(float(_truncated(before + mass, value, self.draws())), part)
+                    self.push(_truncated_one(before + mass, value, self.draws()), part)
             item = parts[chosen][1]
         _, round_, unit, before, t, done, out = item
         log_ = sum(math.log(float(b.share[node0 + at + length, length - 1])) for at, length in done)
@@ -411,12 +427,17 @@ class _Search:
             path.append((t, length))
             skip = frozenset()
         for mass, at, fixed, skip in splits:
-            self.push(float(_truncated(before + mass, value, self.draws())), ("node", round_, unit, before, at, fixed, skip))
+            self.push(_truncated_one(before + mass, value, self.draws()), ("node", round_, unit, before, at, fixed, skip))
         return round_, unit, value, path, log_
 
 
 def sample_batch(pieces: Pieces, texts: list[str], keys: list[int], k: int) -> list[list[tuple[np.ndarray, float, float, float, bool]]]:
     """For each text up to k of (ids, log probability, perturbed value, inclusion probability, whether they decode to it), best first."""
+    with np.errstate(divide="ignore", invalid="ignore", over="ignore"):  # once: it takes longer than what it is about
+        return _sampled(pieces, texts, keys, k)
+
+
+def _sampled(pieces: Pieces, texts: list[str], keys: list[int], k: int) -> list[list[tuple[np.ndarray, float, float, float, bool]]]:
     b = _Batch(pieces, texts)
     n, units = len(b.points), len(b.unit_at) - 1
     doc_of = np.repeat(np.arange(len(texts)), np.diff(b.doc_unit))

@@ -166,3 +166,38 @@ def test_word_spans_and_hashes():
     assert len({*h.tolist()}) == 4 - 0 and h[3] == h[4]  # ab, ba, a, b, b
     w = wh.window_hashes(np.array([5, 6, 5, 6, 5], np.uint64), np.arange(4), 2)
     assert w[0] == w[2] and w[1] == w[3] and w[0] != w[1]
+
+
+def test_a_missing_piece_is_looked_for_once():
+    """op10: most keys have no piece; a free slot ends their search, and pieces are found as before."""
+    import numpy as np
+    import public_tokenizers
+
+    from strongbox.llm import subword_sampling as s
+
+    class Counted:
+        def __init__(self, held):
+            self.held, self.n = held, 0
+
+        def __getitem__(self, at):
+            self.n += len(at)
+            return self.held[at]
+
+    pieces = s.Pieces(public_tokenizers.path("piece_bpe_32k.model"), 0.3)
+    there = np.flatnonzero(pieces.ids >= 0)
+    assert (pieces.find(pieces.keys[there]) == pieces.ids[there]).all()
+    absent = np.setdiff1d(np.random.default_rng(1).integers(0, 2**63, 50_000).astype(np.uint64), pieces.keys[there])
+    real, pieces.ids = pieces.ids, Counted(pieces.ids)
+    assert (pieces.find(absent) == -1).all() and pieces.ids.n < 1.5 * len(absent)
+    mixed = np.concatenate([absent[:100], pieces.keys[there][:100]])
+    assert pieces.find(mixed).tolist() == [-1] * 100 + real[there][:100].tolist()
+
+
+def test_one_truncated_value_is_as_many_are():
+    """op10"""
+    import numpy as np
+
+    from strongbox.llm import subword_sampling as s
+
+    for mass, bound, u in ((-3.0, 2.0, 0.3), (0.5, -40.0, 1e-12), (-700.0, 5.0, 1 - 1e-12), (-1.0, 60.0, 0.5)):
+        assert abs(s._truncated_one(mass, bound, u) - s._truncated(np.array([mass]), bound, np.array([u]))[0]) < 1e-9
