@@ -160,7 +160,21 @@ def pack(files: DataFrame, options: Options | None = None, raw: bool = False, id
     files = files.select(id_col, F.coalesce(content_col, F.lit(b"")).alias("content"))
     size = F.octet_length("content")
     large = files.where(size > WHOLE)
-    return _packed(files.where(size <= WHOLE), options, raw, id_col).unionByName(assemble(large, encode_blocks(large, options, raw, id_col), options, id_col))
+    return _packed(files.where(size <= WHOLE), options, raw, id_col).unionByName(_gathered(encode_blocks(large, options, raw, id_col), options, id_col))
+
+
+def _whole(values: pd.Series, sizes: pd.Series, segments: pd.Series) -> pd.Series:
+    ends = records.trailers([(int(s), r) for s, r in zip(sizes, _roots(values), strict=True)])
+    return pd.Series([b"".join([*map(bytes, own), end]) for own, end in zip(segments, ends, strict=True)], dtype=object)
+
+
+def _gathered(blocks: DataFrame, options: Options, id_col: str) -> DataFrame:
+    """file_id, archive of files of which each has a block; blocks are coded once and meet once, with what their root needs."""
+    make_block, make_whole = (F.pandas_udf(f, "binary") for f in (_block_headers, _whole))
+    segments = blocks.select(id_col, "block_idx", "size", "cv", F.concat(make_block("physical_size", "is_partial", "cv"), "payload").alias("bytes"))
+    found = segments.groupBy(id_col).agg(F.sum("size").alias("size"), F.array_sort(F.collect_list(F.struct("block_idx", "cv", "bytes"))).alias("_s"))
+    whole = make_whole(F.transform("_s", lambda s: s["cv"]), "size", F.transform("_s", lambda s: s["bytes"]))
+    return found.select(id_col, F.concat(F.lit(records.header(options)), whole).alias("archive"))
 
 
 def _packed(files: DataFrame, options: Options, raw: bool, id_col: str) -> DataFrame:

@@ -31,7 +31,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents_as_files(spark, sf_dir) -> DataFrame:
-    return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content"))
+    return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), F.coalesce("text", F.lit("")).cast("binary").alias("content"))
 
 
 FILE_IDS = 1000  # documents a file: no language or source makes one file grow with the table
@@ -42,7 +42,7 @@ def files_by_lang(spark, sf_dir) -> DataFrame:
     rows = read(spark, sf_dir, "documents").withColumn("part", scalars.idiv(F.col("doc_id"), FILE_IDS))
     rows = rows.groupBy("lang", "source", "part").agg(F.array_sort(F.collect_list(F.struct("doc_id", "text"))).alias("t"))
     text = F.array_join(F.transform("t", lambda t: t["text"]), "")
-    return rows.select(F.concat_ws("/", "lang", "source", "part").alias("file_id"), F.encode(text, "UTF-8").alias("content"))
+    return rows.select(F.concat_ws("/", "lang", "source", "part").alias("file_id"), text.cast("binary").alias("content"))
 
 
 _BY_LANG = f"""
