@@ -344,15 +344,23 @@ def _changed(archives: DataFrame, many: Callable[..., list[bytes]], id_col: str,
     return rows.mapInArrow(run, f"id {kind}, archive binary").withColumnRenamed("id", id_col)
 
 
-def append(archives: DataFrame, extra_col: str = "extra", id_col: str = "file_id") -> DataFrame:
-    """file_id, archive with the bytes of ``extra`` behind its data; full blocks are kept as they are."""
-    many = lambda held, extras: whole.append_many(held, [x or b"" for x in extras])
+def append(archives: DataFrame, extra_col: str = "extra", id_col: str = "file_id", options: Options | None = None) -> DataFrame:
+    """file_id, archive with the bytes of ``extra`` behind its data; full blocks are kept as they are.
+
+    ``options`` are those that the archives were packed by: of them comes the search
+    for matches (mode, nice length, depth), the rest from the archives themselves.
+    """
+    many = lambda held, extras: whole.append_many(held, [x or b"" for x in extras], options)
     return _changed(archives, many, id_col, extra_col)
 
 
-def replace_block(archives: DataFrame, index_col: str = "block_idx", data_col: str = "data", id_col: str = "file_id") -> DataFrame:
-    """file_id, archive with block ``block_idx`` holding ``data`` (null: no block); the root follows, other payloads are kept."""
-    return _changed(archives, whole.replace_many, id_col, index_col, data_col)
+def replace_block(archives: DataFrame, index_col: str = "block_idx", data_col: str = "data", id_col: str = "file_id", options: Options | None = None) -> DataFrame:
+    """file_id, archive with block ``block_idx`` holding ``data`` (null: no block); the root follows, other payloads are kept.
+
+    ``options`` as for ``append``.
+    """
+    many = lambda held, indexes, datas: whole.replace_many(held, indexes, datas, options)
+    return _changed(archives, many, id_col, index_col, data_col)
 
 
 def best_copies(copies: DataFrame, id_col: str = "file_id", copy_col: str = "copy") -> DataFrame:

@@ -405,8 +405,9 @@ def replace_middle(spark, sf_dir):
     rest = F.least(F.octet_length("content") - 65536, F.lit(65536))
     other = files.select("file_id", F.when(rest > 0, F.lit(1).cast("long")).alias("block_idx"), rest.alias("_n"))
     other = other.select("file_id", "block_idx", F.encode(F.expr("repeat('z', _n)"), "UTF-8").alias("data"))
-    packed = archives.pack(files, preset(1).with_(ecc=1, block_exp=16)).join(other, "file_id")
-    out = archives.unpack(archives.replace_block(packed))
+    options = preset(1).with_(ecc=1, block_exp=16)
+    packed = archives.pack(files, options).join(other, "file_id")
+    out = archives.unpack(archives.replace_block(packed, options=options))
     return out.select("file_id", F.octet_length("content").cast("long").alias("bytes"), F.md5(F.hex("content").cast("binary")).alias("digest"), "status")
 
 
@@ -652,8 +653,9 @@ def damaged_read_roundtrip(spark, sf_dir):
 @query("SELECT doc_id AS file_id, octet_length(encode(coalesce(text, '')))::BIGINT * 2 AS bytes, md5(coalesce(text, '') || coalesce(text, '')) AS digest, 'ok' AS status FROM documents")
 def append_roundtrip(spark, sf_dir):
     files = documents_as_files(spark, sf_dir)
-    packed = archives.pack(files, preset(1).with_(ecc=0, block_exp=16)).join(files.withColumnRenamed("content", "extra"), "file_id")
-    return _told(archives.unpack(archives.append(packed)))
+    options = preset(1).with_(ecc=0, block_exp=16)
+    packed = archives.pack(files, options).join(files.withColumnRenamed("content", "extra"), "file_id")
+    return _told(archives.unpack(archives.append(packed, options=options)))
 
 
 _LISTED = f"""SELECT file_id, 'ok' AS status, n_blocks::BIGINT AS n_blocks, size::BIGINT AS size, (96 + n_blocks * 64 + stored)::BIGINT AS file_size, CASE WHEN n_blocks > 0 THEN stored // n_blocks END::BIGINT AS average_block
