@@ -38,9 +38,14 @@ FILE_IDS = 1000  # documents a file: no language or source makes one file grow w
 
 
 def files_by_lang(spark, sf_dir) -> DataFrame:
-    """Files of the texts of a language and source whose ids share their thousands, in the order of doc_id; several blocks each."""
-    rows = read(spark, sf_dir, "documents").withColumn("part", scalars.idiv(F.col("doc_id"), FILE_IDS))
-    rows = rows.groupBy("lang", "source", "part").agg(F.array_sort(F.collect_list(F.struct("doc_id", "text"))).alias("t"))
+    """Files of the texts of a language and source whose ids share their thousands, in the order of doc_id; several blocks each.
+
+    Dealt out by a number, which adaptive execution leaves: by their bytes it would make
+    little more tasks than there are cores, and coding takes longer than bytes tell.
+    """
+    keys, width = ["lang", "source", "part"], max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
+    rows = read(spark, sf_dir, "documents").withColumn("part", scalars.idiv(F.col("doc_id"), FILE_IDS)).repartition(width, *keys)
+    rows = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("doc_id", "text"))).alias("t"))
     text = F.array_join(F.transform("t", lambda t: t["text"]), "")
     return rows.select(F.concat_ws("/", "lang", "source", "part").alias("file_id"), text.cast("binary").alias("content"))
 
