@@ -10,6 +10,7 @@ from pyspark.sql import SparkSession, functions as F
 
 from ..codecs import archive, bcj, blake, lz, records, rs
 from ..dims import preset
+from ..memory import trim
 from ..operators.archives import _roots
 from ..plans.options import resolve
 
@@ -102,7 +103,7 @@ def block_cv(data: pd.Series, offset: pd.Series, root: pd.Series) -> pd.Series:
 
 
 def _stretches(column: pd.Series, most: int = 4 << 20) -> Iterator[range]:
-    """Places of rows of about ``most`` bytes together."""
+    """Places of rows of about ``most`` bytes together; behind them what the allocators keep goes back to the system."""
     first = total = 0
     for k, d in enumerate(column):
         n = 0 if d is None else len(d)
@@ -112,6 +113,7 @@ def _stretches(column: pd.Series, most: int = 4 << 20) -> Iterator[range]:
         total += n
     if len(column):
         yield range(first, len(column))
+    trim()
 
 
 def pack(data: pd.Series, level: pd.Series) -> pd.DataFrame:
