@@ -485,6 +485,13 @@ def _store_files(files: DataFrame, folder: str) -> None:
     files.select("file_id", "archive").mapInArrow(put, "file_id long").write.format("noop").mode("overwrite").save()
 
 
+def pages_as_files(spark, sf_dir) -> DataFrame:
+    """Pages for the sink, dealt out by a number: a table of few files or row groups would give few tasks, and coding takes longer than reading."""
+    width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
+    rows = read(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("name"), F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("content"))
+    return rows.repartition(width, "name")
+
+
 @query("SELECT page_id, (octet_length(encode(coalesce(html, ''))) + 65535) // 65536 AS blocks, octet_length(encode(coalesce(html, '')))::BIGINT AS bytes FROM pages WHERE html <> ''")
 def stream_source(spark, sf_dir):
     """Pages written through the sink, then read as a stream, some archives a batch; pages without bytes have no block."""
@@ -493,8 +500,7 @@ def stream_source(spark, sf_dir):
 
     register(spark)
     folder = scratch(spark, "arriving")
-    rows = read(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("name"), F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("content"))
-    rows.write.format("strongbox").option("path", f"{folder}/in").option("preset", 0).option("blockExponent", 16).mode("append").save()
+    pages_as_files(spark, sf_dir).write.format("strongbox").option("path", f"{folder}/in").option("preset", 0).option("blockExponent", 16).mode("append").save()
     stream = spark.readStream.format("strongbox").option("logPath", f"{folder}/log").option("maxFilesPerTrigger", 1000).load(f"{folder}/in")
     slim = stream.select(F.regexp_extract("path", r"(\d+)\.sba$", 1).cast("long").alias("page_id"), "block_idx", F.octet_length("data").alias("n"))
     running = slim.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").start()
@@ -541,13 +547,12 @@ def source_roundtrip(spark, sf_dir):
 
     register(spark)
     folder = scratch(spark, "archives")
-    rows = read(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("name"), F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("content"))
-    rows.write.format("strongbox").option("path", folder).option("preset", 1).option("blockExponent", 16).mode("append").save()
+    pages_as_files(spark, sf_dir).write.format("strongbox").option("path", folder).option("preset", 1).option("blockExponent", 16).mode("append").save()
     page = F.regexp_extract("path", r"(\d+)\.sba$", 1).cast("long").alias("page_id")
     blocks_ = spark.read.format("strongbox").load(folder).select(page, "block_idx", "data")
     names = spark.read.format("strongbox").option("mode", "meta").load(folder).select(page, "size")
-    data = blocks_.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("block_idx", F.hex("data").alias("x")))).alias("b"))
-    whole = F.unhex(F.coalesce(F.array_join(F.transform("b", lambda b: b["x"]), ""), F.lit("")))
+    data = blocks_.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("block_idx", "data"))).alias("b"))
+    whole = F.unhex(F.coalesce(F.array_join(F.transform("b", lambda b: F.hex(b["data"])), ""), F.lit("")))
     return names.join(data, "page_id", "left").select("page_id", F.col("size").alias("bytes"), F.md5(whole).alias("digest"))
 
 

@@ -3,8 +3,8 @@
 Reading: ``mode`` is ``meta`` (a row per archive), ``blocks`` (a row per block
 record) or ``data`` (blocks decoded).  The path is an archive, a folder (of which
 the files that end in the suffix are read) or a glob (``**`` for folders of any
-depth).  ``meta`` and ``blocks`` read 64 bytes per block.  Nothing of an archive is
-read to plan: a partition of ``data`` is a byte range of an archive, whose task
+depth).  ``meta`` and ``blocks`` read 64 bytes per block; an archive of up to 64 KiB
+is read at once, in any mode.  Nothing of an archive is read to plan: a partition of ``data`` is a byte range of an archive, whose task
 walks the records up to its end and decodes the blocks that begin in it, so that
 one large archive feeds many tasks.  Filters on block_idx and path are pushed
 into the partitions.  An archive whose records, root hash or size are wrong has a
@@ -33,7 +33,7 @@ import json
 import math
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow.fs
@@ -48,6 +48,7 @@ from ..dims import Options, preset
 
 SUFFIX = ".sba"
 WHOLE = 1 << 20  # bytes of rows that are packed together
+AT_ONCE = 1 << 16  # bytes of an archive up to which a single read is less than one for each record
 SCHEMAS = {
     "meta": "path string, status string, ecc int, prefilter int, block_exp int, dict_exp int, n_blocks long, payload_size long, file_size long, size long, root_hash binary, corrected long",
     "blocks": "path string, block_idx long, header_off long, physical_size long, is_partial boolean, cv binary, corrected long",
@@ -108,6 +109,16 @@ class Runs(InputPartition):
     held: list[Run]
 
 
+def _reading(store: pyarrow.fs.FileSystem, run: Run, held: contextlib.ExitStack) -> Callable[[int, int], bytes]:
+    """``read(at, n)`` of a run's archive; a small one is closed again, so that many don't hold as many files."""
+    if run.size <= AT_ONCE and run.low == 0 and run.last:
+        with store.open_input_file(run.path) as f:
+            whole = f.read_at(run.size, 0)
+        return lambda at, n: whole[at : at + n]
+    f = held.enter_context(store.open_input_file(run.path))
+    return lambda at, n: f.read_at(min(n, run.size - at), at)
+
+
 class ArchiveReader(DataSourceReader):
     def __init__(self, options: dict, mode: str):
         self.path, self.mode, self.suffix = options["path"], mode, options.get("suffix", SUFFIX)
@@ -158,7 +169,7 @@ class ArchiveReader(DataSourceReader):
         some, total = [], 0
         for run in runs.held:
             own = min(run.size, run.high - run.low)
-            if some and (total + own > 4 << 20 or len(some) >= 200):
+            if some and (total + own > 4 << 20 or len(some) >= 1000):
                 yield from self._rows(some)
                 some, total = [], 0
             some.append(run)
@@ -170,31 +181,31 @@ class ArchiveReader(DataSourceReader):
         """Of a few runs: their records are walked, and their blocks decoded and hashed, side by side."""
         store, _ = _store(_split(self.path)[0])
         with contextlib.ExitStack() as held:
-            files = [held.enter_context(store.open_input_file(run.path)) for run in runs]
-            reads = [lambda at, n, f=f, size=run.size: f.read_at(min(n, size - at), at) for f, run in zip(files, runs, strict=True)]
+            reads = [_reading(store, run, held) for run in runs]
             untils = [None if run.last or self.mode != "data" else run.high for run in runs]
             found = archive.walks([(read, run.size, until) for read, run, until in zip(reads, runs, untils, strict=True)])
-            for run, d in zip(runs, found, strict=True):
-                if self.mode == "blocks":
+            if self.mode == "data":
+                yield from self._data(runs, found, reads)
+            elif self.mode == "blocks":
+                for run, d in zip(runs, found, strict=True):
                     for e in d.entries:
                         if self.low <= e.index <= self.high:
                             yield run.path, e.index, e.at, e.record.size, e.record.partial, e.record.value, e.record.corrected
-                elif self.mode != "data":
+            else:
+                for run, d, status in zip(runs, found, archive.told(found), strict=True):
                     o, t = d.options, d.trailer
                     yield (
-                        run.path, archive.told(d), *((o.ecc, o.prefilter, o.block_exp, o.dict_exp) if o else (None,) * 4), len(d.entries),
+                        run.path, status, *((o.ecc, o.prefilter, o.block_exp, o.dict_exp) if o else (None,) * 4), len(d.entries),
                         sum(e.record.size for e in d.entries), run.size, t.size if t else None, t.value if t else None, d.corrected,
                     )
-            if self.mode == "data":
-                yield from self._data(runs, found, files)
 
-    def _data(self, runs: list[Run], found: list[archive.Directory], files: list) -> Iterator[tuple]:
+    def _data(self, runs: list[Run], found: list[archive.Directory], reads: list) -> Iterator[tuple]:
         own = lambda run, e: run.low <= e.at < run.high and self.low <= e.index <= self.high
         tail = lambda run, d, e: run.last and e is d.entries[-1] and self._whole()
         todo = [(k, e, d.options) for k, (run, d) in enumerate(zip(runs, found, strict=True)) for e in d.entries if own(run, e) or tail(run, d, e)]
         length = [0] * len(runs)
-        for some in archive.stretches(todo):
-            decoded = archive.decode_payloads([(files[k].read_at(e.record.size, e.at + 64), o) for k, e, o in some], self.validate)
+        for some in archive.stretches(todo, found):
+            decoded = archive.decode_payloads([(reads[k](e.at + 64, e.record.size), o) for k, e, o in some], self.validate)
             holds = iter(blake.holds([
                 (data, e.index << o.block_exp, len(found[k].entries) == 1, e.record.value)
                 for (k, e, o), (data, _, _) in zip(some, decoded, strict=True) if data is not None
@@ -208,9 +219,10 @@ class ArchiveReader(DataSourceReader):
                 if self.strict and status != "ok":
                     raise ValueError(f"{runs[k].path}, block {e.index}: {status}")
                 yield runs[k].path, e.index, status, corrected, data
-        for run, d, n in zip(runs, found, length, strict=True):
-            if run.last and self._whole():
-                status = archive.told(d)
+        if not self._whole():
+            return
+        for run, d, status, n in zip(runs, found, archive.told(found), length, strict=True):
+            if run.last:
                 if status == "ok" and d.trailer.size != (max(len(d.entries) - 1, 0) << d.options.block_exp) + n:
                     status = "size"
                 if status != "ok":
@@ -224,7 +236,10 @@ class ArchiveReader(DataSourceReader):
 
 @dataclass
 class Written(WriterCommitMessage):
-    names: list
+    """The archives of a task, ``<task>-0`` onwards in the job's folder, by name: short, as the driver has those of all tasks."""
+
+    task: str
+    names: list[str]
 
 
 class ArchiveWriter(DataSourceWriter):
@@ -239,12 +254,11 @@ class ArchiveWriter(DataSourceWriter):
     def write(self, rows) -> Written:
         store, base = _store(self.path)
         store.create_dir(f"{base}/{self.held}", recursive=True)
-        names, current, packer, out, some, total = [], None, None, None, [], 0
+        done, current, packer, out, some, total = Written(uuid.uuid4().hex, []), None, None, None, [], 0
 
         def opened(name: str):
-            held = f"{base}/{self.held}/{uuid.uuid4().hex}"
-            names.append((held, f"{base}/{name}{self.suffix}"))
-            return store.open_output_stream(held)
+            done.names.append(name)
+            return store.open_output_stream(f"{base}/{self.held}/{done.task}-{len(done.names) - 1}")
 
         def flush() -> None:
             for (name, _), packed in zip(some, archive.pack_many([data for _, data in some], self.options), strict=True):
@@ -277,23 +291,25 @@ class ArchiveWriter(DataSourceWriter):
                 out.write(part)
         flush()
         close()
-        return Written(names)
+        return done
 
     def commit(self, messages) -> None:
         store, base = _store(self.path)
         try:
-            moves = [m for message in messages for m in (message.names if message else ())]
-            names = {name for _, name in moves}
+            done = [m for m in messages if m]
+            names, many = {name for m in done for name in m.names}, sum(len(m.names) for m in done)
             there = [p for p, _, _ in archive_files(self.path, self.suffix)] if store.get_file_info(base).type == pyarrow.fs.FileType.Directory else []
-            if len(names) < len(moves):
-                raise ValueError(f"{len(moves) - len(names)} names are given more than once")
-            if not self.overwrite and (both := names & set(there)):
+            if len(names) < many:
+                raise ValueError(f"{many - len(names)} names are given more than once")
+            if not self.overwrite and (both := [p for p in there if p.removeprefix(f"{base}/").removesuffix(self.suffix) in names]):
                 raise ValueError(f"{len(both)} archives are there already, as {min(both)}")
             for old in there if self.overwrite else ():
                 store.delete_file(old)
-            for held, name in moves:
-                store.create_dir(name.rpartition("/")[0], recursive=True)
-                store.move(held, name)
+            for folder in {name.rpartition("/")[0] for name in names}:
+                store.create_dir(f"{base}/{folder}", recursive=True)
+            for m in done:
+                for k, name in enumerate(m.names):
+                    store.move(f"{base}/{self.held}/{m.task}-{k}", f"{base}/{name}{self.suffix}")
         finally:
             self._clean(store, base)
 
