@@ -4,10 +4,10 @@ Reading: ``mode`` is ``meta`` (a row per archive), ``blocks`` (a row per block
 record) or ``data`` (blocks decoded).  The path is an archive, a folder (of which
 the files that end in the suffix are read) or a glob (``**`` for folders of any
 depth).  ``meta`` and ``blocks`` read 64 bytes per block; an archive of up to 64 KiB
-is read at once, in any mode.  Nothing of an archive is read to plan: a partition of ``data`` is a byte range of an archive, whose task
-walks the records up to its end and decodes the blocks that begin in it, so that
-one large archive feeds many tasks.  Filters on block_idx and path are pushed
-into the partitions.  An archive whose records, root hash or size are wrong has a
+is read at once, in any mode.  Nothing of an archive is read to plan: a partition
+of ``data`` is a byte range of an archive, whose task walks the records up to its
+end and decodes the blocks that begin in it, so that one large archive feeds many
+tasks.  Filters on block_idx and path are pushed into the partitions.  An archive whose records, root hash or size are wrong has a
 row in ``data`` with its status and no block_idx; ``strict`` makes that, and a bad
 block, fail the query.  With a filter on block_idx only blocks are judged.
 
