@@ -168,6 +168,24 @@ class archive_blocks:  # noqa: N801
             yield e.index, e.at, e.record.size, e.record.partial, e.record.value
 
 
+def _outer(table: type, width: int) -> type:
+    """A table function that gives one row of nulls where ``table`` gives none.
+
+    Spark runs LEFT JOIN LATERAL of a Python table function as an inner join, so rows
+    without any would be lost.
+    """
+
+    class outer:  # noqa: N801
+        def eval(self, *given):
+            row = None
+            for row in table().eval(*given):
+                yield row
+            if row is None:
+                yield (None,) * width
+
+    return outer
+
+
 _SCALAR = {
     "bcj_encode": (bcj_encode, "binary"), "bcj_decode": (bcj_decode, "binary"), "bcj_words": (bcj_words, "long"),
     "pack_options": (pack_options, "struct<ecc: int, block_exp: int, lc: int, lp: int, pb: int, dict_exp: int>"),
@@ -183,8 +201,9 @@ _TABLE = {
 
 
 def register(spark: SparkSession) -> None:
-    """Make all functions known to SQL under their own names."""
+    """Make all functions known to SQL under their own names, table functions also as NAME_outer."""
     for name, (function, kind) in _SCALAR.items():
         spark.udf.register(name, F.pandas_udf(function, kind))
     for name, (table, kind) in _TABLE.items():
         spark.udtf.register(name, F.udtf(table, returnType=kind))
+        spark.udtf.register(f"{name}_outer", F.udtf(_outer(table, kind.count(",") + 1), returnType=kind))

@@ -784,10 +784,10 @@ def buffer_functions(spark, sf_dir):
 
 @query("SELECT doc_id, octet_length(encode(coalesce(text, '')))::BIGINT AS usize FROM documents")
 def chunk_walk(spark, sf_dir):
-    """Chunk headers of coded payloads add up to the data."""
+    """Chunk headers of coded payloads add up to the data; a row for each document, also of no bytes or of an id that others have."""
     _functions(spark)
-    documents_as_files(spark, sf_dir).selectExpr("file_id", "lz_encode(content, 2) AS payload").createOrReplaceTempView("_payloads")
-    return spark.sql("SELECT file_id AS doc_id, coalesce(sum(usize), 0L) AS usize FROM _payloads LEFT JOIN LATERAL lz_chunks(payload) GROUP BY file_id")
+    documents_as_files(spark, sf_dir).selectExpr("monotonically_increasing_id() AS row", "file_id", "lz_encode(content, 2) AS payload").createOrReplaceTempView("_payloads")
+    return spark.sql("SELECT file_id AS doc_id, coalesce(sum(usize), 0L) AS usize FROM _payloads, LATERAL lz_chunks_outer(payload) GROUP BY row, file_id")
 
 
 @query("SELECT doc_id, (octet_length(encode(coalesce(text, ''))) + 238) // 239 AS codewords FROM documents")
