@@ -177,11 +177,9 @@ def _outer(table: type, width: int) -> type:
 
     class outer:  # noqa: N801
         def eval(self, *given):
-            row = None
-            for row in table().eval(*given):
-                yield row
-            if row is None:
-                yield (None,) * width
+            rows = table().eval(*given)
+            yield next(rows, (None,) * width)
+            yield from rows
 
     return outer
 

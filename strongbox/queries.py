@@ -792,9 +792,10 @@ def chunk_walk(spark, sf_dir):
 
 @query("SELECT doc_id, (octet_length(encode(coalesce(text, ''))) + 238) // 239 AS codewords FROM documents")
 def codeword_rows(spark, sf_dir):
+    """A row for each document, also of no bytes or of an id that others have."""
     _functions(spark)
-    documents_as_files(spark, sf_dir).selectExpr("file_id", "rs_encode(content, 1) AS stored").createOrReplaceTempView("_stored")
-    return spark.sql("SELECT file_id AS doc_id, count(cw_idx) AS codewords FROM _stored LEFT JOIN LATERAL codewords(stored, 1) GROUP BY file_id")
+    documents_as_files(spark, sf_dir).selectExpr("monotonically_increasing_id() AS row", "file_id", "rs_encode(content, 1) AS stored").createOrReplaceTempView("_stored")
+    return spark.sql("SELECT file_id AS doc_id, count(cw_idx) AS codewords FROM _stored, LATERAL codewords_outer(stored, 1) GROUP BY row, file_id")
 
 
 @query("SELECT doc_id, md5(coalesce(text, '')) AS decoded, md5(coalesce(text, '')) AS corrected, 0::BIGINT AS changed, 0::BIGINT AS lost FROM documents")
