@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from . import dims
-from .dims import Options, preset
+from .dims import BLOCK_HEADER_SIZE, Options, preset
 from .functions import layout, scalars
 from .operators import archives, parity
 from .plans import blocks
@@ -714,13 +714,18 @@ def verify_range(spark, sf_dir):
 
 @query(f"""SELECT file_id, b::BIGINT AS block_idx, (b % 2)::INT AS copy, md5(substr(hex(encode(content)), 1 + b * 131072, 131072)) AS digest FROM (SELECT *, unnest(range((octet_length(encode(content)) + 65535) // 65536)) AS b FROM ({_BY_LANG}))""")
 def multi_copy_repair(spark, sf_dir):
-    """Two copies, each with every other block's payload overwritten: each block comes from the copy that has it whole."""
+    """Two copies, each with every other block's payload overwritten: each block comes from the copy that has it whole.
+
+    Zeros go over a payload from its first byte and no further than its last: so it ends at
+    once, whatever it held, however short it is.
+    """
     packed = archives.pack(files_by_lang(spark, sf_dir), Options(block_exp=16, dict_exp=16), raw=True)
     spoiled = packed.select("file_id", "archive", F.explode(F.array(F.lit(0), F.lit(1))).alias("copy"))
     where = archives.block_directory(packed, payloads=False)
-    places = where.groupBy("file_id").agg(F.collect_list(F.struct("block_idx", "header_off")).alias("at"))
+    places = where.groupBy("file_id").agg(F.collect_list(F.struct("block_idx", "header_off", "physical_size")).alias("at"))
     met = spoiled.join(places, "file_id")
-    hit = F.expr("aggregate(filter(at, x -> x.block_idx % 2 <> copy), archive, (a, x) -> overlay(a PLACING X'000000000000' FROM cast(x.header_off + 70 AS int) FOR 6))")
+    zeros = "substring(X'000000000000', 1, cast(least(6, x.physical_size) AS int))"
+    hit = F.expr(f"aggregate(filter(at, x -> x.block_idx % 2 <> copy), archive, (a, x) -> overlay(a PLACING {zeros} FROM cast(x.header_off + {BLOCK_HEADER_SIZE + 1} AS int)))")
     best = archives.best_copies(met.select("file_id", "copy", hit.alias("archive")))
     return best.select("file_id", "block_idx", "copy", F.md5(F.hex("data").cast("binary")).alias("digest"))
 
