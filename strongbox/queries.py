@@ -720,13 +720,12 @@ def multi_copy_repair(spark, sf_dir):
     once, whatever it held, however short it is.
     """
     packed = archives.pack(files_by_lang(spark, sf_dir), Options(block_exp=16, dict_exp=16), raw=True)
-    spoiled = packed.select("file_id", "archive", F.explode(F.array(F.lit(0), F.lit(1))).alias("copy"))
     where = archives.block_directory(packed, payloads=False)
     places = where.groupBy("file_id").agg(F.collect_list(F.struct("block_idx", "header_off", "physical_size")).alias("at"))
-    met = spoiled.join(places, "file_id")
+    copies = packed.join(places, "file_id").select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("copy"))  # behind the join: an archive is shuffled once
     zeros = "substring(X'000000000000', 1, cast(least(6, x.physical_size) AS int))"
     hit = F.expr(f"aggregate(filter(at, x -> x.block_idx % 2 <> copy), archive, (a, x) -> overlay(a PLACING {zeros} FROM cast(x.header_off + {BLOCK_HEADER_SIZE + 1} AS int)))")
-    best = archives.best_copies(met.select("file_id", "copy", hit.alias("archive")))
+    best = archives.best_copies(copies.select("file_id", "copy", hit.alias("archive")))
     return best.select("file_id", "block_idx", "copy", F.md5(F.hex("data").cast("binary")).alias("digest"))
 
 
