@@ -824,14 +824,15 @@ def tree_functions(spark, sf_dir):
     files = files_by_lang(spark, sf_dir)
     packed = archives.pack(files, Options(block_exp=16, dict_exp=16), raw=True)
     packed.createOrReplaceTempView("_archives")
-    listed = spark.sql("SELECT file_id, array_sort(collect_list(struct(block_idx, cv))) AS v FROM _archives, LATERAL archive_blocks(archive) GROUP BY file_id")
+    one = "CASE WHEN block_idx IS NOT NULL THEN struct(block_idx, cv) END"  # a file of no bytes has no block
+    listed = spark.sql(f"SELECT file_id, array_sort(collect_list({one})) AS v FROM _archives, LATERAL archive_blocks_outer(archive) GROUP BY file_id")
     listed = listed.selectExpr("file_id", "tree_root(transform(v, x -> x.cv)) AS by_records")
     plan = blocks.block_plan(files, F.octet_length("content"), 16, ["file_id", "content"])
     own = plan.selectExpr("file_id", "block_idx", "block_cv(substring(content, cast(block_offset + 1 AS int), cast(size AS int)), block_offset, block_offset = 0 AND is_last) AS cv")
     own = own.groupBy("file_id").agg(F.count(F.lit(1)).alias("blocks"), F.array_sort(F.collect_list(F.struct("block_idx", "cv"))).alias("v"))
-    own = own.selectExpr("file_id", "blocks", "tree_root(transform(v, x -> x.cv)) AS by_values")
     ends = archives.list_archives(packed).select("file_id", "root_hash")
-    return ends.join(listed, "file_id").join(own, "file_id").selectExpr("file_id", "blocks", "by_records = root_hash AND by_values = root_hash AS same")
+    met = ends.join(listed, "file_id").join(own, "file_id", "left").selectExpr("*", "tree_root(coalesce(transform(v, x -> x.cv), array())) AS by_values")
+    return met.selectExpr("file_id", "coalesce(blocks, 0L) AS blocks", "by_records = root_hash AND by_values = root_hash AS same")
 
 
 @query("SELECT conv_id, sum(octet_length(encode(text)))::BIGINT AS bytes, count(*) AS segments FROM conversations GROUP BY conv_id")
